@@ -1,0 +1,36 @@
+"""Joining results back to rows whose key may be heavily skewed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_KEYS = 500
+HOT_BYTES = 32 * 1024 * 1024
+
+
+def attach(rows: DataFrame, labels: DataFrame, key: str, weight: str) -> DataFrame:
+    """Left join of `rows` with `labels`, which holds each key once.
+
+    `weight` counts the rows per key. The heaviest keys are at most HOT_KEYS
+    rows of `labels`, whose size is checked before they are broadcast; their
+    rows never move. Every key left holds less than one in HOT_KEYS of all
+    rows, which an ordinary shuffle join takes. Should the heaviest keys be too
+    large to broadcast, fewer of them are.
+    """
+    top = labels.orderBy(F.desc(weight), key).limit(HOT_KEYS)
+    sizes = top.select(F.length(F.to_json(F.struct("*"))).alias("b")).collect()
+    room, hot_count = HOT_BYTES, 0
+    for row in sizes:
+        room -= 4 * (row["b"] or 0)
+        if room < 0:
+            break
+        hot_count += 1
+    labels = labels.drop(weight)
+    if hot_count == 0:
+        return rows.join(labels, key, "left")
+    hot = F.broadcast(top.limit(hot_count).drop(weight))
+    if hot_count == len(sizes) < HOT_KEYS:
+        return rows.join(hot, key, "left")  # every label is in `hot`
+    still = rows.join(F.broadcast(top.limit(hot_count).select(key)), key, "left_anti")
+    return rows.join(hot, key, "inner").unionByName(still.join(labels, key, "left"))

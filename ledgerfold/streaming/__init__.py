@@ -1,0 +1 @@
+"""Empty on purpose: every query this package answers is a batch query."""
