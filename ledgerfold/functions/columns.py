@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DAY_MICROS = 86_400_000_000
+NUMBER_TEXT = (
+    "^\\s*[+-]?(([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\\s*$")
 
 
 def ref(name: str) -> Column:
@@ -45,7 +47,7 @@ def is_missing(name: str, dtype: T.DataType) -> Column:
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Fold NaN into null, so that every later step sees one kind of gap."""
     changed = {
-        f.name: F.when(~F.isnan(ref(f.name)), ref(f.name))
+        f.name: F.nanvl(ref(f.name), F.lit(None).cast(f.dataType))
         for f in df.schema.fields
         if isinstance(f.dataType, (T.DoubleType, T.FloatType))
     }
@@ -55,16 +57,16 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def as_number(c: Column, dtype: T.DataType) -> Column:
     """Double, or null where the value does not parse; infinities stay.
 
-    Spark's own cast also takes Java literals ("1d", "0x1p3"), which are not
-    numbers here.
+    Only texts that look like a number are cast. Spark's cast also takes Java
+    literals ("1d", "0x1p3"), and pays for an exception on any other text.
     """
     if is_text(dtype):
-        value = F.when(~c.rlike("(?i)0x|[0-9.][df]\\s*$"), c.try_cast("double"))
+        value = F.when(c.rlike(NUMBER_TEXT), c.try_cast("double"))
     elif isinstance(dtype, T.BooleanType) or is_number(dtype):
         value = c.cast("double")
     else:
         return F.lit(None).cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def as_flag(c: Column, dtype: T.DataType, true_texts: tuple[str, ...]) -> Column:

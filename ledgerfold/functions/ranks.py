@@ -1,171 +1,166 @@
 """Exact order statistics without gathering a column in one task.
 
 Spark's exact percentile holds every distinct value of a column in one buffer.
-Here a column with few distinct values is counted by value straight away. Any
-other is narrowed first: each pass takes a sketch of the open interval known to
-hold the wanted rank, together with exact counts at the ends of the last
-interval, until few rows are left. All columns share each pass, and every
-result is exact: the sketch only proposes the ends, the counts decide.
+Here a sketch, which the caller's own statistics pass takes along, proposes a
+narrow interval around each wanted rank. One pass then counts, for all columns
+together, the rows below each interval and the copies of each value inside it,
+combined before the shuffle. Intervals that would still hold too many values
+are narrowed first, by passes of the same kind. The sketch only proposes: the
+counts decide, and an interval that misses its rank is widened.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GATHER_LIMIT = 500_000
+GATHER_LIMIT = 2_000_000
 GRID = 256
 
 
+def sketch(value: Column) -> Column:
+    """Evenly spaced approximate quantiles, from minimum to maximum."""
+    points = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    return F.percentile_approx(value, points, F.lit(GRID * 8))
+
+
 @dataclass
 class _Target:
     """One wanted rank (0-based) of one column, with what is known about it."""
 
     column: str
     rank: int
-    low: float | None = None       # open lower end, None = unbounded
-    high: float | None = None      # open upper end, None = unbounded
-    below: int = 0                 # rows up to and including `low`
-    inside: int = 0                # rows strictly between the ends
-    grid: list[float] = field(default_factory=list)
+    grid: list[float]              # approximate quantiles of the rows inside
+    below: int                     # rows below those the grid covers
+    inside: int                    # rows the grid covers
     step: int = 1
     value: float | None = None
 
+    @property
+    def interval(self) -> tuple[str, float, float]:
+        """The closed interval the grid proposes."""
+        at = floor((self.rank - self.below) / self.inside * GRID)
+        first, last = max(at - self.step, 0), min(at + 1 + self.step, GRID)
+        return self.column, self.grid[first], self.grid[last]
 
-def _between(c: Column, low: float | None, high: float | None) -> Column:
-    parts = [c.isNotNull()]
-    if low is not None:
-        parts.append(c > F.lit(low))
-    if high is not None:
-        parts.append(c < F.lit(high))
-    return reduce(lambda a, b: a & b, parts)
+    @property
+    def spread(self) -> float:
+        """About how many rows lie strictly inside the interval."""
+        return self.inside * (2 * self.step + 1) / GRID
+
+    def widen(self) -> None:
+        self.step *= 4
 
 
 def order_statistics(
-    df: DataFrame,
-    ranks: dict[str, list[int]],
-    counts: dict[str, int],
-    distinct: dict[str, int],
-    gather_limit: int = GATHER_LIMIT,
+    df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int],
+    grids: dict[str, list[float]], gather_limit: int = GATHER_LIMIT,
 ) -> dict[tuple[str, int], float]:
     """Values at the given 0-based ranks among the non-null values.
 
-    `counts` are the exact non-null counts and `distinct` the (approximate)
-    distinct counts, which the caller's own statistics pass has at hand.
+    `counts` are the exact non-null counts and `grids` the sketches of the
+    columns; columns must be doubles without NaN.
     """
     targets = [
-        _Target(c, r, inside=counts[c])
-        for c, wanted in ranks.items()
-        for r in sorted(set(wanted))
-        if 0 <= r < counts[c]
+        _Target(c, r, grids[c], 0, counts[c])
+        for c, wanted in ranks.items() for r in sorted(set(wanted)) if 0 <= r < counts[c]
     ]
-    if not targets:
-        return {}
-    frame = df.select(*[F.col(c).cast("double").alias(c) for c in {t.column for t in targets}])
-
-    wide = [t for t in targets if distinct[t.column] > gather_limit]
-    while True:
-        open_targets = [t for t in wide if t.value is None and t.inside > gather_limit]
-        if not open_targets:
-            break
-        before = sum(t.inside for t in open_targets)
-        _narrow(frame, open_targets)
-        if sum(t.inside for t in open_targets if t.value is None) >= before:
-            break  # nothing left to narrow; the gather below is exact at any size
-    _gather(frame, [t for t in targets if t.value is None])
+    while open_targets := [t for t in targets if t.value is None]:
+        wide = [t for t in open_targets if t.spread > gather_limit and t.step < GRID]
+        if wide:
+            _narrow(df, wide)
+        else:
+            _gather(df, open_targets)
     return {(t.column, t.rank): t.value for t in targets}
 
 
-def _narrow(frame: DataFrame, targets: list[_Target]) -> None:
-    """One pass of sketches, then one pass of exact counts."""
-    points = [i / GRID for i in range(GRID + 1)]
-    sketches = frame.agg(*[
-        F.percentile_approx(
-            F.when(_between(F.col(t.column), t.low, t.high), F.col(t.column)),
-            F.array(*map(F.lit, points)), F.lit(GRID * 20),
-        ).alias(f"s{i}")
-        for i, t in enumerate(targets)
-    ]).first()
-    for i, t in enumerate(targets):
-        t.grid, t.step = sketches[f"s{i}"], 1
-
-    pending = targets
-    while pending:
-        ends = [_ends(t) for t in pending]
-        columns = []
-        for i, (t, (low, high)) in enumerate(zip(pending, ends)):
-            c = F.col(t.column)
-            for name, end, strict in (
-                ("lt_low", low, True), ("le_low", low, False),
-                ("lt_high", high, True), ("le_high", high, False),
-            ):
-                hit = F.lit(False) if end is None else (c < F.lit(end) if strict else c <= F.lit(end))
-                columns.append(F.count_if(hit).alias(f"{name}{i}"))
-        seen = frame.agg(*columns).first()
-        retry = []
-        for i, (t, (low, high)) in enumerate(zip(pending, ends)):
-            lt_low, le_low = seen[f"lt_low{i}"], seen[f"le_low{i}"]
-            lt_high, le_high = seen[f"lt_high{i}"], seen[f"le_high{i}"]
-            if low is not None and lt_low <= t.rank < le_low:
-                t.value = low
-            elif high is not None and lt_high <= t.rank < le_high:
-                t.value = high
-            elif (low is not None and t.rank < lt_low) or (high is not None and t.rank >= le_high):
-                t.step *= 4
-                retry.append(t)
-            else:
-                old_end = t.below + t.inside
-                if low is not None:
-                    t.low, t.below = low, le_low
-                if high is not None:
-                    t.high = high
-                t.inside = (lt_high if high is not None else old_end) - t.below
-        pending = retry
-
-
-def _ends(t: _Target) -> tuple[float | None, float | None]:
-    """Grid values around the wanted rank; the old end where the grid stops."""
-    at = floor((t.rank - t.below) / t.inside * GRID)
-    first, last = at - t.step, at + 1 + t.step
-    low = t.grid[first] if first >= 0 else t.low
-    high = t.grid[last] if last <= GRID else t.high
-    return low, high
-
-
-def _gather(frame: DataFrame, targets: list[_Target]) -> None:
-    """Count the few remaining values and read the ranks off a running sum."""
-    if not targets:
-        return
-    spans: dict[tuple, list[_Target]] = {}
+def _narrow(df: DataFrame, targets: list[_Target]) -> None:
+    """One pass: counts at both ends of each interval, a sketch of its interior."""
+    spans = list(dict.fromkeys(t.interval for t in targets))
+    columns = []
+    for i, (name, low, high) in enumerate(spans):
+        c = F.col(name)
+        columns += [
+            F.count_if(c < F.lit(low)).alias(f"lt_low{i}"),
+            F.count_if(c <= F.lit(low)).alias(f"le_low{i}"),
+            F.count_if(c < F.lit(high)).alias(f"lt_high{i}"),
+            F.count_if(c <= F.lit(high)).alias(f"le_high{i}"),
+            sketch(F.when((c > F.lit(low)) & (c < F.lit(high)), c)).alias(f"grid{i}"),
+        ]
+    seen = df.agg(*columns).first()
     for t in targets:
-        spans.setdefault((t.column, t.low, t.high, t.below), []).append(t)
-    keys = list(spans)
-    entries = [
-        F.struct(F.lit(i).alias("span"), F.when(_between(F.col(c), low, high), F.col(c)).alias("v"))
-        for i, (c, low, high, _) in enumerate(keys)
-    ]
+        name, low, high = t.interval
+        i = spans.index(t.interval)
+        if seen[f"lt_low{i}"] <= t.rank < seen[f"le_low{i}"]:
+            t.value = low
+        elif seen[f"lt_high{i}"] <= t.rank < seen[f"le_high{i}"]:
+            t.value = high
+        elif seen[f"le_low{i}"] <= t.rank < seen[f"lt_high{i}"]:
+            t.grid, t.step = seen[f"grid{i}"], 1
+            t.below = seen[f"le_low{i}"]
+            t.inside = seen[f"lt_high{i}"] - t.below
+        else:
+            t.widen()
+
+
+def _merged(intervals: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Disjoint intervals in order, overlapping ones joined."""
+    merged: list[tuple[float, float]] = []
+    for low, high in sorted(set(intervals)):
+        if merged and low <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+        else:
+            merged.append((low, high))
+    return merged
+
+
+def _piece(c: Column, intervals: list[tuple[float, float]]) -> Column:
+    """Odd numbers for the intervals, even ones for the gaps before them.
+
+    Null beyond the last interval, where no rank is wanted.
+    """
+    piece = None
+    for i, (low, high) in enumerate(intervals):
+        piece = (F if piece is None else piece).when(c < F.lit(low), 2 * i)
+        piece = piece.when(c <= F.lit(high), 2 * i + 1)
+    return piece
+
+
+def _gather(df: DataFrame, targets: list[_Target]) -> None:
+    """Count the copies of each value in the intervals, and the rows between
+    them, and read the ranks off a running sum per column."""
+    names = list(dict.fromkeys(t.column for t in targets))
+    pieces = df.select(*names, *[
+        _piece(F.col(c), _merged([t.interval[1:] for t in targets if t.column == c])).alias(f"in_{c}")
+        for c in names
+    ])
+    entries = F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(f"in_{c}").alias("piece"),
+                 F.when(F.col(f"in_{c}") % 2 == 1, F.col(c)).alias("v"))
+        for c in names
+    ])
     values = (
-        frame.select(F.inline(F.array(*entries)))
-        .filter(F.col("v").isNotNull())
-        .groupBy("span", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+        pieces.select(F.inline(entries)).filter("piece is not null")
+        .groupBy("name", "piece", "v").agg(F.count(F.lit(1)).alias("n"))
     )
-    running = Window.partitionBy("span").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    running = (Window.partitionBy("name").orderBy("piece", "v")
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     wanted = reduce(lambda a, b: a | b, [
-        (F.col("span") == i) & (F.col("upto") > t.rank - key[3])
-        & (F.col("upto") - F.col("n") <= t.rank - key[3])
-        for i, key in enumerate(keys) for t in spans[key]
+        (F.col("name") == t.column) & (F.col("upto") > t.rank)
+        & (F.col("upto") - F.col("n") <= t.rank)
+        for t in targets
     ])
-    found = values.withColumn("upto", F.sum("n").over(running)).filter(wanted).collect()
-    for row in found:
-        key = keys[row["span"]]
-        for t in spans[key]:
-            if row["upto"] - row["n"] <= t.rank - key[3] < row["upto"]:
-                t.value = row["v"]
+    found = (values.withColumn("upto", F.sum("n").over(running))
+             .filter(F.col("v").isNotNull() & wanted).collect())
+    for t in targets:
+        t.value = next((r["v"] for r in found if r["name"] == t.column
+                        and r["upto"] - r["n"] <= t.rank < r["upto"]), None)
+        if t.value is None:
+            t.widen()
 
 
 def quantile_ranks(n: int, q: float) -> list[int]:

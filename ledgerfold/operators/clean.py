@@ -17,7 +17,7 @@ from ..functions.columns import (
     as_flag, as_number, as_timestamp, is_missing, is_number, is_text, nan_to_null,
     numeric_columns, ref, text_columns,
 )
-from ..functions.ranks import interpolate, order_statistics, quantile_ranks
+from ..functions.ranks import interpolate, order_statistics, quantile_ranks, sketch
 from ..functions.scratch import stage
 from ..settings import (
     CAP_EXEMPT, CAP_IQR_MULTIPLIER, DATE_NAMES, DATE_SUFFIXES, FILL_TEXT, FLAG_NAMES,
@@ -173,7 +173,7 @@ def _number_aggregates(value: Column, i: int) -> list[Column]:
         F.count(value).alias(f"n{i}"),
         F.min(value).alias(f"lo{i}"),
         F.max(value).alias(f"hi{i}"),
-        F.approx_count_distinct(value).alias(f"d{i}"),
+        sketch(value).alias(f"g{i}"),
     ]
 
 
@@ -213,7 +213,7 @@ def _finish_statistics(doubles, columns, seen, multiplier, exempt, filled) -> di
     found = order_statistics(
         doubles, ranks,
         counts={f"c{i}": seen[f"n{i}"] for i in range(len(columns))},
-        distinct={f"c{i}": seen[f"d{i}"] for i in range(len(columns))},
+        grids={f"c{i}": seen[f"g{i}"] for i in range(len(columns))},
     )
     for i, c in enumerate(columns):
         s = stats[c]
@@ -355,7 +355,7 @@ def clean(
         doubles.select(*[F.col(old).alias(new) for old, new in keep.items()]), numeric,
         {"rows": total, **{
             f"{p}{i}": seen[f"{p}{names.index(c)}"]
-            for i, c in enumerate(numeric) for p in ("n", "lo", "hi", "d")}},
+            for i, c in enumerate(numeric) for p in ("n", "lo", "hi", "g")}},
         cap_multiplier, CAP_EXEMPT, True,
     ) if numeric else {}
     filled |= {c: s.missing for c, s in numbers.items() if s.missing and s.median is not None}

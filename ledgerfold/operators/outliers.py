@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, numeric_columns, ref
-from ..functions.ranks import interpolate, order_statistics, quantile_ranks
+from ..functions.ranks import interpolate, order_statistics, quantile_ranks, sketch
 from ..settings import (
     ANOMALY_IQR_MULTIPLIER, ANOMALY_MIN_VALUES, ANOMALY_SKIP, ANOMALY_Z_LIMIT, CONTEXT_CHARS,
     PROMPT_CONTEXT_ITEMS, SEVERITY_HIGH_Z, SEVERITY_MEDIUM_Z,
@@ -45,7 +45,7 @@ def baselines(
     seen = doubles.agg(*[
         a for i in range(len(columns)) for a in (
             F.count(f"c{i}").alias(f"n{i}"), F.avg(f"c{i}").alias(f"m{i}"),
-            F.stddev_samp(f"c{i}").alias(f"s{i}"), F.approx_count_distinct(f"c{i}").alias(f"d{i}"),
+            F.stddev_samp(f"c{i}").alias(f"s{i}"), sketch(F.col(f"c{i}")).alias(f"g{i}"),
         )
     ]).first()
     usable = [
@@ -55,7 +55,7 @@ def baselines(
     found = order_statistics(
         doubles,
         {f"c{i}": [r for q in (0.25, 0.75) for r in quantile_ranks(seen[f"n{i}"], q)] for i in usable},
-        {f"c{i}": seen[f"n{i}"] for i in usable}, {f"c{i}": seen[f"d{i}"] for i in usable},
+        {f"c{i}": seen[f"n{i}"] for i in usable}, {f"c{i}": seen[f"g{i}"] for i in usable},
     )
     result = {}
     for i in usable:

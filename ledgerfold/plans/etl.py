@@ -20,7 +20,7 @@ from ..operators.outliers import anomalies
 from ..operators.profile import apply_mapping, canonical_mapping, detect_domain
 from ..operators.snapshot import snapshots
 from ..settings import CANONICAL_HINTS
-from ..sources.readers import read_source
+from ..sources.readers import land_source
 from ..sources.store import Store
 
 # Canonical columns that are empty for most rows by nature.
@@ -94,7 +94,7 @@ def run_etl(
     step = "fetching"
     try:
         log("processing", 5, step)
-        raw = read_source(spark, kind, **source)
+        raw = land_source(spark, kind, **source)
         table, domain = canonical_table(raw)
         step = "cleaning"
         log("processing", 25, step)

@@ -11,6 +11,7 @@ from .enrich_queries import RISK_SQL
 from .etl import run_etl
 from .fixtures import DAYS, LIFETIME, SUBSCRIPTIONS, anomalies_sql, as_doubles, subscriptions
 from .registry import query
+from .service import answer
 
 # The subscription fixture as an export would bring it, run through the stages.
 _READY = f"""with subs as ({SUBSCRIPTIONS}),
@@ -86,3 +87,17 @@ def final_state(spark, sf_dir):
     return store.datasets().select(
         "id", "status", F.col("row_count").cast("bigint").alias("row_count"), "column_count",
     ).join(jobs, "id")
+
+
+_QUESTION = """SELECT plan, AVG(churned::int) as churn_rate FROM saas_subscriptions
+  WHERE dataset_id = 'orders' GROUP BY plan ORDER BY churn_rate DESC, plan LIMIT 1"""
+
+
+@query("answer", f"""with saas_subscriptions as (select *, 'orders' as dataset_id
+  from ({SUBSCRIPTIONS})) {_QUESTION}""")
+def answered(spark, sf_dir):
+    """A statement over the stored tables, as the service runs and logs it."""
+    store = Store(spark, new_path(spark, "store"))
+    store.write_subscriptions(
+        subscriptions(spark, sf_dir).withColumn("dataset_id", F.lit("orders")))
+    return spark.createDataFrame(answer(store, "Which plan has the highest churn rate?", _QUESTION))

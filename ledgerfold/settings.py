@@ -73,6 +73,11 @@ BLOCKED_WORDS = (
 SQL_ROW_LIMIT = 100
 
 # --- Sources -----------------------------------------------------------------
+# Field texts that a delimited file uses for "no value".
+NO_VALUE_TEXTS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 FILE_SUFFIXES = (".csv", ".tsv")
 MAX_FILE_BYTES = 100 * 1024 * 1024
 

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import ref
+from ..functions.scratch import stage
 from ..operators.profile import infer_text_types
-from ..settings import FILE_SUFFIXES, MAX_FILE_BYTES
+from ..settings import FILE_SUFFIXES, MAX_FILE_BYTES, NO_VALUE_TEXTS
 
 DELIMITERS = (",", ";", "\t", "|")
 _BAD = "_unparsed_line"
@@ -60,7 +60,8 @@ def read_csv(
     """Delimited text with a header line.
 
     Rows with more fields than the header are skipped, shorter ones are padded
-    with nulls. Without `sep` the delimiter is read off the header. `infer`
+    with nulls; the usual texts for "no value" are null as well. Without `sep` the
+    delimiter is read off the header. `infer`
     types each column as a whole; without it all columns stay text and no
     extra pass is made. Only `multiline` files, whose quoted fields may hold
     line breaks, are not split.
@@ -80,7 +81,10 @@ def read_csv(
     # first field is part of the test because the flag cannot be read alone.
     keep = F.when(F.col(_BAD).isNull(), F.lit(True)).otherwise(
         ~_too_long(F.col(_BAD), sep, len(names)) | (F.length("c0") < 0))
-    rows = raw.filter(keep).drop(_BAD).toDF(*[normalize_header(n) for n in names])
+    rows = raw.filter(keep).select(*[
+        F.when(~F.col(f"c{i}").isin(*NO_VALUE_TEXTS), F.col(f"c{i}")).alias(normalize_header(n))
+        for i, n in enumerate(names)
+    ])
     return infer_text_types(rows) if infer else rows
 
 
@@ -171,11 +175,17 @@ def read_sql(
 
 # --- Dispatch ----------------------------------------------------------------
 
-def _read_file(spark: SparkSession, path: str, **options) -> DataFrame:
+def check_suffix(path: str) -> str:
+    """The file type by name; a path without one is a folder of parts."""
     suffix = PurePosixPath(path).suffix.lower()
     if suffix and suffix not in FILE_SUFFIXES:
         raise ValueError(f"Unsupported file type '{suffix}'. Allowed: {sorted(FILE_SUFFIXES)}")
-    return read_tsv(spark, path, **options) if suffix == ".tsv" else read_csv(spark, path, **options)
+    return suffix
+
+
+def _read_file(spark: SparkSession, path: str, **options) -> DataFrame:
+    tabs = check_suffix(path) == ".tsv"
+    return (read_tsv if tabs else read_csv)(spark, path, **options)
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {
@@ -197,6 +207,22 @@ def read_source(spark: SparkSession, kind: str, **options) -> DataFrame:
     return reader(spark, **options)
 
 
+TEXT_KINDS = ("csv", "tsv")
+
+
+def land_source(spark: SparkSession, kind: str, **options) -> DataFrame:
+    """Read a source once into a columnar table, and type its text columns there.
+
+    The statistics passes to come then read single columns instead of parsing
+    text, or asking a database, again. Parquet is used where it lies.
+    """
+    if kind.lower() == "parquet":
+        return read_source(spark, kind, **options)
+    if kind.lower() in TEXT_KINDS:
+        return infer_text_types(stage(read_source(spark, kind, infer=False, **options), "landed"))
+    return stage(read_source(spark, kind, **options), "landed")
+
+
 def source_metadata(df: DataFrame, name: str, kind: str) -> DataFrame:
     """One row: source, kind, rows, columns."""
     return df.agg(F.count(F.lit(1)).alias("rows")).select(

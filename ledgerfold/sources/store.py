@@ -119,7 +119,7 @@ class Store:
     def delete_dataset(self, dataset_id: str) -> None:
         """Remove a dataset with everything that belongs to it."""
         self.delete(dataset_id)
-        last = self.datasets().filter(F.col("id") == dataset_id)
+        last = newest(self.table("datasets").filter(F.col("id") == dataset_id))
         self.append("datasets", last.withColumn("status", F.lit(DELETED))
                     .withColumn("updated_at", F.localtimestamp()))
 
@@ -133,7 +133,7 @@ class Store:
         names = sorted({k for r in rows for k in r})
         schema = T.StructType([table_schema(table)[n] for n in names])
         frame = self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
-        self.append(table, frame)
+        self.append(table, frame.coalesce(1))
 
     def datasets(self) -> DataFrame:
         """Current registry without deleted datasets."""
@@ -142,6 +142,21 @@ class Store:
     def jobs(self) -> DataFrame:
         return newest(self.table("jobs"))
 
+    def job(self, job_id: str) -> DataFrame:
+        """Current state of one job."""
+        return newest(self.table("jobs").filter(F.col("id") == job_id))
+
+    def report(self, report_id: str) -> DataFrame:
+        return self.table("reports").filter(F.col("id") == report_id)
+
+    def sql_tables(self) -> dict[str, DataFrame]:
+        """The tables a given statement may name."""
+        return {
+            "saas_subscriptions": self.table("subscriptions"),
+            "saas_metrics": self.table("metrics"),
+            "anomaly_records": self.table("anomalies"),
+        }
+
 
 # --- Registry and log queries ------------------------------------------------
 
