@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_number, is_missing, is_number, is_text, percent_text, ref
-from ..settings import SUBSCRIPTION_RULES
+from ..settings import (
+    DETAIL_MAX_VALUE, DETAIL_MIN_VALUE, DETAIL_NO_COLUMN, DETAIL_NOT_NULL_RATIO, DETAIL_TRUE_RATIO,
+    DETAIL_UNIQUE_RATIO, DETAIL_UNKNOWN_CHECK, SUBSCRIPTION_RULES,
+)
 from .profile import stack_rows
 
 
@@ -61,21 +64,19 @@ def _measure(rule: Rule, dtype: T.DataType) -> Column:
 
 def _verdict(rule: Rule, m: Column) -> tuple[Column, Column]:
     """Whether the rule holds, and the text that says what was found."""
-    limit, shown = F.lit(float(rule.limit)), _limit_text(rule.limit)
     if rule.check in ("min_value", "max_value"):
-        side = "below" if rule.check == "min_value" else "above"
-        return m == 0, F.concat(m.cast("bigint").cast("string"), F.lit(f" values {side} {shown}"))
-    bound = f"{rule.limit:.2%}"
-    if rule.check == "not_null_ratio":
-        return m >= limit, F.concat(
-            F.lit("not-null ratio = "), percent_text(m), F.lit(f", required >= {bound}"))
-    if rule.check == "unique_ratio":
-        return m >= limit, F.concat(
-            F.lit("unique ratio = "), percent_text(m), F.lit(f", required >= {bound}"))
-    if rule.check == "max_ratio_true":
-        return m <= limit, F.concat(
-            F.lit("true ratio = "), percent_text(m), F.lit(f", max allowed = {bound}"))
-    return F.lit(True), F.lit("unknown check")
+        text = DETAIL_MIN_VALUE if rule.check == "min_value" else DETAIL_MAX_VALUE
+        found, holds = m.cast("bigint").cast("string"), m == 0
+        return holds, F.format_string(text, found, F.lit(_limit_text(rule.limit)))
+    ratios = {
+        "not_null_ratio": (DETAIL_NOT_NULL_RATIO, m >= rule.limit),
+        "unique_ratio": (DETAIL_UNIQUE_RATIO, m >= rule.limit),
+        "max_ratio_true": (DETAIL_TRUE_RATIO, m <= rule.limit),
+    }
+    if rule.check not in ratios:
+        return F.lit(True), F.lit(DETAIL_UNKNOWN_CHECK)
+    text, holds = ratios[rule.check]
+    return holds, F.format_string(text, percent_text(m), F.lit(f"{rule.limit:.2%}"))
 
 
 def validation_report(
@@ -103,7 +104,7 @@ def validation_report(
             measure = F.col(r.name)
         else:
             outcome, measure = F.lit("warning"), F.lit(None).cast("double")
-            detail = F.lit(f"Column '{r.column}' not present — skipped")
+            detail = F.lit(DETAIL_NO_COLUMN % r.column)
         rows.append({
             "rule": F.lit(r.name), "column": F.lit(r.column), "outcome": outcome,
             "passed": outcome != "failure", "measure": measure, "detail": detail,

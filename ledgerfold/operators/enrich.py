@@ -52,11 +52,10 @@ INDUSTRY_WORDS = {
 
 
 def by_words(text: Column, words: dict[str, str], fallback: Column | str) -> Column:
-    """First label with a word in the text."""
-    lower = F.lower(text)
+    """First label with a word in the text, in any case."""
     rules = None
     for label, pattern in words.items():
-        rules = (F.when if rules is None else rules.when)(lower.rlike(pattern), F.lit(label))
+        rules = (F if rules is None else rules).when(text.rlike(f"(?i){pattern}"), F.lit(label))
     return rules.otherwise(F.lit(fallback) if isinstance(fallback, str) else fallback)
 
 
@@ -238,24 +237,35 @@ def render_prompt(df: DataFrame, field: str, template: str | None = None) -> Col
 # --- Pluggable model ---------------------------------------------------------
 
 Classifier = Callable[[list[str]], list[str]]
+MODEL_BATCH = 50
 
 
-def batch_classify(prompts: DataFrame, make_classifier: Callable[[], Classifier]) -> DataFrame:
+def batch_classify(
+    prompts: DataFrame, make_classifier: Callable[[], Classifier], batch_size: int = MODEL_BATCH,
+) -> DataFrame:
     """Replies to a column `prompt`, one client per task, one call per batch.
 
-    A batch whose call fails gets null replies and so the fallback label.
+    If a batch fails its prompts are asked one by one; a prompt that fails
+    alone gets a null reply, and so the fallback label.
     """
     others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                        for f in prompts.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classify = make_classifier()
-        for batch in batches:
+
+        def ask(texts: list[str]) -> list[str | None]:
             try:
-                replies = classify(batch["prompt"].tolist())
+                return classify(texts)
             except Exception:
-                replies = [None] * len(batch)
-            yield batch.assign(reply=replies)
+                if len(texts) == 1:
+                    return [None]
+                return [reply for text in texts for reply in ask([text])]
+
+        for frame in batches:
+            for at in range(0, len(frame), batch_size):
+                part = frame.iloc[at:at + batch_size]
+                yield part.assign(reply=ask(part["prompt"].tolist()))
 
     return prompts.mapInPandas(run, f"{others}, reply string")
 
@@ -271,12 +281,13 @@ def parse_reply(reply: Column, key: str, fallback: str | float) -> Column:
 
 def enrich_with_model(
     df: DataFrame, field: str, make_classifier: Callable[[], Classifier],
-    template: str | None = None,
+    template: str | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """Label one field with a model: distinct prompts, replies, labels joined back.
 
-    The replies are stored before they are used, so that no model is called
-    twice when a later step is repeated.
+    Prompts are few bytes but slow calls, so they are spread over `tasks` tasks
+    (by default one per core), not by size. The replies are stored before they
+    are used: no model is called twice when a later step is repeated.
     """
     fallback = {
         "plan_category": PLAN_FALLBACK, "churn_reason_category": REASON_FALLBACK,
@@ -285,6 +296,8 @@ def enrich_with_model(
     rows = df.withColumn("prompt", render_prompt(df, field, template))
     prompts = rows.filter("prompt is not null").groupBy("prompt").agg(
         F.count(F.lit(1)).alias("asked"))
+    prompts = prompts.repartition(
+        tasks or df.sparkSession.sparkContext.defaultParallelism, "prompt")
     labels = stage(
         batch_classify(prompts, make_classifier).select(
             "prompt", "asked", parse_reply(F.col("reply"), REPLY_KEYS[field], fallback).alias(field)),

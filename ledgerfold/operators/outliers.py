@@ -12,7 +12,7 @@ from ..functions.columns import nan_to_null, numeric_columns, ref
 from ..functions.ranks import interpolate, order_statistics, quantile_ranks, sketch
 from ..settings import (
     ANOMALY_IQR_MULTIPLIER, ANOMALY_MIN_VALUES, ANOMALY_SKIP, ANOMALY_Z_LIMIT, CONTEXT_CHARS,
-    PROMPT_CONTEXT_ITEMS, SEVERITY_HIGH_Z, SEVERITY_MEDIUM_Z,
+    EXPECTED_RANGE, PROMPT_CONTEXT_ITEMS, SEVERITY_HIGH_Z, SEVERITY_MEDIUM_Z,
 )
 
 
@@ -96,7 +96,7 @@ def _find(
             F.when(by_z & by_range, F.lit("zscore+iqr")).when(by_z, F.lit("zscore"))
             .when(by_range, F.lit("iqr")).alias("method"),
             value.alias("value"), z.alias("score"), _severity(z).alias("severity"),
-            F.lit(f"{b.low:.2f} – {b.high:.2f}").alias("expected_range"),
+            F.lit(EXPECTED_RANGE % (b.low, b.high)).alias("expected_range"),
         ))
     rows = df.filter(reduce(lambda a, b: a | b, hits))
     row_context = F.to_json(F.struct(*map(ref, context)), {"ignoreNullFields": "false"})

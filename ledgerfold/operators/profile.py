@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_number, is_missing, is_text, ref, text_columns
-from ..settings import CANONICAL_HINTS, DOMAIN_MIN_FIELDS, NULL_RATIO_LIMIT
+from ..settings import (
+    CANONICAL_HINTS, DOMAIN_MIN_FIELDS, HIGH_NULL_WARNING, ID_LIKE_WARNING, NULL_RATIO_LIMIT,
+)
 
 # Relative error asked of the distinct sketch, and how far below the row count
 # a column may then read and still be counted exactly: ten standard errors.
@@ -53,8 +55,7 @@ def high_null_warnings(df: DataFrame, limit: float = NULL_RATIO_LIMIT) -> DataFr
     share = F.format_number(F.col("null_ratio") * 100, 0)
     return profile(df).filter(F.col("null_ratio") > limit).select(
         "column",
-        F.concat(F.lit("Column '"), "column", F.lit("' has "), share,
-                 F.lit("% nulls — consider dropping")).alias("warning"),
+        F.format_string(HIGH_NULL_WARNING, "column", share).alias("warning"),
     )
 
 
@@ -84,8 +85,7 @@ def id_like_columns(df: DataFrame) -> DataFrame:
         values.groupBy("column", "value").agg(F.lit(1).alias("one"))
         .groupBy("column").agg(F.count("one").alias("different"))
         .filter(F.col("different") == F.lit(rows))
-        .select("column", F.concat(F.lit("Column '"), "column",
-                F.lit("' may be an ID column (all unique)")).alias("warning"))
+        .select("column", F.format_string(ID_LIKE_WARNING, "column").alias("warning"))
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..settings import (
-    BLOCKED_WORDS, NO_ANOMALIES, NO_CHURNED, NO_EXPLANATION, NO_TREND, SQL_ROW_LIMIT, TREND_HEADER,
+    ANOMALY_LINE, BLOCKED_WORDS, CHURNED_LINE, NO_ANOMALIES, NO_CHURNED, NO_EXPLANATION, NO_TREND,
+    SQL_ROW_LIMIT, TREND_HEADER,
 )
 from .derive import mean_of, money_sum
 from .snapshot import monthly_snapshot
@@ -45,7 +46,7 @@ def top_anomalies(found: DataFrame, key: str, limit: int = 3) -> DataFrame:
         F.substring(F.nullif(F.col("llm_explanation"), F.lit("")), 1, 100), F.lit(NO_EXPLANATION))
     return top.select(
         key, "column_name", "severity", "value", "score",
-        F.format_string("- [%s] %s: value=%.2f | %s", F.upper("severity"), F.col("column_name"),
+        F.format_string(ANOMALY_LINE, F.upper("severity"), F.col("column_name"),
                         F.col("value"), text).alias("line"),
     )
 
@@ -124,8 +125,7 @@ def top_churned(subscriptions: DataFrame, key: str, limit: int = 5) -> DataFrame
     mrr = F.format_number(F.coalesce(F.col("mrr"), F.lit(0)).cast("double"), 0)
     return top.select(
         key, name.alias("customer"), "mrr", "plan", reason.alias("reason"),
-        F.format_string("- %s: $%s MRR | %s | reason: %s", name, mrr, F.col("plan"), reason)
-        .alias("line"),
+        F.format_string(CHURNED_LINE, name, mrr, F.col("plan"), reason).alias("line"),
     )
 
 
@@ -142,7 +142,7 @@ def report_context(
     """One row: period label, latest metrics as JSON, and the three text blocks."""
     latest = latest_metrics(metrics)
     if latest.isEmpty():
-        raise ValueError("No metrics found for this dataset. Run ETL first.")
+        raise ValueError("this dataset has no metrics yet")
     numbers = ["mrr", "new_mrr", "churned_mrr", "net_new_mrr"]
     doubles = {c: F.col(c).cast("double") for c in numbers}
     fields = ["period", *numbers, "active_customers", "churn_rate", "nrr", "arpu"]

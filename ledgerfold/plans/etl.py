@@ -107,9 +107,9 @@ def run_etl(
         passed = validation_summary(report).first()["passed"]
         step = "storing"
         log("processing", 80, step)
-        store.write_subscriptions(ready)
+        store.write_subscriptions(ready, one_dataset=True)
         months = snapshots(ready).withColumn("dataset_id", F.lit(dataset_id))
-        store.write_metrics(months)
+        store.write_metrics(months, one_dataset=True)
         found = 0
         step = "anomaly_detection"
         if detect:
@@ -120,7 +120,8 @@ def run_etl(
             found = cells.count()
             store.delete(dataset_id, ("anomalies",))
             if found:
-                store.write_anomalies(cells.withColumn("dataset_id", F.lit(dataset_id)))
+                store.write_anomalies(
+                    cells.withColumn("dataset_id", F.lit(dataset_id)), one_dataset=True)
         failures = [r.asDict() for r in report.filter("outcome <> 'passed'").collect()]
         labelled = enrichment_report(ready)
         counts = labelled.agg(F.max("labelled").alias("n")).first()["n"] or 0

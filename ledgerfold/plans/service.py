@@ -38,12 +38,10 @@ def register_upload(
         F.count(F.lit(1)).alias("n"), F.max("length").alias("largest"),
         F.max("fingerprint").alias("fingerprint")).first()
     if max_bytes is not None and (files["largest"] or 0) > max_bytes:
-        raise ValueError(f"File too large ({files['largest'] / 2**20:.1f} MB). "
-                         f"Max: {max_bytes // 2**20} MB")
+        raise ValueError(f"{path} has {files['largest']} bytes, the limit is {max_bytes}")
     wanted = spark.createDataFrame([(name,)], "name string")
     if not taken_names(wanted, store.datasets()).isEmpty():
-        raise ValueError(f"Dataset '{name}' already exists. "
-                         "Delete it first or use a different name.")
+        raise ValueError(f"a ready dataset is already named {name}")
     dataset_id, job_id, now = str(uuid.uuid4()), str(uuid.uuid4()), _now()
     config = {"filename": PurePosixPath(path).name,
               "hash": files["fingerprint"] if files["n"] == 1 else None}

@@ -85,7 +85,21 @@ MAX_FILE_BYTES = 100 * 1024 * 1024
 LATENCY_BOUNDS_MS = (100, 250, 500, 1000, 2000, 5000)
 ETL_BOUNDS_SECONDS = (5, 15, 30, 60, 120, 300, 600)
 
+# --- Texts of findings -------------------------------------------------------
+HIGH_NULL_WARNING = "Column '%s' has %s%% nulls — consider dropping"
+ID_LIKE_WARNING = "Column '%s' may be an ID column (all unique)"
+DETAIL_MIN_VALUE = "%s values below %s"
+DETAIL_MAX_VALUE = "%s values above %s"
+DETAIL_NOT_NULL_RATIO = "not-null ratio = %s, required >= %s"
+DETAIL_UNIQUE_RATIO = "unique ratio = %s, required >= %s"
+DETAIL_TRUE_RATIO = "true ratio = %s, max allowed = %s"
+DETAIL_UNKNOWN_CHECK = "unknown check"
+DETAIL_NO_COLUMN = "Column '%s' not present — skipped"
+EXPECTED_RANGE = "%.2f – %.2f"
+
 # --- Report texts ------------------------------------------------------------
+CHURNED_LINE = "- %s: $%s MRR | %s | reason: %s"
+ANOMALY_LINE = "- [%s] %s: value=%.2f | %s"
 TREND_HEADER = "period | MRR | churn_rate | active_customers"
 NO_TREND = "No trend data available."
 NO_CHURNED = "No churned customers found."
@@ -94,38 +108,40 @@ NO_EXPLANATION = "No explanation"
 REPORT_TYPE = "monthly_saas"
 
 # --- Stored tables -----------------------------------------------------------
+# Totals and counts are wide: they grow with the data, and a value that does not
+# fit would be lost.
 SUBSCRIPTIONS_DDL = (
     "id string, dataset_id string, customer_id string, customer_name string, plan string, "
-    "plan_category string, mrr decimal(12,2), arr decimal(14,2), status string, "
+    "plan_category string, mrr decimal(18,2), arr decimal(18,2), status string, "
     "churned boolean, churn_reason string, churn_reason_category string, "
     "churn_risk_score double, start_date timestamp_ntz, churn_date timestamp_ntz, "
     "lifetime_months double, country string, industry string, industry_category string, "
     "seats int, created_at timestamp_ntz"
 )
 METRICS_DDL = (
-    "id string, dataset_id string, period string, mrr decimal(14,2), new_mrr decimal(14,2), "
-    "expansion_mrr decimal(14,2), churned_mrr decimal(14,2), net_new_mrr decimal(14,2), "
-    "active_customers int, new_customers int, churned_customers int, churn_rate double, "
+    "id string, dataset_id string, period string, mrr decimal(38,2), new_mrr decimal(38,2), "
+    "expansion_mrr decimal(38,2), churned_mrr decimal(38,2), net_new_mrr decimal(38,2), "
+    "active_customers bigint, new_customers bigint, churned_customers bigint, churn_rate double, "
     "nrr double, arpu double, created_at timestamp_ntz"
 )
 ANOMALIES_DDL = (
     "id string, dataset_id string, column_name string, method string, value double, "
-    "score double, row_index int, row_context string, llm_explanation string, "
+    "score double, row_index bigint, row_context string, llm_explanation string, "
     "severity string, created_at timestamp_ntz"
 )
 DATASETS_DDL = (
-    "id string, name string, domain string, source_type string, row_count int, "
+    "id string, name string, domain string, source_type string, row_count bigint, "
     "column_count int, status string, etl_config string, validation_report string, "
     "error_message string, created_at timestamp_ntz, updated_at timestamp_ntz"
 )
 JOBS_DDL = (
     "id string, dataset_id string, status string, progress int, stage string, "
-    "rows_processed int, rows_cleaned int, rows_enriched int, started_at timestamp_ntz, "
+    "rows_processed bigint, rows_cleaned bigint, rows_enriched bigint, started_at timestamp_ntz, "
     "finished_at timestamp_ntz, error_message string, created_at timestamp_ntz, "
     "updated_at timestamp_ntz"
 )
 QUERY_LOG_DDL = (
-    "id string, question string, generated_sql string, result_rows int, answer string, "
+    "id string, question string, generated_sql string, result_rows bigint, answer string, "
     "latency_ms double, success boolean, error_message string, created_at timestamp_ntz"
 )
 REPORTS_DDL = (

@@ -181,7 +181,7 @@ def check_suffix(path: str) -> str:
     """The file type by name; a path without one is a folder of parts."""
     suffix = PurePosixPath(path).suffix.lower()
     if suffix and suffix not in FILE_SUFFIXES:
-        raise ValueError(f"Unsupported file type '{suffix}'. Allowed: {sorted(FILE_SUFFIXES)}")
+        raise ValueError(f"cannot read {suffix} files, only {', '.join(FILE_SUFFIXES)}")
     return suffix
 
 
@@ -205,7 +205,7 @@ def read_source(spark: SparkSession, kind: str, **options) -> DataFrame:
     """Read by kind, in any case."""
     reader = READERS.get(kind.lower())
     if reader is None:
-        raise ValueError(f"Unknown source_type: {kind}. Use one of {sorted(READERS)}.")
+        raise ValueError(f"no reader for {kind}; there are {', '.join(READERS)}")
     return reader(spark, **options)
 
 

@@ -90,23 +90,26 @@ class Store:
 
     # Dataset tables
 
-    def replace(self, table: str, df: DataFrame) -> None:
+    def replace(self, table: str, df: DataFrame, one_dataset: bool = False) -> None:
         """Write the rows; each dataset among them replaces its old rows.
 
+        Rows of several datasets are first brought together by dataset, a large
+        one being split over tasks, so that no task writes a file to each.
         A dataset without rows leaves nothing to replace: use `delete` for it.
         """
-        rows = to_table(df, table)
-        (rows.write.partitionBy("dataset_id").mode("overwrite")
+        rows = df if one_dataset else df.hint("rebalance", F.col("dataset_id"))
+        (to_table(rows, table).write.partitionBy("dataset_id").mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").parquet(self.path(table)))
 
-    def write_subscriptions(self, df: DataFrame) -> None:
-        self.replace("subscriptions", df)
+    def write_subscriptions(self, df: DataFrame, one_dataset: bool = False) -> None:
+        self.replace("subscriptions", df, one_dataset)
 
-    def write_metrics(self, df: DataFrame) -> None:
-        self.replace("metrics", df)
+    def write_metrics(self, df: DataFrame, one_dataset: bool = False) -> None:
+        self.replace("metrics", df, one_dataset)
 
-    def write_anomalies(self, df: DataFrame) -> None:
-        self.replace("anomalies", df.withColumn("row_context", stored_context(F.col("row_context"))))
+    def write_anomalies(self, df: DataFrame, one_dataset: bool = False) -> None:
+        cut = df.withColumn("row_context", stored_context(F.col("row_context")))
+        self.replace("anomalies", cut, one_dataset)
 
     def delete(self, dataset_id: str, tables: tuple[str, ...] = tuple(DATASET_TABLES)) -> None:
         """Drop the dataset's partitions; no other data is read or written."""
@@ -130,10 +133,12 @@ class Store:
 
     def append_rows(self, table: str, *rows: dict) -> None:
         """Append a few events made by the program itself."""
+        fields = table_schema(table)
         names = sorted({k for r in rows for k in r})
-        schema = T.StructType([table_schema(table)[n] for n in names])
-        frame = self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
-        self.append(table, frame.coalesce(1))
+        events = F.array(*[
+            F.struct(*[F.lit(r.get(n)).cast(fields[n].dataType).alias(n) for n in names]) for r in rows
+        ])
+        self.append(table, self.spark.range(0, 1, 1, 1).select(F.inline(events)))
 
     def datasets(self) -> DataFrame:
         """Current registry without deleted datasets."""

@@ -152,6 +152,8 @@ def test_model_sees_each_prompt_once(spark, tmp_path, monkeypatch, hot_keys, hot
 
 
 def test_failing_model_gives_fallbacks(spark, tmp_path):
-    df = spark.createDataFrame([(1, "boom boom")], "k int, churn_reason string")
-    row = enrich_with_model(df, "churn_reason_category", _model(str(tmp_path / "c"))).first()
-    assert row["churn_reason_category"] == "other"
+    df = spark.createDataFrame(
+        [(1, "boom boom"), (2, "too expensive"), (3, "expensive")], "k int, churn_reason string")
+    found = enrich_with_model(
+        df, "churn_reason_category", _model(str(tmp_path / "c")), tasks=1).orderBy("k")
+    assert [r["churn_reason_category"] for r in found.collect()] == ["other", "price", "price"]

@@ -58,11 +58,11 @@ def test_stored_rows(done):
 
 def test_name_is_taken_once_ready(done, tmp_path):
     store, _ = done
-    with pytest.raises(ValueError, match="already exists"):
+    with pytest.raises(ValueError, match="already named"):
         register_upload(store, _export(tmp_path / "b.csv", 5), "spring")
-    with pytest.raises(ValueError, match="too large"):
+    with pytest.raises(ValueError, match="the limit is"):
         register_upload(store, _export(tmp_path / "c.csv", 5), "other", max_bytes=10)
-    with pytest.raises(ValueError, match="Unsupported"):
+    with pytest.raises(ValueError, match="cannot read"):
         register_upload(store, str(tmp_path / "c.xlsx"), "other")
 
 
@@ -87,7 +87,7 @@ def test_report(done):
     log = store.table("reports").first()
     assert log["period"] == "2024-02" and log["markdown_content"] == text
     assert store.report(log["id"]).count() == 1
-    with pytest.raises(ValueError, match="No metrics"):
+    with pytest.raises(ValueError, match="no metrics"):
         generate_report(store, "absent")
 
 
