@@ -96,7 +96,8 @@ def as_timestamp(c: Column, dtype: T.DataType, formats: tuple[str, ...] = ()) ->
         return c.cast("timestamp_ntz")
     if is_number(dtype):
         micros = F.floor(c.cast("double") / 1000).cast("bigint")
-        return F.timestamp_micros(micros).cast("timestamp_ntz")
+        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+        return F.timestamp_add("MICROSECOND", micros, epoch)
     return F.lit(None).cast("timestamp_ntz")
 
 

@@ -293,16 +293,19 @@ def enrich_with_model(
         "plan_category": PLAN_FALLBACK, "churn_reason_category": REASON_FALLBACK,
         "churn_risk_score": RISK_FALLBACK, "industry_category": INDUSTRY_FALLBACK,
     }[field]
-    rows = df.withColumn("prompt", render_prompt(df, field, template))
-    prompts = rows.filter("prompt is not null").groupBy("prompt").agg(
+    asked = render_prompt(df, field, template)
+    prompts = df.select(asked.alias("prompt")).filter("prompt is not null").groupBy("prompt").agg(
         F.count(F.lit(1)).alias("asked"))
     prompts = prompts.repartition(
         tasks or df.sparkSession.sparkContext.defaultParallelism, "prompt")
     labels = stage(
         batch_classify(prompts, make_classifier).select(
-            "prompt", "asked", parse_reply(F.col("reply"), REPLY_KEYS[field], fallback).alias(field)),
+            F.sha2("prompt", 256).alias("prompt_key"), "asked",
+            parse_reply(F.col("reply"), REPLY_KEYS[field], fallback).alias(field)),
         "labels")
-    without = rows.filter("prompt is null").withColumn(field, F.lit(None).cast(
+    # Rows meet their label by the prompt's digest: no prompt text is shuffled.
+    rows = df.withColumn("prompt_key", F.sha2(asked, 256))
+    without = rows.filter("prompt_key is null").withColumn(field, F.lit(None).cast(
         "double" if isinstance(fallback, float) else "string"))
-    with_label = attach(rows.filter("prompt is not null"), labels, "prompt", "asked")
-    return with_label.unionByName(without).drop("prompt")
+    with_label = attach(rows.filter("prompt_key is not null"), labels, "prompt_key", "asked")
+    return with_label.unionByName(without).drop("prompt_key")

@@ -6,7 +6,9 @@ only appends; the current state is the newest row per id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +59,11 @@ def to_table(df: DataFrame, table: str) -> DataFrame:
     return df.select(*columns)
 
 
+def _constant(value: object) -> Column:
+    """A literal; times go in as text, which no time zone can shift."""
+    return F.lit(str(value) if isinstance(value, datetime) else value)
+
+
 def newest(log: DataFrame, key: str = "id", at: str = "updated_at") -> DataFrame:
     """The newest row per id of an append-only log, combined before the shuffle."""
     rest = [c for c in log.columns if c != key]
@@ -136,7 +143,8 @@ class Store:
         fields = table_schema(table)
         names = sorted({k for r in rows for k in r})
         events = F.array(*[
-            F.struct(*[F.lit(r.get(n)).cast(fields[n].dataType).alias(n) for n in names]) for r in rows
+            F.struct(*[_constant(r.get(n)).cast(fields[n].dataType).alias(n) for n in names])
+            for r in rows
         ])
         self.append(table, self.spark.range(0, 1, 1, 1).select(F.inline(events)))
 
