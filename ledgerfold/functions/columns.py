@@ -126,7 +126,3 @@ def percent_text(c: Column) -> Column:
     """Ratio as a percentage with two decimals; a missing ratio reads nan%."""
     text = F.replace(F.format_number(c * 100, 2), F.lit(","), F.lit(""))
     return F.concat(F.coalesce(text, F.lit("nan")), F.lit("%"))
-
-
-def sql_text(value: object) -> Column:
-    return F.lit(str(value))

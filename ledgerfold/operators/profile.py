@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_number, is_missing, is_text, ref, text_columns
+from ..functions.columns import as_number, is_missing, ref, text_columns
 from ..settings import (
     CANONICAL_HINTS, DOMAIN_MIN_FIELDS, HIGH_NULL_WARNING, ID_LIKE_WARNING, NULL_RATIO_LIMIT,
 )

@@ -89,9 +89,9 @@ def severity(spark, sf_dir):
         F.count(F.lit(1)).alias("cells"))
 
 
-@query("anomaly_context", f"""select event_id, concat('{{{{"event_id":', event_id, ',"user_id":', user_id,
-  ',"event_type":"', event_type, '","value":', value, '}}}}') as row_context
-  from events where event_id in (select row_key from ({_EVENTS}))""".replace("{{", "{").replace("}}", "}"))
+@query("anomaly_context", f"""select event_id, concat('{{"event_id":', event_id, ',"user_id":', user_id,
+  ',"event_type":"', event_type, '","value":', value, '}}') as row_context
+  from events where event_id in (select row_key from ({_EVENTS}))""")
 def context(spark, sf_dir):
     return _found(spark, sf_dir).select("event_id", "row_context")
 
@@ -105,9 +105,9 @@ def expected(spark, sf_dir):
   'Explain the following data anomaly to a subscription business.', chr(10),
   'Dataset events, column ', column_name, ': value ', value, ', usual range ', expected_range,
   ', found by ', method, ' with score ', printf('%.2f', score), '.', chr(10), 'Row: ',
-  '{{{{"event_id":', row_key, ',"column_name":"', column_name, '"}}}}', chr(10),
+  '{{"event_id":', row_key, ',"column_name":"', column_name, '"}}', chr(10),
   'Answer in two or three sentences: likely cause and what to check.') as prompt
-  from ({_EVENTS})""".replace("{{", "{").replace("}}", "}"))
+  from ({_EVENTS})""")
 def prompt(spark, sf_dir):
     found = _found(spark, sf_dir)
     return found.select(

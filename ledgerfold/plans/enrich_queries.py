@@ -109,9 +109,9 @@ def report(spark, sf_dir):
 
 @query("render_prompts", f"""{_RATES} select subscription_id, concat(
   'Why did this customer leave: price, product, competition, support, usage or other?', chr(10),
-  'Reason given: ', churn_reason, chr(10), 'Reply in JSON: ', '{{{{"category": reason, ',
-  '"sentiment": "negative" or "neutral", "confidence": 0 to 1}}}}') as prompt
-  from rates where churn_reason is not null""".replace("{{", "{").replace("}}", "}"))
+  'Reason given: ', churn_reason, chr(10), 'Reply in JSON: ', '{{"category": reason, ',
+  '"sentiment": "negative" or "neutral", "confidence": 0 to 1}}') as prompt
+  from rates where churn_reason is not null""")
 def prompts(spark, sf_dir):
     rates = _rates(spark, sf_dir)
     return rates.select("subscription_id", render_prompt(rates, "churn_reason_category").alias(

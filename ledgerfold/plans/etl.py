@@ -10,9 +10,9 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import numeric_columns, ref
+from ..functions.columns import numeric_columns
 from ..functions.scratch import stage
-from ..operators.checks import validation_report, validation_summary
+from ..operators.checks import validation_report
 from ..operators.clean import CleanReport, clean
 from ..operators.derive import transform_subscriptions
 from ..operators.enrich import enrich, enrichment_report
@@ -104,7 +104,8 @@ def run_etl(
         step = "validation"
         log("processing", 70, step)
         report = validation_report(ready, domain)
-        passed = validation_summary(report).first()["passed"]
+        findings = report.collect()  # one row per rule
+        passed = all(r["passed"] for r in findings)
         step = "storing"
         log("processing", 80, step)
         store.write_subscriptions(ready, one_dataset=True)
@@ -122,7 +123,7 @@ def run_etl(
             if found:
                 store.write_anomalies(
                     cells.withColumn("dataset_id", F.lit(dataset_id)), one_dataset=True)
-        failures = [r.asDict() for r in report.filter("outcome <> 'passed'").collect()]
+        failures = [r.asDict() for r in findings if r["outcome"] != "passed"]
         labelled = enrichment_report(ready)
         counts = labelled.agg(F.max("labelled").alias("n")).first()["n"] or 0
         register(

@@ -9,7 +9,7 @@ from ..sources import Store
 from .clean_queries import _fence
 from .enrich_queries import RISK_SQL
 from .etl import run_etl
-from .fixtures import DAYS, LIFETIME, SUBSCRIPTIONS, anomalies_sql, as_doubles, subscriptions
+from .fixtures import LIFETIME, SUBSCRIPTIONS, anomalies_sql, as_doubles, subscriptions
 from .registry import query
 from .service import answer
 

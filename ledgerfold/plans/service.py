@@ -29,22 +29,22 @@ def register_upload(
     """Enter a delimited file as a pending dataset with a queued job; their ids.
 
     Refused are other file types, files over the limit, and names a ready
-    dataset has. `max_bytes=None` takes files of any size; only those within the
-    usual limit are then fingerprinted.
+    dataset has. `max_bytes=None` takes files of any size. Only a single file
+    within the usual limit is fingerprinted, not a folder of parts.
     """
     spark = store.spark
     check_suffix(path)
-    files = file_fingerprints(spark, path).agg(
-        F.count(F.lit(1)).alias("n"), F.max("length").alias("largest"),
-        F.max("fingerprint").alias("fingerprint")).first()
+    # Sizes first: no content is read for them.
+    files = spark.read.format("binaryFile").load(path).agg(
+        F.count(F.lit(1)).alias("n"), F.max("length").alias("largest")).first()
     if max_bytes is not None and (files["largest"] or 0) > max_bytes:
         raise ValueError(f"{path} has {files['largest']} bytes, the limit is {max_bytes}")
     wanted = spark.createDataFrame([(name,)], "name string")
     if not taken_names(wanted, store.datasets()).isEmpty():
         raise ValueError(f"a ready dataset is already named {name}")
     dataset_id, job_id, now = str(uuid.uuid4()), str(uuid.uuid4()), _now()
-    config = {"filename": PurePosixPath(path).name,
-              "hash": files["fingerprint"] if files["n"] == 1 else None}
+    digest = file_fingerprints(spark, path).first()["fingerprint"] if files["n"] == 1 else None
+    config = {"filename": PurePosixPath(path).name, "hash": digest}
     store.append_rows("datasets", {
         "id": dataset_id, "name": name, "domain": domain, "source_type": "csv",
         "status": "pending", "etl_config": json.dumps(config), "created_at": now, "updated_at": now})

@@ -42,18 +42,19 @@ def _cells(spark, sf_dir):
 
 # --- Anomalies ----------------------------------------------------------------
 
-@query("anomaly_top", f"""select row_key as event_id, column_name, method, value,
-  round(score, 4) as score, severity, (select count(*) from ({_CELLS})) as total
-  from ({_CELLS}) order by z_order desc, column_name, row_key limit 50"""
-       .replace("z_order", "score"))
+@query("anomaly_top", f"""with cells as ({_CELLS}), top as (select * from cells
+    order by score desc, column_name, row_key limit 50)
+  select row_key as event_id, column_name, method, value, round(score, 4) as score, severity,
+    (select count(*) from cells) as total from top""")
 def anomaly_top(spark, sf_dir):
     return serving.anomaly_top(_cells(spark, sf_dir), "event_id").select(
         "event_id", "column_name", "method", "value", "score", "severity", "total")
 
 
-@query("anomaly_top_severity", f"""select row_key as event_id, value, round(score, 4) as score,
-  (select count(*) from ({_CELLS}) where severity = 'medium') as total
-  from ({_CELLS}) where severity = 'medium' order by ({_CELLS[:0]}score) desc, row_key limit 50""")
+@query("anomaly_top_severity", f"""with cells as (select * from ({_CELLS})
+    where severity = 'medium'), top as (select * from cells order by score desc, row_key limit 50)
+  select row_key as event_id, value, round(score, 4) as score,
+    (select count(*) from cells) as total from top""")
 def anomaly_top_severity(spark, sf_dir):
     return serving.anomaly_top(_cells(spark, sf_dir), "event_id", severity="medium").select(
         "event_id", "value", "score", "total")
@@ -191,9 +192,8 @@ def report_context(spark, sf_dir):
 def report_markdown(spark, sf_dir):
     """The document from its second block on; the first holds JSON."""
     whole = serving.report_markdown(_context(spark, sf_dir))
-    start = F.instr("markdown", "## Monthly trend")
-    return whole.select("period", F.expr("substring(markdown, instr(markdown, '## Monthly trend'))")
-                        .alias("blocks"))
+    start = F.instr(F.col("markdown"), "## Monthly trend")
+    return whole.select("period", F.col("markdown").substr(start, F.length("markdown")).alias("blocks"))
 
 
 # --- Logs ---------------------------------------------------------------------
@@ -223,14 +223,10 @@ def etl_histogram(spark, sf_dir):
   union all select 'queries', case when success then 'success' else 'error' end, count(*)
     from queries group by success
   union all select 'anomalies_detected', severity, count(*) from cells group by severity
-  union all select 'reports_generated', case when pdf_path is not null then 'pdf' else 'markdown' end,
-    count(*) from reports group by pdf_path is not null
+  union all select 'reports_generated', form, count(*) from (select case when pdf_path is not null
+    then 'pdf' else 'markdown' end as form from reports) group by form
   union all select 'rows_processed', '', cast(sum(rows_processed) as bigint) from jobs
-  union all select 'rows_enriched', '', cast(sum(rows_enriched) as bigint) from jobs""".replace(
-      "case when pdf_path is not null then 'pdf' else 'markdown' end,\n    count(*) from reports "
-      "group by pdf_path is not null",
-      "form, count(*) from (select case when pdf_path is not null then 'pdf' else 'markdown' end "
-      "as form from reports) group by form"))
+  union all select 'rows_enriched', '', cast(sum(rows_enriched) as bigint) from jobs""")
 def ops_counters(spark, sf_dir):
     return serving.ops_counters(
         newest(from_events(spark, sf_dir, DATASET_LOG)), newest(from_events(spark, sf_dir, JOB_LOG)),

@@ -153,11 +153,13 @@ def write_metrics(spark, sf_dir):
         "churn_rate", "nrr", "arpu"))
 
 
+_STORED_CONTEXT = """, substring(concat('{"event_id":', event_id, ',"event_type":"', event_type, '"}'),
+  1, 1000) as row_context"""
+
+
 @query("write_anomalies", f"""select 'events' as dataset_id, column_name, method, value,
-  round(score, 4) as score, severity, row_context from ({anomalies_sql(
-      'events', 'event_id', ('value',),
-      ", substring(concat('{{\"event_id\":', event_id, ',\"event_type\":\"', event_type,"
-      " '\"}}'), 1, 1000) as row_context")})""".replace("{{", "{").replace("}}", "}"))
+  round(score, 4) as score, severity, row_context
+  from ({anomalies_sql('events', 'event_id', ('value',), _STORED_CONTEXT)})""")
 def write_anomalies(spark, sf_dir):
     store = Store(spark, new_path(spark, "store"))
     found = anomalies(table(spark, sf_dir, "events"), keep=("event_id",), columns=["value"],
