@@ -117,9 +117,10 @@ def round_scaled(c: Column, digits: int) -> Column:
 def round_exact(c: Column, digits: int) -> Column:
     """Round half to even on the exact binary value.
 
-    For small results only: it goes through text.
+    For small results only: it goes through text. Infinities stay.
     """
-    return F.replace(F.format_number(c, digits), F.lit(","), F.lit("")).cast("double")
+    text = F.replace(F.format_number(c, digits), F.lit(","), F.lit(""))
+    return F.when(F.abs(c) < F.lit(float("inf")), text.try_cast("double")).otherwise(c)
 
 
 def percent_text(c: Column) -> Column:

@@ -147,3 +147,14 @@ def test_single_snapshot_without_dates(sample):
     nulls = sample.withColumn("start_date", F.lit(None).cast("timestamp_ntz"))
     assert snapshots(nulls, "2024-05").first()["nrr"] is None
     assert snapshots(sample).count() == 3
+
+
+def test_rounding_follows_the_binary_value(spark):
+    from ledgerfold.functions.columns import round_exact, round_scaled
+    values = [2.675, 0.125, 0.375, -1.005, 1234567.895, 0.03125, float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in df.select(round_exact(F.col("x"), 2)).collect()]
+    assert got == [round(v, 2) if v not in (None, float("inf")) else v for v in values]
+    import numpy as np
+    got = [r[0] for r in df.filter("x < 1e9").select(round_scaled(F.col("x"), 1)).collect()]
+    assert got == [float(np.round(v, 1)) for v in values[:6]]
