@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 GATHER_LIMIT = 2_000_000
 GRID = 256
+SKETCH_SIZE = 2048  # rank error about a third of a grid step
 _POINTS = f"array({', '.join(f'{i / GRID!r}D' for i in range(GRID + 1))})"
 
 
 def sketch(value: Column) -> Column:
-    """Evenly spaced approximate quantiles, from minimum to maximum."""
-    return F.percentile_approx(value, F.expr(_POINTS), F.lit(GRID * 8))
+    """Evenly spaced approximate quantiles; null where there is no value."""
+    quantiles = F.kll_sketch_get_quantile_double(
+        F.kll_sketch_agg_double(value, SKETCH_SIZE), F.expr(_POINTS))
+    return F.when(F.count(value) > 0, quantiles)
 
 
 @dataclass
@@ -37,15 +40,18 @@ class _Target:
     grid: list[float]              # approximate quantiles of the rows inside
     below: int                     # rows below those the grid covers
     inside: int                    # rows the grid covers
+    floor: float = float("-inf")   # ends of the span the grid covers
+    ceiling: float = float("inf")
     step: int = 1
     value: float | None = None
 
     @property
     def interval(self) -> tuple[str, float, float]:
-        """The closed interval the grid proposes."""
+        """The closed interval the grid proposes, up to the ends of its span."""
         at = floor((self.rank - self.below) / self.inside * GRID)
-        first, last = max(at - self.step, 0), min(at + 1 + self.step, GRID)
-        return self.column, self.grid[first], self.grid[last]
+        first, last = at - self.step, at + 1 + self.step
+        return (self.column, self.grid[first] if first >= 0 else self.floor,
+                self.grid[last] if last <= GRID else self.ceiling)
 
     @property
     def spread(self) -> float:
@@ -70,7 +76,7 @@ def order_statistics(
         for c, wanted in ranks.items() for r in sorted(set(wanted)) if 0 <= r < counts[c]
     ]
     while open_targets := [t for t in targets if t.value is None]:
-        wide = [t for t in open_targets if t.spread > gather_limit and t.step < GRID]
+        wide = [t for t in open_targets if t.spread > gather_limit and t.step <= GRID]
         if wide:
             _narrow(df, wide)
         else:
@@ -100,7 +106,7 @@ def _narrow(df: DataFrame, targets: list[_Target]) -> None:
         elif seen[f"lt_high{i}"] <= t.rank < seen[f"le_high{i}"]:
             t.value = high
         elif seen[f"le_low{i}"] <= t.rank < seen[f"lt_high{i}"]:
-            t.grid, t.step = seen[f"grid{i}"], 1
+            t.grid, t.step, t.floor, t.ceiling = seen[f"grid{i}"], 1, low, high
             t.below = seen[f"le_low{i}"]
             t.inside = seen[f"lt_high{i}"] - t.below
         else:
@@ -139,25 +145,25 @@ def _gather(df: DataFrame, targets: list[_Target]) -> None:
         for c in names
     ])
     entries = F.array(*[
-        F.struct(F.lit(c).alias("name"), F.col(f"in_{c}").alias("piece"),
+        F.struct(F.lit(i).alias("column"), F.col(f"in_{c}").alias("piece"),
                  F.when(F.col(f"in_{c}") % 2 == 1, F.col(c)).alias("v"))
-        for c in names
+        for i, c in enumerate(names)
     ])
     values = (
         pieces.select(F.inline(entries)).filter("piece is not null")
-        .groupBy("name", "piece", "v").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("column", "piece", "v").agg(F.count(F.lit(1)).alias("n"))
     )
-    running = (Window.partitionBy("name").orderBy("piece", "v")
+    running = (Window.partitionBy("column").orderBy("piece", "v")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     wanted = reduce(lambda a, b: a | b, [
-        (F.col("name") == t.column) & (F.col("upto") > t.rank)
+        (F.col("column") == names.index(t.column)) & (F.col("upto") > t.rank)
         & (F.col("upto") - F.col("n") <= t.rank)
         for t in targets
     ])
     found = (values.withColumn("upto", F.sum("n").over(running))
              .filter(F.col("v").isNotNull() & wanted).collect())
     for t in targets:
-        t.value = next((r["v"] for r in found if r["name"] == t.column
+        t.value = next((r["v"] for r in found if r["column"] == names.index(t.column)
                         and r["upto"] - r["n"] <= t.rank < r["upto"]), None)
         if t.value is None:
             t.widen()
