@@ -1,10 +1,10 @@
 """Mixing sources to target weights without a sort of the documents.
 
-Each document has a hash. Per source, word counts are summed by the leading bits
-of the hash; the running sums over these buckets tell in which bucket the budget
-ends. Only that bucket is refined by the next bits, level by level, until one
-hash value is left. The documents below the found threshold are taken once more
-than the whole rounds that the target allows; a filter selects them.
+Each document has a hash. Per source, word counts are summed by the leading
+digits of the hash; the running sums over these buckets tell in which bucket the
+budget ends. Only that bucket is refined by the next digits, level by level,
+until one hash is left, so the thresholds of larger budgets contain those of
+smaller ones. A filter on hashes then selects the documents.
 """
 
 from __future__ import annotations
@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import stage
-from .common import WORD, named
+from .common import KEY, WORD, named, with_row_key
 from .queries import ORACLES, QUERIES, table
 
 # Weights by place of the source, share of all words, and the most rounds over a source.
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_ROUNDS = 2
-# A hash is 15 hex digits; each level of the histogram takes three of them.
+# A hash is 15 hex digits; each level of the histogram takes three more of them.
 DIGITS = 15
 LEVEL = 3
 
@@ -30,61 +30,120 @@ LEVEL = 3
 def source_targets(
     sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, rounds: float = MOST_ROUNDS
 ) -> DataFrame:
-    """`target` per row of `sizes` (source, source_size).
+    """The columns of `sizes` (key, source_size; one row per source) and `target`.
 
-    Sources in order of code points, null last, get the weights in turn. A target
-    is weight times a common level, at most `rounds` times the size; the level is
-    where the targets sum up to the share of all sizes. In order of
-    limit / weight the first sources are at their limit, so running sums give it.
+    Sources in order of their key get the weights in turn. A target is weight
+    times a common level, at most `rounds` times the size; the targets sum up to
+    the share of all sizes. That is where resharing of the excess ends. In order
+    of limit / weight the first sources are at their limit, so running sums give
+    the level.
     """
-    everything = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    cyclic = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), "place")
     ranked = (
-        sizes.withColumn("place", (F.pmod(F.row_number().over(everything) - 1, len(weights)) + 1).cast("int"))
-        .withColumn("weight", cyclic)
+        sizes.withColumn("place", F.row_number().over(Window.orderBy("key")))
+        .withColumn("weight", F.element_at(
+            F.array(*(F.lit(float(w)) for w in weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")))
         .withColumn("most", F.col("source_size") * float(rounds))
     )
-    by_ratio = Window.orderBy(F.col("most") / F.col("weight"), "place", F.col("source").isNull(), "source")
-    below = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    above = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    order = Window.orderBy(F.col("most") / F.col("weight"), "place")
+    below = order.rowsBetween(Window.unboundedPreceding, -1)
+    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     every = Window.partitionBy()
-    levels = (
-        ranked.withColumn("wanted", F.sum("source_size").over(every) * float(share))
-        .withColumn("spent", F.coalesce(F.sum("most").over(below), F.lit(0.0)))
-        .withColumn("level", (F.col("wanted") - F.col("spent")) / F.sum("weight").over(above))
-        .withColumn("free", F.col("level") * F.col("weight") < F.col("most"))
-        .withColumn("level", F.min(F.when(F.col("free"), F.col("level"))).over(every))
-    )
-    target = F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most")))
-    return levels.select("source", "source_size", target.alias("target"))
+    wanted = F.sum("source_size").over(every) * float(share)
+    level = (wanted - F.coalesce(F.sum("most").over(below), F.lit(0.0))) / F.sum("weight").over(onward)
+    levels = ranked.withColumn("level", level).withColumn(
+        "level", F.max(F.when(F.col("level") * F.col("weight") < F.col("most"), F.col("level"))).over(every))
+    target = F.coalesce(F.least("most", F.col("level") * F.col("weight")), "most")
+    return levels.select(*sizes.columns, target.alias("target"))
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Per source the largest hash prefix up to which whole documents fit best.
+    """Where each source's budget ends: columns key, `edge` (a hash), `edge_taken`.
 
-    `rows` has source, hash and size, `budgets` source and `extra` (words still
-    wanted). The result has source, `limit` and `extra`: documents whose hash is
-    below `limit` are taken, those whose hash equals it as well if that comes
-    nearer to the budget (`equal`).
+    `rows` has key, hash and size, `budgets` key and `extra`, less than the
+    source's size. All hashes below the edge are taken, and the edge itself if
+    that comes nearer to the budget.
     """
-    left = budgets.select("source", F.lit("").alias("limit"), F.col("extra").cast("double").alias("left"))
+    left = budgets.select("key", F.lit("").alias("edge"), F.col("extra").alias("left"))
     for depth in range(LEVEL, DIGITS + 1, LEVEL):
-        bucket = F.substring("hash", 1, depth)
         histogram = (
-            rows.join(F.broadcast(left), rows["source"].eqNullSafe(left["source"]))
-            .filter(F.col("hash").startswith(F.col("limit")))
-            .groupBy(rows["source"], "limit", "left", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
+            rows.join(left.select("key", "edge", "left"), "key").filter(F.col("hash").startswith(F.col("edge")))
+            .groupBy("key", "left", F.substring("hash", 1, depth).alias("edge"))
+            .agg(F.sum("size").alias("size"))
         )
-        order = Window.partitionBy("source").orderBy("bucket")
-        sums = histogram.withColumn("sum", F.sum("size").over(order))
-        # the boundary bucket: the first whose running sum passes what is left, else the last
-        passing = F.struct(F.col("sum") <= F.col("left"), F.when(F.col("sum") <= F.col("left"), -F.col("sum")),
-                           "bucket", "size", "sum", "left")
-        last = F.struct("bucket", "size", "sum", "left")
-        picked = sums.groupBy("source").agg(
-            F.min(F.when(F.col("sum") > F.col("left"), last)).alias("first"), F.max(last).alias("end"))
-        edge = F.coalesce("first", "end")
-        left = stage(picked.select(
-            "source", edge["bucket"].alias("limit"),
-            (edge["left"] - edge["sum"] + edge["size"]).alias("left"), edge["size"].alias("size")), "thresholds")
-    return left.select("source", "limit", (F.col("left") * 2 >= F.col("size")).alias("equal"))
+        running = F.sum("size").over(Window.partitionBy("key").orderBy("edge"))
+        sums = histogram.withColumn("sum", running)
+        bucket = F.struct("edge", "size", (F.col("left") - F.col("sum") + F.col("size")).alias("left"))
+        ends = sums.groupBy("key").agg(
+            F.coalesce(F.min(F.when(F.col("sum") > F.col("left"), bucket)), F.max(bucket)).alias("end"))
+        left = stage(ends.select("key", "end.*"), "thresholds")
+    return left.select("key", "edge", (F.col("left") * 2 >= F.col("size")).alias("edge_taken"))
+
+
+def mix(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, rounds: float = MOST_ROUNDS,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """One row per row of `docs`: how often the mix takes it.
+
+    Columns: KEY, doc_id, size (words), source_size, target (words), times, taken
+    (size * times). Null and empty texts have size 0; null is a source of its own
+    and the last. A document's hash comes from its id, so reruns agree; rows with
+    the same id (null is one, too) in a source are taken alike. An empty table
+    gives no rows. Other columns are ignored.
+    """
+    source = named(source_col)
+    rows = stage(with_row_key(docs).select(
+        *KEY, named(id_col).alias("doc_id"),
+        F.when(source.isNull(), F.struct(F.lit(1).alias("none"), F.lit("").alias("name")))
+        .otherwise(F.struct(F.lit(0).alias("none"), source.cast("string").alias("name"))).alias("key"),
+        F.regexp_count(F.coalesce(named(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        F.substring(F.md5(F.coalesce(named(id_col).cast("string"), F.lit(""))), 1, DIGITS).alias("hash"),
+    ), "sizes")
+    sizes = rows.groupBy("key").agg(F.sum("size").alias("source_size"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    budgets = stage(
+        source_targets(sizes, weights, share, rounds).withColumn("whole", whole.cast("long"))
+        .withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "budgets")
+    edges = thresholds(rows, budgets.select("key", "extra"))
+    once_more = (F.col("hash") < F.col("edge")) | ((F.col("hash") == F.col("edge")) & F.col("edge_taken"))
+    return (
+        rows.join(budgets.join(edges, "key"), "key")
+        .withColumn("times", F.col("whole") + once_more.cast("long"))
+        .select(*KEY, "doc_id", "size", "source_size", "target", "times",
+                (F.col("size") * F.col("times")).alias("taken"))
+    )
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op3_mix_sources"] = op3_mix_sources
+ORACLES["op3_mix_sources"] = r"""
+WITH docs AS (
+  SELECT doc_id, source, substr(md5(coalesce(doc_id::varchar, '')), 1, 15) AS hash,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size FROM documents),
+sizes AS (SELECT source, sum(size)::bigint AS source_size FROM docs GROUP BY source),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place, 2.0::double * source_size AS most FROM sizes),
+weighed AS (SELECT *, [3.0::double, 1.0, 2.0][(place - 1) % 3 + 1] AS weight FROM ranked),
+levels AS (
+  SELECT *, (1.5::double * sum(source_size) OVER ()
+             - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+common AS (SELECT max(level) FILTER (level * weight < most) AS level FROM levels),
+targets AS (
+  SELECT source, source_size, coalesce(least(most, common.level * weight), most) AS target,
+         CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole
+  FROM levels, common),
+hashes AS (SELECT source, hash, sum(size) AS size FROM docs GROUP BY source, hash),
+edges AS (
+  SELECT source, hash, size,
+         sum(size) OVER (PARTITION BY source ORDER BY hash) - size AS before FROM hashes)
+SELECT d.doc_id, d.size, t.source_size, t.target,
+       (d.size * (t.whole + (e.before <= t.target - t.whole * t.source_size
+                             AND 2 * (t.target - t.whole * t.source_size - e.before) >= e.size)::int))::bigint AS taken
+FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+JOIN edges e ON d.source IS NOT DISTINCT FROM e.source AND d.hash = e.hash
+"""
