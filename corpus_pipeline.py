@@ -1,11 +1,26 @@
-"""The corpus pipeline: stages that each call one operator of `ledgerfold.llm`."""
+"""The corpus pipeline: stages that each call one operator of `ledgerfold.llm`.
+
+A stage takes the documents that the one before has kept, written and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerfold.functions.scratch import stage
+from ledgerfold.llm.bpe import decode, encode, vocabulary_path
 from ledgerfold.llm.common import KEY, rows_not_in, with_row_key
 from ledgerfold.llm.exact import exact_dedup
+from ledgerfold.llm.language import UNKNOWN, detect, documents_model
+from ledgerfold.llm.mixing import mix
+from ledgerfold.llm.simhash import near_duplicates
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that no learned language is found for: null texts, texts without a letter."""
+    found = detect(spark, documents_model(docs), F.col("text"))
+    return docs.filter(found["lang_pred"] != UNKNOWN)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,14 +29,40 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows_not_in(with_row_key(docs), dropped).select(docs.columns)
 
 
-STAGES = [("exact dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near fingerprints, the row with the smallest doc_id."""
+    dropped = near_duplicates(docs).filter("not first").select(*KEY)
+    return rows_not_in(with_row_key(docs), dropped).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mix(docs).select(docs.columns)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit), their number and digest, and the digest of the decoded text."""
+    path = vocabulary_path()
+    encoded = encode(docs, path).withColumns({
+        "n_tokens": (F.length("ids") / 4).cast("long"), "tokens": F.col("ids"), "ids_sha256": F.sha2("ids", 256)})
+    return decode(encoded, path).select(
+        "doc_id", "n_tokens", F.col("tokens").alias("ids"), "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language id", keep_known_languages),
+    ("exact dedup", drop_exact_copies),
+    ("simhash near-dedup", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("bpe encoding and decoding", encode_texts),
+]
 
-# Fingerprints, byte-pair merges and learned language filters have no form in SQL.
+# Learned language filters, fingerprint bits and byte-pair merges have no form in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for place, (_, work) in enumerate(STAGES):
+        docs = work(spark, stage(docs, f"stage-{place}") if place else docs, sf_dir)
     return docs

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import stage
-from .common import KEY, WORD, named, with_row_key
+from .common import WORD, named
 from .queries import ORACLES, QUERIES, table
 
 # Weights by place of the source, share of all words, and the most rounds over a source.
@@ -79,43 +79,75 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return left.select("key", "edge", (F.col("left") * 2 >= F.col("size")).alias("edge_taken"))
 
 
-def mix(
+def _source_key(source: Column) -> Column:
+    """In order of code points, null last."""
+    return F.when(source.isNull(), F.struct(F.lit(1).alias("none"), F.lit("").alias("name"))).otherwise(
+        F.struct(F.lit(0).alias("none"), source.cast("string").alias("name")))
+
+
+def _size(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
+def _hash(doc_id: Column) -> Column:
+    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, DIGITS)
+
+
+def budgets(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, rounds: float = MOST_ROUNDS,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """One row per row of `docs`: how often the mix takes it.
+    """What the mix takes of each source, one row per source.
 
-    Columns: KEY, doc_id, size (words), source_size, target (words), times, taken
-    (size * times). Null and empty texts have size 0; null is a source of its own
-    and the last. A document's hash comes from its id, so reruns agree; rows with
-    the same id (null is one, too) in a source are taken alike. An empty table
-    gives no rows. Other columns are ignored.
+    Columns: key, source_size (words), target (words), whole (rounds over all
+    documents), edge and edge_taken (which hashes are taken once more).
     """
-    source = named(source_col)
-    rows = stage(with_row_key(docs).select(
-        *KEY, named(id_col).alias("doc_id"),
-        F.when(source.isNull(), F.struct(F.lit(1).alias("none"), F.lit("").alias("name")))
-        .otherwise(F.struct(F.lit(0).alias("none"), source.cast("string").alias("name"))).alias("key"),
-        F.regexp_count(F.coalesce(named(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        F.substring(F.md5(F.coalesce(named(id_col).cast("string"), F.lit(""))), 1, DIGITS).alias("hash"),
-    ), "sizes")
+    rows = stage(docs.select(
+        _source_key(named(source_col)).alias("key"), _size(named(text_col)).alias("size"),
+        _hash(named(id_col)).alias("hash")), "sizes")
     sizes = rows.groupBy("key").agg(F.sum("size").alias("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    budgets = stage(
+    wanted = stage(
         source_targets(sizes, weights, share, rounds).withColumn("whole", whole.cast("long"))
-        .withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "budgets")
-    edges = thresholds(rows, budgets.select("key", "extra"))
-    once_more = (F.col("hash") < F.col("edge")) | ((F.col("hash") == F.col("edge")) & F.col("edge_taken"))
-    return (
-        rows.join(budgets.join(edges, "key"), "key")
-        .withColumn("times", F.col("whole") + once_more.cast("long"))
-        .select(*KEY, "doc_id", "size", "source_size", "target", "times",
-                (F.col("size") * F.col("times")).alias("taken"))
-    )
+        .withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
+    edges = thresholds(rows, wanted.select("key", "extra"))
+    return stage(wanted.drop("extra").join(edges, "key"), "budgets")
+
+
+def times(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The rows of `docs` with `_mix` (source_size, target, times), by the budgets found for them.
+
+    A document's hash comes from its id, so reruns agree; rows with the same id
+    (null is one, too) in a source are taken alike.
+    """
+    budget = found.select(F.col("key").alias("_mix_key"), F.struct(
+        "source_size", "target", "whole", "edge", "edge_taken").alias("_mix"))
+    keyed = docs.withColumn("_mix_key", _source_key(named(source_col)))
+    edge, value = F.col("_mix.edge"), _hash(named(id_col))
+    once_more = (value < edge) | ((value == edge) & F.col("_mix.edge_taken"))
+    return keyed.join(budget, "_mix_key").drop("_mix_key").withColumn("_mix", F.struct(
+        "_mix.source_size", "_mix.target", (F.col("_mix.whole") + once_more.cast("long")).alias("times")))
+
+
+def mix(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, rounds: float = MOST_ROUNDS,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: each row of `docs` as often as it is taken, with its columns.
+
+    Null and empty texts have size 0; null is a source of its own and the last.
+    An empty table gives no rows.
+    """
+    found = budgets(docs, weights, share, rounds, id_col, text_col, source_col)
+    taken = times(docs, found, id_col, source_col).filter("_mix.times > 0")
+    return taken.withColumn("_mix", F.explode(F.sequence(F.lit(1), F.col("_mix.times")))).drop("_mix")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", _size(F.col("text")).alias("size"))
+    return times(sized, budgets(docs)).select(
+        "doc_id", "size", "_mix.source_size", "_mix.target", (F.col("size") * F.col("_mix.times")).alias("taken"))
 
 
 QUERIES["op3_mix_sources"] = op3_mix_sources
