@@ -45,12 +45,11 @@ def with_row_key(df: DataFrame) -> DataFrame:
         return stage(plain, "rows").select("*", *keys)
 
 
-def in_filter(keys: DataFrame, count: int):
-    """A test for column values (long) that is true for all `keys` and for few others.
+def filter_table(keys: DataFrame, count: int) -> np.ndarray:
+    """A bitmap in which the slots of all `keys` (one long column) are set, and few others.
 
-    `keys` has one long column. The filter is a bitmap of at most 128 MB, whatever
-    the number of keys: beyond that it lets more other rows through, and an exact
-    join follows in any case.
+    It has at most 128 MB, whatever the number of keys: beyond that it lets more
+    other rows through, and an exact step follows in any case.
     """
     bits = SEGMENT_BITS
     while bits < min(MOST_BITS, BITS_PER_ROW * count):
@@ -60,16 +59,26 @@ def in_filter(keys: DataFrame, count: int):
         keys.groupBy(F.bitmap_bucket_number(slot).alias("segment"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
     )
-    table = np.zeros(bits // 8, np.uint8)
-    for segment, bitmap in segments.collect():
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for segment, part in segments.collect():
         at = (segment - 1) * SEGMENT_BITS // 8
-        table[at:at + len(bitmap)] = np.frombuffer(bitmap, np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(table)
+        bitmap[at:at + len(part)] = np.frombuffer(part, np.uint8)
+    return bitmap
+
+
+def set_in(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each of the values (int64) whether its slot is set."""
+    at = np.mod(values, 8 * len(bitmap))
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def in_filter(keys: DataFrame, count: int):
+    """A test of long columns that is true for all `keys` and for few other values."""
+    shared = keys.sparkSession.sparkContext.broadcast(filter_table(keys, count))
 
     @F.pandas_udf("boolean")
     def may_be_in(values: pd.Series) -> pd.Series:
-        at = np.mod(values.to_numpy(np.int64), bits)
-        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+        return pd.Series(set_in(shared.value, values.to_numpy(np.int64)))
 
     return may_be_in
 
@@ -84,9 +93,18 @@ def rows_in(df: DataFrame, keys: DataFrame, how: str = "inner") -> DataFrame:
     return df.filter(may_be_in(F.xxhash64(*KEY))).join(keys, KEY, how)
 
 
-def rows_not_in(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of `df` (with row keys) whose key isn't in `keys`; few others than those of `keys` move."""
-    may_be_in = in_filter(keys.select(F.xxhash64(*KEY)), keys.count())
+def left_join_few(df: DataFrame, marks: DataFrame) -> DataFrame:
+    """`df` (with row keys) left joined with `marks`, which has some row keys, each once.
+
+    Rows that the bounded filter clears don't move.
+    """
+    may_be_in = in_filter(marks.select(F.xxhash64(*KEY)), marks.count())
     tested = df.withColumn("_maybe", may_be_in(F.xxhash64(*KEY)))
     clear, doubtful = tested.filter(~F.col("_maybe")), tested.filter("_maybe")
-    return clear.unionByName(doubtful.join(keys, KEY, "left_anti")).drop("_maybe")
+    return clear.unionByName(doubtful.join(marks, KEY, "left"), allowMissingColumns=True).drop("_maybe")
+
+
+def rows_not_in(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of `df` (with row keys) whose key isn't in `keys`."""
+    marked = left_join_few(df, stage(keys.select(*KEY, F.lit(True).alias("_marked")), "dropped"))
+    return marked.filter(F.col("_marked").isNull()).drop("_marked")
