@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from . import bpe, exact, language, mixing, records, secrets, simhash  # noqa: F401  (importing registers the queries)
+from . import bpe, exact, language, mixing, quality, records, secrets, simhash, substrings, warc  # noqa: F401  (importing registers the queries)
 from .queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
