@@ -20,18 +20,14 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = tree.unionByName(tree.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("top"))
-        large = (
-            both.filter("root > node").join(least, "node")
-            .select(F.col("root").alias("node"), F.col("top").alias("root")).distinct()
+        large = (  # larger neighbours of a node: the edges in which it is the root
+            tree.join(least.withColumnsRenamed({"node": "root", "top": "least"}), "root")
+            .select("node", F.col("least").alias("root"))
         )
         lowest = large.groupBy("node").agg(F.min("root").alias("top"))
         hung = large.join(lowest, "node")
-        small = (
-            hung.select("node", F.col("top").alias("root"))
-            .unionByName(hung.filter("root <> top").select(F.col("root").alias("node"), F.col("top").alias("root")))
-            .distinct()
-        )
-        tree = stage(small, "stars")
+        ends = F.array(F.struct("node", F.col("top").alias("root")), F.struct(F.col("root").alias("node"), F.col("top").alias("root")))
+        tree = stage(hung.select(F.inline(ends)).filter("node <> root").distinct(), "stars")
         state = tuple(tree.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first())
         if state == before:
             return tree.unionByName(tree.select(F.col("root").alias("node"), "root").distinct())

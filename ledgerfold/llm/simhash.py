@@ -80,7 +80,7 @@ def _emit_keys(batches):
 
 def _within(a: np.ndarray, b: np.ndarray, start: int, distance: int) -> np.ndarray:
     """Which of the pairs a x b keep all chain budgets from `start` and the whole distance."""
-    differ = a[:, None] ^ b[None, :]
+    differ = (a[:, None] ^ b[None, :]).view(np.uint64)
     total = np.zeros(differ.shape, np.uint8)
     fits = np.ones(differ.shape, bool)
     for length in range(1, SEGMENTS + 1):
@@ -93,9 +93,9 @@ def _within(a: np.ndarray, b: np.ndarray, start: int, distance: int) -> np.ndarr
 def _forest(prints: np.ndarray, start: int, distance: int) -> list[tuple[int, int]]:
     """Links that connect all of `prints` that near ones connect: at most one per fingerprint.
 
-    Breadth-first from the first one left, so no pair is tested twice and none is stored.
+    Breadth-first from the smallest one left, so no pair is tested twice and none is stored.
     """
-    links, left = [], prints
+    links, left = [], np.sort(prints)
     while len(left) > 1:
         root, frontier, left = left[0], left[:1], left[1:]
         while len(frontier) and len(left):
@@ -128,7 +128,7 @@ def _link(distance: int):
         links = []
         for key, held in groups(batches):
             if sum(map(len, held)) > 1:
-                prints = np.concatenate(held).view(np.uint64)
+                prints = np.concatenate(held)  # signed, as components() orders them
                 links += _forest(prints, int(key) >> 33, distance)
             if len(links) > CHUNK:
                 yield _frame(links)
@@ -137,7 +137,7 @@ def _link(distance: int):
             yield _frame(links)
 
     def _frame(links):
-        ends = np.array(links, np.uint64).view(np.int64)
+        ends = np.array(links, np.int64)
         return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
 
     return run

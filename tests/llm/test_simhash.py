@@ -60,7 +60,8 @@ def test_near_prints_share_a_key_and_pass_the_chain():
         for bit in rng.choice(64, int(rng.integers(0, 4)), replace=False):
             b ^= 1 << int(bit)
         pair = np.array([a, b], np.uint64)
-        hits = [s for s in range(4) for keys in _chain_keys(pair, s) if keys[0] == keys[1] and _forest(pair, s, 3)]
+        hits = [s for s in range(4) for keys in _chain_keys(pair, s)
+                if keys[0] == keys[1] and _forest(pair.view(np.int64), s, 3)]
         assert hits
 
 
