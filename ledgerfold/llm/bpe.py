@@ -6,7 +6,8 @@ encoded again, in growing windows, until the result agrees with both sides at
 the window's ends. Two facts make the joined encoding exact:
 
 * The pattern that splits text before the merges never looks back, and always
-  cuts where white space follows something else or a letter meets a digit.
+  cuts where white space follows something else or a letter meets a digit. Words
+  and signs between such cuts are encoded once each, however often they occur.
 * Within one piece of that pattern, a sequence of tokens is the encoding if each
   two neighbours are the encoding of their own bytes. Inside a side and inside
   the window they are; at a window's end they are if the token there is the same.
@@ -14,25 +15,33 @@ the window's ends. Two facts make the joined encoding exact:
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, named, with_row_key
+from .common import KEY, named, slices, with_row_key
 from .queries import QUERIES, table
 
 VOCABULARY = "byte_bpe_50k.json"
 # Parameters: code points of the longest part, and of the first window on each side.
 LEAF = 32_768
 WINDOW = 64
-CACHED_PIECES = 1_000_000
-JOINED = 20_000
-# Text between two sure cuts; sure cuts; code points around a place inside one piece.
+# Bytes or code points split at once, pieces kept in memory, new pieces encoded as one text.
+CHUNK = 2_500_000
+CACHED_PIECES = 400_000
+JOINED = 2_000
+# Letters that all versions of Unicode call so; what may follow them, and what may stand alone;
+# text between two sure cuts, in small and in large pieces; sure cuts; code points around a place inside one piece.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+SMALL_PIECE = re.compile(
+    rf"\s*(?:[{LETTERS}]++(?=[ -@\[-`{{-~\n]|\Z)|[!-&(-@\[-`{{-~]++(?=[ \nA-Za-z]|\Z)|\S+(?:(?![ \n])\s+\S+)*)|\s+")
 PIECE = re.compile(r"\s*\S+(?:(?![ \n])\s+\S+)*|\s+")
 CUT = re.compile(r"(?<=\S)(?=[ \n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 AROUND = 4
@@ -54,11 +63,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        kind = json.loads(self.tokenizer.to_str())
+        split = kind["pre_tokenizer"] or {}
+        if kind["normalizer"] or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
+            raise ValueError("only byte-level tokenizers that leave the text as it is can be joined exactly")
         added = self.tokenizer.get_added_tokens_decoder()
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
         for token, at in self.tokenizer.get_vocab(with_added_tokens=True).items():
             # a byte of a token is one character there; an added token stands as it is
             self.sizes[at] = len(token.encode()) if at in added else len(token)
+        self.added = [x.content for x in added.values()]
         self.window = max([WINDOW, *(len(x.content) + 2 * AROUND for x in added.values())])
         self._forget()
 
@@ -67,25 +81,27 @@ class Encoder:
         self.ids, self.ends = [], [np.zeros(1, np.int64)]
 
     def whole(self, text: str) -> np.ndarray:
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return np.array(ids, np.uint32)
+        return np.array(self._batch([text])[0].ids, np.uint32)
 
     def _add(self, pieces: list[str]) -> None:
         """Encode new pieces; those that begin at a sure cut and end before one go as one text."""
-        fit = [p for p in pieces if p[0] in " \n" and not p[-1].isspace()]
-        rest = [p for p in pieces if not (p[0] in " \n" and not p[-1].isspace())]
-        for i in range(0, len(fit), JOINED):
-            some = fit[i:i + JOINED]
-            ids = self.whole("".join(some))
-            last = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in some])
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), last) + 1
-            self._keep(some, ids, ends)
+        fit, rest = [], []
+        for piece in pieces:
+            (fit if piece[0] in " \n" and not piece[-1].isspace() else rest).append(piece)
+        groups = [fit[i:i + JOINED] for i in range(0, len(fit), JOINED)]
+        for some, found in zip(groups, self._batch(["".join(g) for g in groups])):
+            ids = np.array(found.ids, np.uint32)
+            last = np.cumsum([len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in some])
+            self._keep(some, ids, np.searchsorted(np.cumsum(self.sizes[ids]), last) + 1)
         for i in range(0, len(rest), JOINED):
             some = rest[i:i + JOINED]
-            each = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            each = [e.ids for e in self._batch(some)]
             lengths = np.fromiter(map(len, each), np.int64, len(each))
             self._keep(some, np.fromiter(chain.from_iterable(each), np.uint32), np.cumsum(lengths))
 
+    def _batch(self, texts: list[str]):
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
     def _keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         first = len(self.places)
         self.places.update(zip(pieces, range(first, first + len(pieces))))
@@ -94,21 +110,38 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.places) > CACHED_PIECES:
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + (self._encode(held) if held else [])
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        # an added token must stay in one piece
+        split = [(PIECE if any(a in t for a in self.added) else SMALL_PIECE).findall(t) for t in texts]
+        flat = np.empty(sum(map(len, split)), object)
+        flat[:] = list(chain.from_iterable(split))
+        codes, different = pd.factorize(flat)
+        known = np.fromiter(map(self.places.get, different, repeat(-1)), np.int64, len(different))
+        if len(self.places) + (known < 0).sum() > CACHED_PIECES:
             self._forget()
-        split = [PIECE.findall(t) for t in texts]
-        new = dict.fromkeys(chain.from_iterable(split)).keys() - self.places.keys()
-        if new:
-            self._add(list(new))
+            known[:] = -1
+        if (known < 0).any():
+            new = list(different[known < 0])
+            self._add(new)
+            known[known < 0] = [self.places[p] for p in new]
         ids, ends = np.concatenate([np.zeros(0, np.uint32), *self.ids]), np.concatenate(self.ends)
         self.ids, self.ends = [ids], [ends]
-        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), np.int64)
+        at = known[codes]
         starts, lengths = ends[at], ends[at + 1] - ends[at]
         shift = np.cumsum(lengths) - lengths
-        flat = ids[np.repeat(starts - shift, lengths) + np.arange(lengths.sum())]
+        tokens = ids[np.repeat(starts - shift, lengths) + np.arange(lengths.sum())]
         counts = np.cumsum([0, *map(len, split)])
-        bounds = np.concatenate([shift, [len(flat)]])[counts]
-        return [flat[i:j] for i, j in zip(bounds, bounds[1:])]
+        bounds = np.concatenate([shift, [len(tokens)]])[counts]
+        return [tokens[i:j] for i, j in zip(bounds, bounds[1:])]
 
     def _one_piece(self, text: str) -> bool:
         return len(text) == 2 * AROUND and len(self.tokenizer.pre_tokenizer.pre_tokenize_str(text)) == 1
@@ -170,42 +203,48 @@ def halves(text: str, leaf: int) -> list[str]:
     return halves(text[:len(text) // 2], leaf) + halves(text[len(text) // 2:], leaf)
 
 
-def _encode_short(path: str):
-    def run(batches):
-        encoder = Encoder(path)
-        for batch in batches:
-            ids = encoder.encode(batch["text"].tolist())
-            yield batch.drop(columns="text").assign(ids=[x.astype("<u4").tobytes() for x in ids])
+def _without(batch: pa.RecordBatch, gone: str, **added: pa.Array) -> pa.RecordBatch:
+    """The batch with a column replaced by others."""
+    kept = [n for n in batch.schema.names if n != gone]
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *added.values()], [*kept, *added])
 
-    return run
 
+def _binary(ids: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
 
-def _cut(leaf: int):
+
+def _encode_texts(path: str, keep_text: bool = False):
     def run(batches):
+        encoder = Encoder(path)
         for batch in batches:
-            parts = batch.assign(part=[list(enumerate(halves(t, leaf))) for t in batch["text"]]).explode("part")
-            yield parts.drop(columns="text").assign(
-                place=[p[0] for p in parts["part"]], text=[p[1] for p in parts["part"]]).drop(columns="part")
+            for some in slices(batch, "text", CHUNK):
+                ids = _binary(encoder.encode(some.column("text").to_pylist()))
+                yield _without(some, "", ids=ids) if keep_text else _without(some, "text", ids=ids)
 
     return run
 
 
-def _encode_leaves(path: str):
+def _cut(leaf: int):
     def run(batches):
-        encoder = Encoder(path)
         for batch in batches:
-            yield batch.assign(ids=[x.astype("<u4").tobytes() for x in encoder.encode(batch["text"].tolist())])
+            for some in slices(batch, "text", CHUNK):
+                parts = [halves(t, leaf) for t in some.column("text").to_pylist()]
+                rows = some.take(pa.array(np.repeat(np.arange(len(parts)), [*map(len, parts)])))
+                yield _without(
+                    rows, "text", place=pa.array([i for p in parts for i in range(len(p))], pa.int32()),
+                    text=pa.array([*chain.from_iterable(parts)], pa.string()))
 
     return run
 
 
-def _encode_long(path: str):
+def _encode_parts(path: str):
     def run(batches):
         encoder = Encoder(path)
         for batch in batches:
-            joined = [
-                encoder.tree([(p["text"], np.frombuffer(p["ids"], "<u4")) for p in parts]) for parts in batch["parts"]]
-            yield batch.drop(columns="parts").assign(ids=[x.astype("<u4").tobytes() for x in joined])
+            for i in range(batch.num_rows):
+                parts = batch.column("parts")[i].as_py()
+                ids = encoder.tree([(p["text"], np.frombuffer(p["ids"], "<u4")) for p in parts])
+                yield _without(batch.slice(i, 1), "parts", ids=_binary([ids]))
 
     return run
 
@@ -225,16 +264,16 @@ def encode(
         *KEY, named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     head = f"{KEY[0]} long, {KEY[1]} long, doc_id {kind}"
-    short = rows.filter(F.length("text") <= leaf).mapInPandas(_encode_short(path), f"{head}, ids binary")
+    short = rows.filter(F.length("text") <= leaf).mapInArrow(_encode_texts(path), f"{head}, ids binary")
     leaves = (
-        rows.filter(F.length("text") > leaf).mapInPandas(_cut(leaf), f"{head}, place int, text string")
+        rows.filter(F.length("text") > leaf).mapInArrow(_cut(leaf), f"{head}, place int, text string")
         .repartition(*KEY, "place")
-        .mapInPandas(_encode_leaves(path), f"{head}, place int, text string, ids binary")
+        .mapInArrow(_encode_texts(path, keep_text=True), f"{head}, place int, text string, ids binary")
     )
     long = (
         leaves.groupBy(*KEY, "doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("place", "text", "ids"))).alias("parts"))
-        .mapInPandas(_encode_long(path), f"{head}, ids binary")
+        .mapInArrow(_encode_parts(path), f"{head}, ids binary")
     )
     return short.unionByName(long)
 
@@ -245,13 +284,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         encoder = Encoder(path)
         for batch in batches:
-            texts = []
-            for i in range(0, len(batch), 256):
-                texts += encoder.decode([np.frombuffer(x, "<u4").tolist() for x in batch["ids"][i:i + 256]])
-            yield batch.drop(columns="ids").assign(text=texts)
+            for some in slices(batch, "ids", CHUNK):
+                ids = [np.frombuffer(x, "<u4").tolist() for x in some.column("ids").to_pylist()]
+                yield _without(some, "ids", text=pa.array(encoder.decode(ids), pa.string()))
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "ids"]
-    return encoded.mapInPandas(run, ", ".join([*fields, "text string"]))
+    return encoded.mapInArrow(run, ", ".join([*fields, "text string"]))
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

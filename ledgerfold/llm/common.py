@@ -6,6 +6,8 @@ from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,19 @@ def with_row_key(df: DataFrame) -> DataFrame:
         return stage(plain, "rows").select("*", *keys)
 
 
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
+    """The rows of an Arrow batch in groups whose `column` has about that many bytes, one row at least.
+
+    A task then holds few rows as Python objects at once, however long they are.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    group = (np.cumsum(sizes, dtype=np.int64) - sizes) // most_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
+    for start, stop in zip(cuts, cuts[1:]):
+        if start < stop:
+            yield batch.slice(start, stop - start)
+
+
 def filter_table(keys: DataFrame, count: int) -> np.ndarray:
     """A bitmap in which the slots of all `keys` (one long column) are set, and few others.
 

@@ -20,12 +20,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import new_path, stage
-from .bpe import Encoder, vocabulary_path
-from .common import named
+from .bpe import CHUNK, Encoder, vocabulary_path
+from .common import named, slices
 from .queries import QUERIES, table
 
 END_ID = 2
@@ -37,7 +38,6 @@ HEAD_SIZE, FOOT_SIZE, DOCUMENT_SIZE = map(struct.calcsize, (HEAD, FOOT, DOCUMENT
 CLOSE = b"\n"
 # Parameter: documents are dealt to about so many bytes of text per file.
 FILE_BYTES = 32 * 1024 * 1024
-BATCH_BYTES = 4 * 1024 * 1024
 
 
 def masked_crc(data: bytes) -> int:
@@ -83,10 +83,11 @@ def _records(path: str, end_id: int):
         wide = max(len(encoder.sizes), end_id + 1) > 1 << 16
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            out = [
-                frame(payload_of(None if pd.isna(i) else int(i), np.concatenate([ids, end]), wide))
-                for i, ids in zip(batch["doc_id"].astype(object), encoder.encode(batch["text"].tolist()))]
-            yield pd.DataFrame({"record": out})
+            for some in slices(batch, "text", CHUNK):
+                out = [
+                    frame(payload_of(doc_id, np.concatenate([ids, end]), wide)) for doc_id, ids in zip(
+                        some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist()))]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     return run
 
@@ -108,7 +109,7 @@ def write_records(
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         files = max(1, -(-size // FILE_BYTES))
     ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    records = ordered.mapInPandas(_records(path, end_id), "record binary")
+    records = ordered.mapInArrow(_records(path, end_id), "record binary")
     # the text writer puts out the bytes of a string as they are, and one line feed after each
     records.select(F.col("record").cast("string")).write.option("lineSep", "\n").text(folder)
 
