@@ -10,6 +10,10 @@ DAY_MICROS = 86_400_000_000
 NUMBER_TEXT = (
     "^\\s*[+-]?(([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\\s*$")
 
+WHOLE_TEXT = "^\\s*[+-]?[0-9]+\\s*$"
+# Whole numbers up to here are exact as doubles.
+EXACT_DOUBLE = 2**53
+
 
 def ref(name: str) -> Column:
     """Column by exact name, also when the name holds dots or spaces."""
@@ -69,6 +73,11 @@ def as_number(c: Column, dtype: T.DataType) -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
+def as_whole(c: Column, dtype: str) -> Column:
+    """A whole number written as text, exactly, or null where it isn't one or doesn't fit."""
+    return F.when(c.rlike(WHOLE_TEXT), F.trim(c).try_cast(dtype))
+
+
 def as_flag(c: Column, dtype: T.DataType, true_texts: tuple[str, ...]) -> Column:
     """True for the listed texts (exact case), for 1 and for true; else false."""
     if is_text(dtype):

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (
-    as_flag, as_number, as_timestamp, is_missing, is_number, is_text, nan_to_null,
+    EXACT_DOUBLE, WHOLE_TEXT, as_flag, as_number, as_timestamp, as_whole, is_missing, is_number, is_text, nan_to_null,
     numeric_columns, ref, text_columns,
 )
 from ..functions.ranks import interpolate, order_statistics, quantile_ranks, sketch
 from ..functions.scratch import stage
 from ..settings import (
-    CAP_EXEMPT, CAP_IQR_MULTIPLIER, DATE_NAMES, DATE_SUFFIXES, FILL_TEXT, FLAG_NAMES,
+    CAP_EXEMPT, CAP_IQR_MULTIPLIER, DATE_FORMATS, DATE_NAMES, DATE_SUFFIXES, FILL_TEXT, FLAG_NAMES,
     NULL_RATIO_LIMIT, NUMBER_NAMES, NUMBER_PREFIXES, NUMERIC_TEXT_RATIO, TRUE_TEXTS,
 )
 
@@ -81,8 +81,34 @@ def dedup_rows(df: DataFrame) -> DataFrame:
     return nan_to_null(df).dropDuplicates()
 
 
-def cast_dates(df: DataFrame, formats: tuple[str, ...] = ()) -> DataFrame:
-    casts = {f.name: as_timestamp(ref(f.name), f.dataType, formats) for f in _of_class(df, "date")}
+def date_forms(df: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> dict[str, tuple[tuple[str, ...], int]]:
+    """Per text column of dates: the format that most of its non-ISO values have, and the values that none fits.
+
+    One aggregate tries all formats on all columns; of equal ones the first wins.
+    """
+    names = [f.name for f in _of_class(df, "date") if is_text(f.dataType)]
+    if not names:
+        return {}
+    counts = []
+    for i, c in enumerate(names):
+        other = F.when(as_timestamp(ref(c), T.StringType()).isNull(), ref(c))
+        counts += [F.count(other).alias(f"o{i}"), *(
+            F.count(as_timestamp(other, T.StringType(), (form,))).alias(f"o{i}_{j}") for j, form in enumerate(formats))]
+    seen = df.agg(*counts).first()
+    forms = {}
+    for i, c in enumerate(names):
+        hits = [seen[f"o{i}_{j}"] for j in range(len(formats))]
+        best = max(range(len(formats)), key=lambda j: hits[j], default=None)  # noqa: B023
+        found = hits[best] if best is not None else 0
+        forms[c] = ((formats[best],) if found else (), seen[f"o{i}"] - found)
+    return forms
+
+
+def cast_dates(df: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
+    """Dates from ISO texts and from the one of `formats` that suits a column best."""
+    forms = date_forms(df, formats)
+    casts = {
+        f.name: as_timestamp(ref(f.name), f.dataType, forms.get(f.name, ((), 0))[0]) for f in _of_class(df, "date")}
     return df.withColumns(casts) if casts else df
 
 
@@ -100,19 +126,46 @@ def _open_text(df: DataFrame) -> list[str]:
     return [f.name for f in _of_class(df, "other") if is_text(f.dataType)]
 
 
+def _whole_aggregates(c: Column, i: int) -> list[Column]:
+    """How many values are whole, fit a bigint, fit a decimal, and are too long for a double."""
+    exact = as_whole(c, "decimal(38,0)")
+    too_long = c.rlike(WHOLE_TEXT) & (exact.isNull() | (F.abs(exact) > EXACT_DOUBLE))
+    return [
+        F.count(as_whole(c, "bigint")).alias(f"wb{i}"), F.count(exact).alias(f"we{i}"),
+        F.count_if(too_long).alias(f"wl{i}"),
+    ]
+
+
+def _number_of_text(c: Column, seen, i: int, parsed: int) -> Column | None:
+    """The numbers of a text column: doubles, or exact types where a double would lose digits.
+
+    None if they have no type that keeps all of them; the column then stays text.
+    """
+    if not seen[f"wl{i}"]:
+        return as_number(c, T.StringType())
+    if seen[f"we{i}"] < parsed:
+        return None
+    return as_whole(c, "bigint" if seen[f"wb{i}"] == parsed else "decimal(38,0)")
+
+
 def infer_numeric_text(df: DataFrame, ratio: float = NUMERIC_TEXT_RATIO) -> DataFrame:
-    """Other text columns become double if more than `ratio` of all rows parse."""
+    """Other text columns become numbers if more than `ratio` of all rows parse.
+
+    They become double, or bigint or decimal(38,0) where whole numbers are too long for that.
+    """
     names = _open_text(df)
     if not names:
         return df
     seen = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count(as_number(ref(c), T.StringType())).alias(f"p{i}") for i, c in enumerate(names)],
+        *[a for i, c in enumerate(names) for a in _whole_aggregates(ref(c), i)],
     ).first()
     chosen = {
-        c: as_number(ref(c), T.StringType())
+        c: _number_of_text(ref(c), seen, i, seen[f"p{i}"])
         for i, c in enumerate(names) if seen["rows"] and seen[f"p{i}"] / seen["rows"] > ratio
     }
+    chosen = {c: number for c, number in chosen.items() if number is not None}
     return df.withColumns(chosen) if chosen else df
 
 
@@ -239,16 +292,23 @@ def _finish_statistics(doubles, columns, seen, multiplier, exempt, filled) -> di
 
 
 def _apply_numbers(df: DataFrame, stats: dict[str, NumberStats], fill: bool, cap: bool) -> DataFrame:
-    """Fill and clip; columns that need neither keep their type."""
+    """Fill and clip; columns that need neither keep their type.
+
+    So do whole numbers too long for a double: only the values that change are rounded.
+    """
     changes = {}
     for c, s in stats.items():
-        number = ref(c).cast("double")
+        dtype = df.schema[c].dataType
+        exact = isinstance(dtype, (T.IntegralType, T.DecimalType)) and s.present and (
+            max(abs(s.minimum), abs(s.maximum)) > EXACT_DOUBLE)
+        number = ref(c) if exact else ref(c).cast("double")
+        limit = (lambda x: F.lit(x).cast(dtype)) if exact else F.lit  # noqa: B023
         if fill and s.missing and s.median is not None:
-            changes[c] = F.coalesce(number, F.lit(s.median))
+            changes[c] = F.coalesce(number, limit(s.median))
         if cap and s.has_outliers:
             number = changes.get(c, number)
-            changes[c] = F.when(
-                number.isNotNull(), F.greatest(F.least(number, F.lit(s.high)), F.lit(s.low)))
+            low, high = F.lit(s.low), F.lit(s.high)
+            changes[c] = F.when(number < low, limit(s.low)).when(number > high, limit(s.high)).otherwise(number)
     return df.withColumns(changes) if changes else df
 
 
@@ -264,6 +324,7 @@ class CleanReport:
     nulls_filled: dict[str, int]
     fences: dict[str, tuple[float, float]]
     outliers_capped: dict[str, int] = field(default_factory=dict)
+    dates_lost: dict[str, int] = field(default_factory=dict)
 
 
 @dataclass
@@ -301,13 +362,14 @@ class CleanResult:
 def clean(
     df: DataFrame, null_ratio: float = NULL_RATIO_LIMIT, protect: tuple[str, ...] = (),
     numeric_ratio: float = NUMERIC_TEXT_RATIO, cap_multiplier: float = CAP_IQR_MULTIPLIER,
-    date_formats: tuple[str, ...] = (),
+    date_formats: tuple[str, ...] = DATE_FORMATS,
 ) -> CleanResult:
     """The full sequence with its report."""
     df = nan_to_null(df)
     dropped, original = high_null_columns(df, null_ratio, protect)
     kept = df.select(*[ref(c) for c in df.columns if c not in dropped])
     rows = stage(kept.dropDuplicates(), "distinct")
+    forms = date_forms(rows, date_formats)
 
     # One pass: row count, parse counts of open text, statistics of every column
     # that is or may turn out numeric.
@@ -318,7 +380,8 @@ def clean(
     for f in rows.schema.fields:
         kind, c = column_class(f.name), ref(f.name)
         if kind == "date":
-            typed[f.name], conversions[f.name] = as_timestamp(c, f.dataType, date_formats), "datetime"
+            typed[f.name], conversions[f.name] = as_timestamp(
+                c, f.dataType, forms.get(f.name, ((), 0))[0]), "datetime"
         elif kind == "bool":
             typed[f.name], conversions[f.name] = as_flag(c, f.dataType, TRUE_TEXTS), "bool"
         elif kind == "numeric":
@@ -337,14 +400,17 @@ def clean(
         F.count(F.lit(1)).alias("rows"),
         *[a for i in range(len(names)) for a in _number_aggregates(F.col(f"c{i}"), i)],
         *[F.count(F.col(f"t{i}")).alias(f"t{i}") for i in range(len(open_text))],
+        *[a for i in range(len(open_text)) for a in _whole_aggregates(F.col(f"t{i}"), i)],
     ).first()
     total = seen["rows"]
 
     filled: dict[str, int] = {}
     for i, c in enumerate(open_text):
         at = names.index(c)
-        if total and seen[f"n{at}"] / total > numeric_ratio:
-            typed[c], conversions[c] = candidates[c], "float_inferred"
+        number = _number_of_text(ref(c), seen, i, seen[f"n{at}"])
+        if total and seen[f"n{at}"] / total > numeric_ratio and number is not None:
+            typed[c] = number
+            conversions[c] = "integer_inferred" if seen[f"wl{i}"] else "float_inferred"
         else:
             candidates.pop(c)
             if total - seen[f"t{i}"]:
@@ -367,5 +433,6 @@ def clean(
         original_rows=original, final_rows=total, duplicates_removed=original - total,
         columns_dropped=dropped, type_conversions=conversions, nulls_filled=filled,
         fences={c: (s.low, s.high) for c, s in numbers.items() if s.has_outliers},
+        dates_lost={c: lost for c, (_, lost) in forms.items() if lost},
     )
     return CleanResult(frame, typed_frame, report)

@@ -8,16 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_number, is_missing, ref, text_columns
+from ..functions.columns import WHOLE_TEXT, as_number, as_whole, is_missing, ref, text_columns
 from ..settings import (
     CANONICAL_HINTS, DOMAIN_MIN_FIELDS, HIGH_NULL_WARNING, ID_LIKE_WARNING, NULL_RATIO_LIMIT,
 )
 
-# Relative error asked of the distinct sketch, and how far below the row count
-# a column may then read and still be counted exactly: ten standard errors.
-_SKETCH_ERROR = 0.02
-_SKETCH_SLACK = 0.20
-
 
 def stack_rows(one_row: DataFrame, rows: list[dict[str, Column]]) -> DataFrame:
     """Turn a one-row aggregate into one row per entry, without a second scan."""
@@ -62,25 +57,23 @@ def high_null_warnings(df: DataFrame, limit: float = NULL_RATIO_LIMIT) -> DataFr
 def id_like_columns(df: DataFrame) -> DataFrame:
     """Text columns whose values are all present and all different.
 
-    A sketch rules out the columns that are far from unique; only the others
-    are counted exactly, and each of them by its own map-side combined group-by.
+    Only columns without a null are counted, exactly, each by a group-by that is
+    combined before the shuffle.
     """
     names = text_columns(df)
     spark = df.sparkSession
     if not names:
         return spark.createDataFrame([], "column string, warning string")
-    near = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.approx_count_distinct(ref(c), _SKETCH_ERROR).alias(f"d{i}")
-          for i, c in enumerate(names)],
+    seen = df.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(names)],
     ).first()
-    rows = near["rows"]
-    likely = [c for i, c in enumerate(names) if near[f"d{i}"] >= rows * (1 - _SKETCH_SLACK)]
+    rows = seen["rows"]
+    likely = [c for i, c in enumerate(names) if rows and seen[f"n{i}"] == rows]
     if not likely:
         return spark.createDataFrame([], "column string, warning string")
     values = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), ref(c).alias("value")) for c in likely
-    ]))).filter("value is not null")
+    ])))
     return (
         values.groupBy("column", "value").agg(F.lit(1).alias("one"))
         .groupBy("column").agg(F.count("one").alias("different"))
@@ -123,10 +116,12 @@ def sample_rows(df: DataFrame, order_by: list[str] | None = None, n: int = 3) ->
 
 
 def infer_text_types(df: DataFrame) -> DataFrame:
-    """Type all-text columns as a whole: boolean, integer, double or text.
+    """Type all-text columns as a whole: boolean, whole number, double or text.
 
-    A column takes a type only if every value present has it. One aggregate
-    decides for all columns; nothing is sampled.
+    A column takes a type only if every value present has it. Whole numbers are
+    bigint or, where one is longer, decimal(38,0), so no digit is lost; with a
+    longer one still the column stays text. One aggregate decides for all
+    columns; nothing is sampled.
     """
     names = text_columns(df)
     if not names:
@@ -137,7 +132,9 @@ def infer_text_types(df: DataFrame) -> DataFrame:
         checks += [
             F.count(value).alias(f"n{i}"),
             F.count_if(value.rlike("^(True|TRUE|true|False|FALSE|false)$")).alias(f"b{i}"),
-            F.count_if(value.rlike("^\\s*[+-]?[0-9]{1,18}\\s*$")).alias(f"l{i}"),
+            F.count_if(value.rlike(WHOLE_TEXT)).alias(f"w{i}"),
+            F.count(as_whole(value, "bigint")).alias(f"l{i}"),
+            F.count(as_whole(value, "decimal(38,0)")).alias(f"e{i}"),
             F.count(as_number(value, T.StringType())).alias(f"d{i}"),
         ]
     seen = df.agg(*checks).first()
@@ -148,8 +145,9 @@ def infer_text_types(df: DataFrame) -> DataFrame:
             continue
         if seen[f"b{i}"] == n:
             typed[c] = F.lower(ref(c)).cast("boolean")
-        elif seen[f"l{i}"] == n:
-            typed[c] = F.trim(ref(c)).cast("bigint")
+        elif seen[f"w{i}"] == n:
+            if seen[f"e{i}"] == n:
+                typed[c] = as_whole(ref(c), "bigint" if seen[f"l{i}"] == n else "decimal(38,0)")
         elif seen[f"d{i}"] == n:
             typed[c] = as_number(ref(c), T.StringType())
     return df.withColumns(typed) if typed else df

@@ -85,7 +85,7 @@ def test_dates(spark):
         [("2023-01-05",), ("2023-01-05 10:30:00",), ("nonsense",), (None,), ("05/02/2023",)],
         "created_at string")
     plain = [r[0] for r in cast_dates(df).collect()]
-    assert plain == [datetime(2023, 1, 5), datetime(2023, 1, 5, 10, 30), None, None, None]
+    assert plain == [datetime(2023, 1, 5), datetime(2023, 1, 5, 10, 30), None, None, datetime(2023, 5, 2)]
     assert cast_dates(df, ("dd/MM/yyyy",)).collect()[4][0] == datetime(2023, 2, 5)
     nanos = spark.createDataFrame([(1_700_000_000_000_000_000,)], "updated_at bigint")
     assert cast_dates(nanos).first()[0] == datetime(2023, 11, 14, 22, 13, 20)
