@@ -2,8 +2,8 @@
 
 Spark's exact percentile holds every distinct value of a column in one buffer.
 Here a sketch, which the caller's own statistics pass takes along, proposes a
-narrow interval around each wanted rank. One pass then counts, for all columns
-together, the rows below each interval and the copies of each value inside it,
+narrow interval around each wanted rank. Then the rows below each interval are counted
+in one aggregate for all columns, and the copies of each value inside it,
 combined before the shuffle. Intervals that would still hold too many values
 are narrowed first, by passes of the same kind. The sketch only proposes: the
 counts decide, and an interval that misses its rank is widened.
@@ -31,7 +31,7 @@ def sketch(value: Column) -> Column:
     return F.when(F.count(value) > 0, quantiles)
 
 
-@dataclass
+@dataclass(eq=False)
 class _Target:
     """One wanted rank (0-based) of one column, with what is known about it."""
 
@@ -76,7 +76,7 @@ def order_statistics(
         for c, wanted in ranks.items() for r in sorted(set(wanted)) if 0 <= r < counts[c]
     ]
     while open_targets := [t for t in targets if t.value is None]:
-        wide = [t for t in open_targets if t.spread > gather_limit and t.step <= GRID]
+        wide = [t for t in open_targets if t.spread > gather_limit]
         if wide:
             _narrow(df, wide)
         else:
@@ -124,47 +124,44 @@ def _merged(intervals: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return merged
 
 
-def _piece(c: Column, intervals: list[tuple[float, float]]) -> Column:
-    """Odd numbers for the intervals, even ones for the gaps before them.
+def _gather(df: DataFrame, targets: list[_Target]) -> None:
+    """Read the ranks off a running sum over the copies of each value in the intervals.
 
-    Null beyond the last interval, where no rank is wanted.
+    The rows below each interval are counted in one plain aggregate; only values
+    inside an interval are taken apart and counted. An interval is a group of
+    its own, so no task holds more than one.
     """
-    piece = None
-    for i, (low, high) in enumerate(intervals):
-        piece = (F if piece is None else piece).when(c < F.lit(low), 2 * i)
-        piece = piece.when(c <= F.lit(high), 2 * i + 1)
-    return piece
-
-
-def _gather(df: DataFrame, targets: list[_Target]) -> None:
-    """Count the copies of each value in the intervals, and the rows between
-    them, and read the ranks off a running sum per column."""
-    names = list(dict.fromkeys(t.column for t in targets))
-    pieces = df.select(*names, *[
-        _piece(F.col(c), _merged([t.interval[1:] for t in targets if t.column == c])).alias(f"in_{c}")
-        for c in names
-    ])
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("column"), F.col(f"in_{c}").alias("piece"),
-                 F.when(F.col(f"in_{c}") % 2 == 1, F.col(c)).alias("v"))
-        for i, c in enumerate(names)
-    ])
+    spans = [
+        (c, low, high) for c in dict.fromkeys(t.column for t in targets)
+        for low, high in _merged([t.interval[1:] for t in targets if t.column == c])
+    ]
+    below = df.agg(*[
+        F.count_if(F.col(c) < F.lit(low)).alias(f"b{i}") for i, (c, low, _) in enumerate(spans)]).first()
+    names = list(dict.fromkeys(c for c, _, _ in spans))
+    inside = {c: None for c in names}
+    for i, (c, low, high) in enumerate(spans):
+        hit = F.col(c).between(F.lit(low), F.lit(high))
+        inside[c] = F.when(hit, F.lit(i)) if inside[c] is None else inside[c].when(hit, F.lit(i))
+    entries = F.filter(
+        F.array(*[F.struct(inside[c].alias("span"), F.col(c).alias("v")) for c in names]),
+        lambda x: x["span"].isNotNull())
     values = (
-        pieces.select(F.inline(entries)).filter("piece is not null")
-        .groupBy("column", "piece", "v").agg(F.count(F.lit(1)).alias("n"))
+        df.select(F.inline(entries)).groupBy("span", "v").agg(F.count(F.lit(1)).alias("n"))
     )
-    running = (Window.partitionBy("column").orderBy("piece", "v")
+    running = (Window.partitionBy("span").orderBy("v")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    span_of = {t: next(i for i, (c, low, high) in enumerate(spans)
+                       if c == t.column and low <= t.interval[1] and t.interval[2] <= high) for t in targets}
     wanted = reduce(lambda a, b: a | b, [
-        (F.col("column") == names.index(t.column)) & (F.col("upto") > t.rank)
-        & (F.col("upto") - F.col("n") <= t.rank)
+        (F.col("span") == span_of[t]) & (F.col("upto") > t.rank - below[f"b{span_of[t]}"])
+        & (F.col("upto") - F.col("n") <= t.rank - below[f"b{span_of[t]}"])
         for t in targets
     ])
-    found = (values.withColumn("upto", F.sum("n").over(running))
-             .filter(F.col("v").isNotNull() & wanted).collect())
+    found = values.withColumn("upto", F.sum("n").over(running)).filter(wanted).collect()
     for t in targets:
-        t.value = next((r["v"] for r in found if r["column"] == names.index(t.column)
-                        and r["upto"] - r["n"] <= t.rank < r["upto"]), None)
+        place = t.rank - below[f"b{span_of[t]}"]
+        t.value = next((r["v"] for r in found if r["span"] == span_of[t]
+                        and r["upto"] - r["n"] <= place < r["upto"]), None)
         if t.value is None:
             t.widen()
 

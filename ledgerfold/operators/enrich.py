@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ref
 from ..functions.scratch import stage
-from ..functions.skew import attach
 from ..settings import (
     CHURNED_STATUSES, FILL_TEXT, INDUSTRY_FALLBACK, PLAN_FALLBACK, REASON_FALLBACK, RISK_FALLBACK,
 )
@@ -116,8 +115,7 @@ def enrich(df: DataFrame, max_rows: int | None = None, order_by: tuple[str, ...]
     """Add every label the table's columns allow.
 
     `max_rows` with `order_by` labels only the first rows in that order, which
-    must identify a row; the others get nulls. Only the first rows' keys are
-    sorted out, and only they are joined.
+    must identify a row; the others get nulls.
     """
     if max_rows is not None:
         return enrich_head(df, max_rows, order_by)
@@ -138,12 +136,26 @@ LABELS = ("plan_category", "churn_reason_category", "churn_risk_score", "industr
 
 
 def enrich_head(df: DataFrame, max_rows: int, order_by: tuple[str, ...]) -> DataFrame:
-    """Labels on the first `max_rows` rows only."""
-    head = df.select(*order_by).orderBy(*order_by).limit(max_rows).withColumn("in_head", F.lit(True))
-    marked = enrich(df).join(head, list(order_by), "left")
-    labels = [c for c in LABELS if c in marked.columns]
-    return marked.withColumns({
-        c: F.when(F.col("in_head"), F.col(c)) for c in labels}).drop("in_head")
+    """Labels on the first `max_rows` rows only, in the order of a unique key.
+
+    The last key of the head is the limit; a repeated one there is an error, as
+    the head would then be open.
+    """
+    if not order_by:
+        raise ValueError("max_rows needs columns that order the rows: pass a unique key")
+    labelled = enrich(df)
+    labels = [c for c in LABELS if c in labelled.columns]
+    # The last row of the head and the one behind it.
+    edge = df.select(*order_by).orderBy(*order_by).offset(max_rows - 1).limit(2).collect() if max_rows > 0 else []
+    if len(edge) == 2 and edge[0] == edge[1]:
+        raise ValueError(f"{', '.join(order_by)} repeats at row {max_rows}: pass a unique key")
+    in_head = F.lit(max_rows > 0)
+    if len(edge) == 2:  # (a, b) <= (x, y), nulls first as in the order
+        for name in reversed(order_by):
+            last, value = F.lit(edge[0][name]).cast(df.schema[name].dataType), ref(name)
+            below = F.lit(False) if edge[0][name] is None else value.isNull() | (value < last)
+            in_head = below | (value.eqNullSafe(last) & in_head)
+    return labelled.withColumns({c: F.when(in_head, F.col(c)) for c in labels})
 
 
 def enrichment_report(enriched: DataFrame) -> DataFrame:
@@ -245,8 +257,9 @@ def batch_classify(
 ) -> DataFrame:
     """Replies to a column `prompt`, one client per task, one call per batch.
 
-    If a batch fails its prompts are asked one by one; a prompt that fails
-    alone gets a null reply, and so the fallback label.
+    If a batch fails, or has another number of replies, its prompts are asked one
+    by one; a prompt that fails alone, or whose reply isn't text, gets a null
+    reply, and so the fallback label.
     """
     others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                        for f in prompts.schema.fields)
@@ -256,7 +269,10 @@ def batch_classify(
 
         def ask(texts: list[str]) -> list[str | None]:
             try:
-                return classify(texts)
+                replies = list(classify(texts))
+                if len(replies) != len(texts):
+                    raise ValueError(f"{len(replies)} replies to {len(texts)} prompts")
+                return [r if isinstance(r, str) else None for r in replies]
             except Exception:
                 if len(texts) == 1:
                     return [None]
@@ -294,18 +310,17 @@ def enrich_with_model(
         "churn_risk_score": RISK_FALLBACK, "industry_category": INDUSTRY_FALLBACK,
     }[field]
     asked = render_prompt(df, field, template)
-    prompts = df.select(asked.alias("prompt")).filter("prompt is not null").groupBy("prompt").agg(
-        F.count(F.lit(1)).alias("asked"))
+    prompts = df.select(asked.alias("prompt")).filter("prompt is not null").distinct()
     prompts = prompts.repartition(
         tasks or df.sparkSession.sparkContext.defaultParallelism, "prompt")
     labels = stage(
         batch_classify(prompts, make_classifier).select(
-            F.sha2("prompt", 256).alias("prompt_key"), "asked",
+            F.sha2("prompt", 256).alias("prompt_key"),
             parse_reply(F.col("reply"), REPLY_KEYS[field], fallback).alias(field)),
         "labels")
-    # Rows meet their label by the prompt's digest: no prompt text is shuffled.
-    rows = df.withColumn("prompt_key", F.sha2(asked, 256))
-    without = rows.filter("prompt_key is null").withColumn(field, F.lit(None).cast(
-        "double" if isinstance(fallback, float) else "string"))
-    with_label = attach(rows.filter("prompt_key is not null"), labels, "prompt_key", "asked")
-    return with_label.unionByName(without).drop("prompt_key")
+    # Rows meet their label by the prompt's digest: no prompt text is shuffled. A row
+    # without a prompt gets a key that no label has, so that such rows spread over tasks;
+    # a prompt that many rows share is split by the engine.
+    nobody = F.concat(F.lit("none "), F.pmod(F.xxhash64(*map(ref, df.columns)), F.lit(65_536)).cast("string"))
+    rows = df.withColumn("prompt_key", F.coalesce(F.sha2(asked, 256), nobody))
+    return rows.join(labels, "prompt_key", "left").drop("prompt_key")

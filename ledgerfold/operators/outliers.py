@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,20 +11,22 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import nan_to_null, numeric_columns, ref
 from ..functions.ranks import interpolate, order_statistics, quantile_ranks, sketch
+from ..functions.scratch import stage
 from ..settings import (
-    ANOMALY_IQR_MULTIPLIER, ANOMALY_MIN_VALUES, ANOMALY_SKIP, ANOMALY_Z_LIMIT, CONTEXT_CHARS,
+    ANOMALY_IQR_MULTIPLIER, ANOMALY_MIN_VALUES, ANOMALY_SKIP, ANOMALY_Z_LIMIT,
     EXPECTED_RANGE, PROMPT_CONTEXT_ITEMS, SEVERITY_HIGH_Z, SEVERITY_MEDIUM_Z,
 )
+from .enrich import Classifier, batch_classify
 
 
 @dataclass(frozen=True)
 class Baseline:
-    """What is usual in a column."""
+    """What is usual in a column; fences only where they were asked for."""
 
     mean: float
     std: float
-    low: float
-    high: float
+    low: float | None = None
+    high: float | None = None
 
 
 def anomaly_columns(df: DataFrame, skip: tuple[str, ...] = ANOMALY_SKIP) -> list[str]:
@@ -32,12 +35,13 @@ def anomaly_columns(df: DataFrame, skip: tuple[str, ...] = ANOMALY_SKIP) -> list
 
 
 def baselines(
-    df: DataFrame, columns: list[str], multiplier: float = ANOMALY_IQR_MULTIPLIER,
+    df: DataFrame, columns: list[str], multiplier: float = ANOMALY_IQR_MULTIPLIER, fences: bool = True,
 ) -> dict[str, Baseline]:
     """Mean, deviation and fences; columns too short or constant are left out.
 
-    Two passes for all columns together: moments and counts, then exact ranks.
-    Only a few numbers per column come back to the driver.
+    One pass for all columns together gives moments and counts, exact ranks take
+    more where fences are wanted. Only a few numbers per column come back to the
+    driver.
     """
     if not columns:
         return {}
@@ -45,13 +49,16 @@ def baselines(
     seen = doubles.agg(*[
         a for i in range(len(columns)) for a in (
             F.count(f"c{i}").alias(f"n{i}"), F.avg(f"c{i}").alias(f"m{i}"),
-            F.stddev_samp(f"c{i}").alias(f"s{i}"), sketch(F.col(f"c{i}")).alias(f"g{i}"),
+            F.stddev_samp(f"c{i}").alias(f"s{i}"),
+            *([sketch(F.col(f"c{i}")).alias(f"g{i}")] if fences else []),
         )
     ]).first()
     usable = [
         i for i in range(len(columns))
         if seen[f"n{i}"] >= ANOMALY_MIN_VALUES and seen[f"s{i}"] != 0
     ]
+    if not fences:
+        return {columns[i]: Baseline(seen[f"m{i}"], seen[f"s{i}"]) for i in usable}
     found = order_statistics(
         doubles,
         {f"c{i}": [r for q in (0.25, 0.75) for r in quantile_ranks(seen[f"n{i}"], q)] for i in usable},
@@ -132,7 +139,8 @@ def anomalies(
 
 def zscore_anomalies(df: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows far from the mean in deviations."""
-    b = baselines(df, [column])
+    df = nan_to_null(df)
+    b = baselines(df, [column], fences=False)
     if not b:
         return df.limit(0).select(*keep, column, F.lit(0.0).alias("score"))
     score = z_score(ref(column), b[column])
@@ -141,15 +149,41 @@ def zscore_anomalies(df: DataFrame, column: str, keep: tuple[str, ...] = ()) ->
 
 def iqr_anomalies(df: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows outside the fences; the comparison reaches the scan as constants."""
-    b = baselines(df, [column])
+    b = baselines(nan_to_null(df), [column])
     if not b:
         return df.limit(0).select(*keep, column)
     low, high = b[column].low, b[column].high
-    return df.filter((ref(column) < F.lit(low)) | (ref(column) > F.lit(high))).select(*keep, column)
+    value = ref(column)  # NaN counts as larger than any number, also than infinity
+    above = (value > F.lit(high)) & (value <= F.lit(float("inf")))
+    return df.filter((value < F.lit(low)) | above).select(*keep, column)
+
+
+def stored_context(c: Column, chars: int | None = None) -> Column:
+    """The row context as it is stored: whole, or its first characters if a limit is asked for."""
+    return c if chars is None else F.substring(c, 1, chars)
+
 
+def row_key(keep: tuple[str, ...]) -> Column:
+    """The key columns of a row as JSON, by which a stored anomaly finds its row again."""
+    return F.to_json(F.struct(*map(ref, keep)), {"ignoreNullFields": "false"}) if keep else F.lit(None).cast("string")
 
-def stored_context(c: Column) -> Column:
-    return F.substring(c, 1, CONTEXT_CHARS)
+
+def explain_anomalies(
+    found: DataFrame, dataset_name: str, context: list[str], make_explainer: Callable[[], Classifier],
+    tasks: int | None = None,
+) -> DataFrame:
+    """`found` with `llm_explanation`: the model's answer to each anomaly's prompt.
+
+    Equal prompts are asked once, spread over `tasks` tasks, and their answers
+    stored before they are used. A prompt that fails leaves a null.
+    """
+    asked = found.withColumn("prompt_", anomaly_prompt(found, dataset_name, context))
+    prompts = asked.select(F.col("prompt_").alias("prompt")).filter("prompt is not null").distinct().repartition(
+        tasks or found.sparkSession.sparkContext.defaultParallelism, "prompt")
+    answers = stage(batch_classify(prompts, make_explainer).select(
+        F.sha2("prompt", 256).alias("prompt_key_"), F.col("reply").alias("llm_explanation")), "explanations")
+    rows = asked.withColumn("prompt_key_", F.sha2("prompt_", 256)).drop("prompt_", "llm_explanation")
+    return rows.join(answers, "prompt_key_", "left").drop("prompt_key_")
 
 
 def anomaly_prompt(found: DataFrame, dataset_name: str, context: list[str]) -> Column:

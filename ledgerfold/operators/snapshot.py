@@ -32,8 +32,14 @@ def month_period(df: DataFrame, start: str = "start_date") -> DataFrame:
     return months.select(F.date_format("m", "yyyy-MM").alias("period"))
 
 
-def month_pairs(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+# Floating amounts are added as decimals, which a running sum may subtract again without a trace.
+EXACT_AMOUNT = "decimal(38,10)"
+
+
+def month_pairs(df: DataFrame, by: tuple[str, ...] = (), exact: bool = False) -> DataFrame:
     """Row count and revenue per start month and churn month."""
+    if exact:
+        df = df.withColumn("mrr", F.nanvl(F.col("mrr").cast("double"), F.lit(None)).cast(EXACT_AMOUNT))
     churn = F.col("churn_date") if "churn_date" in df.columns else F.lit(None).cast("timestamp_ntz")
     return (
         df.select(*by, "mrr", month_of(F.col("start_date")).alias("s"), month_of(churn).alias("c"))
@@ -81,18 +87,17 @@ def _running(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def _interval(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """The interval join itself, between months and month pairs.
+    """The interval join itself, between months and month pairs: a cross-check of the running form.
 
-    The months sent to every task are a few hundred dates; with `by` the join
-    is an equi-join on those columns and Spark picks the strategy.
+    A pair meets the months in which it counts, no others; with `by` the join is
+    an equi-join on those columns and Spark picks the strategy.
     """
     periods = pairs.filter("s is not null").select(*[F.col(b).alias(f"p_{b}") for b in by],
                                                    F.col("s").alias("m")).distinct()
     same = [F.col(b).eqNullSafe(F.col(f"p_{b}")) for b in by]
-    touches = (F.col("s") <= F.col("m")) | (F.col("c") == F.col("m"))
-    joined = pairs.join(
-        periods if by else F.broadcast(periods), reduce(lambda a, b: a & b, same, touches))
     active = (F.col("s") <= F.col("m")) & (F.col("c").isNull() | (F.col("c") > F.col("m")))
+    touches = active | (F.col("s") == F.col("m")) | (F.col("c") == F.col("m"))
+    joined = pairs.join(periods, reduce(lambda a, b: a & b, same, touches))
     new, churned = F.col("s") == F.col("m"), F.col("c") == F.col("m")
     zero = F.lit(0).cast("bigint")
 
@@ -111,12 +116,15 @@ def monthly_snapshot(
 ) -> DataFrame:
     """One row per start month (and per `by`), with all measures.
 
-    `form` is "running" or "interval"; both give the same rows. By default
-    exact amounts use the running sum, which is linear in the pairs, and
-    floating amounts the interval join, which adds and never subtracts.
+    `form` is "running", which is linear in the month pairs, or "interval", which
+    checks it; both give the same rows. Floating amounts are added exactly, to ten
+    decimal places, and come back as doubles.
     """
-    form = form or ("running" if is_decimal(df, "mrr") else "interval")
-    months = {"running": _running, "interval": _interval}[form](month_pairs(df, by), by)
+    floating = not is_decimal(df, "mrr")
+    pairs = month_pairs(df, by, exact=floating)
+    months = {"running": _running, "interval": _interval}[form or "running"](pairs, by)
+    if floating:
+        months = months.withColumns({c: F.col(c).cast("double") for c in ("active_v", "new_v", "churn_v")})
     active = F.greatest(F.col("active_n"), F.lit(1))
     base = F.col("active_v") - F.col("new_v") + F.col("churn_v")
     ratio = round_exact if rounded else (lambda c, digits: c)

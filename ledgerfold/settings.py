@@ -22,6 +22,11 @@ FLAG_NAMES = ("churned", "is_churned", "churn", "cancelled", "active")
 NUMBER_NAMES = ("mrr", "arr", "seats", "users", "licenses", "revenue", "amount", "price")
 NUMBER_PREFIXES = ("mrr", "arr")
 TRUE_TEXTS = ("true", "yes", "1")
+# Forms of dates beside ISO, tried per column.
+DATE_FORMATS = (
+    "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "d.M.yyyy", "d-M-yyyy", "M-d-yyyy", "d MMM yyyy", "MMM d, yyyy", "yyyyMMdd",
+    "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss",
+)
 
 # --- Cleaning ----------------------------------------------------------------
 NULL_RATIO_LIMIT = 0.5
@@ -51,7 +56,6 @@ ANOMALY_Z_LIMIT = 2.5
 ANOMALY_IQR_MULTIPLIER = 1.5
 SEVERITY_HIGH_Z = 4
 SEVERITY_MEDIUM_Z = 3
-CONTEXT_CHARS = 1000
 PROMPT_CONTEXT_ITEMS = 8
 
 # --- Enrichment labels and fallbacks -----------------------------------------
@@ -79,7 +83,6 @@ NO_VALUE_TEXTS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 FILE_SUFFIXES = (".csv", ".tsv")
-MAX_FILE_BYTES = 100 * 1024 * 1024
 
 # --- Histogram bounds --------------------------------------------------------
 LATENCY_BOUNDS_MS = (100, 250, 500, 1000, 2000, 5000)
@@ -112,11 +115,11 @@ REPORT_TYPE = "monthly_saas"
 # fit would be lost.
 SUBSCRIPTIONS_DDL = (
     "id string, dataset_id string, customer_id string, customer_name string, plan string, "
-    "plan_category string, mrr decimal(18,2), arr decimal(18,2), status string, "
+    "plan_category string, mrr decimal(38,2), arr decimal(38,2), status string, "
     "churned boolean, churn_reason string, churn_reason_category string, "
     "churn_risk_score double, start_date timestamp_ntz, churn_date timestamp_ntz, "
     "lifetime_months double, country string, industry string, industry_category string, "
-    "seats int, created_at timestamp_ntz"
+    "seats bigint, created_at timestamp_ntz"
 )
 METRICS_DDL = (
     "id string, dataset_id string, period string, mrr decimal(38,2), new_mrr decimal(38,2), "
@@ -126,7 +129,7 @@ METRICS_DDL = (
 )
 ANOMALIES_DDL = (
     "id string, dataset_id string, column_name string, method string, value double, "
-    "score double, row_index bigint, row_context string, llm_explanation string, "
+    "score double, row_index bigint, row_key string, row_context string, llm_explanation string, "
     "severity string, created_at timestamp_ntz"
 )
 DATASETS_DDL = (

@@ -4,12 +4,11 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerfold.functions import skew
 from ledgerfold.operators.enrich import (
     enrich, enrich_with_model, enrichment_report, parse_reply, render_prompt,
 )
 from ledgerfold.operators.outliers import (
-    anomalies, anomaly_columns, anomaly_prompt, iqr_anomalies, stored_context, zscore_anomalies,
+    anomalies, anomaly_columns, anomaly_prompt, explain_anomalies, iqr_anomalies, stored_context, zscore_anomalies,
 )
 
 
@@ -60,9 +59,10 @@ def test_scan_gets_the_fences(spark, tmp_path):
     assert "PushedFilters: [Or(LessThan(x" in plan
 
 
-def test_context_is_cut_and_prompt_shows_it(spiky):
+def test_context_is_whole_and_prompt_shows_it(spiky):
     found = anomalies(spiky, keep=("ref",))
-    assert found.select(F.length(stored_context(F.repeat(F.lit("x"), 5000)))).first()[0] == 1000
+    long = F.repeat(F.lit("x"), 5000)
+    assert tuple(found.select(F.length(stored_context(long)), F.length(stored_context(long, 1000))).first()) == (5000, 1000)
     text = found.select(anomaly_prompt(found, "d", ["ref", "value"])).first()[0]
     assert "Dataset d, column mrr: value 250.0" in text and '{"ref":"k60","value":250.0}' in text
 
@@ -102,6 +102,20 @@ def test_head_only(subs):
     assert [r["industry_category"] for r in rows] == ["tech", "finance", None, None, None]
 
 
+def test_head_of_repeated_keys(subs):
+    """A key that repeats inside the head does no harm; at its end it is refused."""
+    twice = subs.unionByName(subs.filter("k = 1"))
+    rows = enrich(twice, max_rows=3, order_by=("k",)).collect()
+    assert len(rows) == 6 and sum(r["churn_risk_score"] is not None for r in rows) == 3
+    with pytest.raises(ValueError, match="repeats"):
+        enrich(twice, max_rows=1, order_by=("k",))
+    with pytest.raises(ValueError, match="unique key"):
+        enrich(subs, max_rows=1)
+    assert enrich(subs, max_rows=99, order_by=("k",)).filter("plan_category is not null").count() == 4
+    by_country = enrich(subs, max_rows=2, order_by=("country", "k")).orderBy("k").collect()
+    assert [r["churn_risk_score"] is not None for r in by_country] == [False, True, False, True, False]
+
+
 def test_absent_columns_get_no_label(subs):
     assert "industry_category" not in enrich(subs.drop("customer_name")).columns
 
@@ -135,11 +149,8 @@ def _model(calls_path):
     return make
 
 
-@pytest.mark.parametrize("hot_keys,hot_bytes", [(500, 2**25), (1, 2**25), (500, 0)])
-def test_model_sees_each_prompt_once(spark, tmp_path, monkeypatch, hot_keys, hot_bytes):
-    """Most rows share a reason; every way of joining back gives the same rows."""
-    monkeypatch.setattr(skew, "HOT_KEYS", hot_keys)
-    monkeypatch.setattr(skew, "HOT_BYTES", hot_bytes)
+def test_model_sees_each_prompt_once(spark, tmp_path):
+    """Most rows share a reason, many have none."""
     reasons = ["too expensive"] * 300 + ["bad fit"] * 40 + ["slow help"] * 5 + [None] * 20 + ["unknown"]
     df = spark.createDataFrame(list(enumerate(reasons)), "k int, churn_reason string").repartition(4)
     calls = tmp_path / "calls"
@@ -157,3 +168,24 @@ def test_failing_model_gives_fallbacks(spark, tmp_path):
     found = enrich_with_model(
         df, "churn_reason_category", _model(str(tmp_path / "c")), tasks=1).orderBy("k")
     assert [r["churn_reason_category"] for r in found.collect()] == ["other", "price", "price"]
+
+
+@pytest.mark.parametrize("reply", [lambda ps: ps[:-1], lambda ps: [*ps, "more"], lambda ps: [{"a": 1} for _ in ps],
+                                   lambda ps: None])
+def test_replies_of_wrong_number_or_type_give_fallbacks(spark, reply):
+    df = spark.createDataFrame([(i, f"reason number {i}") for i in range(5)], "k int, churn_reason string")
+    found = enrich_with_model(df, "churn_reason_category", lambda: reply, tasks=1)
+    assert [r["churn_reason_category"] for r in found.collect()] == ["other"] * 5
+
+
+def test_explanations(spiky, tmp_path):
+    found = anomalies(spiky.unionByName(spiky), keep=("ref",))
+    answers = explain_anomalies(found, "d", ["value"], lambda: lambda ps: [f"because {len(p)}" for p in ps]).collect()
+    assert len(answers) == 2 and {r["llm_explanation"][:7] for r in answers} == {"because"}
+    failing = explain_anomalies(found, "d", ["value"], lambda: lambda ps: 1 / 0)
+    assert [r["llm_explanation"] for r in failing.collect()] == [None, None]
+
+
+def test_zscore_needs_no_ranks(spiky, monkeypatch):
+    monkeypatch.setattr("ledgerfold.operators.outliers.order_statistics", None)
+    assert [r["ref"] for r in zscore_anomalies(spiky, "mrr", keep=("ref",)).collect()] == ["k60"]

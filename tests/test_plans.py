@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from ledgerfold.operators.snapshot import monthly_snapshot
-from ledgerfold.plans.fixtures import subscriptions
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -43,11 +42,21 @@ def test_rows_are_combined_before_the_window(spark):
     assert "partial_count" in below_window and "partial_sum" in below_window
 
 
-def test_nested_loop_is_between_months_only(spark):
-    """The interval form joins aggregates, never rows."""
-    plan = plan_of(monthly_snapshot(subscriptions(spark, SF_DIR), form="interval"))
-    left, right = plan[plan.index("BroadcastNestedLoopJoin"):].split("BroadcastExchange", 1)
-    assert "HashAggregate(keys=[s#" in left and "HashAggregate(keys=[" in right
+@pytest.mark.parametrize("by", [(), ("d",)])
+@pytest.mark.parametrize("kind", ["double", "decimal(12,2)"])
+def test_snapshot_joins_nothing(spark, by, kind):
+    """Neither floating amounts nor a dominating dataset lead to a join or to pairs of months."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 10 == 0, F.lit("small")).otherwise(F.lit("large")).alias("d"),
+        (F.col("id") % 7 + 0.1).cast(kind).alias("mrr"),
+        F.timestamp_add("MONTH", (F.col("id") % 50).cast("int"), F.lit("2020-01-05").cast("timestamp_ntz")).alias("start_date"),
+        F.when(F.col("id") % 3 == 0, F.timestamp_add(
+            "MONTH", (F.col("id") % 61).cast("int"), F.lit("2020-01-09").cast("timestamp_ntz"))).alias("churn_date"))
+    running = monthly_snapshot(df, by=by)
+    assert "Join" not in plan_of(running) and "Cartesian" not in plan_of(running)
+    key = [*by, "period"]
+    other = monthly_snapshot(df, by=by, form="interval")
+    assert running.orderBy(*key).collect() == other.orderBy(*key).collect()
 
 
 def test_results_do_not_depend_on_the_time_zone(spark):
