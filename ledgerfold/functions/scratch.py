@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_runs: ContextVar[tuple[str, ...]] = ContextVar("runs", default=())
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -27,17 +31,33 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def _session_folder(spark: SparkSession) -> str:
-    return f"{scratch_root(spark)}/ledgerfold/{spark.sparkContext.applicationId}"
+    return "/".join([scratch_root(spark), "ledgerfold", spark.sparkContext.applicationId, *_runs.get()])
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove everything this session has staged; its staged frames end with it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _drop(spark, _session_folder(spark))
+
+
+@contextmanager
+def staging(spark: SparkSession, run: str) -> Iterator[None]:
+    """Keep what is staged within the block in a folder of its own, and remove that at the end."""
+    outer = _runs.set((*_runs.get(), run))
+    try:
+        yield
+    finally:
+        folder = _session_folder(spark)
+        _runs.reset(outer)
+        _drop(spark, folder)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

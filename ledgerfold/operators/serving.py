@@ -304,14 +304,45 @@ def is_safe_sql(sql: str, strict: bool = False) -> bool:
     return re.search(rf"\b({'|'.join(BLOCKED_WORDS)})\b", lower) is None
 
 
+# Functions that reach the JVM or files from within a statement.
+OPEN_FUNCTIONS = ("reflect", "java_method", "try_reflect", "input_file_name", "python_worker_logs")
+
+
+def statement_relations(spark: SparkSession, sql: str) -> tuple[set[str], set[str]]:
+    """Names that the parsed statement reads, and those that it defines itself."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
+    read = re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan)
+    defined = re.findall(r"\bCTE \[([^\]]*)\]", plan)
+    return {n.strip().lower() for n in read}, {n.strip().lower() for names in defined for n in names.split(",")}
+
+
 def safe_sql(
     spark: SparkSession, raw: str, tables: dict[str, DataFrame], strict: bool = False,
     limit: int = SQL_ROW_LIMIT,
 ) -> DataFrame:
-    """Run a given read-only statement over the named tables."""
+    """Run a given read-only statement over the named tables, in a session of its own.
+
+    Refused are statements that change something, that read anything but the
+    named tables (files by path included), or that call into the JVM.
+    """
     sql = clean_sql(raw)
     if not is_safe_sql(sql, strict):
         raise ValueError("only read-only statements are run")
+    code = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.DOTALL)
+    if called := re.search(rf"\b({'|'.join(OPEN_FUNCTIONS)})\b`?\s*\(", code, re.IGNORECASE):
+        raise ValueError(f"{called[1]} may not be called")
+    own = spark.newSession()
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    read, defined = statement_relations(own, sql)
+    if other := read - defined - {t.lower() for t in tables}:
+        raise ValueError(f"no table {', '.join(sorted(other))}; there are {', '.join(sorted(tables))}")
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql).limit(limit)
+        view_in(own, name, df)
+    return own.sql(sql).limit(limit)
+
+
+def view_in(session: SparkSession, name: str, df: DataFrame) -> None:
+    """Register a frame of another session as a temporary view."""
+    moved = session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(
+        session._jsparkSession, df._jdf.queryExecution().logical())
+    moved.createOrReplaceTempView(name)

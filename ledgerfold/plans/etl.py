@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -11,15 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric_columns
-from ..functions.scratch import stage
+from ..functions.scratch import stage, staging
 from ..operators.checks import validation_report
 from ..operators.clean import CleanReport, clean
 from ..operators.derive import transform_subscriptions
-from ..operators.enrich import enrich, enrichment_report
-from ..operators.outliers import anomalies
+from ..operators.enrich import Classifier, enrich, enrich_with_model, enrichment_report
+from ..operators.outliers import anomalies, explain_anomalies, row_key
 from ..operators.profile import apply_mapping, canonical_mapping, detect_domain
 from ..operators.snapshot import snapshots
-from ..settings import CANONICAL_HINTS
+from ..settings import CANONICAL_HINTS, DATE_FORMATS
 from ..sources.readers import land_source
 from ..sources.store import Store
 
@@ -57,24 +58,30 @@ def canonical_table(df: DataFrame) -> tuple[DataFrame, str]:
     return apply_mapping(df, mapping), detect_domain(df.columns)
 
 
-def prepare(df: DataFrame, dataset_id: str, max_enriched: int | None = None,
-            key: tuple[str, ...] = ()) -> tuple[DataFrame, CleanReport]:
-    """Clean, derive and label a canonical table."""
-    cleaned = clean(df, protect=tuple(c for c in SPARSE if c in CANONICAL_HINTS))
-    derived = transform_subscriptions(cleaned.frame, dataset_id)
-    return enrich(derived, max_enriched, key), cleaned.partial
+def label(
+    derived: DataFrame, max_enriched: int | None = None, key: tuple[str, ...] = (),
+    models: dict[str, Callable[[], Classifier]] | None = None,
+) -> DataFrame:
+    """Labels by rules, and by a model for the fields that have one."""
+    labelled = enrich(derived, max_enriched, key)
+    for name, make_classifier in (models or {}).items():
+        labelled = enrich_with_model(labelled.drop(name), name, make_classifier)
+    return labelled
 
 
 def run_etl(
     spark: SparkSession, store: Store, dataset_id: str, kind: str, name: str | None = None,
     job_id: str | None = None, detect: bool = True, max_enriched: int | None = None,
-    key: tuple[str, ...] = (), **source,
+    key: tuple[str, ...] = (), models: dict[str, Callable[[], Classifier]] | None = None,
+    explain: Callable[[], Classifier] | None = None, date_formats: tuple[str, ...] = DATE_FORMATS, **source,
 ) -> EtlRun:
     """Run every stage for one source and store the results.
 
     A failed quality check is recorded and does not stop the run; an error marks
     job and dataset as failed and is raised again. `key` names columns that
-    identify a row, for the anomalies.
+    identify a row, for the anomalies. `models` and `explain` make clients that
+    label rows and explain anomalies. What the run has staged is removed at its
+    end; frames in the result are read before that.
     """
     job_id = job_id or str(uuid.uuid4())
     name = name or dataset_id
@@ -92,49 +99,65 @@ def run_etl(
             "created_at": started, "updated_at": _now(), **more})
 
     step = "fetching"
-    try:
-        log("processing", 5, step)
-        raw = land_source(spark, kind, **source)
-        table, domain = canonical_table(raw)
-        step = "cleaning"
-        log("processing", 25, step)
-        prepared, cleaning = prepare(table, dataset_id, max_enriched, key)
-        # Metrics, checks, anomalies and the sink all read this one table.
-        ready = stage(prepared, "prepared")
-        step = "validation"
-        log("processing", 70, step)
-        report = validation_report(ready, domain)
-        findings = report.collect()  # one row per rule
-        passed = all(r["passed"] for r in findings)
-        step = "storing"
-        log("processing", 80, step)
-        store.write_subscriptions(ready, one_dataset=True)
-        months = snapshots(ready).withColumn("dataset_id", F.lit(dataset_id))
-        store.write_metrics(months, one_dataset=True)
-        found = 0
-        step = "anomaly_detection"
-        if detect:
-            log("processing", 90, step)
-            # As stored: numbers after capping, context from the numeric columns.
-            numbers = ready.select(*dict.fromkeys([*key, *numeric_columns(ready)]))
-            cells = stage(anomalies(numbers, keep=key, context=numeric_columns(ready)), "anomalies")
-            found = cells.count()
-            store.delete(dataset_id, ("anomalies",))
-            if found:
-                store.write_anomalies(
-                    cells.withColumn("dataset_id", F.lit(dataset_id)), one_dataset=True)
-        failures = [r.asDict() for r in findings if r["outcome"] != "passed"]
-        labelled = enrichment_report(ready)
-        counts = labelled.agg(F.max("labelled").alias("n")).first()["n"] or 0
-        register(
-            "ready", domain=domain, row_count=cleaning.original_rows,
-            column_count=len(table.columns), validation_report=json.dumps(
-                {"passed": passed, "findings": failures}, default=str))
-        log("completed", 100, "done", finished_at=_now(), rows_processed=cleaning.original_rows,
-            rows_cleaned=cleaning.final_rows, rows_enriched=counts)
-        return EtlRun(dataset_id, cleaning.original_rows, cleaning.final_rows, found, passed,
-                      "completed", cleaning, report, labelled)
-    except Exception as error:
-        log("failed", 0, step, finished_at=_now(), error_message=str(error))
-        register("failed", error_message=str(error))
-        raise
+    with staging(spark, f"run-{job_id}"):
+        try:
+            log("processing", 5, step)
+            raw = land_source(spark, kind, **source)
+            step = "schema_detection"
+            log("processing", 15, step)
+            table, domain = canonical_table(raw)
+            step = "cleaning"
+            log("processing", 25, step)
+            cleaned = clean(
+                table, protect=tuple(c for c in SPARSE if c in CANONICAL_HINTS), date_formats=date_formats)
+            cleaning = cleaned.partial
+            step = "transforming"
+            log("processing", 40, step)
+            derived = transform_subscriptions(cleaned.frame, dataset_id)
+            step = "enrichment"
+            log("processing", 55, step)
+            # Metrics, checks, anomalies and the sink all read this one table.
+            ready = stage(label(derived, max_enriched, key, models), "prepared")
+            step = "validation"
+            log("processing", 70, step)
+            report = validation_report(ready, domain)
+            findings = report.collect()  # one row per rule
+            passed = all(r["passed"] for r in findings)
+            step = "storing"
+            log("processing", 80, step)
+            mine = (dataset_id,)
+            store.write_subscriptions(ready, one_dataset=True, datasets=mine)
+            months = stage(snapshots(ready).withColumn("dataset_id", F.lit(dataset_id)), "months")
+            store.write_metrics(months, one_dataset=True, datasets=mine)
+            found = 0
+            step = "anomaly_detection"
+            if detect:
+                log("processing", 90, step)
+                # As stored: numbers after capping, context from the numeric columns.
+                context = numeric_columns(ready)
+                numbers = ready.select(*dict.fromkeys([*key, *context]))
+                cells = anomalies(numbers, keep=key, context=context)
+                cells = cells.withColumns({"row_key": row_key(key), "dataset_id": F.lit(dataset_id)})
+                if explain is not None:
+                    cells = explain_anomalies(cells, name, ["row_context"], explain)
+                cells = stage(cells, "anomalies")
+                found = cells.count()
+                store.write_anomalies(cells, one_dataset=True, datasets=mine)
+            failures = [r.asDict() for r in findings if r["outcome"] != "passed"]
+            labelled = enrichment_report(ready).collect()
+            counts = max((r["labelled"] for r in labelled), default=0)
+            share = sum(r["passed"] for r in findings) / len(findings) if findings else 1.0
+            register(
+                "ready", domain=domain, row_count=cleaning.original_rows,
+                column_count=len(table.columns), validation_report=json.dumps(
+                    {"passed": passed, "pass_rate": round(share, 4), "findings": failures}, default=str))
+            log("completed", 100, "done", finished_at=_now(), rows_processed=cleaning.original_rows,
+                rows_cleaned=cleaning.final_rows, rows_enriched=counts)
+            return EtlRun(
+                dataset_id, cleaning.original_rows, cleaning.final_rows, found, passed, "completed", cleaning,
+                spark.createDataFrame(findings, report.schema),
+                spark.createDataFrame(labelled, "rows bigint, field string, labelled bigint, fallbacks bigint"))
+        except Exception as error:
+            log("failed", 0, step, finished_at=_now(), error_message=str(error))
+            register("failed", error_message=str(error))
+            raise

@@ -11,9 +11,11 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..operators.serving import report_context, report_markdown, safe_sql
-from ..settings import MAX_FILE_BYTES, REPORT_TYPE
-from ..sources.readers import check_suffix, file_fingerprints
+from ..operators.serving import (
+    dashboard_summary, histogram, metrics_last_n, report_context, report_markdown, safe_sql,
+)
+from ..settings import ETL_BOUNDS_SECONDS, REPORT_TYPE
+from ..sources.readers import check_suffix, source_fingerprint
 from ..sources.store import Store, taken_names
 from .etl import EtlRun, run_etl
 
@@ -23,28 +25,24 @@ def _now() -> datetime:
 
 
 def register_upload(
-    store: Store, path: str, name: str, domain: str = "saas",
-    max_bytes: int | None = MAX_FILE_BYTES,
+    store: Store, path: str, name: str, domain: str = "saas", max_bytes: int | None = None,
 ) -> tuple[str, str]:
-    """Enter a delimited file as a pending dataset with a queued job; their ids.
+    """Enter a delimited file or folder of parts as a pending dataset with a queued job; their ids.
 
-    Refused are other file types, files over the limit, and names a ready
-    dataset has. `max_bytes=None` takes files of any size. Only a single file
-    within the usual limit is fingerprinted, not a folder of parts.
+    Refused are other file types, names a ready dataset has, and, if `max_bytes`
+    is given, larger files.
     """
     spark = store.spark
     check_suffix(path)
-    # Sizes first: no content is read for them.
-    files = spark.read.format("binaryFile").load(path).agg(
-        F.count(F.lit(1)).alias("n"), F.max("length").alias("largest")).first()
-    if max_bytes is not None and (files["largest"] or 0) > max_bytes:
-        raise ValueError(f"{path} has {files['largest']} bytes, the limit is {max_bytes}")
+    if max_bytes is not None:  # sizes first: no content is read for them
+        largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+        if largest > max_bytes:
+            raise ValueError(f"{path} has {largest} bytes, the limit is {max_bytes}")
     wanted = spark.createDataFrame([(name,)], "name string")
     if not taken_names(wanted, store.datasets()).isEmpty():
         raise ValueError(f"a ready dataset is already named {name}")
     dataset_id, job_id, now = str(uuid.uuid4()), str(uuid.uuid4()), _now()
-    digest = file_fingerprints(spark, path).first()["fingerprint"] if files["n"] == 1 else None
-    config = {"filename": PurePosixPath(path).name, "hash": digest}
+    config = {"filename": PurePosixPath(path).name, "hash": source_fingerprint(spark, path)}
     store.append_rows("datasets", {
         "id": dataset_id, "name": name, "domain": domain, "source_type": "csv",
         "status": "pending", "etl_config": json.dumps(config), "created_at": now, "updated_at": now})
@@ -54,10 +52,16 @@ def register_upload(
     return dataset_id, job_id
 
 
-def ingest(store: Store, path: str, name: str, key: tuple[str, ...] = (), **options) -> EtlRun:
-    """Register a file and run every stage on it."""
-    dataset_id, job_id = register_upload(store, path, name, **options)
-    return run_etl(store.spark, store, dataset_id, "csv", name=name, job_id=job_id, key=key, path=path)
+def ingest(
+    store: Store, path: str, name: str, domain: str = "saas", max_bytes: int | None = None, **options,
+) -> EtlRun:
+    """Register a file and run every stage on it.
+
+    `options` are those of the run (key, models, explain, date_formats, ...) and of
+    the reader (sep, multiline).
+    """
+    dataset_id, job_id = register_upload(store, path, name, domain, max_bytes)
+    return run_etl(store.spark, store, dataset_id, "csv", name=name, job_id=job_id, path=path, **options)
 
 
 def answer(store: Store, question: str, sql: str, strict: bool = False) -> list[Row]:
@@ -78,8 +82,33 @@ def answer(store: Store, question: str, sql: str, strict: bool = False) -> list[
     return rows
 
 
+def metrics_of(store: Store, dataset_id: str, last: int = 24) -> DataFrame:
+    """The newest snapshots of a dataset, oldest first."""
+    return metrics_last_n(store.table("metrics").filter(F.col("dataset_id") == dataset_id), last)
+
+
+def anomalies_of(store: Store, dataset_id: str, severity: str | None = None, limit: int = 100) -> tuple[DataFrame, int]:
+    """The highest-scored anomalies of a dataset, and how many there are in all."""
+    mine = store.table("anomalies").filter(F.col("dataset_id") == dataset_id)
+    if severity is not None:
+        mine = mine.filter(F.col("severity") == severity)
+    return mine.orderBy(F.desc("score"), "id").limit(limit), mine.count()
+
+
+def dashboard(store: Store) -> DataFrame:
+    """Per dataset its registry row, latest snapshot and anomaly counts."""
+    datasets = store.datasets().withColumnsRenamed({"id": "dataset_id", "name": "dataset_name"})
+    return dashboard_summary(datasets, store.table("metrics"), store.table("anomalies"))
+
+
+def etl_histogram(store: Store) -> DataFrame:
+    """Durations of the finished jobs, by bucket."""
+    took = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) / 1e6
+    return histogram(store.jobs().select(took.alias("seconds")), "seconds", ETL_BOUNDS_SECONDS)
+
+
 def generate_report(store: Store, dataset_id: str, period: str | None = None) -> DataFrame:
-    """The report of a dataset as Markdown; also appended to the report log.
+    """The report of a dataset as Markdown, with its id; also appended to the report log.
 
     The period is a label: the data is always the latest.
     """
@@ -89,7 +118,8 @@ def generate_report(store: Store, dataset_id: str, period: str | None = None) ->
         store.table("subscriptions").filter(mine), store.table("metrics").filter(mine),
         store.table("anomalies").filter(mine), "customer_id", "row_context", period)
     markdown = report_markdown(context)
+    report_id = str(uuid.uuid4())
     store.append("reports", markdown.select(
-        F.lit(dataset_id).alias("dataset_id"), "period", F.lit(REPORT_TYPE).alias("report_type"),
+        F.lit(report_id).alias("id"), F.lit(dataset_id).alias("dataset_id"), "period", F.lit(REPORT_TYPE).alias("report_type"),
         F.col("markdown").alias("markdown_content"), F.lit(0).alias("tokens_used")))
-    return markdown
+    return markdown.withColumn("report_id", F.lit(report_id))

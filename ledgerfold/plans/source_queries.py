@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import new_path
 from ..operators.snapshot import monthly_snapshot
-from ..operators.outliers import anomalies
+from ..operators.clean import cast_dates, clean
+from ..operators.outliers import anomalies, row_key
 from ..sources import (
     Store, content_fingerprint, normalize_headers, read_csv, read_json_records, read_source,
     read_sql, read_tsv, source_metadata,
 )
+from ..sources.readers import file_fingerprints
 from ..sources.store import (
     active_dataset_count, dataset_list, newest, query_history, taken_names, without_datasets,
 )
@@ -48,6 +50,49 @@ def csv(spark, sf_dir):
     return read_csv(spark, path)
 
 
+@query("exact_whole_numbers", """select count(distinct l_orderkey) as codes,
+  count(distinct l_orderkey) as long_codes, 1234567890000000000 + max(l_orderkey) as largest,
+  count(*) as rows from (select distinct l_orderkey from lineitem)""")
+def exact_whole_numbers(spark, sf_dir):
+    """19- and 25-digit codes through the reader and the cleaner: no two become one."""
+    path = new_path(spark, "codes")
+    key = F.col("l_orderkey") + 1234567890000000000
+    table(spark, sf_dir, "lineitem").select(
+        key.cast("string").alias("code_ref"), F.concat(key.cast("string"), F.lit("000001")).alias("long_ref"),
+        F.when(F.col("l_orderkey") % 50 != 0, key.cast("string")).alias("gappy_ref"),
+    ).write.option("header", True).csv(path)
+    cleaned = clean(read_csv(spark, path)).frame
+    return cleaned.agg(
+        F.count_distinct("code_ref").alias("codes"), F.count_distinct("long_ref").alias("long_codes"),
+        F.max("code_ref").cast("bigint").alias("largest"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("cast_dates_forms", """select l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d') as start_date,
+  strftime(l_shipdate + interval 40 day, '%Y-%m-%d') as end_date from lineitem""")
+def cast_dates_forms(spark, sf_dir):
+    """Dates written month first in one column and day first in another."""
+    texts = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.date_format("l_shipdate", "MM/dd/yyyy").alias("start_date"),
+        F.date_format(F.date_add("l_shipdate", 40), "dd.MM.yyyy").alias("end_date"))
+    return cast_dates(texts).select(
+        "l_orderkey", "l_linenumber", F.date_format("start_date", "yyyy-MM-dd").alias("start_date"),
+        F.date_format("end_date", "yyyy-MM-dd").alias("end_date"))
+
+
+@query("file_fingerprints", """select c_mktsegment as segment, substring(sha256(
+  string_agg(concat(c_custkey, ',', c_name, chr(10)), '' order by c_custkey)), 1, 16) as fingerprint
+  from customer group by c_mktsegment""")
+def fingerprints_of_parts(spark, sf_dir):
+    """One file per segment, each with its rows in order; the fingerprint of each file."""
+    path = new_path(spark, "parts")
+    rows = table(spark, sf_dir, "customer").select(
+        F.concat_ws(",", "c_custkey", "c_name").alias("value"), "c_custkey", "c_mktsegment")
+    (rows.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey")
+     .select("value", "c_mktsegment").write.partitionBy("c_mktsegment").text(path))
+    return file_fingerprints(spark, path).select(
+        F.url_decode(F.regexp_extract("path", "c_mktsegment=([^/]*)/", 1)).alias("segment"), "fingerprint")
+
+
 @query("read_csv_ragged", """select c_custkey as customer_id, c_name as customer_name,
   case when c_custkey % 4 <> 0 then c_mktsegment end as industry
   from customer where c_custkey % 5 <> 0""")
@@ -153,32 +198,75 @@ def write_metrics(spark, sf_dir):
         "churn_rate", "nrr", "arpu"))
 
 
-_STORED_CONTEXT = """, substring(concat('{"event_id":', event_id, ',"event_type":"', event_type, '"}'),
-  1, 1000) as row_context"""
+_STORED_CONTEXT = """, concat('{"event_id":', event_id, ',"event_type":"', event_type, '"}') as row_context,
+  event_id, user_id"""
 
 
 @query("write_anomalies", f"""select 'events' as dataset_id, column_name, method, value,
-  round(score, 4) as score, severity, row_context
+  round(score, 4) as score, severity, row_context, event_id, user_id
   from ({anomalies_sql('events', 'event_id', ('value',), _STORED_CONTEXT)})""")
 def write_anomalies(spark, sf_dir):
+    """Stored anomalies, each joined back to its row by the stored key."""
     store = Store(spark, new_path(spark, "store"))
-    found = anomalies(table(spark, sf_dir, "events"), keep=("event_id",), columns=["value"],
-                      context=["event_id", "event_type"])
-    store.write_anomalies(found.withColumn("dataset_id", F.lit("events")))
-    return store.table("anomalies").select(
+    events = table(spark, sf_dir, "events")
+    found = anomalies(events, keep=("event_id",), columns=["value"], context=["event_id", "event_type"])
+    store.write_anomalies(found.withColumns({"dataset_id": F.lit("events"), "row_key": row_key(("event_id",))}))
+    stored = store.table("anomalies").select(
         "dataset_id", "column_name", "method", "value", F.round("score", 4).alias("score"),
-        "severity", "row_context")
+        "severity", "row_context", F.from_json("row_key", "event_id bigint")["event_id"].alias("event_id"))
+    return stored.join(events.select("event_id", "user_id"), "event_id")
 
 
-@query("delete_dataset", f"""select country as dataset_id, count(*) as rows
-  from ({SUBSCRIPTIONS}) where country <> 'FRANCE' group by country""")
+@query("delete_dataset", f"""select country as dataset_id, count(*) as rows, 1 as registered, 1 as jobs,
+  1 as reports from ({SUBSCRIPTIONS}) where country <> 'FRANCE' group by country""")
 def delete_dataset(spark, sf_dir):
+    """A deleted dataset leaves its table, the registry, the jobs and the reports."""
+    store = Store(spark, new_path(spark, "store"))
+    subs = _by_country(spark, sf_dir)
+    store.write_subscriptions(subs)
+    ids = subs.select("dataset_id").distinct()
+    store.append("datasets", ids.select(
+        F.col("dataset_id").alias("id"), F.col("dataset_id").alias("name"), F.lit("ready").alias("status")))
+    for log in ("jobs", "reports"):
+        store.append(log, ids)
+    store.delete_dataset("FRANCE")
+    counted = lambda df, key, name: df.groupBy(F.col(key).alias("dataset_id")).agg(
+        F.count(F.lit(1)).alias(name))
+    return (
+        counted(store.table("subscriptions"), "dataset_id", "rows")
+        .join(counted(store.datasets(), "id", "registered"), "dataset_id", "full")
+        .join(counted(store.jobs(), "dataset_id", "jobs"), "dataset_id", "full")
+        .join(counted(store.reports(), "dataset_id", "reports"), "dataset_id", "full"))
+
+
+@query("write_empty_dataset", f"""select country as dataset_id, count(*) as rows
+  from ({SUBSCRIPTIONS}) where country <> 'FRANCE' group by country""")
+def write_empty_dataset(spark, sf_dir):
+    """A run without rows replaces the rows of the one before."""
     store = Store(spark, new_path(spark, "store"))
-    store.write_subscriptions(_by_country(spark, sf_dir))
-    store.delete("FRANCE")
+    subs = _by_country(spark, sf_dir)
+    store.write_subscriptions(subs)
+    store.write_subscriptions(subs.filter("false"), one_dataset=True, datasets=("FRANCE",))
     return store.table("subscriptions").groupBy("dataset_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("registry_keeps_config", f"""select id, case when id % 2 = 0 then concat('hash-', id) end as etl_config,
+  'ready' as status, '2024-01-01' as created from (select distinct c_custkey as id from customer)""")
+def registry_keeps_config(spark, sf_dir):
+    """What the first event of a dataset says holds until a later one says otherwise."""
+    store = Store(spark, new_path(spark, "store"))
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    event = lambda status, day: ids.select(
+        F.col("id").cast("string").alias("id"), F.concat(F.lit("set_"), "id").alias("name"), F.lit(status).alias("status"),
+        F.to_timestamp_ntz(F.lit(day)).alias("created_at"), F.to_timestamp_ntz(F.lit(day)).alias("updated_at"),
+        F.when((F.col("id") % 2 == 0) & F.lit(status == "pending"), F.concat(F.lit("hash-"), "id")).alias("etl_config"))
+    store.append("datasets", event("pending", "2024-01-01 00:00:00"))
+    store.append("datasets", event("ready", "2024-01-02 00:00:00"))
+    return store.datasets().select(
+        F.col("id").cast("bigint").alias("id"), "etl_config", "status",
+        F.date_format("created_at", "yyyy-MM-dd").alias("created"))
+
+
 @query("rows_after_delete", """select o_orderkey, o_custkey from orders where o_custkey not in
   (select c_custkey from customer where c_mktsegment = 'BUILDING')""")
 def rows_after_delete(spark, sf_dir):

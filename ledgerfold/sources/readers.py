@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.scratch import stage
 from ..operators.profile import infer_text_types
-from ..settings import FILE_SUFFIXES, MAX_FILE_BYTES, NO_VALUE_TEXTS
+from ..settings import FILE_SUFFIXES, NO_VALUE_TEXTS
 
 DELIMITERS = (",", ";", "\t", "|")
 _BAD = "_unparsed_line"
@@ -26,9 +26,20 @@ def normalize_header(name: str, dots: bool = False) -> str:
     return clean.replace(".", "_") if dots else clean
 
 
+def distinct_headers(names: list[str]) -> list[str]:
+    """Names that are equal get numbers, from the second on, that no other name has."""
+    out: list[str] = []
+    for name in names:
+        new, n = name, 2
+        while new in out or (new != name and new in names):
+            new, n = f"{name}_{n}", n + 1
+        out.append(new)
+    return out
+
+
 def normalize_headers(df: DataFrame, dots: bool = False) -> DataFrame:
     """Lower-cased headers without blanks and hyphens; only metadata changes."""
-    return df.toDF(*[normalize_header(c, dots) for c in df.columns])
+    return df.toDF(*distinct_headers([normalize_header(c, dots) for c in df.columns]))
 
 
 # --- Delimited text ----------------------------------------------------------
@@ -68,7 +79,7 @@ def read_csv(
     """
     header = _header_line(spark, path)
     sep = sep or sniff_delimiter(header)
-    names = next(csv.reader([header], delimiter=sep))
+    names = distinct_headers([normalize_header(n) for n in next(csv.reader([header], delimiter=sep))])
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
                           + [T.StructField(_BAD, T.StringType())])
     raw = (
@@ -84,7 +95,7 @@ def read_csv(
     keep = F.when(F.col(_BAD).isNull(), F.lit(True)).otherwise(
         ~_too_long(F.col(_BAD), sep, len(names)) | (F.length("c0") < 0))
     rows = raw.filter(keep).select(*[
-        F.when(~F.col(f"c{i}").isin(*NO_VALUE_TEXTS), F.col(f"c{i}")).alias(normalize_header(n))
+        F.when(~F.col(f"c{i}").isin(*NO_VALUE_TEXTS), F.col(f"c{i}")).alias(n)
         for i, n in enumerate(names)
     ])
     return infer_text_types(rows) if infer else rows
@@ -150,11 +161,11 @@ def jdbc_options(
 ) -> dict[str, str]:
     """Options of a JDBC read; `split` is (column, lower, upper, partitions).
 
-    Without it a single task reads the whole result.
+    It is required: without it a single task would read the whole result.
     """
     options = {"url": url, "fetchsize": str(fetch_size), **more}
     if split is None:
-        return options | {"query": query}
+        raise ValueError("name a column to split the result by: (column, lower, upper, partitions)")
     column, lower, upper, partitions = split
     return options | {
         "dbtable": f"({query}) source", "partitionColumn": column, "lowerBound": str(lower),
@@ -240,13 +251,15 @@ def content_fingerprint(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 
 
-def file_fingerprints(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Fingerprint per file; a file over the upload limit is refused unread."""
+def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """Path, length and fingerprint per file. A file beyond the binary reader's limit ends the job."""
     files = spark.read.format("binaryFile").load(path)
-    fits = files.filter(F.col("length") <= max_bytes).select(
-        "path", "length", content_fingerprint(F.col("content")).alias("fingerprint"),
-        F.lit(True).alias("accepted"))
-    over = files.filter(F.col("length") > max_bytes).select(
-        "path", "length", F.lit(None).cast("string").alias("fingerprint"),
-        F.lit(False).alias("accepted"))
-    return fits.unionByName(over)
+    return files.select("path", "length", content_fingerprint(F.col("content")).alias("fingerprint"))
+
+
+def source_fingerprint(spark: SparkSession, path: str) -> str:
+    """One fingerprint of a file or a folder of parts: a single file's own, else that of the sorted ones."""
+    each = file_fingerprints(spark, path).agg(
+        F.count(F.lit(1)).alias("n"), F.min("fingerprint").alias("one"),
+        content_fingerprint(F.array_join(F.sort_array(F.collect_list("fingerprint")), "")).alias("all")).first()
+    return each["one"] if each["n"] == 1 else each["all"]

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.columns import as_timestamp, is_time, nan_to_null, ref
 from ..operators.outliers import stored_context
 from ..settings import (
-    ANOMALIES_DDL, DATASETS_DDL, JOBS_DDL, METRICS_DDL, QUERY_LOG_DDL, REPORTS_DDL,
+    ANOMALIES_DDL, DATASETS_DDL, JOBS_DDL, METRICS_DDL, QUERY_LOG_DDL, REPORTS_DDL, REQUIRED_COLUMNS,
     SUBSCRIPTIONS_DDL,
 )
 
@@ -36,7 +36,8 @@ def table_schema(table: str) -> T.StructType:
 def to_table(df: DataFrame, table: str) -> DataFrame:
     """The table's columns in its types: others are dropped, absent ones null.
 
-    NaN is stored as null; ids and creation times are made where absent.
+    NaN is stored as null; ids and creation times are made where absent. A value
+    that its column cannot hold, and a null in a required column that `df` has, end the job.
     """
     df = nan_to_null(df)
     columns = []
@@ -49,12 +50,16 @@ def to_table(df: DataFrame, table: str) -> DataFrame:
                 value = ref(f.name)
             else:
                 value = ref(f.name).try_cast(f.dataType)
+                value = F.when(value.isNull() & ref(f.name).isNotNull(), F.raise_error(F.concat(
+                    F.lit(f"{table}.{f.name} cannot hold "), ref(f.name).cast("string")))).otherwise(value)
         elif f.name == "id":
             value = F.uuid()
         elif f.name in ("created_at", "updated_at"):
             value = F.localtimestamp()
         else:
             value = F.lit(None).cast(f.dataType)
+        if f.name in df.columns and f.name in REQUIRED_COLUMNS.get(table, ()):
+            value = F.coalesce(value, F.raise_error(F.lit(f"{table}.{f.name} is null")).cast(f.dataType))
         columns.append(value.alias(f.name))
     return df.select(*columns)
 
@@ -64,13 +69,25 @@ def _constant(value: object) -> Column:
     return F.lit(str(value) if isinstance(value, datetime) else value)
 
 
+# Fields that a later event need not repeat: they keep their newest value that isn't null.
+CARRIED = ("name", "domain", "source_type", "etl_config", "dataset_id")
+
+
 def newest(log: DataFrame, key: str = "id", at: str = "updated_at") -> DataFrame:
-    """The newest row per id of an append-only log, combined before the shuffle."""
+    """The current state per id of an append-only log, combined before the shuffle.
+
+    That is the newest row, with the oldest creation time and the carried fields
+    of earlier rows where the newest has none.
+    """
     rest = [c for c in log.columns if c != key]
-    return (
-        log.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, *rest)).alias("state"))
-        .select(key, "state.*")
-    )
+    when = F.struct(at, *rest)
+    carried = [c for c in rest if c in CARRIED]
+    states = log.groupBy(key).agg(
+        F.max_by(F.struct(*rest), when).alias("state"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), when)).alias(f"kept_{c}") for c in carried],
+        *([F.min("created_at").alias("kept_created_at")] if "created_at" in rest else []))
+    return states.select(key, *[
+        (F.col(f"kept_{c}") if f"kept_{c}" in states.columns else F.col(f"state.{c}")).alias(c) for c in rest])
 
 
 class Store:
@@ -97,26 +114,38 @@ class Store:
 
     # Dataset tables
 
-    def replace(self, table: str, df: DataFrame, one_dataset: bool = False) -> None:
+    def replace(
+        self, table: str, df: DataFrame, one_dataset: bool = False, datasets: tuple[str, ...] = (),
+    ) -> None:
         """Write the rows; each dataset among them replaces its old rows.
 
         Rows of several datasets are first brought together by dataset, a large
         one being split over tasks, so that no task writes a file to each.
-        A dataset without rows leaves nothing to replace: use `delete` for it.
+        A dataset without rows leaves nothing to replace: name it in `datasets`.
         """
         rows = df if one_dataset else df.hint("rebalance", F.col("dataset_id"))
         (to_table(rows, table).write.partitionBy("dataset_id").mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").parquet(self.path(table)))
-
-    def write_subscriptions(self, df: DataFrame, one_dataset: bool = False) -> None:
-        self.replace("subscriptions", df, one_dataset)
-
-    def write_metrics(self, df: DataFrame, one_dataset: bool = False) -> None:
-        self.replace("metrics", df, one_dataset)
-
-    def write_anomalies(self, df: DataFrame, one_dataset: bool = False) -> None:
-        cut = df.withColumn("row_context", stored_context(F.col("row_context")))
-        self.replace("anomalies", cut, one_dataset)
+        # A dataset that got rows keeps them; of the named ones, those without any lose their old ones.
+        stored = self.table(table) if datasets else None
+        for dataset_id in datasets:
+            mine = df.filter(F.col("dataset_id") == dataset_id)
+            if mine.isEmpty() and not stored.filter(F.col("dataset_id") == dataset_id).isEmpty():
+                self.delete(dataset_id, (table,))
+
+    def write_subscriptions(self, df: DataFrame, one_dataset: bool = False, datasets: tuple[str, ...] = ()) -> None:
+        self.replace("subscriptions", df, one_dataset, datasets)
+
+    def write_metrics(self, df: DataFrame, one_dataset: bool = False, datasets: tuple[str, ...] = ()) -> None:
+        self.replace("metrics", df, one_dataset, datasets)
+
+    def write_anomalies(
+        self, df: DataFrame, one_dataset: bool = False, datasets: tuple[str, ...] = (),
+        context_chars: int | None = None,
+    ) -> None:
+        """Store anomalies with their whole row context, or its first `context_chars` characters."""
+        rows = df.withColumn("row_context", stored_context(F.col("row_context"), context_chars))
+        self.replace("anomalies", rows, one_dataset, datasets)
 
     def delete(self, dataset_id: str, tables: tuple[str, ...] = tuple(DATASET_TABLES)) -> None:
         """Drop the dataset's partitions; no other data is read or written."""
@@ -127,7 +156,10 @@ class Store:
             files.delete(target, True)
 
     def delete_dataset(self, dataset_id: str) -> None:
-        """Remove a dataset with everything that belongs to it."""
+        """Remove a dataset with everything that belongs to it.
+
+        Its jobs and reports are hidden by the appended mark.
+        """
         self.delete(dataset_id)
         last = newest(self.table("datasets").filter(F.col("id") == dataset_id))
         self.append("datasets", last.withColumn("status", F.lit(DELETED))
@@ -152,15 +184,24 @@ class Store:
         """Current registry without deleted datasets."""
         return newest(self.table("datasets")).filter(F.col("status") != DELETED)
 
+    def _of_existing(self, rows: DataFrame) -> DataFrame:
+        """Without the rows of deleted datasets."""
+        gone = self.table("datasets").filter(F.col("status") == DELETED).select(F.col("id").alias("dataset_id"))
+        return without_datasets(rows, gone.distinct())
+
     def jobs(self) -> DataFrame:
-        return newest(self.table("jobs"))
+        """Current state of the jobs of all datasets that exist."""
+        return self._of_existing(newest(self.table("jobs")))
 
     def job(self, job_id: str) -> DataFrame:
         """Current state of one job."""
-        return newest(self.table("jobs").filter(F.col("id") == job_id))
+        return self._of_existing(newest(self.table("jobs").filter(F.col("id") == job_id)))
+
+    def reports(self) -> DataFrame:
+        return self._of_existing(self.table("reports"))
 
     def report(self, report_id: str) -> DataFrame:
-        return self.table("reports").filter(F.col("id") == report_id)
+        return self.reports().filter(F.col("id") == report_id)
 
     def sql_tables(self) -> dict[str, DataFrame]:
         """The tables a given statement may name."""

@@ -1,12 +1,16 @@
 """The stages together, and what a caller asks of the service."""
 
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerfold.operators import serving
 from ledgerfold.plans.etl import run_etl
-from ledgerfold.plans.service import answer, generate_report, ingest, register_upload
+from ledgerfold.plans.service import (
+    anomalies_of, answer, dashboard, etl_histogram, generate_report, ingest, metrics_of, register_upload,
+)
 from ledgerfold.sources import Store
 
 
@@ -102,6 +106,77 @@ def test_rerun_replaces(done, spark, tmp_path):
     assert "second" not in {r["id"] for r in store.datasets().collect()}
 
 
+def test_staged_tables_go_with_the_run(done, spark):
+    from pathlib import Path
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    assert not list(folder.glob("**/run-*"))
+
+
+def test_state_after_the_run(done):
+    store, run = done
+    state = store.datasets().first()
+    assert json.loads(state["etl_config"])["hash"] and state["created_at"] <= state["updated_at"]
+    assert json.loads(state["validation_report"])["pass_rate"] == 1.0
+    stages = {r["stage"] for r in store.table("jobs").collect()}
+    assert {"schema_detection", "transforming", "enrichment"} <= stages
+
+
+def test_reads_over_the_store(done):
+    store, run = done
+    assert [r["period"] for r in metrics_of(store, run.dataset_id, last=2).collect()] == ["2023-04", "2023-05"]
+    rows, total = anomalies_of(store, run.dataset_id, limit=1)
+    assert rows.count() == 1 and total == run.anomalies_found > 1
+    assert json.loads(rows.first()["row_key"])["customer_id"].startswith("c")
+    board = dashboard(store).filter(F.col("dataset_id") == run.dataset_id).first()
+    assert (board["dataset_name"], board["latest_period"]) == ("spring", "2023-05")
+    assert etl_histogram(store).filter("le = '+Inf'").first()["observations"] >= 1
+
+
+def test_empty_run_replaces_the_rows_before(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    run_etl(spark, store, "d", "csv", path=_export(tmp_path / "a.csv", 30), key=("customer_id",))
+    header = (tmp_path / "a.csv").read_text().splitlines()[0]
+    (tmp_path / "b.csv").write_text(header + "\n")
+    run_etl(spark, store, "d", "csv", path=str(tmp_path / "b.csv"), key=("customer_id",))
+    assert store.table("subscriptions").count() == 0 and store.table("anomalies").count() == 0
+
+
+def test_other_dates_models_and_explanations(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    text = open(_export(tmp_path / "a.csv", 60)).read()
+    path = tmp_path / "us.csv"
+    path.write_text(re.sub(r"(\d{4})-(\d\d)-(\d\d)", r"\2/\3/\1", text).replace(",", ";"))
+    run = ingest(
+        store, str(path), "us", key=("customer_id",), sep=";",
+        models={"industry_category": _model("retail", "industry_category"),
+                "churn_reason_category": _model("support", "category")},
+        explain=lambda: lambda prompts: ["as usual" for _ in prompts])
+    rows = store.table("subscriptions").collect()
+    assert {r["churn_reason_category"] for r in rows} == {None, "support"} and run.cleaning.dates_lost == {}
+    assert store.table("metrics").count() == 5
+    assert {r["llm_explanation"] for r in store.table("anomalies").collect()} == {"as usual"}
+
+
+def _model(label, key):
+    return lambda: lambda prompts: [json.dumps({key: label}) for _ in prompts]
+
+
+@pytest.mark.parametrize("sql", [
+    "select reflect('java.lang.System', 'getProperty', 'user.home')", "select `java_method`('java.lang.System', 'gc')",
+    "select * from parquet.`/tmp`", "select * from other_table", "with a as (select * from csv.`/etc/passwd`) select * from a",
+    "select (select max(x) from hidden) from saas_metrics",
+])
+def test_statements_stay_within_the_named_tables(spark, sql):
+    spark.createDataFrame([(1,)], "x int").createOrReplaceTempView("hidden")
+    tables = {"saas_metrics": spark.createDataFrame([(1, "reflect(x)")], "x int, t string")}
+    with pytest.raises(ValueError):
+        serving.safe_sql(spark, sql, tables).collect()
+    kept = "with a as (select x from saas_metrics) select x, 'reflect(' as t from a where x in (select x from SAAS_METRICS)"
+    assert serving.safe_sql(spark, kept, tables).collect() == [(1, "reflect(")]
+    assert "saas_metrics" not in [t.name for t in spark.catalog.listTables()]
+
+
 def test_failure_is_recorded(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     path = tmp_path / "empty.csv"

@@ -9,7 +9,7 @@ from ledgerfold.sources import (
     Store, file_fingerprints, normalize_headers, read_csv, read_json_records, read_source, read_sql,
     source_metadata,
 )
-from ledgerfold.sources.readers import jdbc_options, sniff_delimiter
+from ledgerfold.sources.readers import jdbc_options, sniff_delimiter, source_fingerprint
 from ledgerfold.sources.store import dataset_list, query_history, taken_names
 
 
@@ -89,8 +89,8 @@ def test_dispatch(spark, tmp_path):
 
 
 def test_jdbc_options_split_the_read():
-    plain = jdbc_options("jdbc:x", "select 1")
-    assert plain["query"] == "select 1" and "dbtable" not in plain
+    with pytest.raises(ValueError, match="split"):
+        jdbc_options("jdbc:x", "select 1")
     split = jdbc_options("jdbc:x", "select * from t", ("id", 0, 100, 8), user="u")
     assert split["dbtable"] == "(select * from t) source" and split["numPartitions"] == "8"
     assert "query" not in split and split["user"] == "u"
@@ -100,9 +100,47 @@ def test_fingerprints(spark, tmp_path):
     import hashlib
     _write(tmp_path / "a.csv", "a,b\n1,2\n")
     _write(tmp_path / "big.csv", "x" * 100)
-    rows = {r["path"].rsplit("/", 1)[1]: (r["fingerprint"], r["accepted"])
-            for r in file_fingerprints(spark, str(tmp_path), max_bytes=50).collect()}
-    assert rows == {"a.csv": (hashlib.sha256(b"a,b\n1,2\n").hexdigest()[:16], True), "big.csv": (None, False)}
+    digest = lambda b: hashlib.sha256(b).hexdigest()[:16]
+    want = {"a.csv": digest(b"a,b\n1,2\n"), "big.csv": digest(b"x" * 100)}
+    assert {r["path"].rsplit("/", 1)[1]: r["fingerprint"] for r in file_fingerprints(spark, str(tmp_path)).collect()} == want
+    assert source_fingerprint(spark, str(tmp_path / "a.csv")) == want["a.csv"]
+    assert source_fingerprint(spark, str(tmp_path)) == digest("".join(sorted(want.values())).encode())
+
+
+def test_equal_headers_are_told_apart(spark, tmp_path):
+    df = read_csv(spark, _write(tmp_path / "h.csv", "A b,a-b,a_b_2,A B\n1,2,3,4\n"))
+    assert df.columns == ["a_b", "a_b_3", "a_b_2", "a_b_4"] and df.first() == (1, 2, 3, 4)
+
+
+def test_long_whole_numbers_keep_their_digits(spark, tmp_path):
+    lines = ["a,b,c,d"] + [f"123456789012345678{i},1234567890123456789012345{i},{'9' * 40}{i},{i}.5" for i in range(3)]
+    df = read_csv(spark, _write(tmp_path / "w.csv", "\n".join(lines) + "\n"))
+    assert [t for _, t in df.dtypes] == ["bigint", "decimal(38,0)", "string", "double"]
+    assert [df.select(c).distinct().count() for c in "abcd"] == [3, 3, 3, 3]
+
+
+def test_values_that_do_not_fit_end_the_write(spark, store):
+    rows = _subs(spark, "d", "x")
+    for bad in ({"seats": F.lit("99999999999999999999")}, {"mrr": F.lit(None).cast("double")},
+                {"mrr": F.lit("1e60")}, {"status": F.lit(None).cast("string")}):
+        with pytest.raises(Exception, match="cannot hold|is null"):
+            store.write_subscriptions(rows.withColumns(bad))
+    store.write_subscriptions(rows.withColumn("mrr", F.lit(99999999999999999999.0)))
+    assert float(store.table("subscriptions").first()["mrr"]) == 1e20
+
+
+def test_empty_result_replaces_and_fields_survive(spark, store):
+    store.write_subscriptions(_subs(spark, "d1", "x").unionByName(_subs(spark, "d2", "y")))
+    store.write_subscriptions(_subs(spark, "d1", "x").filter("false"), one_dataset=True, datasets=("d1",))
+    assert [r["dataset_id"] for r in store.table("subscriptions").collect()] == ["d2"]
+    t = datetime(2024, 1, 1)
+    store.append_rows("datasets", {"id": "d1", "name": "n", "status": "pending", "etl_config": "h", "created_at": t,
+                                   "updated_at": t, "error_message": "old"})
+    store.append_rows("datasets", {"id": "d1", "status": "ready", "created_at": t.replace(hour=5),
+                                   "updated_at": t.replace(hour=5)})
+    state = store.datasets().first()
+    assert (state["name"], state["etl_config"], state["status"], state["created_at"], state["error_message"]) == (
+        "n", "h", "ready", t, None)
 
 
 def test_scratch_is_the_session_folder(spark):
