@@ -26,10 +26,10 @@ COMMON_WORDS = {
     "es": "de la que el en y a los del se las por un para con no una su al lo",
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au",
 }
-# Parameters: largest distances (documents labelled good stay below 0.22 and 0.30, most labelled bad that the base
-# rules miss lie above 0.31 and 0.34), words that a document needs for each.
+# Parameters: largest distances (documents labelled good stay below 0.22 and 0.31, most labelled bad that the base
+# rules miss lie above 0.31 and 0.33), words that a document needs for each.
 MOST_CLASS_DISTANCE = 0.27
-MOST_WORD_DISTANCE = 0.34
+MOST_WORD_DISTANCE = 0.325
 CLASS_WORDS = 50
 COMMON_WORDS_NEEDED = 100
 
@@ -47,7 +47,9 @@ def _repeated_windows(rows: DataFrame) -> DataFrame:
     """
     others = [c for c in rows.columns if c != "words"]
     places = F.when(F.size("words") >= WINDOW, F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)))
-    hashed = rows.select("*", F.transform(places, lambda i: F.xxhash64(F.slice("words", i, WINDOW))).alias("hashes"))
+    single = rows.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("single"))
+    hashed = single.select("*", F.transform(places, lambda i: F.xxhash64(
+        *(F.get("single", i + (k - 1)) for k in range(WINDOW)))).alias("hashes")).drop("single")
     window = F.transform(places, lambda i: F.struct(
         F.array_join(F.slice("words", i, WINDOW), " ").alias("window"), i.alias("at")))
     repeated = F.size(F.array_distinct("hashes")) < F.size("hashes")
@@ -67,40 +69,43 @@ def _repeated_windows(rows: DataFrame) -> DataFrame:
     return starts.select(*others, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def _counted(text: Column, word: Column) -> Column:
-    """How often ` word ` is in a text of words with two blanks between."""
-    return ((F.length(text) - F.length(F.replace(text, F.concat(F.lit(" "), word, F.lit(" ")), F.lit(""))))
+def _counted(words: Column, word: Column) -> Column:
+    """How often a word is in a text of words with two blanks before and after each."""
+    return ((F.length(words) - F.length(F.replace(words, F.concat(F.lit(" "), word, F.lit(" ")), F.lit(""))))
             / (F.length(word) + 2)).cast("long")
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The counts of each row: those of the base rules, character classes, common words."""
+    """The counts of each row: those of the base rules, character classes, common words.
+
+    A common word counts where it stands between white space, in either case.
+    """
     rows = with_row_key(docs).select(
         *KEY, named(id_col).alias("doc_id"), named(lang_col).cast("string").alias("lang"),
         F.coalesce(named(text_col), F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     split = rows.select(
-        *KEY, "doc_id", "lang", "text", lines.alias("lines"), F.regexp_replace("text", SPACES, "").alias("body"),
-        F.regexp_replace("text", r"[^\p{Ll}]+", "").alias("lower"),
-        F.concat(F.lit("  "), F.regexp_replace(F.lower("text"), r"[^\p{L}]+", "  "), F.lit("  ")).alias("plain"),
-        F.filter(F.split("text", SPACES), lambda w: w != "").alias("words"))
+        *KEY, "doc_id", "lang", F.length("text").alias("chars"), lines.alias("lines"),
+        F.regexp_replace("text", SPACES, "").alias("body"), F.array_remove(F.split("text", SPACES), "").alias("words"))
     everything = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
     common = F.lit(None).cast("array<string>")
     for lang, words in COMMON_WORDS.items():
         common = F.when(F.col("lang") == lang, F.array(*map(F.lit, words.split()))).otherwise(common)
     common = F.coalesce(common, F.array(*map(F.lit, everything)))
+    met = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(*everything))
     counted = split.select(
         *KEY, "doc_id", "lang", "words", F.size("words").cast("long").alias("n_words"),
         F.length("body").cast("long").alias("word_chars"),
         (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        (F.length("text") - F.length("body")).cast("long").alias("blanks"),
-        F.length("lower").cast("long").alias("lower"),
-        F.regexp_replace("body", r"\p{Ll}+", "").alias("rest"),
-        F.transform(common, lambda w: _counted(F.col("plain"), w)).alias("common"))
+        (F.col("chars") - F.length("body")).cast("long").alias("blanks"),
+        F.regexp_replace("body", r"\p{Ll}+", "").alias("rest"), common.alias("common"),
+        F.concat(F.lit("  "), F.array_join(met, "  "), F.lit("  ")).alias("met"))
     classed = counted.withColumn("unlettered", F.regexp_replace("rest", r"\p{L}+", "")).withColumn(
+        "common", F.transform("common", lambda w: _counted(F.col("met"), w))).withColumn(
         "classes", F.array(
-            "blanks", "lower", (F.length("rest") - F.length("unlettered")).cast("long"),
+            "blanks", F.col("word_chars") - F.length("rest"),
+            (F.length("rest") - F.length("unlettered")).cast("long"),
             (F.length("unlettered") - F.length(F.translate("unlettered", "0123456789", ""))).cast("long"),
             F.length(F.translate("unlettered", "0123456789", "")).cast("long")))
     found = _sum(F.col("common"), F.lit(0).cast("long"))
@@ -188,8 +193,7 @@ classes AS (
   FROM docs JOIN lined USING (doc_id)),
 class_parts AS (UNPIVOT classes ON k0, k1, k2, k3, k4 INTO NAME part VALUE n),
 plain AS (
-  SELECT doc_id, lang, {common} AS common, len(words) AS n_words,
-         regexp_extract_all(lower(text), '\p{{L}}+') AS plain FROM docs),
+  SELECT doc_id, lang, {common} AS common, len(words) AS n_words, [lower(w) FOR w IN words] AS plain FROM docs),
 found AS (
   SELECT doc_id, word AS part, count(*) AS n FROM (SELECT doc_id, common, unnest(plain) AS word FROM plain)
   WHERE list_contains(common, word) GROUP BY doc_id, word),

@@ -51,7 +51,7 @@ def test_histograms(edge_docs, edge_rows):
     for doc_id, text, lang, _ in edge_rows:
         if doc_id is None or text is None:
             continue
-        words = re.findall(r"[^\W\d_]+", text.lower())
+        words = [w.lower() for w in WORD.findall(text)]
         counts = found[doc_id]["classes"]
         assert counts[0] == sum(c in blank for c in text)
         assert counts[3] == sum(c in "0123456789" for c in text)
