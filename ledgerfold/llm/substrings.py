@@ -2,12 +2,13 @@
 
 Every window of a text has an anchor, the smallest hash among its short word
 sequences; equal windows have the same anchor. A run of windows with the same
-anchor is a stretch of text. Stretches whose anchor occurs once are done with;
-the others go to the shard of their anchor, equal ones as one. A shard builds an
-FM-index over its stretches (words as symbols, wavelet matrix of packed bits) and
-streams them through it: backward search gives each window's matches, cut off
-where none but the own one is left. Where a whole window matches, the smallest
-document among the matches is reported back to every occurrence of the stretch.
+anchor is a stretch of text. Stretches whose anchor occurs once are done with; of
+the others, each different one goes to the shard of its anchor, with the smallest
+document that has it. A shard builds an FM-index over its stretches (words as
+symbols, wavelet matrix of packed bits) and streams them through it from right to
+left: backward search takes one more word in front, and once a match is as long
+as a window, it is reported and loses its last word. The smallest document among
+the matches of a window goes back to every occurrence of the stretch.
 """
 
 from __future__ import annotations
@@ -16,22 +17,23 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import stage
-from .common import KEY, filter_table, left_join_few, named, set_in, with_row_key
+from .common import KEY, filter_table, in_filter, left_join_few, named, set_in, slices, with_row_key
 from .queries import ORACLES, QUERIES, table
 
 # Parameters: words of a window and of an anchor; windows of the longest stretch; stretches per shard;
-# different stretches with one anchor beyond which they are dealt out window by window.
+# different stretches with one anchor beyond which they are dealt out window by window; bytes of text handled at once.
 WINDOW = 13
 GRAM = 5
 LONGEST = 32
 SHARD = 60_000
 HOT = 5_000
-CHUNK_WORDS = 1 << 20
+CHUNK = 4 << 20
 # Odd multipliers of the hash of a word sequence.
 STEP, LAST = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -78,37 +80,47 @@ def _stretches(texts: list[list[bytes]], window: int, gram: int) -> tuple[np.nda
     return which, at[starts] - first[which], windows, anchors[starts]
 
 
-def _chunks(batch: pd.DataFrame):
-    """The rows of a batch in groups of about CHUNK_WORDS words, with their words."""
-    held, size, start = [], 0, 0
-    for i, text in enumerate(batch["text"]):
-        held.append(words_of(text))
-        size += len(held[-1])
-        if size >= CHUNK_WORDS or i + 1 == len(batch):
-            yield batch.iloc[start:i + 1], held
-            held, size, start = [], 0, i + 1
-
-
 def _anchors(window: int, gram: int):
     def run(batches):
         for batch in batches:
-            for _, words in _chunks(batch):
-                yield pd.DataFrame({"anchor": _stretches(words, window, gram)[3]})
+            for some in slices(batch, "text", CHUNK):
+                words = [words_of(t) for t in some.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(_stretches(words, window, gram)[3])], ["anchor"])
 
     return run
 
 
-def _shared_stretches(window: int, gram: int, shared):
+def _shared_stretches(window: int, gram: int, shared, hot=None, with_words: bool = False):
+    """Stretches with shared anchors: key columns, first word, windows, anchor and hash, or anchor, hash and words.
+
+    Those with hot anchors are dealt out window by window, each with its own hash as anchor.
+    """
     def run(batches):
         for batch in batches:
-            for rows, words in _chunks(batch):
+            for some in slices(batch, "text", CHUNK):
+                words = [words_of(t) for t in some.column("text").to_pylist()]
                 which, start, windows, anchor = _stretches(words, window, gram)
                 keep = set_in(shared.value, anchor)
-                which, start, windows, anchor = which[keep], start[keep], windows[keep], anchor[keep]
-                out = rows.drop(columns="text").iloc[which].reset_index(drop=True)
-                yield out.assign(start=start, windows=windows, anchor=anchor, words=[
-                    b" ".join(words[w][s:s + n + window - 1]).decode("utf-8", "surrogatepass")
-                    for w, s, n in zip(which, start, windows)])
+                which, start, windows, anchor = (x[keep] for x in (which, start, windows, anchor))
+                dealt = np.zeros(len(which), bool)
+                if hot is not None:
+                    dealt = set_in(hot.value, anchor)
+                    times = np.where(dealt, windows, 1)
+                    offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    which, start, windows, anchor, dealt = (
+                        np.repeat(x, times) for x in (which, start, windows, anchor, dealt))
+                    start, windows = start + offset, np.where(dealt, 1, windows)
+                body = [b" ".join(words[w][i:i + n + window - 1]) for w, i, n in zip(which, start, windows)]
+                own = np.fromiter(map(xxhash.xxh3_64_intdigest, body), np.uint64, len(body)).view(np.int64)
+                anchor = np.where(dealt, own, anchor)
+                rows = some.select([*KEY, "doc_id"]).take(pa.array(which))
+                out = {n: rows.column(n) for n in rows.schema.names} | {"anchor": anchor, "stretch": own}
+                if with_words:
+                    out = {n: out[n] for n in ("doc_id", "anchor", "stretch")} | {
+                        "words": pa.array(body, pa.binary()).cast(pa.string())}
+                else:
+                    out |= {"start": start.astype(np.int32)}
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -130,49 +142,102 @@ class BitVector:
         return self.before[block] + np.bitwise_count(self.words[block] & below).astype(np.int64)
 
 
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    return np.unique(keys, return_inverse=True)[1]
+
+
 class FMIndex:
-    """Counts and places of word sequences of up to `depth` symbols in a text of symbols from 0 on.
+    """An FM-index of a text of symbols from 0 on, for matches of up to `depth` symbols.
 
-    Suffixes are sorted by their first `depth` symbols at least, which is all that
-    backward search over so many steps needs.
+    Suffixes are sorted by their first `depth` symbols, which is all that backward
+    search over so many steps needs. `places` are the suffixes in order; `group`
+    numbers those with the same first `depth` symbols; `shorter` has the interval
+    of those with the same first `depth` - 1.
     """
 
     def __init__(self, text: np.ndarray, depth: int):
         n = len(text)
-        rank, span = text.astype(np.int64), 1
-        while span < depth:
-            beyond = np.zeros(n, np.int64)
-            beyond[:max(0, n - span)] = rank[span:] + 1
-            _, rank = np.unique(rank * (int(rank.max()) + 2) + beyond, return_inverse=True)
-            span *= 2
-        self.places = np.argsort(rank, kind="stable")
-        last = text[self.places - 1].astype(np.int64)
-        self.levels = max(1, int(text.max()).bit_length())
+        text = text.astype(np.int64)
+        width = max(1, int(text.max()).bit_length())
+        behind = lambda values, by: np.concatenate([values[by:], np.zeros(min(by, n), np.int64)])[:n]
+        # ranks by as many symbols as fit a number, then by twice as many each time
+        span = min(63 // width, depth - 1)
+        keys = text
+        for i in range(1, span):
+            keys = keys << width | behind(text, i)
+        rank = _ranks(keys)
+        while span < depth - 1:
+            by = min(span, depth - 1 - span)
+            rank = _ranks(rank * (int(rank.max()) + 2) + behind(rank + 1, by))
+            span += by
+        whole = rank << width | behind(text, depth - 1)
+        self.places = np.argsort(whole, kind="stable")
+        whole, rank = whole[self.places], rank[self.places]
+        self.group = np.cumsum(np.concatenate([[False], whole[1:] != whole[:-1]]))
+        starts = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
+        sizes = np.diff(starts, append=n)
+        self.shorter = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+
+        last = text[self.places - 1]
+        self.levels = width
         self.bits, self.zeros = [], []
-        for level in range(self.levels - 1, -1, -1):
+        symbols = np.arange(int(text.max()) + 1)
+        base = np.zeros(len(symbols), np.int64)  # where a symbol's block starts after all levels
+        for level in range(width - 1, -1, -1):
             bit = ((last >> level) & 1).astype(np.uint8)
-            self.bits.append(BitVector(bit))
-            self.zeros.append(int(n - bit.sum()))
+            vector, zeros = BitVector(bit), int(n - bit.sum())
+            self.bits.append(vector)
+            self.zeros.append(zeros)
             last = np.concatenate([last[bit == 0], last[bit == 1]])
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text))])
+            ones = vector.rank(base)
+            base = np.where((symbols >> level) & 1 == 1, zeros + ones, base - ones)
+        self.first = np.cumsum(np.bincount(text, minlength=len(symbols))) - np.bincount(text, minlength=len(symbols))
+        self.shift = self.first - base
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the sequences with one more symbol in front."""
-        base = np.zeros(len(symbols), np.int64)  # where the symbol's block starts on the level
-        for level in range(self.levels):
-            one = (symbols >> (self.levels - 1 - level)) & 1 == 1
-            vector, zeros = self.bits[level], self.zeros[level]
-            ones = [vector.rank(x) for x in (base, low, high)]
-            base, low, high = (
-                np.where(one, zeros + r, x - r) for x, r in zip((base, low, high), ones))
-        return self.first[symbols] + low - base, self.first[symbols] + high - base
+        n = len(symbols)
+        ends = np.concatenate([low, high])
+        symbols = np.concatenate([symbols, symbols])
+        for level, vector, zeros in zip(range(self.levels - 1, -1, -1), self.bits, self.zeros):
+            ones = vector.rank(ends)
+            ends = np.where((symbols >> level) & 1 == 1, zeros + ones, ends - ones)
+        ends += self.shift[symbols]
+        return ends[:n], ends[n:]
+
+
+def window_groups(text: np.ndarray, ends: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, FMIndex]:
+    """For each window of each stretch of `text`, in order, the group of its matches in the index.
+
+    Stretches of at least a window's length end before the places `ends`. All are
+    streamed at once, from right to left, the longest first.
+    """
+    index = FMIndex(text, window)
+    order = np.argsort(-lengths, kind="stable")
+    right, long = ends[order], lengths[order]
+    windows = lengths - window + 1
+    base = (np.cumsum(windows) - windows)[order]
+    groups = np.zeros(windows.sum(), np.int64)
+    low, high = np.zeros(len(order), np.int64), np.full(len(order), len(text), np.int64)
+    for step in range(int(long[0]) if len(long) else 0):
+        active = int(np.searchsorted(-long, -step, side="left"))  # stretches longer than `step`
+        low, high = low[:active], high[:active]
+        if step >= window:  # a whole window matches: its last word goes
+            low, high = index.shorter[0][low], index.shorter[1][low]
+        low, high = index.extend(text[right[:active] - 1 - step], low, high)
+        if step >= window - 1:
+            groups[base[:active] + long[:active] - 1 - step] = index.group[low]
+    return groups, index
 
 
 def _match(window: int):
     columns = ["anchor", "stretch", "mins"]
 
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
+    def match(texts: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
         """Of one shard: per stretch the smallest document that has each of its windows."""
+        rows = texts.drop_duplicates(["anchor", "stretch"]).merge(facts, on=["anchor", "stretch"])
+        if rows.empty:
+            return pd.DataFrame(columns=columns)
         split = [w.split(" ") for w in rows["words"]]
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         codes, _ = pd.factorize(np.array(list(chain.from_iterable(split)), dtype=object))
@@ -181,32 +246,16 @@ def _match(window: int):
         inside = np.ones(ends[-1], bool)
         inside[ends - 1] = False
         text[inside] = codes + 1
-        stretch = np.repeat(np.arange(len(split)), lengths + 1)
-        index = FMIndex(text, window)
+        groups, index = window_groups(text, ends - 1, lengths, window)
         least, most = rows["least"].to_numpy(np.int64), rows["most"].to_numpy(np.int64)
-        document = np.append(least[stretch[index.places]], np.iinfo(np.int64).max)
-
-        windows = lengths - window + 1
-        own = np.repeat(np.arange(len(split)), windows)
-        offset = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = (ends - lengths - 1)[own] + offset
-        found = least[own]
-        left = np.arange(len(at))
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(text))
-        for step in range(window - 1, -1, -1):
-            low, high = index.extend(text[at[left] + step], low, high)
-            several = high - low > 1  # else the match is the own one and stays it
-            left, low, high = left[several], low[several], high[several]
-        if len(left):
-            starts, place = np.unique(low, return_inverse=True)
-            stops = np.zeros(len(starts), np.int64)
-            stops[place] = high
-            found[left] = np.minimum.reduceat(document, np.stack([starts, stops], 1).ravel())[::2][place]
-        parts = np.split(found, np.cumsum(windows)[:-1])
+        document = least[np.repeat(np.arange(len(split)), lengths + 1)[index.places]]
+        first = np.flatnonzero(np.concatenate([[True], index.group[1:] != index.group[:-1]]))
+        found = np.minimum.reduceat(document, first)[groups]
+        parts = np.split(found, np.cumsum(lengths - window + 1)[:-1])
         keep = [i for i, part in enumerate(parts) if part.min() < most[i]]
         return pd.DataFrame({
             "anchor": rows["anchor"].iloc[keep], "stretch": rows["stretch"].iloc[keep],
-            "mins": [parts[i] for i in keep]}, columns=columns)
+            "mins": pd.Series([parts[i] for i in keep], index=rows.index[keep], dtype=object)}, columns=columns)
 
     return match
 
@@ -216,71 +265,75 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     `rows` has KEY, doc_id (long) and text; only rows with such windows are in the result.
     """
+    spark = rows.sparkSession
+    share = lambda keys: spark.sparkContext.broadcast(filter_table(keys, keys.count()))
     known = rows.filter("doc_id is not null")
-    counted = (
-        known.select("text").mapInPandas(_anchors(window, gram), "anchor long")
-        .groupBy("anchor").count().filter("count > 1").select("anchor")
-    )
-    shared = stage(counted, "shared-anchors")
-    bitmap = rows.sparkSession.sparkContext.broadcast(filter_table(shared, shared.count()))
-    stretches = stage(known.mapInPandas(
-        _shared_stretches(window, gram, bitmap),
-        f"{KEY[0]} long, {KEY[1]} long, doc_id long, start int, windows int, anchor long, words string")
-        .withColumn("stretch", F.xxhash64("words")), "stretches")
-
-    hot = (
-        stretches.select("anchor", "stretch").distinct().groupBy("anchor").count()
-        .filter(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
-    )
-    single = F.transform(
-        F.sequence(F.lit(0), F.col("windows") - 1),
-        lambda i: F.struct((F.col("start") + i).alias("start"), F.array_join(
-            F.slice(F.split("words", " "), i + 1, window), " ").alias("words")))
-    marked = stretches.join(hot, "anchor", "left")
-    whole = marked.filter("hot is null").drop("hot", "windows")
-    dealt = (
-        marked.filter("hot").withColumn("one", F.explode(single))
-        .select(*KEY, "doc_id", "one.start", F.xxhash64("one.words").alias("anchor"), "one.words",
-                F.xxhash64("one.words").alias("stretch"))
-    )
-    occurrences = stage(whole.select(dealt.columns).unionByName(dealt), "occurrences")
-    shards = max(1, -(-occurrences.count() // SHARD))
-    different = occurrences.groupBy("anchor", "stretch", "words").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    matches = (
-        different.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-        .applyInPandas(_match(window), "anchor long, stretch long, mins array<long>")
-    )
+    shared = share(stage(
+        known.select("text").mapInArrow(_anchors(window, gram), "anchor long")
+        .groupBy("anchor").count().filter("count > 1").select("anchor"), "shared-anchors"))
+    schema = f"{KEY[0]} long, {KEY[1]} long, doc_id long, anchor long, stretch long, start int"
+
+    def found(hot):
+        """All occurrences of stretches, and one row for each different one."""
+        occurrences = stage(known.mapInArrow(_shared_stretches(window, gram, shared, hot), schema), "occurrences")
+        return occurrences, stage(occurrences.groupBy("anchor", "stretch").agg(
+            F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "stretches")
+
+    hot = None
+    occurrences, different = found(hot)
+    crowded = stage(different.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor"), "hot-anchors")
+    if not crowded.isEmpty():
+        hot = share(crowded)
+        occurrences, different = found(hot)
+
+    # The words of a stretch come from its smallest document; a bounded filter spares the others the way.
+    named_by = F.xxhash64("doc_id", "anchor", "stretch")
+    wanted = stage(different.select(F.xxhash64("least", "anchor", "stretch").alias("key")), "wanted")
+    may_be_wanted = in_filter(wanted, wanted.count())
+    texts = known.mapInArrow(
+        _shared_stretches(window, gram, shared, hot, with_words=True),
+        "doc_id long, anchor long, stretch long, words string").filter(may_be_wanted(named_by)).drop("doc_id")
+    shards = max(1, -(-different.count() // SHARD))
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
+    matches = stage(
+        texts.groupBy(shard).cogroup(different.groupBy(shard))
+        .applyInPandas(_match(window), "anchor long, stretch long, mins array<long>"), "matches")
+
+    hit = stage(matches.select(F.xxhash64("anchor", "stretch").alias("key")), "hits")
+    may_hit = in_filter(hit, hit.count())
     starts = F.filter(
         F.transform("mins", lambda least, i: F.when(least < F.col("doc_id"), F.col("start") + i)),
         lambda x: x.isNotNull())
-    found = (
-        occurrences.select(*KEY, "doc_id", "start", "anchor", "stretch").join(matches, ["anchor", "stretch"])
+    return (
+        occurrences.filter(may_hit(F.xxhash64("anchor", "stretch"))).join(matches, ["anchor", "stretch"])
         .select(*KEY, starts.alias("starts")).filter(F.size("starts") > 0)
+        .groupBy(*KEY).agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
     )
-    return found.groupBy(*KEY).agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("starts"))
+
+
+def _without_windows(text: str | None, starts: list[int] | None, window: int) -> tuple[int, int, bytes]:
+    """Number of words, how many the windows cover, and the others."""
+    words = words_of(text)
+    if not starts:
+        return len(words), 0, b" ".join(words)
+    edges = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, np.array(starts) + window, -1)
+    stay = np.cumsum(edges[:-1]) == 0
+    return len(words), len(words) - int(stay.sum()), b" ".join(w for w, s in zip(words, stay) if s)
 
 
 def _remove(window: int):
     def run(batches):
         for batch in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, starts in zip(batch["text"], batch["starts"]):
-                words = words_of(text)
-                gone = 0
-                if starts is not None and len(starts):
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edges, starts, 1)
-                    np.add.at(edges, np.asarray(starts) + window, -1)
-                    stay = np.cumsum(edges[:-1]) == 0
-                    gone = len(words) - int(stay.sum())
-                    n_words.append(len(words))
-                    words = [w for w, s in zip(words, stay) if s]
-                else:
-                    n_words.append(len(words))
-                n_removed.append(gone)
-                kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-            yield batch.drop(columns=["text", "starts"]).assign(n_words=n_words, n_removed=n_removed, kept=kept)
+            for some in slices(batch, "text", CHUNK):
+                found = [_without_windows(t, s, window) for t, s in zip(
+                    some.column("text").to_pylist(), some.column("starts").to_pylist())]
+                ids = some.select([*KEY, "doc_id"])
+                yield pa.RecordBatch.from_arrays(
+                    [*ids.columns, *(pa.array([f[i] for f in found], pa.int64()) for i in range(2)),
+                     pa.array([f[2] for f in found], pa.binary()).cast(pa.string())],
+                    [*ids.schema.names, "n_words", "n_removed", "kept"])
 
     return run
 
@@ -299,7 +352,7 @@ def substring_dedup(
     rows = with_row_key(docs).select(
         *KEY, named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     starts = stage(repeated_windows(rows, window, gram), "repeated")
-    return left_join_few(rows, starts).mapInPandas(
+    return left_join_few(rows, starts).mapInArrow(
         _remove(window),
         f"{KEY[0]} long, {KEY[1]} long, doc_id long, n_words long, n_removed long, kept string")
 

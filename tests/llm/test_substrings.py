@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from ledgerfold.llm import substrings
-from ledgerfold.llm.substrings import BitVector, FMIndex, _stretches, substring_dedup, words_of
+from ledgerfold.llm.substrings import BitVector, FMIndex, _stretches, substring_dedup, window_groups, words_of
 
 
 def brute(rows, window=13):
@@ -73,9 +73,10 @@ def test_empty_table(empty_docs):
     assert substring_dedup(empty_docs).count() == 0
 
 
-def test_index_counts_and_places():
+@pytest.mark.parametrize("symbols", [4, 300_000])
+def test_index_counts_and_places(symbols):
     rng = np.random.default_rng(3)
-    text = np.append(rng.integers(1, 5, 400), 0)
+    text = np.append(rng.integers(1, 5, 400) * symbols // 4, 0)
     index = FMIndex(text, 6)
     for length in range(1, 7):
         at = rng.integers(0, 400 - length, 50)
@@ -85,6 +86,24 @@ def test_index_counts_and_places():
         for a, i, j in zip(at, low, high):
             want = [p for p in range(len(text) - length + 1) if (text[p:p + length] == text[a:a + length]).all()]
             assert sorted(index.places[i:j]) == want
+            if length == 6:
+                assert set(index.group[i:j]) == {index.group[i]} and (index.group == index.group[i]).sum() == len(want)
+                shorter = [p for p in range(len(text)) if list(text[p:p + 5]) == list(text[a:a + 5])]
+                assert sorted(index.places[index.shorter[0][i]:index.shorter[1][i]]) == shorter
+
+
+@pytest.mark.parametrize("window", [2, 5, 13])
+def test_streamed_windows_equal_their_text(window):
+    rng = np.random.default_rng(window)
+    lengths = rng.integers(window, window + 30, 40)
+    ends = np.cumsum(lengths + 1)
+    text = rng.integers(1, 3, ends[-1])
+    text[ends - 1] = 0
+    text[ends[-1] - 1 - lengths[-1]:ends[-1] - 1] = text[ends[-2] - 1 - lengths[-1]:ends[-2] - 1]
+    groups, _ = window_groups(text, ends - 1, lengths, window)
+    bodies = [tuple(text[e - 1 - n + j:e - 1 - n + j + window]) for e, n in zip(ends, lengths) for j in range(n - window + 1)]
+    assert len(bodies) == len(groups)
+    assert len(set(zip(bodies, groups))) == len(set(bodies)) == len(set(groups))
 
 
 def test_ranks():
