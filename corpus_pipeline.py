@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.functions.scratch import stage
-from ledgerfold.llm.bpe import decode, encode, vocabulary_path
+from ledgerfold.llm.bpe import encode, vocabulary_path
 from ledgerfold.llm.common import KEY, rows_not_in, with_row_key
 from ledgerfold.llm.exact import exact_dedup
 from ledgerfold.llm.language import UNKNOWN, detect, documents_model
@@ -42,11 +42,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit), their number and digest, and the digest of the decoded text."""
-    path = vocabulary_path()
-    encoded = encode(docs, path).withColumns({
-        "n_tokens": (F.length("ids") / 4).cast("long"), "tokens": F.col("ids"), "ids_sha256": F.sha2("ids", 256)})
-    return decode(encoded, path).select(
-        "doc_id", "n_tokens", F.col("tokens").alias("ids"), "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    encoded = encode(docs, vocabulary_path(), decoded=True)
+    return encoded.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

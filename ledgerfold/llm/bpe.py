@@ -15,9 +15,9 @@ the window's ends. Two facts make the joined encoding exact:
 
 from __future__ import annotations
 
-import json
 import os
 import re
+from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
@@ -34,8 +34,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LEAF = 32_768
 WINDOW = 64
 # Bytes or code points split at once, pieces kept in memory, new pieces encoded as one text.
-CHUNK = 2_500_000
-CACHED_PIECES = 400_000
+CHUNK = 2_000_000
+CACHED_PIECES = 300_000
 JOINED = 2_000
 # Letters that all versions of Unicode call so; what may follow them, and what may stand alone;
 # text between two sure cuts, in small and in large pieces; sure cuts; code points around a place inside one piece.
@@ -59,13 +59,13 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        kind = json.loads(self.tokenizer.to_str())
-        split = kind["pre_tokenizer"] or {}
-        if kind["normalizer"] or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
+        split = self.tokenizer.pre_tokenizer
+        if self.tokenizer.normalizer or not isinstance(split, ByteLevel) or split.add_prefix_space or not split.use_regex:
             raise ValueError("only byte-level tokenizers that leave the text as it is can be joined exactly")
         added = self.tokenizer.get_added_tokens_decoder()
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
@@ -74,11 +74,24 @@ class Encoder:
             self.sizes[at] = len(token.encode()) if at in added else len(token)
         self.added = [x.content for x in added.values()]
         self.window = max([WINDOW, *(len(x.content) + 2 * AROUND for x in added.values())])
-        self._forget()
+        # known pieces: their numbers, ids one after the other, ends of these, and how often they were met
+        self.places: dict[str, int] = {}
+        self.ids, self.ends, self.met = [], [np.zeros(1, np.int64)], np.zeros(0, np.int64)
 
     def _forget(self):
-        self.places: dict[str, int] = {}
-        self.ids, self.ends = [], [np.zeros(1, np.int64)]
+        """Drop the pieces that were met only once."""
+        often = self.met > 1
+        ids, ends = self._flat()
+        lengths = np.diff(ends)
+        self.places = dict(zip((p for p, k in zip(self.places, often) if k), range(len(often))))
+        self.ids = [ids[np.repeat(often, lengths)]]
+        self.ends = [np.concatenate([[0], np.cumsum(lengths[often])])]
+        self.met = np.ones(len(self.places), np.int64)
+
+    def _flat(self) -> tuple[np.ndarray, np.ndarray]:
+        self.ids = [np.concatenate([np.zeros(0, np.uint32), *self.ids])]
+        self.ends = [np.concatenate(self.ends)]
+        return self.ids[0], self.ends[0]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self._batch([text])[0].ids, np.uint32)
@@ -125,17 +138,16 @@ class Encoder:
         flat = np.empty(sum(map(len, split)), object)
         flat[:] = list(chain.from_iterable(split))
         codes, different = pd.factorize(flat)
-        known = np.fromiter(map(self.places.get, different, repeat(-1)), np.int64, len(different))
-        if len(self.places) + (known < 0).sum() > CACHED_PIECES:
+        if len(self.places) > CACHED_PIECES:
             self._forget()
-            known[:] = -1
+        known = np.fromiter(map(self.places.get, different, repeat(-1)), np.int64, len(different))
         if (known < 0).any():
             new = list(different[known < 0])
             self._add(new)
             known[known < 0] = [self.places[p] for p in new]
-        ids, ends = np.concatenate([np.zeros(0, np.uint32), *self.ids]), np.concatenate(self.ends)
-        self.ids, self.ends = [ids], [ends]
+        ids, ends = self._flat()
         at = known[codes]
+        self.met = np.bincount(at, minlength=len(ends) - 1) + np.pad(self.met, (0, len(ends) - 1 - len(self.met)))
         starts, lengths = ends[at], ends[at + 1] - ends[at]
         shift = np.cumsum(lengths) - lengths
         tokens = ids[np.repeat(starts - shift, lengths) + np.arange(lengths.sum())]
@@ -196,6 +208,22 @@ class Encoder:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
+def encoder_of(spark: SparkSession, path: str):
+    """A function for tasks that gives the encoder of a file.
+
+    A worker process keeps it, with the pieces it knows, for the tasks that follow:
+    what is broadcast is an empty dictionary, which each process fills for itself.
+    """
+    kept = spark.sparkContext.broadcast({})
+
+    def get() -> Encoder:
+        if "encoder" not in kept.value:
+            kept.value["encoder"] = Encoder(path)
+        return kept.value["encoder"]
+
+    return get
+
+
 def halves(text: str, leaf: int) -> list[str]:
     """The text, halved until no part is longer than `leaf`."""
     if len(text) <= leaf:
@@ -213,13 +241,19 @@ def _binary(ids: list[np.ndarray]) -> pa.Array:
     return pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
 
 
-def _encode_texts(path: str, keep_text: bool = False):
+def _encoded(encoder: Encoder, ids: list[np.ndarray], decoded: bool) -> dict[str, pa.Array]:
+    """The columns that an encoded batch gets."""
+    texts = {"decoded": pa.array(encoder.decode([x.tolist() for x in ids]), pa.string())} if decoded else {}
+    return {"ids": _binary(ids), **texts}
+
+
+def _encode_texts(encoder_: Callable[[], Encoder], decoded: bool = False, keep_text: bool = False):
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_()
         for batch in batches:
             for some in slices(batch, "text", CHUNK):
-                ids = _binary(encoder.encode(some.column("text").to_pylist()))
-                yield _without(some, "", ids=ids) if keep_text else _without(some, "text", ids=ids)
+                ids = encoder.encode(some.column("text").to_pylist())
+                yield _without(some, "" if keep_text else "text", **_encoded(encoder, ids, decoded))
 
     return run
 
@@ -237,23 +271,27 @@ def _cut(leaf: int):
     return run
 
 
-def _encode_parts(path: str):
+def _encode_parts(encoder_: Callable[[], Encoder], decoded: bool):
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_()
         for batch in batches:
             for i in range(batch.num_rows):
                 parts = batch.column("parts")[i].as_py()
                 ids = encoder.tree([(p["text"], np.frombuffer(p["ids"], "<u4")) for p in parts])
-                yield _without(batch.slice(i, 1), "parts", ids=_binary([ids]))
+                yield _without(batch.slice(i, 1), "parts", **_encoded(encoder, [ids], decoded))
 
     return run
 
 
 def encode(
-    docs: DataFrame, path: str, leaf: int = LEAF, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, path: str, leaf: int = LEAF, decoded: bool = False, id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """One row per row of `docs`: KEY, doc_id and ids (little-endian unsigned 32-bit integers).
 
+    With `decoded`, the text that the ids decode to is another column, made by
+    the same task.
+
     The ids are those the tokenizer of the file gives for the whole text; a null
     text is empty, and an empty text has no ids. Texts of up to `leaf` code
     points are encoded in the scan; of longer ones the parts are spread over all
@@ -264,25 +302,28 @@ def encode(
         *KEY, named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     head = f"{KEY[0]} long, {KEY[1]} long, doc_id {kind}"
-    short = rows.filter(F.length("text") <= leaf).mapInArrow(_encode_texts(path), f"{head}, ids binary")
+    encoder_ = encoder_of(docs.sparkSession, path)
+    out = f"{head}, ids binary" + ", decoded string" * decoded
+    short = rows.filter(F.length("text") <= leaf).mapInArrow(_encode_texts(encoder_, decoded), out)
     leaves = (
         rows.filter(F.length("text") > leaf).mapInArrow(_cut(leaf), f"{head}, place int, text string")
         .repartition(*KEY, "place")
-        .mapInArrow(_encode_texts(path, keep_text=True), f"{head}, place int, text string, ids binary")
+        .mapInArrow(_encode_texts(encoder_, keep_text=True), f"{head}, place int, text string, ids binary")
     )
     long = (
         leaves.groupBy(*KEY, "doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("place", "text", "ids"))).alias("parts"))
-        .mapInArrow(_encode_parts(path), f"{head}, ids binary")
+        .mapInArrow(_encode_parts(encoder_, decoded), out)
     )
     return short.unionByName(long)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of `encoded` with `text`, decoded from ids, in their place. Special tokens are kept; no ids give ''."""
+    encoder_ = encoder_of(encoded.sparkSession, path)
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_()
         for batch in batches:
             for some in slices(batch, "ids", CHUNK):
                 ids = [np.frombuffer(x, "<u4").tolist() for x in some.column("ids").to_pylist()]
@@ -293,11 +334,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    encoded = encode(table(spark, sf_dir, "documents"), path).withColumns({
-        "n_tokens": (F.length("ids") / 4).cast("long"), "ids_sha256": F.sha2("ids", 256)})
-    return decode(encoded, path).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    encoded = encode(table(spark, sf_dir, "documents"), vocabulary_path(), decoded=True)
+    return encoded.select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES["op2_bpe_round_trip"] = op2_bpe_round_trip

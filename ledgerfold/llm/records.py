@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import new_path, stage
-from .bpe import CHUNK, Encoder, vocabulary_path
+from .bpe import CHUNK, Encoder, encoder_of, vocabulary_path
 from .common import named, slices
 from .queries import QUERIES, table
 
@@ -77,9 +78,9 @@ def frames(data: bytes):
         at = end + FOOT_SIZE + 1
 
 
-def _records(path: str, end_id: int):
+def _records(encoder_: Callable[[], Encoder], end_id: int):
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_()
         wide = max(len(encoder.sizes), end_id + 1) > 1 << 16
         end = np.array([end_id], np.uint32)
         for batch in batches:
@@ -109,7 +110,7 @@ def write_records(
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         files = max(1, -(-size // FILE_BYTES))
     ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    records = ordered.mapInArrow(_records(path, end_id), "record binary")
+    records = ordered.mapInArrow(_records(encoder_of(docs.sparkSession, path), end_id), "record binary")
     # the text writer puts out the bytes of a string as they are, and one line feed after each
     records.select(F.col("record").cast("string")).write.option("lineSep", "\n").text(folder)
 

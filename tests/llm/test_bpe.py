@@ -73,7 +73,8 @@ def test_windows_stay_small_in_a_long_text_without_cuts(encoder):
 def test_frames_round_trip(spark, edge_docs, edge_rows, library):
     found = decode(encode(edge_docs, vocabulary_path(), leaf=300).withColumnRenamed("doc_id", "d"), vocabulary_path())
     assert sorted(r["text"] for r in found.collect()) == sorted(t or "" for _, t, *_ in edge_rows)
-    encoded = encode(edge_docs, vocabulary_path(), leaf=300).collect()
+    encoded = encode(edge_docs, vocabulary_path(), leaf=300, decoded=True).collect()
+    assert sorted(r["decoded"] for r in encoded) == sorted(t or "" for _, t, *_ in edge_rows)
     got = sorted((str(r["doc_id"]), np.frombuffer(r["ids"], "<u4").tolist()) for r in encoded)
     assert got == sorted((str(d), ids(library, t or "")) for d, t, *_ in edge_rows)
 
