@@ -5,7 +5,6 @@ from __future__ import annotations
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
@@ -91,9 +90,9 @@ def in_filter(keys: DataFrame, count: int):
     """A test of long columns that is true for all `keys` and for few other values."""
     shared = keys.sparkSession.sparkContext.broadcast(filter_table(keys, count))
 
-    @F.pandas_udf("boolean")
-    def may_be_in(values: pd.Series) -> pd.Series:
-        return pd.Series(set_in(shared.value, values.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def may_be_in(values: pa.Array) -> pa.Array:
+        return pa.array(set_in(shared.value, values.to_numpy()))
 
     return may_be_in
 

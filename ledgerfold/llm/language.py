@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named
+from .common import named, slices
 from .queries import QUERIES, table
 
 UNKNOWN = "und"
@@ -27,10 +28,10 @@ SAMPLE_ROWS = 4000
 SLOT_BITS = 21
 LEAST_COUNT = 3
 LEAST_SHARE = 0.25
-# Odd multipliers of the two hashes; languages per mask; letters handled at once.
+# Odd multipliers of the two hashes; languages per mask; letters or bytes handled at once.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 MASK_LANGUAGES = 62
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 
 
 @dataclass
@@ -175,19 +176,20 @@ def detect(spark: SparkSession, model: Filters, text: Column) -> Column:
     if nothing was learned. Of equal languages the first by code points wins; a
     text without any known n-gram gets the most frequent language with score 0.
     """
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(vars(model))  # plain values, as workers need not know the class
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        known, langs, scores = shared.value, [], []
-        for chunk in _chunks([(t or "").lower() for t in texts]):
-            hits, counts = _scores(chunk, known)
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        known, langs, scores = Filters(**shared.value), [], []
+        for some in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", CHUNK):
+            hits, counts = _scores([(t or "").lower() for t in some.column("text").to_pylist()], known)
             for row, n in zip(hits, counts):
                 best = int(row.argmax()) if n and len(row) else None
                 value = min(1.0, float(row[best]) / n) if best is not None else 0.0
                 langs.append(UNKNOWN if best is None else known.languages[best] if value else known.common)
                 scores.append(value)
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+        return pa.StructArray.from_arrays(
+            [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return predict(text)
 

@@ -76,7 +76,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         ends = sums.groupBy("key").agg(
             F.coalesce(F.min(F.when(F.col("sum") > F.col("left"), bucket)), F.max(bucket)).alias("end"))
         left = stage(ends.select("key", "end.*"), "thresholds")
-    return left.select("key", "edge", (F.col("left") * 2 >= F.col("size")).alias("edge_taken"))
+    return left.select("key", "edge", ((F.col("left") > 0) & (F.col("left") * 2 >= F.col("size"))).alias("edge_taken"))
 
 
 def _source_key(source: Column) -> Column:
@@ -135,7 +135,8 @@ def mix(
 ) -> DataFrame:
     """The mix itself: each row of `docs` as often as it is taken, with its columns.
 
-    Null and empty texts have size 0; null is a source of its own and the last.
+    Null and empty texts have size 0; a source without words is not taken. Null is
+    a source of its own and the last.
     An empty table gives no rows.
     """
     found = budgets(docs, weights, share, rounds, id_col, text_col, source_col)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,9 +53,9 @@ def _fingerprint(text: str | None, shingle: int) -> int:
 def fingerprint(shingle: int = SHINGLE):
     """The fingerprint of a text column as a long; its bits are what counts."""
 
-    @F.pandas_udf("long")
-    def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series([_fingerprint(t, shingle) for t in texts], dtype="int64")
+    @F.arrow_udf("long")
+    def simhash(texts: pa.Array) -> pa.Array:  # one text at a time is a Python object
+        return pa.array((_fingerprint(t.as_py(), shingle) for t in texts), pa.int64(), size=len(texts))
 
     return simhash
 

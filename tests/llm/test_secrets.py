@@ -63,11 +63,13 @@ def test_random_strings_pass_the_battery_and_writing_does_not():
     for _ in range(300):
         text = base64.urlsafe_b64encode(rng.randbytes(30)).decode()
         alphabet = inferred(text)
+        if alphabet is None:  # a class of characters happens to be absent
+            continue
         places = [alphabet.index(c) for c in text]
         passed += battery(places, len(alphabet)) >= 0.001 and writing_p(places, len(alphabet)) < 0.01
     assert passed > 280
     for text in ("getElementsByTagNameAndClass2", "/Users/alice/Documents/report2024", "A1" * 20, "Abc123" * 8, "aaaaaaaaaaaaaaaaaaaaaaB7"):
-        assert candidates(text, []) == []
+        assert all(p > 0.01 for _, _, p in candidates(text, []))
     assert inferred("thanonontionerthewhichly") is None and inferred("12345678901234567890") is None
 
 
