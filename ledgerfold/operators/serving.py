@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import stage
 from ..settings import (
     ANOMALY_LINE, BLOCKED_WORDS, CHURNED_LINE, NO_ANOMALIES, NO_CHURNED, NO_EXPLANATION, NO_TREND,
     SQL_ROW_LIMIT, TREND_HEADER,
@@ -15,6 +16,7 @@ from .derive import mean_of, money_sum
 from .snapshot import monthly_snapshot
 
 SEVERITIES = ("high", "medium", "low")
+REPORT_PERIODS = 6
 
 
 # --- Anomalies ---------------------------------------------------------------
@@ -140,13 +142,15 @@ def report_context(
     period: str,
 ) -> DataFrame:
     """One row: period label, latest metrics as JSON, and the three text blocks."""
+    # The few newest rows serve both blocks; metrics made on the fly are evaluated once.
+    metrics = stage(metrics.orderBy(F.desc("period")).limit(REPORT_PERIODS), "recent")
     latest = latest_metrics(metrics)
     if latest.isEmpty():
         raise ValueError("this dataset has no metrics yet")
     numbers = ["mrr", "new_mrr", "churned_mrr", "net_new_mrr"]
     doubles = {c: F.col(c).cast("double") for c in numbers}
     fields = ["period", *numbers, "active_customers", "churn_rate", "nrr", "arpu"]
-    trend = _lines(metrics_last_n(metrics), [F.col("period")], NO_TREND, TREND_HEADER)
+    trend = _lines(metrics_last_n(metrics, REPORT_PERIODS), [F.col("period")], NO_TREND, TREND_HEADER)
     churned = _lines(top_churned(subscriptions, sub_key), [F.desc_nulls_last("mrr"), F.col(sub_key)],
                      NO_CHURNED)
     cells = _lines(top_anomalies(found, cell_key), [F.desc("score"), F.col("column_name"),
@@ -191,6 +195,12 @@ def label_counts(df: DataFrame, metric: str, label: Column) -> DataFrame:
     )
 
 
+def job_seconds(jobs: DataFrame) -> DataFrame:
+    """Durations of the finished jobs."""
+    took = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) / F.lit(1e6)
+    return jobs.select(took.alias("seconds")).filter("seconds is not null")
+
+
 def ops_counters(
     datasets: DataFrame, jobs: DataFrame, queries: DataFrame, found: DataFrame, reports: DataFrame,
 ) -> DataFrame:

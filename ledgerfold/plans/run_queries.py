@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scratch import new_path
 from ..sources import Store
 from .clean_queries import _fence
-from .enrich_queries import RISK_SQL
+from .enrich_queries import INDUSTRY_SQL, PLAN_SQL, REASON_SQL, RISK_SQL
 from .etl import run_etl
 from .fixtures import LIFETIME, SUBSCRIPTIONS, anomalies_sql, as_doubles, subscriptions
 from .registry import query
@@ -27,52 +27,84 @@ _CELLS = anomalies_sql("ready", "subscription_id",
                        ("mrr", "seats", "arr", "lifetime_months", "churn_risk_score"))
 
 
-def _run(spark, sf_dir):
+def _run(spark, sf_dir, **options):
     path = new_path(spark, "export")
     subs = subscriptions(spark, sf_dir).withColumn(
         "churned", F.initcap(F.col("churned").cast("string")))
     subs = subs.withColumnsRenamed({"mrr": "Monthly Revenue", "plan": "Tier"})
     subs.write.option("header", True).csv(path)
     store = Store(spark, new_path(spark, "store"))
-    run = run_etl(spark, store, "orders", "csv", path=path, key=("subscription_id",))
+    run = run_etl(spark, store, "orders", "csv", path=path, key=("subscription_id",), **options)
     return run, store
 
 
 @query("etl_result", f"""{_READY} select 'orders' as dataset_id, (select count(*) from subs) as
   rows_processed, (select count(*) from ready) as rows_final,
-  (select count(*) from ({_CELLS})) as anomalies_found, true as validation_passed,
+  (select count(*) from ({_CELLS})) as anomalies_found, (select count(*) filter (mrr < 0) = 0 and count(customer_id) >= 0.99 * count(*) from ready) as validation_passed,
   'completed' as status""")
 def etl_result(spark, sf_dir):
     run, _ = _run(spark, sf_dir)
     return run.as_frame(spark)
 
 
-@query("run_etl", f"""{_READY} select customer_id, plan, status, churned, country,
-  coalesce(churn_reason, 'unknown') as churn_reason, round(mrr, 2) as mrr, lifetime_months,
-  churn_risk_score, strftime(start_date, '%Y-%m-%d') as start_date, cast(floor(seats) as int) as seats
-  from ready""")
+@query("run_etl", f"""{_READY} select customer_id, customer_name, plan, {PLAN_SQL} as plan_category, status, churned,
+  country, industry, {INDUSTRY_SQL} as industry_category, coalesce(churn_reason, 'unknown') as churn_reason,
+  {REASON_SQL} as churn_reason_category, round(mrr, 2) as mrr, round(arr, 2) as arr, lifetime_months,
+  churn_risk_score, strftime(start_date, '%Y-%m-%d') as start_date, strftime(churn_date, '%Y-%m-%d') as churn_date,
+  cast(floor(seats) as bigint) as seats from ready""")
 def stored_rows(spark, sf_dir):
     _, store = _run(spark, sf_dir)
     return as_doubles(store.table("subscriptions").select(
-        "customer_id", "plan", "status", "churned", "country", "churn_reason", "mrr",
-        "lifetime_months", "churn_risk_score",
-        F.date_format("start_date", "yyyy-MM-dd").alias("start_date"), "seats"))
+        "customer_id", "customer_name", "plan", "plan_category", "status", "churned", "country", "industry",
+        "industry_category", "churn_reason", "churn_reason_category", "mrr", "arr", "lifetime_months",
+        "churn_risk_score", F.date_format("start_date", "yyyy-MM-dd").alias("start_date"),
+        F.date_format("churn_date", "yyyy-MM-dd").alias("churn_date"), "seats"))
+
+
+@query("run_etl_with_model", f"""{_READY} select customer_id, coalesce(churn_reason, 'unknown') as churn_reason,
+  case when churn_reason <> 'unknown' and length(churn_reason) > 3 then 'usage' end as churn_reason_category,
+  churn_risk_score from ready""")
+def run_with_model(spark, sf_dir):
+    """A run in which a model labels the reasons and explains the anomalies; the rules label the rest."""
+    _, store = _run(
+        spark, sf_dir, models={"churn_reason_category": lambda: lambda ps: ['{"category": "usage"}' for _ in ps]},
+        explain=lambda: lambda ps: ["expected" for _ in ps])
+    return store.table("subscriptions").select(
+        "customer_id", "churn_reason", "churn_reason_category", "churn_risk_score")
+
+
+@query("explain_anomalies", f"""{_READY} select 'explained ' || column_name as llm_explanation, count(*) as cells
+  from ({_CELLS}) group by column_name""")
+def explained(spark, sf_dir):
+    """The stored explanations of a run, by the column that their prompts name."""
+    named = lambda prompt: prompt.split(", column ", 1)[1].split(":", 1)[0]
+    _, store = _run(spark, sf_dir, explain=lambda: lambda ps: [f"explained {named(p)}" for p in ps])
+    return store.table("anomalies").groupBy("llm_explanation").agg(F.count(F.lit(1)).alias("cells"))
 
 
 @query("etl_metrics", f"""{_READY}, spans as (select *, date_trunc('month', start_date) as s,
     date_trunc('month', churn_date) as c from ready),
-  months as (select distinct s as m from spans)
-  select strftime(m, '%Y-%m') as period, round(sum(case when s <= m and (c is null or c > m)
-    then mrr else 0 end), 2) as mrr,
+  months as (select distinct s as m from spans),
+  sums as (select strftime(m, '%Y-%m') as period,
+    sum(case when s <= m and (c is null or c > m) then cast(mrr as decimal(38,10)) else 0 end) as active_v,
+    sum(case when s = m then cast(mrr as decimal(38,10)) else 0 end) as new_v,
+    sum(case when c = m then cast(mrr as decimal(38,10)) else 0 end) as churn_v,
     count(case when s <= m and (c is null or c > m) then 1 end) as active_customers,
     count(case when s = m then 1 end) as new_customers,
     count(case when c = m then 1 end) as churned_customers
-  from months join spans on s <= m or c = m group by m""")
+  from months join spans on s <= m or c = m group by m)
+  select period, active_customers, new_customers, churned_customers, round(cast(active_v as double), 2) as mrr,
+    round(cast(new_v as double), 2) as new_mrr, round(cast(churn_v as double), 2) as churned_mrr,
+    round(cast(new_v as double) - cast(churn_v as double), 2) as net_new_mrr,
+    round(cast(churned_customers as double) / greatest(active_customers, 1), 4) as churn_rate,
+    round(cast(active_v as double) / greatest(active_customers, 1), 2) as arpu,
+    round(cast(active_v as double) / greatest(cast(active_v - new_v + churn_v as double), 1) * 100, 2) as nrr
+  from sums""")
 def stored_metrics(spark, sf_dir):
     _, store = _run(spark, sf_dir)
     return as_doubles(store.table("metrics").select(
-        "period", "mrr", *[F.col(c).cast("bigint").alias(c) for c in
-                           ("active_customers", "new_customers", "churned_customers")]))
+        "period", "mrr", "new_mrr", "churned_mrr", "net_new_mrr", "churn_rate", "arpu", "nrr",
+        *[F.col(c).cast("bigint").alias(c) for c in ("active_customers", "new_customers", "churned_customers")]))
 
 
 @query("etl_state", f"""{_READY} select 'orders' as id, 'ready' as status,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..operators.serving import (
-    dashboard_summary, histogram, metrics_last_n, report_context, report_markdown, safe_sql,
+    dashboard_summary, histogram, job_seconds, metrics_last_n, report_context, report_markdown, safe_sql,
 )
 from ..settings import ETL_BOUNDS_SECONDS, REPORT_TYPE
 from ..sources.readers import check_suffix, source_fingerprint
@@ -103,8 +103,7 @@ def dashboard(store: Store) -> DataFrame:
 
 def etl_histogram(store: Store) -> DataFrame:
     """Durations of the finished jobs, by bucket."""
-    took = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) / 1e6
-    return histogram(store.jobs().select(took.alias("seconds")), "seconds", ETL_BOUNDS_SECONDS)
+    return histogram(job_seconds(store.jobs()), "seconds", ETL_BOUNDS_SECONDS)
 
 
 def generate_report(store: Store, dataset_id: str, period: str | None = None) -> DataFrame:

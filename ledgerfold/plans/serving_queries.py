@@ -156,9 +156,7 @@ def top_churned(spark, sf_dir):
 
 _CONTEXT = f"""{_METRICS}, labelled as (select *, {REASON_SQL} as churn_reason_category from subs),
   latest as (select * from metrics order by period desc limit 1),
-  context as (select '2024-06' as period, (select mrr from latest) as latest_mrr,
-    (select period from latest) as latest_period, (select nrr from latest) as latest_nrr,
-    (select active_customers from latest) as latest_active,
+  context as (select '2024-06' as period, {', '.join(f'(select {c} from latest) as latest_{c}' for c in _FIELDS)},
     concat('period | MRR | churn_rate | active_customers', chr(10),
       (select string_agg({_TREND_LINE}, chr(10) order by period)
        from (select * from metrics order by period desc limit 6))) as trend,
@@ -175,25 +173,28 @@ def _context(spark, sf_dir):
 
 @query("report_context", f"{_CONTEXT} select * from context")
 def report_context(spark, sf_dir):
-    def number(name, dtype):
-        return F.get_json_object("metrics", f"$.{name}").cast(dtype)
-
     return _context(spark, sf_dir).select(
-        "period", number("mrr", "double").alias("latest_mrr"),
-        F.get_json_object("metrics", "$.period").alias("latest_period"),
-        number("nrr", "double").alias("latest_nrr"),
-        number("active_customers", "bigint").alias("latest_active"),
-        "trend", "churned_customers", "anomalies")
+        "period", *_numbers(F.col("metrics")), "trend", "churned_customers", "anomalies")
+
+
+def _numbers(text):
+    """The fields of a JSON text of metrics."""
+    types = {"period": "string", "active_customers": "bigint"}
+    return [F.get_json_object(text, f"$.{c}").cast(types.get(c, "double")).alias(f"latest_{c}") for c in _FIELDS]
 
 
-@query("report_markdown", f"""{_CONTEXT} select period, concat('## Monthly trend', chr(10), chr(10),
+@query("report_markdown", f"""{_CONTEXT} select period, {', '.join(f'latest_{c}' for c in _FIELDS)},
+  concat('# Subscription report 2024-06', chr(10), chr(10), '## Key metrics', chr(10), chr(10), '```json', chr(10),
+  chr(10), '```', chr(10), chr(10), '## Monthly trend', chr(10), chr(10),
   trend, chr(10), chr(10), '## Top churned customers', chr(10), chr(10), churned_customers, chr(10),
-  chr(10), '## Anomalies', chr(10), chr(10), anomalies) as blocks from context""")
+  chr(10), '## Anomalies', chr(10), chr(10), anomalies) as text from context""")
 def report_markdown(spark, sf_dir):
-    """The document from its second block on; the first holds JSON."""
+    """The whole document: its JSON as numbers, and all the text around it."""
     whole = serving.report_markdown(_context(spark, sf_dir))
-    start = F.instr(F.col("markdown"), "## Monthly trend")
-    return whole.select("period", F.col("markdown").substr(start, F.length("markdown")).alias("blocks"))
+    json = "```json\n([^\n]*)\n```"
+    return whole.select(
+        "period", *_numbers(F.regexp_extract("markdown", json, 1)),
+        F.regexp_replace("markdown", json, "```json\n\n```").alias("text"))
 
 
 # --- Logs ---------------------------------------------------------------------
@@ -201,7 +202,7 @@ def report_markdown(spark, sf_dir):
 def _histogram_sql(value: str, bounds: tuple[int, ...]) -> str:
     parts = [f"select '{b}' as le, count(case when {value} <= {b} then 1 end) as observations from events"
              for b in bounds]
-    return " union all ".join([*parts, "select '+Inf', count(value) from events"])
+    return " union all ".join([*parts, f"select '+Inf', count({value}) from events"])
 
 
 @query("latency_histogram", _histogram_sql("value * 10", LATENCY_BOUNDS_MS))
@@ -209,9 +210,14 @@ def latency_histogram(spark, sf_dir):
     return serving.histogram(from_events(spark, sf_dir, QUERY_LOG), "latency_ms", LATENCY_BOUNDS_MS)
 
 
-@query("etl_histogram", _histogram_sql("value", ETL_BOUNDS_SECONDS))
+@query("etl_histogram", _histogram_sql(
+    "(case when event_type <> 'error' then floor(value) end)", ETL_BOUNDS_SECONDS))
 def etl_histogram(spark, sf_dir):
-    return serving.histogram(table(spark, sf_dir, "events"), "value", ETL_BOUNDS_SECONDS)
+    """Durations of a job log in which failed jobs never finish."""
+    started = F.col("ts").cast("timestamp_ntz")
+    jobs = table(spark, sf_dir, "events").select(started.alias("started_at"), F.when(
+        F.col("event_type") != "error", F.timestamp_add("SECOND", F.floor("value").cast("int"), started)).alias("finished_at"))
+    return serving.histogram(serving.job_seconds(jobs), "seconds", ETL_BOUNDS_SECONDS)
 
 
 @query("ops_counters", f"""with datasets as ({newest_sql(DATASET_LOG)}), jobs as ({newest_sql(JOB_LOG)}),
