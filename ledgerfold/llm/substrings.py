@@ -31,8 +31,8 @@ from .queries import ORACLES, QUERIES, table
 WINDOW = 13
 GRAM = 5
 LONGEST = 32
-SHARD = 60_000
-HOT = 5_000
+SHARD = 25_000
+HOT = 25_000
 CHUNK = 4 << 20
 # Odd multipliers of the hash of a word sequence.
 STEP, LAST = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -90,8 +90,8 @@ def _anchors(window: int, gram: int):
     return run
 
 
-def _shared_stretches(window: int, gram: int, shared, hot=None, with_words: bool = False):
-    """Stretches with shared anchors: key columns, first word, windows, anchor and hash, or anchor, hash and words.
+def _shared_stretches(window: int, gram: int, shared, hot=None, wanted=None):
+    """Stretches with shared anchors: key columns, anchor, hash and first word; of the wanted: anchor, hash, words.
 
     Those with hot anchors are dealt out window by window, each with its own hash as anchor.
     """
@@ -113,14 +113,17 @@ def _shared_stretches(window: int, gram: int, shared, hot=None, with_words: bool
                 body = [b" ".join(words[w][i:i + n + window - 1]) for w, i, n in zip(which, start, windows)]
                 own = np.fromiter(map(xxhash.xxh3_64_intdigest, body), np.uint64, len(body)).view(np.int64)
                 anchor = np.where(dealt, own, anchor)
-                rows = some.select([*KEY, "doc_id"]).take(pa.array(which))
-                out = {n: rows.column(n) for n in rows.schema.names} | {"anchor": anchor, "stretch": own}
-                if with_words:
-                    out = {n: out[n] for n in ("doc_id", "anchor", "stretch")} | {
-                        "words": pa.array(body, pa.binary()).cast(pa.string())}
+                out = {"anchor": pa.array(anchor), "stretch": pa.array(own)}
+                ids = some.select([*KEY, "doc_id"]).take(pa.array(which))
+                if wanted is None:
+                    out = dict(zip(ids.schema.names, ids.columns)) | out | {"start": pa.array(start, pa.int32())}
                 else:
-                    out |= {"start": start.astype(np.int32)}
-                yield pa.RecordBatch.from_pydict(out)
+                    out["words"] = pa.array(body, pa.binary()).cast(pa.string())
+                rows = pa.RecordBatch.from_pydict(out)
+                if wanted is not None:
+                    name = ids.column("doc_id").to_numpy() ^ anchor ^ (own << 1)
+                    rows = rows.filter(pa.array(set_in(wanted.value, name)))
+                yield rows
 
     return run
 
@@ -287,12 +290,10 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         occurrences, different = found(hot)
 
     # The words of a stretch come from its smallest document; a bounded filter spares the others the way.
-    named_by = F.xxhash64("doc_id", "anchor", "stretch")
-    wanted = stage(different.select(F.xxhash64("least", "anchor", "stretch").alias("key")), "wanted")
-    may_be_wanted = in_filter(wanted, wanted.count())
+    name = F.col("least").bitwiseXOR(F.col("anchor")).bitwiseXOR(F.shiftleft("stretch", 1))
+    wanted = share(different.select(name.alias("name")))
     texts = known.mapInArrow(
-        _shared_stretches(window, gram, shared, hot, with_words=True),
-        "doc_id long, anchor long, stretch long, words string").filter(may_be_wanted(named_by)).drop("doc_id")
+        _shared_stretches(window, gram, shared, hot, wanted), "anchor long, stretch long, words string")
     shards = max(1, -(-different.count() // SHARD))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
     matches = stage(
