@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
@@ -34,8 +33,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LEAF = 32_768
 WINDOW = 64
 # Bytes or code points split at once, pieces kept in memory, new pieces encoded as one text.
-CHUNK = 2_000_000
-CACHED_PIECES = 300_000
+CHUNK = 1_000_000
+CACHED_PIECES = 150_000
 JOINED = 2_000
 # Letters that all versions of Unicode call so; what may follow them, and what may stand alone;
 # text between two sure cuts, in small and in large pieces; sure cuts; code points around a place inside one piece.
@@ -56,7 +55,8 @@ def vocabulary_path() -> str:
 class Encoder:
     """The tokenizer of a file, with each distinct piece of text encoded once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_pieces: int = CACHED_PIECES):
+        self.cached_pieces = cached_pieces
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -138,7 +138,7 @@ class Encoder:
         flat = np.empty(sum(map(len, split)), object)
         flat[:] = list(chain.from_iterable(split))
         codes, different = pd.factorize(flat)
-        if len(self.places) > CACHED_PIECES:
+        if len(self.places) > self.cached_pieces:
             self._forget()
         known = np.fromiter(map(self.places.get, different, repeat(-1)), np.int64, len(different))
         if (known < 0).any():
@@ -208,22 +208,6 @@ class Encoder:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-def encoder_of(spark: SparkSession, path: str):
-    """A function for tasks that gives the encoder of a file.
-
-    A worker process keeps it, with the pieces it knows, for the tasks that follow:
-    what is broadcast is an empty dictionary, which each process fills for itself.
-    """
-    kept = spark.sparkContext.broadcast({})
-
-    def get() -> Encoder:
-        if "encoder" not in kept.value:
-            kept.value["encoder"] = Encoder(path)
-        return kept.value["encoder"]
-
-    return get
-
-
 def halves(text: str, leaf: int) -> list[str]:
     """The text, halved until no part is longer than `leaf`."""
     if len(text) <= leaf:
@@ -247,9 +231,9 @@ def _encoded(encoder: Encoder, ids: list[np.ndarray], decoded: bool) -> dict[str
     return {"ids": _binary(ids), **texts}
 
 
-def _encode_texts(encoder_: Callable[[], Encoder], decoded: bool = False, keep_text: bool = False):
+def _encode_texts(path: str, decoded: bool = False, keep_text: bool = False):
     def run(batches):
-        encoder = encoder_()
+        encoder = Encoder(path)
         for batch in batches:
             for some in slices(batch, "text", CHUNK):
                 ids = encoder.encode(some.column("text").to_pylist())
@@ -271,9 +255,9 @@ def _cut(leaf: int):
     return run
 
 
-def _encode_parts(encoder_: Callable[[], Encoder], decoded: bool):
+def _encode_parts(path: str, decoded: bool):
     def run(batches):
-        encoder = encoder_()
+        encoder = Encoder(path)
         for batch in batches:
             for i in range(batch.num_rows):
                 parts = batch.column("parts")[i].as_py()
@@ -302,28 +286,26 @@ def encode(
         *KEY, named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     head = f"{KEY[0]} long, {KEY[1]} long, doc_id {kind}"
-    encoder_ = encoder_of(docs.sparkSession, path)
     out = f"{head}, ids binary" + ", decoded string" * decoded
-    short = rows.filter(F.length("text") <= leaf).mapInArrow(_encode_texts(encoder_, decoded), out)
+    short = rows.filter(F.length("text") <= leaf).mapInArrow(_encode_texts(path, decoded), out)
     leaves = (
         rows.filter(F.length("text") > leaf).mapInArrow(_cut(leaf), f"{head}, place int, text string")
         .repartition(*KEY, "place")
-        .mapInArrow(_encode_texts(encoder_, keep_text=True), f"{head}, place int, text string, ids binary")
+        .mapInArrow(_encode_texts(path, keep_text=True), f"{head}, place int, text string, ids binary")
     )
     long = (
         leaves.groupBy(*KEY, "doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("place", "text", "ids"))).alias("parts"))
-        .mapInArrow(_encode_parts(encoder_, decoded), out)
+        .mapInArrow(_encode_parts(path, decoded), out)
     )
     return short.unionByName(long)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of `encoded` with `text`, decoded from ids, in their place. Special tokens are kept; no ids give ''."""
-    encoder_ = encoder_of(encoded.sparkSession, path)
 
     def run(batches):
-        encoder = encoder_()
+        encoder = Encoder(path)
         for batch in batches:
             for some in slices(batch, "ids", CHUNK):
                 ids = [np.frombuffer(x, "<u4").tolist() for x in some.column("ids").to_pylist()]

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import new_path, stage
-from .bpe import CHUNK, Encoder, encoder_of, vocabulary_path
+from .bpe import Encoder, vocabulary_path
 from .common import named, slices
 from .queries import QUERIES, table
 
@@ -37,8 +36,11 @@ NULL_ID, WIDE_IDS = 1, 2
 HEAD, FOOT, DOCUMENT = "<QI", "<I", "<Bq"
 HEAD_SIZE, FOOT_SIZE, DOCUMENT_SIZE = map(struct.calcsize, (HEAD, FOOT, DOCUMENT))
 CLOSE = b"\n"
-# Parameter: documents are dealt to about so many bytes of text per file.
+# Parameters: documents are dealt to about so many bytes of text per file; bytes of text handled at once; pieces of
+# text that a worker knows.
 FILE_BYTES = 32 * 1024 * 1024
+CHUNK = 2_500_000
+CACHED_PIECES = 400_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -78,9 +80,17 @@ def frames(data: bytes):
         at = end + FOOT_SIZE + 1
 
 
-def _records(encoder_: Callable[[], Encoder], end_id: int):
+def _records(path: str, end_id: int, kept):
+    """Records of the texts in order.
+
+    A worker process keeps its encoder, with the pieces it knows, for the tasks
+    that follow: what is broadcast is an empty dictionary, which each process fills
+    for itself.
+    """
     def run(batches):
-        encoder = encoder_()
+        if path not in kept.value:
+            kept.value[path] = Encoder(path, CACHED_PIECES)
+        encoder = kept.value[path]
         wide = max(len(encoder.sizes), end_id + 1) > 1 << 16
         end = np.array([end_id], np.uint32)
         for batch in batches:
@@ -110,7 +120,8 @@ def write_records(
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         files = max(1, -(-size // FILE_BYTES))
     ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    records = ordered.mapInArrow(_records(encoder_of(docs.sparkSession, path), end_id), "record binary")
+    records = ordered.mapInArrow(
+        _records(path, end_id, docs.sparkSession.sparkContext.broadcast({})), "record binary")
     # the text writer puts out the bytes of a string as they are, and one line feed after each
     records.select(F.col("record").cast("string")).write.option("lineSep", "\n").text(folder)
 
