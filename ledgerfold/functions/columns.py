@@ -78,6 +78,11 @@ def as_whole(c: Column, dtype: str) -> Column:
     return F.when(c.rlike(WHOLE_TEXT), F.trim(c).try_cast(dtype))
 
 
+def fits_whole(c: Column, dtype: str, digits: int) -> Column:
+    """Whether a text is a whole number that fits; up to `digits` characters it does, so few are cast."""
+    return c.rlike(WHOLE_TEXT) & ((F.length(c) <= digits) | F.trim(c).try_cast(dtype).isNotNull())
+
+
 def as_flag(c: Column, dtype: T.DataType, true_texts: tuple[str, ...]) -> Column:
     """True for the listed texts (exact case), for 1 and for true; else false."""
     if is_text(dtype):

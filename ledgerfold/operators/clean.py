@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (
-    EXACT_DOUBLE, WHOLE_TEXT, as_flag, as_number, as_timestamp, as_whole, is_missing, is_number, is_text, nan_to_null,
-    numeric_columns, ref, text_columns,
+    EXACT_DOUBLE, WHOLE_TEXT, as_flag, as_number, as_timestamp, as_whole, fits_whole, is_missing,
+    is_number, is_text, nan_to_null, numeric_columns, ref, text_columns,
 )
 from ..functions.ranks import interpolate, order_statistics, quantile_ranks, sketch
 from ..functions.scratch import stage
@@ -126,26 +126,28 @@ def _open_text(df: DataFrame) -> list[str]:
     return [f.name for f in _of_class(df, "other") if is_text(f.dataType)]
 
 
-def _whole_aggregates(c: Column, i: int) -> list[Column]:
-    """How many values are whole, fit a bigint, fit a decimal, and are too long for a double."""
+def _long_numbers(c: Column) -> Column:
+    """Counts whole numbers that a double cannot hold; only long texts are looked at."""
     exact = as_whole(c, "decimal(38,0)")
-    too_long = c.rlike(WHOLE_TEXT) & (exact.isNull() | (F.abs(exact) > EXACT_DOUBLE))
-    return [
-        F.count(as_whole(c, "bigint")).alias(f"wb{i}"), F.count(exact).alias(f"we{i}"),
-        F.count_if(too_long).alias(f"wl{i}"),
-    ]
+    return F.count_if((F.length(c) > 15) & c.rlike(WHOLE_TEXT) & (exact.isNull() | (F.abs(exact) > EXACT_DOUBLE)))
 
 
-def _number_of_text(c: Column, seen, i: int, parsed: int) -> Column | None:
-    """The numbers of a text column: doubles, or exact types where a double would lose digits.
+def _numbers_of_texts(df: DataFrame, long: dict[str, bool], parsed: dict[str, int]) -> dict[str, Column | None]:
+    """The numbers of text columns: doubles, or exact types where a double would lose digits.
 
-    None if they have no type that keeps all of them; the column then stays text.
+    None for a column without a type that keeps all of them; it then stays text.
+    One more aggregate is made only for columns with long numbers.
     """
-    if not seen[f"wl{i}"]:
-        return as_number(c, T.StringType())
-    if seen[f"we{i}"] < parsed:
-        return None
-    return as_whole(c, "bigint" if seen[f"wb{i}"] == parsed else "decimal(38,0)")
+    found: dict[str, Column | None] = {c: as_number(ref(c), T.StringType()) for c in long}
+    names = [c for c in long if long[c]]
+    if names:
+        seen = df.agg(*[a for i, c in enumerate(names) for a in (
+            F.count_if(fits_whole(ref(c), "bigint", 18)).alias(f"b{i}"),
+            F.count_if(fits_whole(ref(c), "decimal(38,0)", 38)).alias(f"e{i}"))]).first()
+        for i, c in enumerate(names):
+            kind = "bigint" if seen[f"b{i}"] == parsed[c] else "decimal(38,0)"
+            found[c] = as_whole(ref(c), kind) if seen[f"e{i}"] == parsed[c] else None
+    return found
 
 
 def infer_numeric_text(df: DataFrame, ratio: float = NUMERIC_TEXT_RATIO) -> DataFrame:
@@ -159,13 +161,12 @@ def infer_numeric_text(df: DataFrame, ratio: float = NUMERIC_TEXT_RATIO) -> Data
     seen = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count(as_number(ref(c), T.StringType())).alias(f"p{i}") for i, c in enumerate(names)],
-        *[a for i, c in enumerate(names) for a in _whole_aggregates(ref(c), i)],
+        *[_long_numbers(ref(c)).alias(f"l{i}") for i, c in enumerate(names)],
     ).first()
-    chosen = {
-        c: _number_of_text(ref(c), seen, i, seen[f"p{i}"])
-        for i, c in enumerate(names) if seen["rows"] and seen[f"p{i}"] / seen["rows"] > ratio
-    }
-    chosen = {c: number for c, number in chosen.items() if number is not None}
+    likely = [(i, c) for i, c in enumerate(names) if seen["rows"] and seen[f"p{i}"] / seen["rows"] > ratio]
+    numbers = _numbers_of_texts(
+        df, {c: seen[f"l{i}"] > 0 for i, c in likely}, {c: seen[f"p{i}"] for i, c in likely})
+    chosen = {c: number for c, number in numbers.items() if number is not None}
     return df.withColumns(chosen) if chosen else df
 
 
@@ -368,7 +369,14 @@ def clean(
     df = nan_to_null(df)
     dropped, original = high_null_columns(df, null_ratio, protect)
     kept = df.select(*[ref(c) for c in df.columns if c not in dropped])
-    rows = stage(kept.dropDuplicates(), "distinct")
+    # Texts that are or may be numbers are parsed once, beside the text.
+    open_text = _open_text(kept)
+    parsed = {
+        f.name: f"parsed number of {f.name}" for f in kept.schema.fields
+        if f.name in open_text or (column_class(f.name) == "numeric" and is_text(f.dataType))}
+    staged = stage(kept.dropDuplicates().withColumns({
+        name: as_number(ref(c), T.StringType()) for c, name in parsed.items()}), "distinct")
+    rows = staged.select(*map(ref, kept.columns))
     forms = date_forms(rows, date_formats)
 
     # One pass: row count, parse counts of open text, statistics of every column
@@ -376,7 +384,6 @@ def clean(
     conversions: dict[str, str] = {}
     typed: dict[str, Column] = {}
     candidates: dict[str, Column] = {}
-    open_text = _open_text(rows)
     for f in rows.schema.fields:
         kind, c = column_class(f.name), ref(f.name)
         if kind == "date":
@@ -385,14 +392,15 @@ def clean(
         elif kind == "bool":
             typed[f.name], conversions[f.name] = as_flag(c, f.dataType, TRUE_TEXTS), "bool"
         elif kind == "numeric":
-            typed[f.name], conversions[f.name] = as_number(c, f.dataType), "float"
+            typed[f.name] = ref(parsed[f.name]) if f.name in parsed else as_number(c, f.dataType)
+            conversions[f.name] = "float"
             candidates[f.name] = typed[f.name]
         elif f.name in open_text:
-            candidates[f.name] = as_number(c, f.dataType)
+            candidates[f.name] = ref(parsed[f.name])
         elif is_number(f.dataType):
             candidates[f.name] = c.cast("double")
     names = list(candidates)
-    doubles = rows.select(
+    doubles = staged.select(
         *[candidates[c].alias(f"c{i}") for i, c in enumerate(names)],
         *[ref(c).alias(f"t{i}") for i, c in enumerate(open_text)],
     )
@@ -400,17 +408,20 @@ def clean(
         F.count(F.lit(1)).alias("rows"),
         *[a for i in range(len(names)) for a in _number_aggregates(F.col(f"c{i}"), i)],
         *[F.count(F.col(f"t{i}")).alias(f"t{i}") for i in range(len(open_text))],
-        *[a for i in range(len(open_text)) for a in _whole_aggregates(F.col(f"t{i}"), i)],
+        *[_long_numbers(F.col(f"t{i}")).alias(f"l{i}") for i in range(len(open_text))],
     ).first()
     total = seen["rows"]
 
     filled: dict[str, int] = {}
+    likely = {
+        c: seen[f"n{names.index(c)}"] for c in open_text
+        if total and seen[f"n{names.index(c)}"] / total > numeric_ratio}
+    long = {c: seen[f"l{open_text.index(c)}"] > 0 for c in likely}
+    numbers_of = _numbers_of_texts(rows, long, likely)
     for i, c in enumerate(open_text):
-        at = names.index(c)
-        number = _number_of_text(ref(c), seen, i, seen[f"n{at}"])
-        if total and seen[f"n{at}"] / total > numeric_ratio and number is not None:
-            typed[c] = number
-            conversions[c] = "integer_inferred" if seen[f"wl{i}"] else "float_inferred"
+        if numbers_of.get(c) is not None:
+            typed[c] = numbers_of[c] if long[c] else ref(parsed[c])
+            conversions[c] = "integer_inferred" if long[c] else "float_inferred"
         else:
             candidates.pop(c)
             if total - seen[f"t{i}"]:
@@ -426,7 +437,7 @@ def clean(
     ) if numeric else {}
     filled |= {c: s.missing for c, s in numbers.items() if s.missing and s.median is not None}
 
-    typed_frame = rows.withColumns(typed) if typed else rows
+    typed_frame = staged.select(*[typed.get(c, ref(c)).alias(c) for c in kept.columns])
     typed_frame = _apply_numbers(typed_frame, numbers, fill=True, cap=False)
     frame = fill_text_unknown(_apply_numbers(typed_frame, numbers, fill=False, cap=True))
     report = CleanReport(

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import WHOLE_TEXT, as_number, as_whole, is_missing, ref, text_columns
+from ..functions.columns import (
+    WHOLE_TEXT, as_number, as_whole, fits_whole, is_missing, ref, text_columns,
+)
 from ..settings import (
     CANONICAL_HINTS, DOMAIN_MIN_FIELDS, HIGH_NULL_WARNING, ID_LIKE_WARNING, NULL_RATIO_LIMIT,
 )
@@ -133,8 +135,8 @@ def infer_text_types(df: DataFrame) -> DataFrame:
             F.count(value).alias(f"n{i}"),
             F.count_if(value.rlike("^(True|TRUE|true|False|FALSE|false)$")).alias(f"b{i}"),
             F.count_if(value.rlike(WHOLE_TEXT)).alias(f"w{i}"),
-            F.count(as_whole(value, "bigint")).alias(f"l{i}"),
-            F.count(as_whole(value, "decimal(38,0)")).alias(f"e{i}"),
+            F.count_if(fits_whole(value, "bigint", 18)).alias(f"l{i}"),
+            F.count_if(fits_whole(value, "decimal(38,0)", 38)).alias(f"e{i}"),
             F.count(as_number(value, T.StringType())).alias(f"d{i}"),
         ]
     seen = df.agg(*checks).first()
