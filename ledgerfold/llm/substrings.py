@@ -8,7 +8,9 @@ document that has it. A shard builds an FM-index over its stretches (words as
 symbols, wavelet matrix of packed bits) and streams them through it from right to
 left: backward search takes one more word in front, and once a match is as long
 as a window, it is reported and loses its last word. The smallest document among
-the matches of a window goes back to every occurrence of the stretch.
+the matches of a window goes back to every occurrence of the stretch. Stretches
+are named by two 64-bit hashes, of their anchor and their words; words themselves
+are compared as text.
 """
 
 from __future__ import annotations
