@@ -33,9 +33,9 @@ from .queries import ORACLES, QUERIES, table
 WINDOW = 13
 GRAM = 5
 LONGEST = 32
-SHARD = 25_000
+SHARD = 12_000
 HOT = 25_000
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 # Odd multipliers of the hash of a word sequence.
 STEP, LAST = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
