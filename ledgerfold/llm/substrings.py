@@ -256,11 +256,13 @@ def _match(window: int):
         document = least[np.repeat(np.arange(len(split)), lengths + 1)[index.places]]
         first = np.flatnonzero(np.concatenate([[True], index.group[1:] != index.group[:-1]]))
         found = np.minimum.reduceat(document, first)[groups]
-        parts = np.split(found, np.cumsum(lengths - window + 1)[:-1])
-        keep = [i for i, part in enumerate(parts) if part.min() < most[i]]
+        stops = np.cumsum(lengths - window + 1)
+        starts = stops - (lengths - window + 1)
+        keep = np.flatnonzero(np.minimum.reduceat(found, starts) < most)
+        mins = [found[i:j] for i, j in zip(starts[keep], stops[keep])]
         return pd.DataFrame({
             "anchor": rows["anchor"].iloc[keep], "stretch": rows["stretch"].iloc[keep],
-            "mins": pd.Series([parts[i] for i in keep], index=rows.index[keep], dtype=object)}, columns=columns)
+            "mins": pd.Series(mins, index=rows.index[keep], dtype=object)}, columns=columns)
 
     return match
 
