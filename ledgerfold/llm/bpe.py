@@ -55,8 +55,8 @@ def vocabulary_path() -> str:
 class Encoder:
     """The tokenizer of a file, with each distinct piece of text encoded once."""
 
-    def __init__(self, path: str, cached_pieces: int = CACHED_PIECES):
-        self.cached_pieces = cached_pieces
+    def __init__(self, path: str, cached_pieces: int = CACHED_PIECES, chunk: int = CHUNK):
+        self.cached_pieces, self.chunk = cached_pieces, chunk
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -89,6 +89,8 @@ class Encoder:
         self.met = np.ones(len(self.places), np.int64)
 
     def _flat(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.ids) == len(self.ends) == 1:
+            return self.ids[0], self.ends[0]
         self.ids = [np.concatenate([np.zeros(0, np.uint32), *self.ids])]
         self.ends = [np.concatenate(self.ends)]
         return self.ids[0], self.ends[0]
@@ -127,7 +129,7 @@ class Encoder:
         for text in texts:
             held.append(text)
             size += len(text)
-            if size >= CHUNK:
+            if size >= self.chunk:
                 out += self._encode(held)
                 held, size = [], 0
         return out + (self._encode(held) if held else [])
@@ -145,9 +147,10 @@ class Encoder:
             new = list(different[known < 0])
             self._add(new)
             known[known < 0] = [self.places[p] for p in new]
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.met[known] += np.bincount(codes, minlength=len(known))
         ids, ends = self._flat()
         at = known[codes]
-        self.met = np.bincount(at, minlength=len(ends) - 1) + np.pad(self.met, (0, len(ends) - 1 - len(self.met)))
         starts, lengths = ends[at], ends[at + 1] - ends[at]
         shift = np.cumsum(lengths) - lengths
         tokens = ids[np.repeat(starts - shift, lengths) + np.arange(lengths.sum())]

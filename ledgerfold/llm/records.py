@@ -39,8 +39,8 @@ CLOSE = b"\n"
 # Parameters: documents are dealt to about so many bytes of text per file; bytes of text handled at once; pieces of
 # text that a worker knows.
 FILE_BYTES = 32 * 1024 * 1024
-CHUNK = 4_000_000
-CACHED_PIECES = 800_000
+CHUNK = 2_500_000
+CACHED_PIECES = 500_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -89,7 +89,7 @@ def _records(path: str, end_id: int, kept):
     """
     def run(batches):
         if path not in kept.value:
-            kept.value[path] = Encoder(path, CACHED_PIECES)
+            kept.value[path] = Encoder(path, CACHED_PIECES, CHUNK)
         encoder = kept.value[path]
         wide = max(len(encoder.sizes), end_id + 1) > 1 << 16
         end = np.array([end_id], np.uint32)
