@@ -39,8 +39,8 @@ CLOSE = b"\n"
 # Parameters: documents are dealt to about so many bytes of text per file; bytes of text handled at once; pieces of
 # text that a worker knows.
 FILE_BYTES = 32 * 1024 * 1024
-CHUNK = 2_500_000
-CACHED_PIECES = 500_000
+CHUNK = 1_000_000
+CACHED_PIECES = 400_000
 
 
 def masked_crc(data: bytes) -> int:
