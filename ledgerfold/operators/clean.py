@@ -235,10 +235,14 @@ def numeric_statistics(
     df: DataFrame, columns: list[str], multiplier: float = CAP_IQR_MULTIPLIER,
     exempt: tuple[str, ...] = CAP_EXEMPT, filled: bool = True,
 ) -> dict[str, NumberStats]:
-    """Exact medians and fences of the columns, two passes for all of them."""
+    """Exact medians and fences of the columns, a few passes for all of them.
+
+    The numbers are stored first, so that the input is evaluated once.
+    """
     if not columns:
         return {}
-    doubles = df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    doubles = stage(
+        df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]), "numbers")
     seen = doubles.agg(
         F.count(F.lit(1)).alias("rows"),
         *[a for i in range(len(columns)) for a in _number_aggregates(F.col(f"c{i}"), i)],
