@@ -5,7 +5,8 @@ encoding it may be; in that alphabet it must pass a battery: chi-squared test of
 uniformity, runs test about the alphabet's middle, serial correlation of
 neighbours. What passes is tested against the opposite, that it is ordinary
 writing in these characters: its p-value says how likely writing of that length
-would look as uniform, so short strings prove little. Over all documents, the
+would look as uniform, and in alphabets of one case would change as often between
+letters and digits, so short strings prove little. Over all documents, the
 candidates of a length class that pass are found such that the expected share of
 false ones stays below a bound (Benjamini-Hochberg by counts of p-values).
 """
@@ -34,19 +35,26 @@ ACCESS_LENGTH = 20
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 # Candidates, and the encodings they may be in: name, characters, classes that must occur.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 LONG_WORD = 20
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
     ("hex", DIGITS + "abcdef", (DIGITS, LOWER)),
     ("hex", DIGITS + "ABCDEF", (DIGITS, UPPER)),
     ("base32", UPPER + "234567", (DIGITS, UPPER)),
+    ("base32", LOWER + "234567", (DIGITS, LOWER)),
+    ("base36", UPPER + DIGITS, (DIGITS, UPPER)),
+    ("base36", LOWER + DIGITS, (DIGITS, LOWER)),
     ("base62", UPPER + LOWER + DIGITS, (DIGITS, UPPER, LOWER)),
     ("base64", UPPER + LOWER + DIGITS + "+/", (DIGITS, UPPER, LOWER)),
     ("base64url", UPPER + LOWER + DIGITS + "-_", (DIGITS, UPPER, LOWER)),
 )
 # Sum of squared shares of the characters in ordinary writing: letters in English, and decimal digits.
 LETTER_REPEAT, DIGIT_REPEAT = 0.0655, 0.1
+# Share of neighbours in ordinary writing that are a letter and a digit: words and numbers have some five characters.
+# It counts for alphabets of one case, up to this size: of few characters, evenness alone tells little.
+CHANGE_SHARE = 0.2
+ONE_CASE = 36
 # Parameters: least combined p-value of the battery, expected share of false finds, length classes, p-value classes.
 LEAST_BATTERY_P = 0.001
 FALSE_SHARE = 0.01
@@ -89,13 +97,39 @@ def battery(places: list[int], size: int) -> float:
     return min(1.0, 3 * min(spread, runs_p, serial_p))
 
 
-def writing_p(places: list[int], size: int) -> float:
-    """How likely ordinary writing of this length has so even a use of the alphabet."""
+def _evenness(places: list[int], size: int) -> tuple[float, float]:
+    """How many deviations the use of the alphabet is more even than in ordinary writing, and those of a random string."""
     n = len(places)
     excess = size * (DIGIT_REPEAT if size <= 16 else LETTER_REPEAT) - 1
-    expected = size - 1 + (n - 1) * excess
     deviation = math.sqrt(2 * (size - 1) + 4 * n * excess)
-    return max(_upper_tail((expected - _statistic(places, size)) / deviation), 10.0 ** -MOST_DECADES)
+    return (size - 1 + (n - 1) * excess - _statistic(places, size)) / deviation, (n - 1) * excess / deviation
+
+
+def _changes(text: str, alphabet: str) -> tuple[float, float]:
+    """The same for neighbours of which one is a letter and one a digit."""
+    pairs, digits = len(text) - 1, sum(c in DIGITS for c in alphabet) / len(alphabet)
+    deviation = math.sqrt(pairs * CHANGE_SHARE * (1 - CHANGE_SHARE))
+    changes = sum((a in DIGITS) != (b in DIGITS) for a, b in zip(text, text[1:]))
+    return ((changes - 0.5 - pairs * CHANGE_SHARE) / deviation,
+            pairs * (2 * digits * (1 - digits) - CHANGE_SHARE) / deviation)
+
+
+def _writing_tail(z: float) -> float:
+    return max(_upper_tail(z), 10.0 ** -MOST_DECADES)
+
+
+def writing_p(places: list[int], size: int) -> float:
+    """How likely ordinary writing of this length has so even a use of the alphabet."""
+    return _writing_tail(_evenness(places, size)[0])
+
+
+def string_p(text: str, alphabet: str) -> float:
+    """`writing_p` of a string; in one case, both deviations weighted by those of random strings (Stouffer)."""
+    even, even_weight = _evenness([alphabet.index(c) for c in text], len(alphabet))
+    if len(alphabet) > ONE_CASE:
+        return _writing_tail(even)
+    changes, weight = _changes(text, alphabet)
+    return _writing_tail((even_weight * even + weight * changes) / math.hypot(even_weight, weight))
 
 
 def inferred(text: str) -> str | None:
@@ -132,7 +166,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         if alphabet:
             places = [alphabet.index(c) for c in body]
             if battery(places, len(alphabet)) >= LEAST_BATTERY_P:
-                found.append((m.start(), m.start() + len(body), writing_p(places, len(alphabet))))
+                found.append((m.start(), m.start() + len(body), string_p(body, alphabet)))
     return found
 
 

@@ -79,3 +79,35 @@ def test_planted_random_strings_are_found_and_prose_is_left_alone(spark):
     rows = [(i, prose * 3 + (base64.b64encode(rng.randbytes(33)).decode() if i % 10 == 0 else "")) for i in range(200)]
     found = find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in found if r["spans"]} == set(range(0, 200, 10))
+
+
+def planted(spark, strings, before="", after=""):
+    """How many of the strings are found, each in a document of its own."""
+    prose = "the quick brown fox jumps over the lazy dog with an extraordinarilylongwordinside "
+    rows = [(i, f"{prose}{before}{s}{after} {prose}") for i, s in enumerate(strings)] + [(-1 - i, prose * 3) for i in range(50)]
+    found = {r["doc_id"]: r["spans"] for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(found[-1 - i] for i in range(50))
+    at = len(prose) + len(before)
+    return sum((at, 3, at + len(s)) in [(x["start"], x["kind"], x["end"]) for x in found[i]] for i, s in enumerate(strings))
+
+
+def test_random_values_after_names_are_found(spark):
+    rng = random.Random(13)
+    strings = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32)) for _ in range(100)]
+    for before, after in (("sig=", ""), ("?a=1&auth=", "&b=2"), ("export NAME=", "=="), ("x==", "")):
+        assert planted(spark, strings, before, after) >= 90
+
+
+def test_random_strings_of_one_case_are_found(spark):
+    rng = random.Random(14)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet, length, least in (
+            (digits + "ABCDEF", 24, 60), (digits + "ABCDEF", 40, 85), (upper + "234567", 48, 80), (lower + "234567", 48, 80),
+            (upper + digits, 32, 75), (lower + digits, 32, 75)):
+        assert planted(spark, ["".join(rng.choices(alphabet, k=length)) for _ in range(100)]) >= least
+
+
+def test_writing_with_numbers_in_one_case_is_left_alone():
+    for text in ("getelementsbytagnameandclass2", "chapter12section4paragraph7", "ORDER2024INVOICE000123456", "sha256checksum1234567890",
+                 "covid19pandemic2020report", "20240131123000backup2023", "ISBN9780306406157EDITION2"):
+        assert all(p > 0.01 for _, _, p in candidates(text, []))
