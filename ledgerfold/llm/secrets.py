@@ -8,11 +8,13 @@ writing in these characters: its p-value says how likely writing of that length
 would look as uniform, and in alphabets of one case would change as often between
 letters and digits, so short strings prove little. Over all documents, the
 candidates of a length class that pass are found such that the expected share of
-false ones stays below a bound (Benjamini-Hochberg by counts of p-values).
+false ones stays below a bound (Benjamini-Hochberg by counts of p-values). Each
+different string is one test, however often it is there.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -170,19 +172,24 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return found
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), signed=True)
+
+
 def _scan(batches):
     for batch in batches:
         base = [base_spans(t) for t in batch["text"]]
         tested = [candidates(t, b) for t, b in zip(batch["text"], base)]
         yield batch.drop(columns="text").assign(
             base=[[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in base],
-            tested=[[{"start": a, "end": b, "p": p} for a, b, p in x] for x in tested])
+            tested=[[{"start": a, "end": b, "p": p, "hash": _hash(t[a:b])} for a, b, p in x]
+                    for t, x in zip(batch["text"], tested)])
 
 
 def _limits(tested: DataFrame, false_share: float) -> dict[int, float]:
-    """Per length class the largest p-value that keeps the expected share of false finds."""
+    """Per length class the largest p-value that keeps the expected share of false finds among different strings."""
     counts = (
-        tested.groupBy("length_class", "p_class").agg(F.count("*").alias("n"))
+        tested.select("hash", "length_class", "p_class").distinct().groupBy("length_class", "p_class").agg(F.count("*").alias("n"))
         .orderBy("length_class", "p_class").collect()
     )
     limits = {}
@@ -214,12 +221,12 @@ def find_secrets(
     kind = rows.schema["doc_id"].dataType.simpleString()
     scanned = stage(rows.mapInPandas(
         _scan, f"{KEY[0]} long, {KEY[1]} long, doc_id {kind}, "
-               "base array<struct<start:int,kind:int,end:int>>, tested array<struct<start:int,end:int,p:double>>"),
+               "base array<struct<start:int,kind:int,end:int>>, tested array<struct<start:int,end:int,p:double,hash:long>>"),
         "secret-candidates")
     length_class = lambda span: sum(
         ((span["end"] - span["start"]) >= least).cast("int") for least in LENGTH_CLASSES)
     each = scanned.select(F.explode("tested").alias("one")).select(
-        length_class(F.col("one")).alias("length_class"),
+        "one.hash", length_class(F.col("one")).alias("length_class"),
         F.ceil(F.log10("one.p") * P_CLASSES_PER_DECADE).cast("int").alias("p_class"))
     limits = _limits(each, false_share)
     limit = lambda span: F.coalesce(

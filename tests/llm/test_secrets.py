@@ -111,3 +111,36 @@ def test_writing_with_numbers_in_one_case_is_left_alone():
     for text in ("getelementsbytagnameandclass2", "chapter12section4paragraph7", "ORDER2024INVOICE000123456", "sha256checksum1234567890",
                  "covid19pandemic2020report", "20240131123000backup2023", "ISBN9780306406157EDITION2"):
         assert all(p > 0.01 for _, _, p in candidates(text, []))
+
+
+def test_copies_of_one_identifier_change_no_other_string(spark):
+    rng = random.Random(15)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(letters, k=24)) for _ in range(100)]
+    usual = "renderInvoiceTable4Month"
+    p = candidates(usual, [])[0][2]
+    assert p > 0.01 and len(usual) == 24
+
+    def found(copies):
+        rows = list(enumerate(keys)) + [(1000 + i, f"call {usual} here") for i in range(copies)]
+        spans = find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert not any(r["spans"] for r in spans if r["doc_id"] >= 1000)
+        return {r["doc_id"] for r in spans if r["spans"]}
+
+    once = found(1)
+    assert len(once) >= 85 and found(20000) == once
+
+
+def test_copies_of_one_random_string_find_no_other(spark):
+    rng = random.Random(16)
+    lucky = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=31))
+    words = "render Invoice Table Month Customer Order Account Payment Report Summary Balance Ledger Detail Charge".split()
+    rows = [(i, "".join(rng.sample(words, 4)) + str(rng.randint(0, 9))) for i in range(3000)]
+    rows = [(i, t) for i, t in rows if 20 <= len(t) < 32]
+
+    def found(copies):
+        more = rows + [(10000 + i, lucky) for i in range(copies)]
+        return {r["doc_id"] for r in find_secrets(spark.createDataFrame(more, "doc_id long, text string")).collect() if r["spans"]} - set(
+            range(10000, 10000 + copies))
+
+    assert found(20000) == found(1)
