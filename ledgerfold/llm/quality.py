@@ -26,6 +26,8 @@ COMMON_WORDS = {
     "es": "de la que el en y a los del se las por un para con no una su al lo",
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au",
 }
+# Fixed value: parts of a share in a reference.
+SHARE_UNITS = 1 << 24
 # Parameters: largest distances (documents labelled good stay below 0.22 and 0.31, most labelled bad that the base
 # rules miss lie above 0.31 and 0.33), words that a document needs for each.
 MOST_CLASS_DISTANCE = 0.27
@@ -85,7 +87,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.coalesce(named(text_col), F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     split = rows.select(
-        *KEY, "doc_id", "lang", F.length("text").alias("chars"), lines.alias("lines"),
+        *KEY, "doc_id", "lang", F.xxhash64("text").alias("text_hash"), F.length("text").alias("chars"), lines.alias("lines"),
         F.regexp_replace("text", SPACES, "").alias("body"), F.array_remove(F.split("text", SPACES), "").alias("words"))
     everything = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
     common = F.lit(None).cast("array<string>")
@@ -94,7 +96,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     common = F.coalesce(common, F.array(*map(F.lit, everything)))
     met = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(*everything))
     counted = split.select(
-        *KEY, "doc_id", "lang", "words", F.size("words").cast("long").alias("n_words"),
+        *KEY, "doc_id", "lang", "text_hash", "words", F.size("words").cast("long").alias("n_words"),
         F.length("body").cast("long").alias("word_chars"),
         (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -110,7 +112,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             F.length(F.translate("unlettered", "0123456789", "")).cast("long")))
     found = _sum(F.col("common"), F.lit(0).cast("long"))
     whole = classed.select(
-        *KEY, "doc_id", "lang", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "classes",
+        *KEY, "doc_id", "lang", "text_hash", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "classes",
         F.concat("common", F.array(F.greatest(F.lit(0).cast("long"), F.col("n_words") - found))).alias("common"))
     return _repeated_windows(whole)
 
@@ -127,36 +129,56 @@ def distance(own: str, usual: str) -> Column:
     return F.when((own_sum > 0) & (usual_sum > 0), F.sqrt(F.greatest(bits, F.lit(0.0)))).otherwise(0.0)
 
 
+def references(counts: DataFrame, each_text_once: bool = False) -> DataFrame:
+    """lang, usual_classes and usual_common: the summed histograms of a language's rows.
+
+    With `each_text_once` the mean shares of its different texts that pass the
+    base rules: a text counts alike, however often it is there and however long
+    it is. Shares are whole numbers, so that sums don't depend on their order.
+    """
+    if each_text_once:
+        texts = counts.filter(~F.col("base_failed")).groupBy("lang", "text_hash").agg(
+            F.any_value("classes").alias("classes"), F.any_value("common").alias("common"))
+        total = lambda h: _sum(F.col(h), F.lit(0).cast("long"))
+        share = lambda h: F.transform(h, lambda n: F.floor(n * SHARE_UNITS / F.col(f"{h}_sum"))).alias(h)
+        counts = texts.withColumns({"classes_sum": total("classes"), "common_sum": total("common")}).select(
+            "lang", share("classes"), share("common"))
+    widest = 1 + len({w for words in COMMON_WORDS.values() for w in words.split()})
+    summed = counts.groupBy("lang").agg(
+        *(F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(5)),
+        *(F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(widest)))
+    return summed.select(
+        "lang", F.array(*(f"c{i}" for i in range(5))).alias("usual_classes"),
+        F.filter(F.array(*(f"w{i}" for i in range(widest))), lambda x: x.isNotNull()).alias("usual_common"))
+
+
 def quality(
     docs: DataFrame, class_limit: float = MOST_CLASS_DISTANCE, word_limit: float = MOST_WORD_DISTANCE,
-    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each_text_once: bool = False,
 ) -> DataFrame:
     """One row per row of `docs`: KEY, doc_id, the counts, both distances, base_failed and kept.
 
-    The references are the summed histograms of all rows with the same language;
-    null is a language of its own, measured by all common words. A null text has
+    The references are the summed histograms of all rows with the same language,
+    as in the query's SQL, which copies, junk and long texts can move; with
+    `each_text_once`, the mean shares of the different texts that pass the base
+    rules (without any, the distances are 0). Null is a language of its own,
+    measured by all common words. A null text has
     no words; it and an empty text fail the base rules. Rows with the same id or
     text are judged alike. An empty table gives no rows. Other columns are ignored.
     """
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     counts = stage(features(docs, id_col, text_col, lang_col).withColumn(
-        "lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("none"))), "quality")
-    widest = 1 + len({w for words in COMMON_WORDS.values() for w in words.split()})
-    summed = counts.groupBy("lang").agg(
-        *(F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(5)),
-        *(F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(widest)))
-    usual = summed.select(
-        "lang", F.array(*(f"c{i}" for i in range(5))).alias("usual_classes"),
-        F.filter(F.array(*(f"w{i}" for i in range(widest))), lambda x: x.isNotNull()).alias("usual_common"))
+        "lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("none"))).withColumn("base_failed", failed), "quality")
+    usual = references(counts, each_text_once)
     histograms = ["classes", "common", "usual_classes", "usual_common"]
     totals = {f"{h}_sum": _sum(F.col(h), F.lit(0).cast("long")) for h in histograms}
-    compared = counts.join(usual, "lang").withColumns(totals).select(
-        *KEY, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    compared = counts.join(usual, "lang", "left").withColumns(totals).select(
+        *KEY, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         distance("classes", "usual_classes").alias("class_distance"),
         distance("common", "usual_common").alias("word_distance"))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     diverges = ((F.col("n_words") >= CLASS_WORDS) & (F.col("class_distance") > class_limit)) | (
         (F.col("n_words") >= COMMON_WORDS_NEEDED) & (F.col("word_distance") > word_limit))
-    return compared.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~diverges)
+    return compared.withColumn("kept", ~F.col("base_failed") & ~diverges)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -105,3 +106,16 @@ def test_long_texts_take_time_in_proportion(spark):
         assert features(frame).select(F.sum("n_repeat_words")).first()[0] >= n
         took.append(time.time() - began)
     assert took[1] < 8 * took[0] + 5
+
+
+def test_copies_junk_and_long_tables_move_no_reference(spark):
+    rng = random.Random(17)
+    words = ["house", "man", "dog", "town", "river", "garden", "letter", "morning", "window", "winter", "market", "village"]
+    clean = [(i, "The " + " ".join(f"{rng.choice(words)} of {rng.choice(words)}{j}," for j in range(40)), "en") for i in range(60)]
+    hot = " ".join(f"{i * 7919 % 10007}" for i in range(60))
+    table = " ".join(f"{i * 7919 % 1000003}" for i in range(20000))
+    failing = " ".join("12345 67890" for _ in range(2000))
+    for more in ([(100 + i, hot, "en") for i in range(600)], [(100, table, "en")], [(100 + i, failing, "en") for i in range(30)]):
+        docs = spark.createDataFrame(clean + more, "doc_id long, text string, lang string")
+        assert all(r["kept"] for r in quality(docs, each_text_once=True).collect() if r["doc_id"] < 100)
+        assert not any(r["kept"] for r in quality(docs).collect() if r["doc_id"] < 100)
