@@ -7,7 +7,7 @@ documents say too little and are kept, whatever their distance.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scratch import stage
@@ -19,7 +19,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
-# Common words per language; another language is measured by all of them.
+# Common words per language. Those of another language are the words in most of its different texts; a
+# language with fewer texts than the least is measured by all words below.
+LEAST_TEXTS = 50
+MOST_COMMON = 25
 COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als",
     "en": "the of and to in a is that for it as was with be by on not he his or",
@@ -77,24 +80,48 @@ def _counted(words: Column, word: Column) -> Column:
             / (F.length(word) + 2)).cast("long")
 
 
+def derived_words(rows: DataFrame) -> DataFrame:
+    """lang and listed: the words in most different texts, of each language in `rows` (lang, text) without fixed ones.
+
+    Copies of a text count once. Ties go by code points. Null is a language of its own.
+    """
+    other = rows.filter(F.coalesce(~F.col("lang").isin(*COMMON_WORDS), F.lit(True))).select(
+        "lang", "text", F.xxhash64("text").alias("text_hash")).dropDuplicates(["lang", "text_hash"])
+    met = F.array_distinct(F.filter(
+        F.transform(F.split("text", SPACES), lambda w: F.lower(w)), lambda w: w.rlike(r"\p{L}")))
+    # The empty word stands for each text.
+    counts = other.select("lang", F.explode(F.concat(F.array(F.lit("")), met)).alias("word")).groupBy("lang", "word").agg(
+        F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("word") != "", F.col("n").desc(), "word"))
+    first = counts.withColumn("place", place).filter(F.col("place") <= MOST_COMMON + 1)
+    return first.groupBy("lang").agg(
+        F.max(F.when(F.col("word") == "", F.col("n"))).alias("texts"),
+        F.sort_array(F.collect_list(F.when(F.col("word") != "", F.col("word")))).alias("listed")).filter(
+        (F.col("texts") >= LEAST_TEXTS) & (F.size("listed") > 0)).select(F.col("lang").alias("listed_lang"), "listed")
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The counts of each row: those of the base rules, character classes, common words.
 
     A common word counts where it stands between white space, in either case.
+    A language without fixed ones is measured by `derived_words`.
     """
     rows = with_row_key(docs).select(
         *KEY, named(id_col).alias("doc_id"), named(lang_col).cast("string").alias("lang"),
         F.coalesce(named(text_col), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(derived_words(rows)), F.col("lang").eqNullSafe(F.col("listed_lang")), "left").drop("listed_lang")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     split = rows.select(
-        *KEY, "doc_id", "lang", F.xxhash64("text").alias("text_hash"), F.length("text").alias("chars"), lines.alias("lines"),
+        *KEY, "doc_id", "lang", "listed", F.xxhash64("text").alias("text_hash"), F.length("text").alias("chars"), lines.alias("lines"),
         F.regexp_replace("text", SPACES, "").alias("body"), F.array_remove(F.split("text", SPACES), "").alias("words"))
     everything = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
     common = F.lit(None).cast("array<string>")
     for lang, words in COMMON_WORDS.items():
         common = F.when(F.col("lang") == lang, F.array(*map(F.lit, words.split()))).otherwise(common)
-    common = F.coalesce(common, F.array(*map(F.lit, everything)))
-    met = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(*everything))
+    common = F.coalesce("listed", common, F.array(*map(F.lit, everything)))
+    lowered = F.transform("words", lambda w: F.lower(w))
+    met = F.when(F.col("listed").isNull(), F.filter(lowered, lambda w: w.isin(*everything))).otherwise(
+        F.filter(lowered, lambda w: F.array_contains("listed", w)))
     counted = split.select(
         *KEY, "doc_id", "lang", "text_hash", "words", F.size("words").cast("long").alias("n_words"),
         F.length("body").cast("long").alias("word_chars"),
@@ -161,8 +188,7 @@ def quality(
     The references are the summed histograms of all rows with the same language,
     as in the query's SQL, which copies, junk and long texts can move; with
     `each_text_once`, the mean shares of the different texts that pass the base
-    rules (without any, the distances are 0). Null is a language of its own,
-    measured by all common words. A null text has
+    rules (without any, the distances are 0). Null is a language of its own. A null text has
     no words; it and an empty text fail the base rules. Rows with the same id or
     text are judged alike. An empty table gives no rows. Other columns are ignored.
     """

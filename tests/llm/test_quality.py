@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from ledgerfold.llm.quality import distance, features, quality
+from ledgerfold.llm.quality import derived_words, distance, features, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -119,3 +119,26 @@ def test_copies_junk_and_long_tables_move_no_reference(spark):
         docs = spark.createDataFrame(clean + more, "doc_id long, text string, lang string")
         assert all(r["kept"] for r in quality(docs, each_text_once=True).collect() if r["doc_id"] < 100)
         assert not any(r["kept"] for r in quality(docs).collect() if r["doc_id"] < 100)
+
+
+def test_common_words_of_other_languages_come_from_the_table(spark):
+    rng = random.Random(18)
+    usual = "и в не на что с по это как он к но".split()
+    syllables = ["ка", "ро", "ми", "ле", "ту", "са", "но", "ви", "до", "пе"]
+    word = lambda: "".join(rng.choices(syllables, k=5))
+    good = [" ".join(x for _ in range(70) for x in (rng.choice(usual), word())) for _ in range(120)]
+    bad = " ".join(word() for _ in range(140))
+    for lang, kept in (("ru", False), (None, False)):
+        rows = [(i, t, lang) for i, t in enumerate(good)] + [(1000, bad, lang)] + [(2000 + i, "the house of the man", "en") for i in range(5)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        found = {r["doc_id"]: r for r in quality(frame).collect()}
+        assert all(found[i]["kept"] for i in range(120))
+        assert found[1000]["kept"] == kept and not found[1000]["base_failed"] and found[1000]["word_distance"] > 0.325
+
+
+def test_derived_words_count_copies_once_and_need_texts(spark):
+    rows = [("xx", f"Ab ab cd{i % 2} e{i}") for i in range(60)] + [("xx", "zz copy")] * 500 + [("yy", "few texts")] * 500
+    found = derived_words(spark.createDataFrame(rows, "lang string, text string")).collect()
+    assert [r["listed_lang"] for r in found] == ["xx"]
+    assert {"ab", "cd0", "cd1"} < set(found[0]["listed"]) and len(found[0]["listed"]) == 25
+    assert "zz" not in found[0]["listed"] and "e58" not in found[0]["listed"]
