@@ -38,14 +38,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{_session_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a staged table or folder."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Remove everything this session has staged; its staged frames end with it."""
-    _drop(spark, _session_folder(spark))
+    remove(spark, _session_folder(spark))
 
 
 @contextmanager
@@ -57,7 +58,7 @@ def staging(spark: SparkSession, run: str) -> Iterator[None]:
     finally:
         folder = _session_folder(spark)
         _runs.reset(outer)
-        _drop(spark, folder)
+        remove(spark, folder)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
