@@ -20,7 +20,6 @@ import re
 from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,20 +136,19 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         # an added token must stay in one piece
         split = [(PIECE if any(a in t for a in self.added) else SMALL_PIECE).findall(t) for t in texts]
-        flat = np.empty(sum(map(len, split)), object)
-        flat[:] = list(chain.from_iterable(split))
-        codes, different = pd.factorize(flat)
         if len(self.places) > self.cached_pieces:
             self._forget()
-        known = np.fromiter(map(self.places.get, different, repeat(-1)), np.int64, len(different))
-        if (known < 0).any():
-            new = list(different[known < 0])
+        pieces = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            missing = [pieces[i] for i in unknown]
+            new = list(dict.fromkeys(missing))
             self._add(new)
-            known[known < 0] = [self.places[p] for p in new]
+            at[unknown] = np.fromiter(map(self.places.__getitem__, missing), np.int64, len(missing))
             self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
-        self.met[known] += np.bincount(codes, minlength=len(known))
+        self.met += np.bincount(at, minlength=len(self.met))
         ids, ends = self._flat()
-        at = known[codes]
         starts, lengths = ends[at], ends[at + 1] - ends[at]
         shift = np.cumsum(lengths) - lengths
         tokens = ids[np.repeat(starts - shift, lengths) + np.arange(lengths.sum())]

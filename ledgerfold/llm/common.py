@@ -32,18 +32,34 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ascii_uppercase, ascii_lowercase)
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """`df` with its columns named c0, c1 and so on, so that no name clashes with a helper's."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def _each_stored_row_once(df: DataFrame) -> bool:
+    """Whether `df` is a scan under projections and filters: a row of it is a row of a file, and always the same ones."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter") and plan.deterministic():
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def with_row_key(df: DataFrame) -> DataFrame:
     """`df` with the columns KEY (long), which name a row of the stored input.
 
     They are the same in every scan and after a lost executor, also for repeated
-    rows. A frame that isn't read from files is written once.
+    rows. A frame that isn't a plain read of files, such as a join, a union or an
+    exploded one, is written once, so that each of its rows gets a key of its own.
     """
     keys = (F.xxhash64("_metadata.file_path").alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1]))
     plain = df.select(*(named(c) for c in df.columns if c not in KEY))
-    try:
-        return plain.select("*", *keys)
-    except AnalysisException:
-        return stage(plain, "rows").select("*", *keys)
+    if _each_stored_row_once(plain):
+        try:
+            return plain.select("*", *keys)
+        except AnalysisException:  # these files have no row numbers
+            pass
+    return stage(plain, "rows").select("*", *keys)
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int):

@@ -98,18 +98,19 @@ def _suspect(rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
     return rows.drop(columns=["part", "fingerprint"]).assign(suspect=np.isin(own, values))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
     """One row per row of `docs`: its group of equal texts and whether it stays.
 
     Columns: KEY, doc_id, keep_id, group_size, kept, text_sha256. Texts are equal
     if they are after lower-casing A-Z; null counts as empty, and empty texts are
     equal. The row with the largest id stays; a null id is smallest; of several
     rows with that id, the first in the stored input stays. An empty table gives
-    no rows. Other columns are ignored.
+    no rows. Other columns are ignored. With `keyed`, `docs` has KEY already.
+    Only suspects' texts move, whole, whatever their length.
     """
-    keyed = with_row_key(docs)
+    source = docs if keyed else with_row_key(docs)
     text = ascii_lower(F.coalesce(named(text_col), F.lit("")))
-    rows = stage(keyed.select(
+    rows = stage(source.select(
         *KEY, named(id_col).alias("doc_id"), F.sha2(text, 256).alias("text_sha256"),
         F.xxhash64(text).alias("fingerprint"), F.spark_partition_id().alias("part"),
     ), "fingerprints")
@@ -122,7 +123,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .applyInPandas(_suspect, f"{schema}, suspect boolean"), "suspects")
 
     suspects = marked.filter("suspect").drop("suspect")
-    moved = rows_in(keyed.select(*KEY, text.alias("bytes")), suspects)
+    moved = rows_in(source.select(*KEY, text.alias("bytes")), suspects)
     groups = stage(
         moved.groupBy("text_sha256", "bytes")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))

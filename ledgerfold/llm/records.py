@@ -36,11 +36,12 @@ NULL_ID, WIDE_IDS = 1, 2
 HEAD, FOOT, DOCUMENT = "<QI", "<I", "<Bq"
 HEAD_SIZE, FOOT_SIZE, DOCUMENT_SIZE = map(struct.calcsize, (HEAD, FOOT, DOCUMENT))
 CLOSE = b"\n"
-# Parameters: documents are dealt to about so many bytes of text per file; bytes of text handled at once; pieces of
-# text that a worker knows.
-FILE_BYTES = 32 * 1024 * 1024
+# Parameters: about so many bytes of records per file; bytes of text handled at once; pieces of text that a worker knows.
+FILE_BYTES = 16 * 1024 * 1024
 CHUNK = 1_000_000
 CACHED_PIECES = 400_000
+# Fixed value: code points of a text that order rows with the same id.
+TIE_CHARS = 32
 
 
 def masked_crc(data: bytes) -> int:
@@ -81,12 +82,14 @@ def frames(data: bytes):
 
 
 def _records(path: str, end_id: int, kept):
-    """Records of the texts in order.
+    """Records of the texts, in the place of `text`.
 
-    A worker process keeps its encoder, with the pieces it knows, for the tasks
-    that follow: what is broadcast is an empty dictionary, which each process fills
-    for itself.
+    A worker process keeps its encoder, with up to CACHED_PIECES known pieces
+    (about 100 MB), for the tasks of this table that follow: what is broadcast is
+    an empty dictionary, which each process fills for itself and drops with it.
     """
+    order = ["doc_id", "text_head", "text_hash"]
+
     def run(batches):
         if path not in kept.value:
             kept.value[path] = Encoder(path, CACHED_PIECES, CHUNK)
@@ -98,7 +101,8 @@ def _records(path: str, end_id: int, kept):
                 out = [
                     frame(payload_of(doc_id, np.concatenate([ids, end]), wide)) for doc_id, ids in zip(
                         some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist()))]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(some.column(c) for c in order), pa.array(out, pa.binary())], [*order, "record"])
 
     return run
 
@@ -110,20 +114,28 @@ def write_records(
     """Write the ids of all texts of `docs`, each with `end_id` behind, to new files in `folder`.
 
     File after file, and within each, documents are in ascending order of a long
-    id, null first; rows with the same id are in order of their text. A null text
-    is empty: its record holds the end id alone. An empty table gives a folder
-    without records. Other columns are ignored.
+    id, null first; rows with the same id are in order of their text's first
+    TIE_CHARS code points, then of a hash of it, and may be in several files. A null text is empty: its record holds the end
+    id alone. An empty table gives a folder without records. Other columns are
+    ignored. Texts are encoded whole, where they are read; only records are put
+    in order.
     """
+    spark = docs.sparkSession
     rows = docs.select(
-        named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+        named(id_col).cast("long").alias("doc_id"), F.substring(named(text_col), 1, TIE_CHARS).alias("text_head"),
+        F.xxhash64(named(text_col)).alias("text_hash"), F.coalesce(named(text_col), F.lit("")).alias("text"))
+    kept = spark.sparkContext.broadcast({})
+    encoded = rows.mapInArrow(_records(path, end_id, kept), "doc_id long, text_head string, text_hash long, record binary")
+    # a place tells repeated rows apart, so that a range can end between them
+    records = stage(encoded.withColumn("place", F.monotonically_increasing_id()), "records")
+    kept.unpersist()
     if files is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        size = records.agg(F.sum(F.octet_length("record"))).first()[0] or 0
         files = max(1, -(-size // FILE_BYTES))
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    records = ordered.mapInArrow(
-        _records(path, end_id, docs.sparkSession.sparkContext.broadcast({})), "record binary")
+    order = ["doc_id", "text_head", "text_hash", "place"]
+    ordered = records.repartitionByRange(files, *order).sortWithinPartitions(*order)
     # the text writer puts out the bytes of a string as they are, and one line feed after each
-    records.select(F.col("record").cast("string")).write.option("lineSep", "\n").text(folder)
+    ordered.select(F.col("record").cast("string")).write.option("lineSep", "\n").text(folder)
 
 
 def _index(batches):

@@ -1,6 +1,7 @@
 """Secrets in texts: fixed patterns, and strings that pass tests of randomness.
 
-Any long run of encoding characters is a candidate. Its characters tell which
+Any long run of encoding characters is a candidate, and so is a long part of it
+between signs, as in paths. Its characters tell which
 encoding it may be; in that alphabet it must pass a battery: chi-squared test of
 uniformity, runs test about the alphabet's middle, serial correlation of
 neighbours. What passes is tested against the opposite, that it is ordinary
@@ -19,12 +20,12 @@ import math
 import re
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import stage
-from .common import KEY, named, with_row_key
+from .common import KEY, named, slices, with_row_key
 from .queries import QUERIES, table
 
 # The base patterns with their least lengths, in order.
@@ -36,8 +37,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ACCESS_LENGTH = 20
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
-# Candidates, and the encodings they may be in: name, characters, classes that must occur.
+# Candidates, their parts between signs, and the encodings they may be in: name, characters, classes that must occur.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+PART = re.compile(r"[A-Za-z0-9+]{20,}")
 LONG_WORD = 20
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = (
@@ -47,6 +49,7 @@ ENCODINGS = (
     ("base32", LOWER + "234567", (DIGITS, LOWER)),
     ("base36", UPPER + DIGITS, (DIGITS, UPPER)),
     ("base36", LOWER + DIGITS, (DIGITS, LOWER)),
+    ("base52", UPPER + LOWER, (UPPER, LOWER)),
     ("base62", UPPER + LOWER + DIGITS, (DIGITS, UPPER, LOWER)),
     ("base64", UPPER + LOWER + DIGITS + "+/", (DIGITS, UPPER, LOWER)),
     ("base64url", UPPER + LOWER + DIGITS + "-_", (DIGITS, UPPER, LOWER)),
@@ -57,6 +60,8 @@ LETTER_REPEAT, DIGIT_REPEAT = 0.0655, 0.1
 # It counts for alphabets of one case, up to this size: of few characters, evenness alone tells little.
 CHANGE_SHARE = 0.2
 ONE_CASE = 36
+# Parameter: bytes of text handled at once.
+CHUNK = 1_000_000
 # Parameters: least combined p-value of the battery, expected share of false finds, length classes, p-value classes.
 LEAST_BATTERY_P = 0.001
 FALSE_SHARE = 0.01
@@ -155,8 +160,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _tested(text: str) -> float | None:
+    """The p-value against writing of a string that passes the battery of its alphabet."""
+    alphabet = inferred(text)
+    if alphabet and battery([alphabet.index(c) for c in text], len(alphabet)) >= LEAST_BATTERY_P:
+        return string_p(text, alphabet)
+    return None
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
-    """(start, end, p-value against writing) of the runs outside base spans that pass the battery."""
+    """(start, end, p-value against writing) of the strings outside base spans that pass the battery.
+
+    A run of candidate characters may be one string, or a path or name with
+    strings between its signs: the whole run is tested, and each long part of it.
+    Parts are taken if one is less likely to be writing than the whole. Each
+    p-value is multiplied by the number of tests of its run.
+    """
     found = []
     if not any(len(word) >= LONG_WORD for word in text.split()):
         return found
@@ -164,11 +183,12 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         body = m[0].rstrip("=")
         if len(body) < LONG_WORD or any(a < m.end() and m.start() < b for a, _, b in base):
             continue
-        alphabet = inferred(body)
-        if alphabet:
-            places = [alphabet.index(c) for c in body]
-            if battery(places, len(alphabet)) >= LEAST_BATTERY_P:
-                found.append((m.start(), m.start() + len(body), string_p(body, alphabet)))
+        strings = [(0, len(body)), *(x.span() for x in PART.finditer(body) if len(x[0]) < len(body))]
+        tested = [(m.start() + i, m.start() + j, _tested(body[i:j])) for i, j in strings]
+        whole, parts = tested[0], [x for x in tested[1:] if x[2] is not None]
+        if whole[2] is not None and all(whole[2] < x[2] for x in parts):
+            parts = [whole]
+        found += [(i, j, min(1.0, p * len(tested))) for i, j, p in parts]
     return found
 
 
@@ -177,13 +197,18 @@ def _hash(text: str) -> int:
 
 
 def _scan(batches):
+    base_kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+    tested_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64()), ("hash", pa.int64())]))
     for batch in batches:
-        base = [base_spans(t) for t in batch["text"]]
-        tested = [candidates(t, b) for t, b in zip(batch["text"], base)]
-        yield batch.drop(columns="text").assign(
-            base=[[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in base],
-            tested=[[{"start": a, "end": b, "p": p, "hash": _hash(t[a:b])} for a, b, p in x]
-                    for t, x in zip(batch["text"], tested)])
+        for some in slices(batch, "text", CHUNK):
+            texts = some.column("text").to_pylist()
+            base = [base_spans(t) for t in texts]
+            tested = [candidates(t, b) for t, b in zip(texts, base)]
+            yield pa.RecordBatch.from_pydict({
+                **{c: some.column(c) for c in [*KEY, "doc_id"]},
+                "base": pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in x] for x in base], base_kind),
+                "tested": pa.array([[{"start": a, "end": b, "p": p, "hash": _hash(t[a:b])} for a, b, p in x]
+                                    for t, x in zip(texts, tested)], tested_kind)})
 
 
 def _limits(tested: DataFrame, false_share: float) -> dict[int, float]:
@@ -214,12 +239,12 @@ def find_secrets(
     random strings. Null and empty texts have none. The p-value limits hold for
     the whole table, so a row's random strings depend on the others. Null and
     repeated ids don't matter; an empty table gives no rows; other columns are
-    ignored.
+    ignored. Texts are scanned whole, a few MB at a time; a longer one alone.
     """
     rows = with_row_key(docs).select(
         *KEY, named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scanned = stage(rows.mapInPandas(
+    scanned = stage(rows.mapInArrow(
         _scan, f"{KEY[0]} long, {KEY[1]} long, doc_id {kind}, "
                "base array<struct<start:int,kind:int,end:int>>, tested array<struct<start:int,end:int,p:double,hash:long>>"),
         "secret-candidates")

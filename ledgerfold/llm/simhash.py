@@ -146,6 +146,7 @@ def _link(distance: int):
 
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text",
+    keyed: bool = False,
 ) -> DataFrame:
     """One row per row of `docs`: its fingerprint and the smallest id reachable over links.
 
@@ -159,7 +160,7 @@ def near_duplicates(
     """
     if not 0 <= distance <= DISTANCE:
         raise ValueError(f"the keys find distances up to {DISTANCE}")
-    prints = stage(with_row_key(docs).select(
+    prints = stage((docs if keyed else with_row_key(docs)).select(
         *KEY, named(id_col).alias("doc_id"), fingerprint(shingle)(named(text_col)).alias("fingerprint")), "simhash")
     distinct = stage(
         prints.groupBy("fingerprint").agg(

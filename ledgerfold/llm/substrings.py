@@ -245,7 +245,8 @@ def _match(window: int):
             return pd.DataFrame(columns=columns)
         split = [w.split(" ") for w in rows["words"]]
         lengths = np.fromiter(map(len, split), np.int64, len(split))
-        codes, _ = pd.factorize(np.array(list(chain.from_iterable(split)), dtype=object))
+        numbers: dict[str, int] = {}
+        codes = np.fromiter((numbers.setdefault(w, len(numbers)) for w in chain.from_iterable(split)), np.int64)
         ends = np.cumsum(lengths + 1)
         text = np.zeros(ends[-1], np.int64)  # 0 ends each stretch
         inside = np.ones(ends[-1], bool)

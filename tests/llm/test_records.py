@@ -71,3 +71,20 @@ def test_empty_table(spark, empty_docs, tmp_path):
     write_records(empty_docs, str(tmp_path / "r"), vocabulary_path())
     index = write_index(spark, str(tmp_path / "r"), str(tmp_path / "i"))
     assert index.count() == 0 and read_shuffled(spark, index).count() == 0
+
+
+def test_rows_with_one_id_are_in_several_files(spark, tmp_path, library):
+    """Three quarters of the ids are null, half of these rows are copies; NUL ends no word."""
+    texts = [f"text {i % 40} of many\x00{i % 3} words" if i % 2 else "the same text" for i in range(400)]
+    rows = [(i if i % 4 == 0 else None, t) for i, t in enumerate(texts)]
+    frame_ = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    write_records(frame_, str(tmp_path / "r"), vocabulary_path(), files=8)
+    index = write_index(spark, str(tmp_path / "r"), str(tmp_path / "i"))
+    found = index.orderBy("start").collect()
+    per_file = index.groupBy("file").count().collect()
+    assert len(per_file) >= 7 and max(r["count"] for r in per_file) <= 100
+    expected = want(library, rows)
+    assert [r["doc_id"] for r in found] == [x[0] for x in expected]
+    assert sorted(str((r["doc_id"], r["n_tokens"], r["ids_crc32"])) for r in found) == sorted(
+        str((x[0], *x[2:4])) for x in expected)
+    assert [r["start"] for r in found] == np.cumsum([0, *(r["n_tokens"] for r in found)]).tolist()[:-1]
