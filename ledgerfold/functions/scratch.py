@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_roots: dict[str, str] = {}
 _runs: ContextVar[tuple[str, ...]] = ContextVar("runs", default=())
@@ -71,3 +71,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_counted(df: DataFrame, label: str, *aggregates: Column) -> tuple[DataFrame, dict[str, object]]:
+    """`stage`, with aggregates of the rows that are taken while they are written."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *aggregates), label)
+    return staged, seen.get

@@ -7,6 +7,7 @@ everything the casts, fills and caps need, and one for the exact ranks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -72,13 +73,18 @@ def drop_high_null(
     return df.select(*[ref(c) for c in df.columns if c not in dropped])
 
 
-def dedup_rows(df: DataFrame) -> DataFrame:
+def dedup_rows(df: DataFrame, row_index: str | None = None) -> DataFrame:
     """Drop full-row copies, nulls being equal.
 
     Copies are combined before the shuffle, so a row repeated any number of
-    times leaves each task once.
+    times leaves each task once. `row_index` is a column that doesn't count:
+    its smallest value among the copies stays.
     """
-    return nan_to_null(df).dropDuplicates()
+    df = nan_to_null(df)
+    if row_index is None:
+        return df.dropDuplicates()
+    rest = [c for c in df.columns if c != row_index]
+    return df.groupBy(*map(ref, rest)).agg(F.min(row_index).alias(row_index))
 
 
 def date_forms(df: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> dict[str, tuple[tuple[str, ...], int]]:
@@ -319,6 +325,10 @@ def _apply_numbers(df: DataFrame, stats: dict[str, NumberStats], fill: bool, cap
 
 # --- The whole sequence ------------------------------------------------------
 
+# Per capped column whether a row's value was outside; a name that no normalized header has.
+OUTSIDE = "_Outside"
+
+
 @dataclass
 class CleanReport:
     original_rows: int
@@ -331,12 +341,18 @@ class CleanReport:
     outliers_capped: dict[str, int] = field(default_factory=dict)
     dates_lost: dict[str, int] = field(default_factory=dict)
 
+    def stored(self) -> dict[str, object]:
+        """What the registry keeps of it."""
+        return {k: v for k, v in vars(self).items() if k != "fences"}
+
 
 @dataclass
 class CleanResult:
     frame: DataFrame
     typed: DataFrame
     partial: CleanReport
+    finish: Callable[[DataFrame], DataFrame] | None = None  # from `typed` to `frame`
+    lost_dates: DataFrame | None = None  # column_name and value of each, with the row's number if there are numbers
 
     def report(self) -> CleanReport:
         """Adds the outlier counts; one pass, only when asked for."""
@@ -350,6 +366,23 @@ class CleanResult:
             p.outliers_capped = {c: seen[f"o{i}"] for i, c in enumerate(names)}
         return p
 
+    def counted(self) -> tuple[DataFrame, list[Column]]:
+        """`frame` with the column OUTSIDE, and aggregates of it for `with_counts`.
+
+        So outliers are counted in whatever pass writes the rows.
+        """
+        fences = self.partial.fences
+        if not fences:
+            return self.frame, []
+        outside = F.array(*[(ref(c) < low) | (ref(c) > high) for c, (low, high) in fences.items()])
+        return self.finish(self.typed.withColumn(OUTSIDE, outside)), [
+            F.count_if(F.get(OUTSIDE, F.lit(i))).alias(f"outside{i}") for i in range(len(fences))]
+
+    def with_counts(self, seen: dict[str, int]) -> CleanReport:
+        """The report with the outlier counts of a pass."""
+        self.partial.outliers_capped = {c: seen[f"outside{i}"] for i, c in enumerate(self.partial.fences)}
+        return self.partial
+
     def report_frame(self) -> DataFrame:
         """One row per column that was dropped, converted, filled or capped."""
         r = self.report()
@@ -367,18 +400,24 @@ class CleanResult:
 def clean(
     df: DataFrame, null_ratio: float = NULL_RATIO_LIMIT, protect: tuple[str, ...] = (),
     numeric_ratio: float = NUMERIC_TEXT_RATIO, cap_multiplier: float = CAP_IQR_MULTIPLIER,
-    date_formats: tuple[str, ...] = DATE_FORMATS,
+    date_formats: tuple[str, ...] = DATE_FORMATS, row_index: str | None = None,
 ) -> CleanResult:
-    """The full sequence with its report."""
+    """The full sequence with its report.
+
+    `row_index` is a column that numbers the rows: it stays as it is, and of
+    copies of a row the smallest number is kept.
+    """
     df = nan_to_null(df)
-    dropped, original = high_null_columns(df, null_ratio, protect)
-    kept = df.select(*[ref(c) for c in df.columns if c not in dropped])
+    number = [row_index] if row_index else []
+    dropped, original = high_null_columns(df.drop(*number), null_ratio, protect)
+    kept = df.select(*[ref(c) for c in df.columns if c not in [*dropped, *number]])
     # Texts that are or may be numbers are parsed once, beside the text.
     open_text = _open_text(kept)
     parsed = {
         f.name: f"parsed number of {f.name}" for f in kept.schema.fields
         if f.name in open_text or (column_class(f.name) == "numeric" and is_text(f.dataType))}
-    staged = stage(kept.dropDuplicates().withColumns({
+    distinct = dedup_rows(df.select(*map(ref, [*kept.columns, *number])), row_index)
+    staged = stage(distinct.withColumns({
         name: as_number(ref(c), T.StringType()) for c, name in parsed.items()}), "distinct")
     rows = staged.select(*map(ref, kept.columns))
     forms = date_forms(rows, date_formats)
@@ -441,13 +480,18 @@ def clean(
     ) if numeric else {}
     filled |= {c: s.missing for c, s in numbers.items() if s.missing and s.median is not None}
 
-    typed_frame = staged.select(*[typed.get(c, ref(c)).alias(c) for c in kept.columns])
+    typed_frame = staged.select(*[typed.get(c, ref(c)).alias(c) for c in kept.columns], *number)
     typed_frame = _apply_numbers(typed_frame, numbers, fill=True, cap=False)
-    frame = fill_text_unknown(_apply_numbers(typed_frame, numbers, fill=False, cap=True))
     report = CleanReport(
         original_rows=original, final_rows=total, duplicates_removed=original - total,
         columns_dropped=dropped, type_conversions=conversions, nulls_filled=filled,
         fences={c: (s.low, s.high) for c, s in numbers.items() if s.has_outliers},
         dates_lost={c: lost for c, (_, lost) in forms.items() if lost},
     )
-    return CleanResult(frame, typed_frame, report)
+    finish = lambda rows: fill_text_unknown(_apply_numbers(rows, numbers, fill=False, cap=True))
+    result = CleanResult(finish(typed_frame), typed_frame, report, finish)
+    if report.dates_lost:
+        cells = F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.when(typed[c].isNull(), ref(c)).alias("value")) for c in report.dates_lost])
+        result.lost_dates = staged.select(*number, F.inline(cells)).filter("value is not null")
+    return result

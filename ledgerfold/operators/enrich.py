@@ -158,22 +158,34 @@ def enrich_head(df: DataFrame, max_rows: int, order_by: tuple[str, ...]) -> Data
     return labelled.withColumns({c: F.when(in_head, F.col(c)) for c in labels})
 
 
-def enrichment_report(enriched: DataFrame) -> DataFrame:
-    """Per label: rows that have one, and rows that fell back to the default."""
-    defaults = {
-        "plan_category": PLAN_FALLBACK, "churn_reason_category": REASON_FALLBACK,
-        "churn_risk_score": RISK_FALLBACK, "industry_category": INDUSTRY_FALLBACK,
-    }
-    present = [c for c in LABELS if c in enriched.columns]
-    counts = enriched.agg(
+LABEL_DEFAULTS = {
+    "plan_category": PLAN_FALLBACK, "churn_reason_category": REASON_FALLBACK,
+    "churn_risk_score": RISK_FALLBACK, "industry_category": INDUSTRY_FALLBACK,
+}
+
+
+def label_counts(columns: list[str]) -> list[Column]:
+    """Aggregates: `rows`, and per label among the columns the rows that have one and those with the default."""
+    present = [c for c in LABELS if c in columns]
+    return [
         F.count(F.lit(1)).alias("rows"),
         *[F.count(c).alias(f"n_{c}") for c in present],
-        *[F.count_if(F.col(c) == F.lit(defaults[c])).alias(f"f_{c}") for c in present],
-    )
+        *[F.count_if(F.col(c) == F.lit(LABEL_DEFAULTS[c])).alias(f"f_{c}") for c in present],
+    ]
+
+
+def label_report(seen: dict[str, int]) -> list[tuple[int, str, int, int]]:
+    """rows, field, labelled and fallbacks of each label, from its counts."""
+    return [(seen["rows"], c, seen[f"n_{c}"], seen[f"f_{c}"]) for c in LABELS if f"n_{c}" in seen]
+
+
+def enrichment_report(enriched: DataFrame) -> DataFrame:
+    """Per label: rows that have one, and rows that fell back to the default."""
+    counts = enriched.agg(*label_counts(enriched.columns))
     return counts.select("rows", F.inline(F.array(*[
         F.struct(F.lit(c).alias("field"), F.col(f"n_{c}").alias("labelled"),
                  F.col(f"f_{c}").alias("fallbacks"))
-        for c in present
+        for c in LABELS if f"n_{c}" in counts.columns
     ])))
 
 

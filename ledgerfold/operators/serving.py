@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -314,16 +315,53 @@ def is_safe_sql(sql: str, strict: bool = False) -> bool:
     return re.search(rf"\b({'|'.join(BLOCKED_WORDS)})\b", lower) is None
 
 
-# Functions that reach the JVM or files from within a statement.
-OPEN_FUNCTIONS = ("reflect", "java_method", "try_reflect", "input_file_name", "python_worker_logs")
+# Nodes of an analyzed plan that read nothing, and expressions that reach the JVM, files or foreign code.
+READS_NOTHING = ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "EmptyRelation")
+OPEN_EXPRESSIONS = (
+    "CallMethodViaReflection", "TryReflect", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "PythonUDF",
+    "ScalaUDF", "PythonUDAF", "HiveSimpleUDF", "HiveGenericUDF", "HiveGenericUDTF", "PythonUDTF",
+)
+
+
+def _items(seq) -> list:
+    """The members of a sequence of the JVM."""
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def analyzed_plan(session: SparkSession, sql: str):
+    """The resolved plan of a statement, which is not run."""
+    state = session._jsparkSession.sessionState()
+    skip = session._jvm.org.apache.spark.sql.execution.CommandExecutionMode.SKIP()
+    return state.executePlan(state.sqlParser().parsePlan(sql), skip).analyzed()
 
 
-def statement_relations(spark: SparkSession, sql: str) -> tuple[set[str], set[str]]:
-    """Names that the parsed statement reads, and those that it defines itself."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
-    read = re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan)
-    defined = re.findall(r"\bCTE \[([^\]]*)\]", plan)
-    return {n.strip().lower() for n in read}, {n.strip().lower() for names in defined for n in names.split(",")}
+def _check_expression(expression) -> None:
+    kind = expression.getClass().getSimpleName()
+    if kind in OPEN_EXPRESSIONS:
+        raise ValueError(f"{expression.prettyName()} may not be called")
+    for child in _items(expression.children()):
+        _check_expression(child)
+
+
+def check_reads(plan, tables: set[str]) -> None:
+    """An error if a resolved plan reads anything but the temporary views `tables`, subqueries included.
+
+    What a name stands for is decided where it stands, as it was resolved there:
+    a statement's own name in one place does not open a table of that name in
+    another.
+    """
+    if plan.nodeName() == "View":
+        name = plan.desc().identifier()
+        if plan.isTempView() and name.database().isEmpty() and name.table().lower() in tables:
+            return
+        raise ValueError(f"no table {name.unquotedString()}; there are {', '.join(sorted(tables))}")
+    children = [*_items(plan.children()), *_items(plan.subqueries())]
+    if not children and plan.nodeName() not in READS_NOTHING:
+        raise ValueError(f"only the tables {', '.join(sorted(tables))} may be read, not {plan.nodeName()}")
+    for expression in _items(plan.expressions()):
+        _check_expression(expression)
+    for child in children:
+        check_reads(child, tables)
 
 
 def safe_sql(
@@ -332,22 +370,22 @@ def safe_sql(
 ) -> DataFrame:
     """Run a given read-only statement over the named tables, in a session of its own.
 
-    Refused are statements that change something, that read anything but the
-    named tables (files by path included), or that call into the JVM.
+    Refused are statements that change something, and those whose resolved plan
+    reads anything but the named tables (files, tables of the catalog, other
+    views) or calls code outside of SQL. Nothing of a statement runs before that.
     """
     sql = clean_sql(raw)
     if not is_safe_sql(sql, strict):
         raise ValueError("only read-only statements are run")
-    code = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.DOTALL)
-    if called := re.search(rf"\b({'|'.join(OPEN_FUNCTIONS)})\b`?\s*\(", code, re.IGNORECASE):
-        raise ValueError(f"{called[1]} may not be called")
     own = spark.newSession()
     own.conf.set("spark.sql.runSQLOnFiles", "false")
-    read, defined = statement_relations(own, sql)
-    if other := read - defined - {t.lower() for t in tables}:
-        raise ValueError(f"no table {', '.join(sorted(other))}; there are {', '.join(sorted(tables))}")
     for name, df in tables.items():
         view_in(own, name, df)
+    try:
+        plan = analyzed_plan(own, sql)
+    except AnalysisException as problem:
+        raise ValueError(str(problem)) from problem
+    check_reads(plan, {t.lower() for t in tables})
     return own.sql(sql).limit(limit)
 
 

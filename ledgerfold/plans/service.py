@@ -8,13 +8,13 @@ import uuid
 from datetime import datetime, timezone
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.serving import (
     dashboard_summary, histogram, job_seconds, metrics_last_n, report_context, report_markdown, safe_sql,
 )
-from ..settings import ETL_BOUNDS_SECONDS, REPORT_TYPE
+from ..settings import ETL_BOUNDS_SECONDS, REPORT_TYPE, SQL_ROW_LIMIT
 from ..sources.readers import check_suffix, source_fingerprint
 from ..sources.store import Store, taken_names
 from .etl import EtlRun, run_etl
@@ -64,20 +64,29 @@ def ingest(
     return run_etl(store.spark, store, dataset_id, "csv", name=name, job_id=job_id, path=path, **options)
 
 
-def answer(store: Store, question: str, sql: str, strict: bool = False) -> list[Row]:
+class Answer(list):
+    """The rows of a statement; `truncated` if it has more."""
+
+    truncated = False
+
+
+def answer(store: Store, question: str, sql: str, strict: bool = False, limit: int = SQL_ROW_LIMIT) -> Answer:
     """Run a read-only statement over the stored tables and log it.
 
-    Statements return at most a hundred rows. A refused or failing statement is
-    logged with its error and gives no rows.
+    Statements return at most `limit` rows; a result that was cut there is marked,
+    also in the log. A refused or failing statement is logged with its error and
+    gives no rows.
     """
-    began, rows, error = time.perf_counter(), [], None
+    began, rows, error = time.perf_counter(), Answer(), None
     try:
-        rows = safe_sql(store.spark, sql, store.sql_tables(), strict).collect()
+        found = safe_sql(store.spark, sql, store.sql_tables(), strict, limit + 1).collect()
+        rows = Answer(found[:limit])
+        rows.truncated = len(found) > limit
     except Exception as problem:
         error = str(problem)
     store.append_rows("query_log", {
         "id": str(uuid.uuid4()), "question": question, "generated_sql": sql,
-        "result_rows": len(rows), "latency_ms": (time.perf_counter() - began) * 1000,
+        "result_rows": len(rows), "latency_ms": (time.perf_counter() - began) * 1000, "truncated": rows.truncated,
         "success": error is None, "error_message": error, "created_at": _now()})
     return rows
 

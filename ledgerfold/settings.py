@@ -100,6 +100,9 @@ DETAIL_UNKNOWN_CHECK = "unknown check"
 DETAIL_NO_COLUMN = "Column '%s' not present — skipped"
 EXPECTED_RANGE = "%.2f – %.2f"
 
+REJECT_LINE = "more than %s fields"
+REJECT_DATE = "no date in the column's form"
+
 # --- Report texts ------------------------------------------------------------
 CHURNED_LINE = "- %s: $%s MRR | %s | reason: %s"
 ANOMALY_LINE = "- [%s] %s: value=%.2f | %s"
@@ -135,7 +138,12 @@ ANOMALIES_DDL = (
 DATASETS_DDL = (
     "id string, name string, domain string, source_type string, row_count bigint, "
     "column_count int, status string, etl_config string, validation_report string, "
-    "error_message string, created_at timestamp_ntz, updated_at timestamp_ntz"
+    "error_message string, run_id string, created_at timestamp_ntz, updated_at timestamp_ntz"
+)
+RUNS_DDL = "dataset_id string, table_name string, run_id string, published_at timestamp_ntz"
+REJECTS_DDL = (
+    "id string, dataset_id string, row_index bigint, line string, column_name string, value string, "
+    "reason string, created_at timestamp_ntz"
 )
 JOBS_DDL = (
     "id string, dataset_id string, status string, progress int, stage string, "
@@ -145,7 +153,7 @@ JOBS_DDL = (
 )
 QUERY_LOG_DDL = (
     "id string, question string, generated_sql string, result_rows bigint, answer string, "
-    "latency_ms double, success boolean, error_message string, created_at timestamp_ntz"
+    "latency_ms double, success boolean, truncated boolean, error_message string, created_at timestamp_ntz"
 )
 REPORTS_DDL = (
     "id string, dataset_id string, period string, report_type string, "

@@ -5,18 +5,27 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scratch import stage
+from ..functions.columns import ref
+from ..functions.scratch import stage, stage_counted
 from ..operators.profile import infer_text_types
-from ..settings import FILE_SUFFIXES, NO_VALUE_TEXTS
+from ..settings import FILE_SUFFIXES, NO_VALUE_TEXTS, REJECT_LINE
 
 DELIMITERS = (",", ";", "\t", "|")
 _BAD = "_unparsed_line"
+REJECTED = "_rejected_line"
+# Columns of a landed table: a record's number in the source; where it was read. Names that no normalized header has.
+ROW_INDEX = "_Row_Index"
+PLACE = ("_Place_File", "_Place_Split", "_Place_Record")
+# Parameter: splits or files of a source, of 50 bytes or so each, up to which their offsets are broadcast.
+MOST_SPLITS = 1_000_000
 
 
 # --- Headers -----------------------------------------------------------------
@@ -77,6 +86,13 @@ def read_csv(
     extra pass is made. Only `multiline` files, whose quoted fields may hold
     line breaks, are not split.
     """
+    records, names = _csv_records(spark, path, sep, multiline)
+    rows = records.filter(F.col(REJECTED).isNull()).select(*map(ref, names))
+    return infer_text_types(rows) if infer else rows
+
+
+def _csv_records(spark: SparkSession, path: str, sep: str | None, multiline: bool) -> tuple[DataFrame, list[str]]:
+    """All records as text, with REJECTED: the line of a record with too many fields; and the names of the columns."""
     header = _header_line(spark, path)
     sep = sep or sniff_delimiter(header)
     names = distinct_headers([normalize_header(n) for n in next(csv.reader([header], delimiter=sep))])
@@ -94,11 +110,11 @@ def read_csv(
     # hence no pruning, and the first field in the test.
     keep = F.when(F.col(_BAD).isNull(), F.lit(True)).otherwise(
         ~_too_long(F.col(_BAD), sep, len(names)) | (F.length("c0") < 0))
-    rows = raw.filter(keep).select(*[
+    records = raw.select(*[
         F.when(~F.col(f"c{i}").isin(*NO_VALUE_TEXTS), F.col(f"c{i}")).alias(n)
         for i, n in enumerate(names)
-    ])
-    return infer_text_types(rows) if infer else rows
+    ], F.when(~keep, F.col(_BAD)).alias(REJECTED))
+    return records, names
 
 
 def read_tsv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
@@ -223,17 +239,89 @@ def read_source(spark: SparkSession, kind: str, **options) -> DataFrame:
 TEXT_KINDS = ("csv", "tsv")
 
 
-def land_source(spark: SparkSession, kind: str, **options) -> DataFrame:
-    """Read a source once into a columnar table, and type its text columns there.
+@dataclass
+class Landed:
+    """A source as it was read: its rows with ROW_INDEX, and the records that are no rows."""
+
+    frame: DataFrame
+    records: int
+    rejects: DataFrame | None = None
+    rejected: int = 0
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """`df` with where a record was read: file, place of the split in it, and a number that rises within the split."""
+    place = F.monotonically_increasing_id().alias(PLACE[2])
+    try:
+        return df.select("*", F.col("_metadata.file_path").cast("binary").alias(PLACE[0]), F.col("_metadata.file_block_start").alias(PLACE[1]), place)
+    except AnalysisException:  # not from files: by partition
+        return df.select("*", F.lit(b"").alias(PLACE[0]), F.spark_partition_id().cast("long").alias(PLACE[1]), place)
+
+
+def _offsets(counts: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """`counts` with `offset_`: the records in all before, in that order. Few rows, one per split or file."""
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return stage(counts.withColumn("offset_", F.coalesce(F.sum("records").over(before), F.lit(0))), "offsets")
+
+
+def _join_offsets(placed: DataFrame, offsets: DataFrame, on: tuple[str, ...], splits: int) -> DataFrame:
+    """`placed` with ROW_INDEX instead of its place."""
+    few = F.broadcast(offsets) if splits <= MOST_SPLITS else offsets
+    return placed.join(few, list(on)).withColumn(
+        ROW_INDEX, F.col("offset_") + F.col(PLACE[2])).drop(*PLACE, "offset_")
+
+
+def number_records(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """`rows` of the table `stored`, with ROW_INDEX instead of PLACE: a record's number in the source, from 0 on.
+
+    Two passes: the records of each split are counted, running sums over the
+    splits in order of files give their offsets, and a record's number is its
+    split's offset and its place there. Only one row per split is shuffled.
+    """
+    splits = stored.groupBy(*PLACE[:2]).agg(F.count(F.lit(1)).alias("records"), F.min(PLACE[2]).alias("first"))
+    offsets = _offsets(splits, PLACE[:2])
+    return _join_offsets(rows, offsets.select(*PLACE[:2], (F.col("offset_") - F.col("first")).alias("offset_")), PLACE[:2], offsets.count())
+
+
+def land_source(spark: SparkSession, kind: str, **options) -> Landed:
+    """Read a source once into a columnar table, number its records, and type its text columns there.
 
     The statistics passes to come then read single columns instead of parsing
-    text, or asking a database, again. Parquet is used where it lies.
+    text, or asking a database, again. In the one pass over delimited text,
+    records with too many fields go to `rejects` (ROW_INDEX, line, reason), and
+    they count in the numbers. Records of several files are numbered in order of
+    paths. Parquet is used where it lies, with the same numbers.
     """
-    if kind.lower() == "parquet":
-        return read_source(spark, kind, **options)
-    if kind.lower() in TEXT_KINDS:
-        return infer_text_types(stage(read_source(spark, kind, infer=False, **options), "landed"))
-    return stage(read_source(spark, kind, **options), "landed")
+    kind = kind.lower()
+    if kind == "parquet":
+        frame, records = _numbered_parquet(read_source(spark, kind, **options))
+        return Landed(frame, records)
+    if kind not in TEXT_KINDS:
+        stored, seen = stage_counted(_placed(read_source(spark, kind, **options)), "landed", F.count(F.lit(1)).alias("n"))
+        return Landed(number_records(stored, stored), seen["n"])
+    path, sep = options.pop("path"), options.pop("sep", None)
+    if kind == "tsv" or check_suffix(path) == ".tsv":
+        sep = "\t"
+    records, names = _csv_records(spark, path, sep, options.pop("multiline", False))
+    if options:
+        raise TypeError(f"no such options: {', '.join(sorted(options))}")
+    stored, seen = stage_counted(
+        _placed(records), "landed", F.count(F.lit(1)).alias("n"), F.count(REJECTED).alias("rejected"))
+    rows = (stored.filter(F.col(REJECTED).isNull()) if seen["rejected"] else stored).drop(REJECTED)
+    frame = number_records(infer_text_types(rows), stored)
+    if not seen["rejected"]:
+        return Landed(frame, seen["n"])
+    lines = number_records(stored.filter(F.col(REJECTED).isNotNull()).select(REJECTED, *PLACE), stored)
+    rejects = lines.select(ROW_INDEX, F.col(REJECTED).alias("line"), F.lit(REJECT_LINE % len(names)).alias("reason"))
+    return Landed(frame, seen["n"] - seen["rejected"], rejects, seen["rejected"])
+
+
+def _numbered_parquet(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with ROW_INDEX: files in order of paths, and the place in the file; and their number."""
+    placed = df.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[2]))
+    offsets = _offsets(placed.groupBy(PLACE[0]).agg(F.count(F.lit(1)).alias("records")), PLACE[:1])
+    files, records = offsets.agg(F.count(F.lit(1)), F.sum("records")).first()
+    return _join_offsets(placed, offsets.drop("records"), PLACE[:1], files), records or 0
 
 
 def source_metadata(df: DataFrame, name: str, kind: str) -> DataFrame:

@@ -1,12 +1,16 @@
-"""Stored tables: Parquet partitioned by dataset, and append-only logs.
+"""Stored tables: Parquet partitioned by dataset and run, and append-only logs.
 
-Dataset tables are replaced one partition at a time. Registry and job log take
-only appends; the current state is the newest row per id.
+A run writes its rows of all tables below its own id and then publishes them
+together, by one event of the registry; readers see the rows of the published run
+only. So a run that breaks off, at whatever step, changes nothing, and a reader
+never meets the tables of two runs. Registry and job log take only appends; the
+current state is the newest row per id.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +19,21 @@ from pyspark.sql import types as T
 from ..functions.columns import as_timestamp, is_time, nan_to_null, ref
 from ..operators.outliers import stored_context
 from ..settings import (
-    ANOMALIES_DDL, DATASETS_DDL, JOBS_DDL, METRICS_DDL, QUERY_LOG_DDL, REPORTS_DDL, REQUIRED_COLUMNS,
-    SUBSCRIPTIONS_DDL,
+    ANOMALIES_DDL, DATASETS_DDL, JOBS_DDL, METRICS_DDL, QUERY_LOG_DDL, REJECTS_DDL, REPORTS_DDL,
+    REQUIRED_COLUMNS, RUNS_DDL, SUBSCRIPTIONS_DDL,
 )
 
 DATASET_TABLES = {
-    "subscriptions": SUBSCRIPTIONS_DDL, "metrics": METRICS_DDL, "anomalies": ANOMALIES_DDL,
+    "subscriptions": SUBSCRIPTIONS_DDL, "metrics": METRICS_DDL, "anomalies": ANOMALIES_DDL, "rejects": REJECTS_DDL,
 }
 LOG_TABLES = {
     "datasets": DATASETS_DDL, "jobs": JOBS_DDL, "query_log": QUERY_LOG_DDL, "reports": REPORTS_DDL,
+    "runs": RUNS_DDL,
 }
 TABLES = DATASET_TABLES | LOG_TABLES
 DELETED = "deleted"
+# Parameter: published runs of a dataset that are kept: the current one, and the one that readers may still be at.
+KEPT_RUNS = 2
 
 
 def table_schema(table: str) -> T.StructType:
@@ -70,7 +77,7 @@ def _constant(value: object) -> Column:
 
 
 # Fields that a later event need not repeat: they keep their newest value that isn't null.
-CARRIED = ("name", "domain", "source_type", "etl_config", "dataset_id")
+CARRIED = ("name", "domain", "source_type", "etl_config", "dataset_id", "run_id")
 
 
 def newest(log: DataFrame, key: str = "id", at: str = "updated_at") -> DataFrame:
@@ -104,55 +111,126 @@ class Store:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
 
-    def table(self, name: str) -> DataFrame:
-        """The stored rows; an unwritten table is empty."""
+    def _stored(self, name: str) -> DataFrame | None:
+        """All rows in the files of a table; of a dataset table those of every run, with `run_id`."""
         schema = table_schema(name)
+        if name in DATASET_TABLES:
+            schema = schema.add("run_id", T.StringType())
         files, target = self._hadoop_path(self.path(name))
-        if not files.exists(target):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(name))
+        return self.spark.read.schema(schema).parquet(self.path(name)) if files.exists(target) else None
+
+    def table(self, name: str) -> DataFrame:
+        """The stored rows; an unwritten table is empty. Of a dataset table, those of each dataset's published run."""
+        stored = self._stored(name)
+        if stored is None:
+            return self.spark.createDataFrame([], table_schema(name))
+        if name not in DATASET_TABLES:
+            return stored
+        return stored.join(self.current_runs(name), ["dataset_id", "run_id"], "left_semi").select(
+            *table_schema(name).fieldNames())
+
+    # Runs
+
+    def _published(self, table: str) -> DataFrame:
+        """dataset_id, run_id and time of each publication of a dataset table."""
+        whole = self.table("datasets").filter("run_id is not null and status = 'ready'").select(
+            F.col("id").alias("dataset_id"), "run_id", F.col("updated_at").alias("published_at"))
+        own = self.table("runs").filter(F.col("table_name") == table).select("dataset_id", "run_id", "published_at")
+        return whole.unionByName(own)
+
+    def current_runs(self, table: str) -> DataFrame:
+        """dataset_id and run_id: the run whose rows of the table readers see."""
+        return self._published(table).groupBy("dataset_id").agg(
+            F.max_by("run_id", F.struct("published_at", "run_id")).alias("run_id"))
+
+    def write_run(self, table: str, df: DataFrame, run_id: str, one_dataset: bool = False) -> None:
+        """Write rows of a run that isn't published yet; nobody reads them.
+
+        Rows of several datasets are first brought together by dataset, a large
+        one being split over tasks, so that no task writes a file to each.
+        """
+        rows = df if one_dataset else df.hint("rebalance", F.col("dataset_id"))
+        (to_table(rows, table).withColumn("run_id", F.lit(run_id))
+         .write.partitionBy("dataset_id", "run_id").mode("append").parquet(self.path(table)))
+
+    def drop_run(self, dataset_id: str, run_id: str) -> None:
+        """Remove what a run has written of a dataset."""
+        for table in DATASET_TABLES:
+            files, target = self._hadoop_path(f"{self._dataset_path(table, dataset_id)}/run_id={run_id}")
+            files.delete(target, True)
+
+    def drop_old_runs(self, dataset_id: str, keep: int = KEPT_RUNS) -> None:
+        """Remove the files of a dataset's published runs but the newest `keep`.
+
+        Runs that were never published are left: they may be under way.
+        """
+        for table in DATASET_TABLES:
+            files, target = self._hadoop_path(self._dataset_path(table, dataset_id))
+            if not files.exists(target):
+                continue
+            there = {x.getPath().getName().removeprefix("run_id=") for x in files.listStatus(target)}
+            runs = self._published(table).filter(
+                (F.col("dataset_id") == dataset_id) & F.col("run_id").isin(*there)).groupBy("run_id").agg(
+                F.max("published_at").alias("at")).orderBy(F.desc("at"), F.desc("run_id")).offset(keep)
+            for row in runs.collect():  # few: those since the last call
+                files.delete(self._hadoop_path(f"{self._dataset_path(table, dataset_id)}/run_id={row['run_id']}")[1], True)
 
     # Dataset tables
 
     def replace(
         self, table: str, df: DataFrame, one_dataset: bool = False, datasets: tuple[str, ...] = (),
+        run_id: str | None = None,
     ) -> None:
         """Write the rows; each dataset among them replaces its old rows.
 
-        Rows of several datasets are first brought together by dataset, a large
-        one being split over tasks, so that no task writes a file to each.
         A dataset without rows leaves nothing to replace: name it in `datasets`.
+        With `run_id` the rows belong to that run, and count once it is published.
         """
-        rows = df if one_dataset else df.hint("rebalance", F.col("dataset_id"))
-        (to_table(rows, table).write.partitionBy("dataset_id").mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").parquet(self.path(table)))
-        # A dataset that got rows keeps them; of the named ones, those without any lose their old ones.
-        stored = self.table(table) if datasets else None
-        for dataset_id in datasets:
-            mine = df.filter(F.col("dataset_id") == dataset_id)
-            if mine.isEmpty() and not stored.filter(F.col("dataset_id") == dataset_id).isEmpty():
-                self.delete(dataset_id, (table,))
-
-    def write_subscriptions(self, df: DataFrame, one_dataset: bool = False, datasets: tuple[str, ...] = ()) -> None:
-        self.replace("subscriptions", df, one_dataset, datasets)
+        if run_id is not None:
+            self.write_run(table, df, run_id, one_dataset)
+            return
+        run_id = str(uuid.uuid4())
+        self.write_run(table, df, run_id, one_dataset)
+        written = self._stored(table).filter(F.col("run_id") == run_id).select("dataset_id")
+        named = self.spark.createDataFrame([(d,) for d in datasets], "dataset_id string")
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        self.append("runs", written.unionByName(named).distinct().select(
+            "dataset_id", F.lit(table).alias("table_name"), F.lit(run_id).alias("run_id"),
+            _constant(now).cast("timestamp_ntz").alias("published_at")))
+
+    def write_subscriptions(
+        self, df: DataFrame, one_dataset: bool = False, datasets: tuple[str, ...] = (), run_id: str | None = None,
+    ) -> None:
+        self.replace("subscriptions", df, one_dataset, datasets, run_id)
 
-    def write_metrics(self, df: DataFrame, one_dataset: bool = False, datasets: tuple[str, ...] = ()) -> None:
-        self.replace("metrics", df, one_dataset, datasets)
+    def write_metrics(
+        self, df: DataFrame, one_dataset: bool = False, datasets: tuple[str, ...] = (), run_id: str | None = None,
+    ) -> None:
+        self.replace("metrics", df, one_dataset, datasets, run_id)
 
     def write_anomalies(
         self, df: DataFrame, one_dataset: bool = False, datasets: tuple[str, ...] = (),
-        context_chars: int | None = None,
+        context_chars: int | None = None, run_id: str | None = None,
     ) -> None:
         """Store anomalies with their whole row context, or its first `context_chars` characters."""
         rows = df.withColumn("row_context", stored_context(F.col("row_context"), context_chars))
-        self.replace("anomalies", rows, one_dataset, datasets)
+        self.replace("anomalies", rows, one_dataset, datasets, run_id)
+
+    def write_rejects(
+        self, df: DataFrame, one_dataset: bool = False, datasets: tuple[str, ...] = (), run_id: str | None = None,
+    ) -> None:
+        """Store what a run could not take: skipped lines, and values that were lost."""
+        self.replace("rejects", df, one_dataset, datasets, run_id)
+
+    def _dataset_path(self, table: str, dataset_id: str) -> str:
+        name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils \
+            .escapePathName(dataset_id)
+        return f"{self.path(table)}/dataset_id={name}"
 
     def delete(self, dataset_id: str, tables: tuple[str, ...] = tuple(DATASET_TABLES)) -> None:
-        """Drop the dataset's partitions; no other data is read or written."""
+        """Drop the dataset's partitions, of all runs; no other data is read or written."""
         for table in tables:
-            name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils \
-                .escapePathName(dataset_id)
-            files, target = self._hadoop_path(f"{self.path(table)}/dataset_id={name}")
+            files, target = self._hadoop_path(self._dataset_path(table, dataset_id))
             files.delete(target, True)
 
     def delete_dataset(self, dataset_id: str) -> None:
