@@ -32,19 +32,29 @@ def month_period(df: DataFrame, start: str = "start_date") -> DataFrame:
     return months.select(F.date_format("m", "yyyy-MM").alias("period"))
 
 
-# Floating amounts are added as decimals, which a running sum may subtract again without a trace.
+# Floating amounts are added as decimals, which a running sum may subtract again without a trace; infinite ones are counted.
 EXACT_AMOUNT = "decimal(38,10)"
+INFINITE = ("up", "down")
 
 
 def month_pairs(df: DataFrame, by: tuple[str, ...] = (), exact: bool = False) -> DataFrame:
-    """Row count and revenue per start month and churn month."""
+    """Row count, revenue and infinite amounts per start month and churn month.
+
+    With `exact`, amounts are added to ten decimal places; an amount beyond
+    10^28 that isn't infinite ends the job.
+    """
+    amount = F.col("mrr").cast("double")
+    endless = (amount == float("inf"), amount == float("-inf")) if exact else (F.lit(False), F.lit(False))
+    df = df.withColumns({k: x.cast("int") for k, x in zip(INFINITE, endless)})
     if exact:
-        df = df.withColumn("mrr", F.nanvl(F.col("mrr").cast("double"), F.lit(None)).cast(EXACT_AMOUNT))
+        finite = F.when(F.abs(amount) < float("inf"), amount)
+        df = df.withColumn("mrr", finite.cast(EXACT_AMOUNT))
     churn = F.col("churn_date") if "churn_date" in df.columns else F.lit(None).cast("timestamp_ntz")
     return (
-        df.select(*by, "mrr", month_of(F.col("start_date")).alias("s"), month_of(churn).alias("c"))
+        df.select(*by, "mrr", *INFINITE, month_of(F.col("start_date")).alias("s"), month_of(churn).alias("c"))
         .groupBy(*by, "s", "c")
-        .agg(F.count(F.lit(1)).alias("n"), money_sum(F.col("mrr")).alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"), money_sum(F.col("mrr")).alias("v"),
+             *[F.coalesce(F.sum(k), F.lit(0)).cast("bigint").alias(k) for k in INFINITE])
     )
 
 
@@ -56,32 +66,29 @@ def _running(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """
     started = F.col("s").isNotNull()
     leaving = F.when(started, F.greatest("s", "c"))
-    zero = F.lit(0).cast("bigint")
+    values = ("n", "v", *INFINITE)
+    # month, whether it applies, and the sign of what it adds to the active, new and churned rows
     kinds = [
-        (F.col("s"), started, F.col("n"), F.col("v"), "start"),
-        (leaving, F.col("c").isNotNull() & started, -F.col("n"), -F.col("v"), "leave"),
-        (F.col("c"), F.col("c").isNotNull(), zero, F.col("v") * 0, "churn"),
+        (F.col("s"), started, 1, 1, 0),
+        (leaving, F.col("c").isNotNull() & started, -1, 0, 0),
+        (F.col("c"), F.col("c").isNotNull(), 0, 0, 1),
     ]
     entries = F.array(*[
-        F.struct(
-            F.when(applies, month).alias("m"), n.alias("dn"), v.alias("dv"),
-            F.when(F.lit(kind == "start"), F.col("n")).otherwise(zero).alias("new_n"),
-            F.when(F.lit(kind == "start"), F.col("v")).otherwise(F.col("v") * 0).alias("new_v"),
-            F.when(F.lit(kind == "churn"), F.col("n")).otherwise(zero).alias("churn_n"),
-            F.when(F.lit(kind == "churn"), F.col("v")).otherwise(F.col("v") * 0).alias("churn_v"),
-        )
-        for month, applies, n, v, kind in kinds
+        F.struct(F.when(applies, month).alias("m"), *[
+            (F.col(x) * F.lit(sign)).alias(f"{part}_{x}")
+            for part, sign in (("d", active), ("new", new), ("churn", churned)) for x in values])
+        for month, applies, active, new, churned in kinds
     ])
+    sums = [f"{part}_{x}" for part in ("d", "new", "churn") for x in values]
     monthly = (
         pairs.select(*by, F.inline(entries)).filter("m is not null")
-        .groupBy(*by, "m")
-        .agg(*[F.sum(x).alias(x) for x in ("dn", "dv", "new_n", "new_v", "churn_n", "churn_v")])
+        .groupBy(*by, "m").agg(*[F.sum(x).alias(x) for x in sums])
     )
     upto = (Window.partitionBy(*by).orderBy("m")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         monthly
-        .withColumns({"active_n": F.sum("dn").over(upto), "active_v": F.sum("dv").over(upto)})
+        .withColumns({f"active_{x}": F.sum(f"d_{x}").over(upto) for x in values})
         .filter("new_n > 0")
     )
 
@@ -101,14 +108,20 @@ def _interval(pairs: DataFrame, by: tuple[str, ...]) -> DataFrame:
     new, churned = F.col("s") == F.col("m"), F.col("c") == F.col("m")
     zero = F.lit(0).cast("bigint")
 
-    def count(where: Column) -> Column:
-        return F.coalesce(F.sum(F.when(where, F.col("n"))), zero)
+    def count(what: str, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col(what))), zero)
 
-    return joined.groupBy(*by, "m").agg(
-        count(active).alias("active_n"), money_sum(F.col("v"), active).alias("active_v"),
-        count(new).alias("new_n"), money_sum(F.col("v"), new).alias("new_v"),
-        count(churned).alias("churn_n"), money_sum(F.col("v"), churned).alias("churn_v"),
-    )
+    parts = {"active": active, "new": new, "churn": churned}
+    return joined.groupBy(*by, "m").agg(*[a for part, where in parts.items() for a in (
+        count("n", where).alias(f"{part}_n"), money_sum(F.col("v"), where).alias(f"{part}_v"),
+        *[count(k, where).alias(f"{part}_{k}") for k in INFINITE])])
+
+
+def _amount(part: str) -> Column:
+    """The sum of floating amounts: exact if all are finite, else what floating addition gives."""
+    up, down = (F.col(f"{part}_{k}") > 0 for k in INFINITE)
+    return (F.when(up & down, float("nan")).when(up, float("inf")).when(down, float("-inf"))
+            .otherwise(F.col(f"{part}_v").cast("double")))
 
 
 def monthly_snapshot(
@@ -118,13 +131,15 @@ def monthly_snapshot(
 
     `form` is "running", which is linear in the month pairs, or "interval", which
     checks it; both give the same rows. Floating amounts are added exactly, to ten
-    decimal places, and come back as doubles.
+    decimal places (what is smaller counts as 0), and come back as doubles. Of
+    infinite ones the sums are infinite while they count, and NaN where both
+    signs meet.
     """
     floating = not is_decimal(df, "mrr")
     pairs = month_pairs(df, by, exact=floating)
     months = {"running": _running, "interval": _interval}[form or "running"](pairs, by)
     if floating:
-        months = months.withColumns({c: F.col(c).cast("double") for c in ("active_v", "new_v", "churn_v")})
+        months = months.withColumns({f"{part}_v": _amount(part) for part in ("active", "new", "churn")})
     active = F.greatest(F.col("active_n"), F.lit(1))
     base = F.col("active_v") - F.col("new_v") + F.col("churn_v")
     ratio = round_exact if rounded else (lambda c, digits: c)

@@ -102,3 +102,27 @@ for _name in ("mrr", "new_mrr", "expansion_mrr", "churned_mrr", "net_new_mrr", "
 def single(spark, sf_dir):
     subs = subscriptions(spark, sf_dir, lines=False).drop("start_date")
     return as_doubles(single_snapshot(subs, month="2024-01"))
+
+
+@query("snapshot_infinite", f"""with subs as ({SUBSCRIPTIONS}),
+  spans as (select *, date_trunc('month', start_date) as s, date_trunc('month', churn_date) as c,
+    case when subscription_id % 997 = 0 then 'inf'::double when subscription_id % 3001 = 0 then '-inf'::double end as endless
+    from subs),
+  months as (select distinct s as m from spans),
+  sums as (select m, s <= m and (c is null or c > m) as is_active, s = m as is_new, mrr, endless
+    from months join spans on s <= m or c = m),
+  totals as (select strftime(m, '%Y-%m') as period, count(case when is_active then 1 end) as active_customers,
+    coalesce(sum(case when is_active then endless end), sum(case when is_active and endless is null then mrr else 0 end)::double) as mrr,
+    coalesce(sum(case when is_new then endless end), sum(case when is_new and endless is null then mrr else 0 end)::double) as new_mrr
+    from sums group by m)
+  select period, active_customers, case when isfinite(mrr) then mrr end as mrr, case when isfinite(new_mrr) then new_mrr end as new_mrr,
+    case when isfinite(mrr) then 'finite' when isnan(mrr) then 'none' when mrr > 0 then 'above' else 'below' end as kind from totals""")
+def snapshot_infinite(spark, sf_dir):
+    """Floating amounts some of which are infinite: the months in which these count are, too."""
+    key = F.col("subscription_id")
+    subs = subscriptions(spark, sf_dir).withColumn("mrr", F.when(key % 997 == 0, float("inf")).when(
+        key % 3001 == 0, float("-inf")).otherwise(F.col("mrr").cast("double")))
+    finite = lambda c: F.when(F.abs(c) < float("inf"), F.col(c)).alias(c)
+    mrr = F.col("mrr")
+    kind = F.when(F.isnan(mrr), "none").when(mrr == float("inf"), "above").when(mrr == float("-inf"), "below").otherwise("finite")
+    return monthly_snapshot(subs).select("period", "active_customers", finite("mrr"), finite("new_mrr"), kind.alias("kind"))

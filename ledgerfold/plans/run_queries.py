@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import new_path
 from ..sources import Store
+from ..sources.readers import ROW_INDEX, land_source
 from .clean_queries import _fence
 from .enrich_queries import INDUSTRY_SQL, PLAN_SQL, REASON_SQL, RISK_SQL
 from .etl import run_etl
-from .fixtures import LIFETIME, SUBSCRIPTIONS, anomalies_sql, as_doubles, subscriptions
+from .fixtures import LIFETIME, SUBSCRIPTIONS, anomalies_sql, as_doubles, subscriptions, table
 from .registry import query
 from .service import answer
 
@@ -133,3 +134,101 @@ def answered(spark, sf_dir):
     store.write_subscriptions(
         subscriptions(spark, sf_dir).withColumn("dataset_id", F.lit("orders")))
     return spark.createDataFrame(answer(store, "Which plan has the highest churn rate?", _QUESTION))
+
+
+_ROWS = f"""select 'subscriptions' as table_name, count(*) as rows, sum(mrr) as amount from ready
+  union all select 'metrics', count(distinct date_trunc('month', start_date)), null from ready
+  union all select 'anomalies', count(*), null from ({_CELLS})"""
+
+
+@query("broken_run", f"{_READY} select table_name, rows, round(amount, 0) as amount from ({_ROWS})")
+def broken_run(spark, sf_dir):
+    """A second run on other rows that breaks off at its last step: all tables are still those of the first."""
+    _, store = _run(spark, sf_dir)
+
+    def broken():
+        raise RuntimeError("the model is gone")
+
+    path = new_path(spark, "export")
+    subscriptions(spark, sf_dir).filter("subscription_id % 3 = 0").write.option("header", True).csv(path)
+    try:
+        run_etl(spark, store, "orders", "csv", path=path, key=("subscription_id",), explain=broken)
+    except Exception:
+        pass
+    counted = lambda name, amount: store.table(name).agg(
+        F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows"), amount.alias("amount"))
+    none = F.lit(None).cast("double")
+    return counted("subscriptions", F.round(F.sum(F.col("mrr").cast("double")), 0)).unionByName(
+        counted("metrics", none)).unionByName(counted("anomalies", none))
+
+
+# Every seventh line has a field too many, every tenth date of the others is none.
+_NUMBERED = f"""numbered as (select *, row_number() over (order by subscription_id) - 1 as row_index from ({SUBSCRIPTIONS}))"""
+
+
+def _flawed_export(spark, sf_dir):
+    path = new_path(spark, "flawed")
+    day = F.date_format("start_date", "yyyy-MM-dd")
+    line = F.concat_ws(
+        ",", F.col("subscription_id").cast("string"), "customer_id", F.lit("p"), F.lit("10"), F.lit("active"),
+        F.when(F.col("subscription_id") % 10 == 0, F.concat(F.lit("about "), day)).otherwise(day),
+        F.when(F.col("subscription_id") % 7 == 0, F.lit("extra")))
+    ordered = subscriptions(spark, sf_dir, lines=False).repartitionByRange(3, "subscription_id").sortWithinPartitions("subscription_id")
+    ordered.select(line.alias("subscription_id,customer_id,plan,mrr,status,start_date")).write.options(
+        header=True, quote="", sep="\x01").csv(path)
+    return path
+
+
+@query("run_rejects", f"""with {_NUMBERED}, flawed as (select *, subscription_id % 7 = 0 as long,
+    concat(case when subscription_id % 10 = 0 then 'about ' else '' end, strftime(start_date, '%Y-%m-%d')) as day from numbered)
+  select row_index, concat_ws(',', subscription_id, customer_id, 'p', 10, 'active', day, 'extra') as line,
+    null::varchar as column_name, null::varchar as value, 'more than 6 fields' as reason from flawed where long
+  union all select row_index, null, 'start_date', day, 'no date in the column''s form' from flawed
+  where not long and subscription_id % 10 = 0""")
+def run_rejects(spark, sf_dir):
+    """What a run skipped or lost, stored with the record's number in the source."""
+    store = Store(spark, new_path(spark, "store"))
+    run_etl(spark, store, "orders", "csv", path=_flawed_export(spark, sf_dir), key=("subscription_id",), detect=False)
+    return store.table("rejects").select("row_index", "line", "column_name", "value", "reason")
+
+
+@query("run_report", f"""select count(*) as records, count(*) filter (subscription_id % 7 = 0) as lines_skipped,
+  count(*) filter (subscription_id % 7 <> 0) as final_rows,
+  count(*) filter (subscription_id % 7 <> 0 and subscription_id % 10 = 0) as dates_lost from ({SUBSCRIPTIONS})""")
+def run_report(spark, sf_dir):
+    """The cleaning part of the registry's report."""
+    store = Store(spark, new_path(spark, "store"))
+    run_etl(spark, store, "orders", "csv", path=_flawed_export(spark, sf_dir), key=("subscription_id",), detect=False)
+    cleaning = F.from_json(
+        F.get_json_object("validation_report", "$.cleaning"),
+        "original_rows bigint, final_rows bigint, lines_skipped bigint, dates_lost map<string, bigint>")
+    return store.datasets().select(cleaning.alias("c")).select(
+        (F.col("c.original_rows") + F.col("c.lines_skipped")).alias("records"), "c.lines_skipped", "c.final_rows",
+        F.col("c.dates_lost")["start_date"].alias("dates_lost"))
+
+
+@query("record_numbers", """select row_number() over (order by l_orderkey, l_linenumber) - 1 as row_index,
+  l_orderkey as order_ref, l_linenumber as line_ref from lineitem""")
+def record_numbers(spark, sf_dir):
+    """The numbers of the records of a source in several files, which are read in several splits."""
+    path = new_path(spark, "numbered")
+    table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_ref"), F.col("l_linenumber").alias("line_ref")) \
+        .repartitionByRange(5, "order_ref", "line_ref").sortWithinPartitions("order_ref", "line_ref") \
+        .write.option("header", True).csv(path)
+    return land_source(spark, "csv", path=path).frame.select(
+        F.col(ROW_INDEX).alias("row_index"), "order_ref", F.col("line_ref").cast("int").alias("line_ref"))
+
+
+@query("anomaly_row_index", f"""{_READY}, placed as (select subscription_id as row_key,
+    row_number() over (order by subscription_id) - 1 as row_index from ready)
+  select row_index, column_name, value from ({_CELLS}) join placed using (row_key)""")
+def anomaly_row_index(spark, sf_dir):
+    """Stored anomalies with the number of their record, each copy of which counts as the first one."""
+    path = new_path(spark, "export")
+    subs = subscriptions(spark, sf_dir).withColumn("copy", F.lit(0))
+    both = subs.unionByName(subs.filter("subscription_id % 5 = 0").withColumn("copy", F.lit(1)))
+    order = ("copy", "subscription_id")
+    both.repartitionByRange(5, *order).sortWithinPartitions(*order).drop("copy").write.option("header", True).csv(path)
+    store = Store(spark, new_path(spark, "store"))
+    run_etl(spark, store, "orders", "csv", path=path, key=("subscription_id",))
+    return store.table("anomalies").select("row_index", "column_name", "value")

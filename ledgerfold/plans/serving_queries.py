@@ -325,3 +325,17 @@ def safe_sql(spark, sf_dir):
     """A given statement with code fences, over the named table."""
     subs = derive_arr(subscriptions(spark, sf_dir, lines=False))
     return serving.safe_sql(spark, f"```sql\n{_GIVEN}\n```", {"saas_subscriptions": subs})
+
+
+_SHADOWED = """WITH customer_plans AS (SELECT plan, mrr FROM saas_subscriptions WHERE NOT churned),
+  saas_metrics AS (SELECT plan, COUNT(*) AS customers, SUM(mrr) AS mrr FROM customer_plans GROUP BY plan)
+SELECT plan, customers, CAST(mrr AS DOUBLE) AS mrr FROM saas_metrics
+WHERE plan IN (SELECT plan FROM saas_subscriptions GROUP BY plan HAVING COUNT(*) > 1)"""
+
+
+@query("safe_sql_shadowed", f"""{_SUBS}, saas_subscriptions as (select * from subs)
+  select * from ({_SHADOWED})""")
+def safe_sql_shadowed(spark, sf_dir):
+    """A statement whose own name is that of a stored table it doesn't read."""
+    subs = subscriptions(spark, sf_dir, lines=False)
+    return serving.safe_sql(spark, _SHADOWED, {"saas_subscriptions": subs, "saas_metrics": subs})
