@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import new_path, stage
 from .bpe import Encoder, vocabulary_path
-from .common import named, slices
+from .common import KEY, named, released, slices, with_row_key
 from .queries import QUERIES, table
 
 END_ID = 2
@@ -36,12 +37,15 @@ NULL_ID, WIDE_IDS = 1, 2
 HEAD, FOOT, DOCUMENT = "<QI", "<I", "<Bq"
 HEAD_SIZE, FOOT_SIZE, DOCUMENT_SIZE = map(struct.calcsize, (HEAD, FOOT, DOCUMENT))
 CLOSE = b"\n"
-# Parameters: about so many bytes of records per file; bytes of text handled at once; pieces of text that a worker knows.
-FILE_BYTES = 16 * 1024 * 1024
+# Parameters: documents are dealt to about so many bytes of text per file; bytes of text handled at once; pieces of
+# text that a worker knows.
+FILE_BYTES = 32 * 1024 * 1024
 CHUNK = 1_000_000
 CACHED_PIECES = 400_000
 # Fixed value: code points of a text that order rows with the same id.
 TIE_CHARS = 32
+# The order of records: rows that repeat are told apart by their place in the input.
+ORDER = ["doc_id", "text_head", "text_hash", *KEY]
 
 
 def masked_crc(data: bytes) -> int:
@@ -81,15 +85,13 @@ def frames(data: bytes):
         at = end + FOOT_SIZE + 1
 
 
-def _records(path: str, end_id: int, kept):
-    """Records of the texts, in the place of `text`.
+def _records(path: str, end_id: int, kept, bounds):
+    """Records of the texts with their file, `bounds` being the least keys of all files but the first.
 
     A worker process keeps its encoder, with up to CACHED_PIECES known pieces
     (about 100 MB), for the tasks of this table that follow: what is broadcast is
     an empty dictionary, which each process fills for itself and drops with it.
     """
-    order = ["doc_id", "text_head", "text_hash"]
-
     def run(batches):
         if path not in kept.value:
             kept.value[path] = Encoder(path, CACHED_PIECES, CHUNK)
@@ -98,15 +100,22 @@ def _records(path: str, end_id: int, kept):
         end = np.array([end_id], np.uint32)
         for batch in batches:
             for some in slices(batch, "text", CHUNK):
+                keys = [_key(*values) for values in zip(*(some.column(c).to_pylist() for c in ORDER))]
                 out = [
                     frame(payload_of(doc_id, np.concatenate([ids, end]), wide)) for doc_id, ids in zip(
                         some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist()))]
                 yield pa.RecordBatch.from_arrays(
-                    [*(some.column(c) for c in order), pa.array(out, pa.binary())], [*order, "record"])
+                    [pa.array([bisect_right(bounds.value, k) for k in keys], pa.int32()),
+                     *(some.column(c) for c in ORDER), pa.array(out, pa.binary())], ["file", *ORDER, "record"])
 
     return run
 
 
+def _key(doc_id: int | None, head: str | None, *numbers: int) -> tuple:
+    """A key of ORDER as Python orders it: nulls first, texts by their bytes."""
+    return doc_id is not None, doc_id or 0, head is not None, (head or "").encode("utf-8", "surrogatepass"), *numbers
+
+
 def write_records(
     docs: DataFrame, folder: str, path: str, end_id: int = END_ID, files: int | None = None,
     id_col: str = "doc_id", text_col: str = "text",
@@ -115,25 +124,29 @@ def write_records(
 
     File after file, and within each, documents are in ascending order of a long
     id, null first; rows with the same id are in order of their text's first
-    TIE_CHARS code points, then of a hash of it, and may be in several files. A null text is empty: its record holds the end
-    id alone. An empty table gives a folder without records. Other columns are
-    ignored. Texts are encoded whole, where they are read; only records are put
-    in order.
+    TIE_CHARS code points, then of a hash of it, and may be in several files. A
+    null text is empty: its record holds the end id alone. An empty table gives a
+    folder without records. Other columns are ignored. Texts are encoded whole,
+    where they are read: the least key of each file is found first, from the keys
+    alone, so that a record goes straight to its file.
     """
     spark = docs.sparkSession
-    rows = docs.select(
+    rows = with_row_key(docs).select(
         named(id_col).cast("long").alias("doc_id"), F.substring(named(text_col), 1, TIE_CHARS).alias("text_head"),
-        F.xxhash64(named(text_col)).alias("text_hash"), F.coalesce(named(text_col), F.lit("")).alias("text"))
-    kept = spark.sparkContext.broadcast({})
-    encoded = rows.mapInArrow(_records(path, end_id, kept), "doc_id long, text_head string, text_hash long, record binary")
-    # a place tells repeated rows apart, so that a range can end between them
-    records = stage(encoded.withColumn("place", F.monotonically_increasing_id()), "records")
-    kept.unpersist()
+        F.xxhash64(named(text_col)).alias("text_hash"), *KEY, F.coalesce(named(text_col), F.lit("")).alias("text"))
+    keys = stage(rows.select(*ORDER, F.octet_length("text").alias("bytes")), "record-keys")
     if files is None:
-        size = records.agg(F.sum(F.octet_length("record"))).first()[0] or 0
-        files = max(1, -(-size // FILE_BYTES))
-    order = ["doc_id", "text_head", "text_hash", "place"]
-    ordered = records.repartitionByRange(files, *order).sortWithinPartitions(*order)
+        files = max(1, -(-(keys.agg(F.sum("bytes")).first()[0] or 0) // FILE_BYTES))
+    least = (
+        keys.repartitionByRange(files, *ORDER).groupBy(F.spark_partition_id().alias("file"))
+        .agg(F.min(F.struct(*ORDER)).alias("least"))
+    )
+    bounds = sorted(_key(*r["least"]) for r in least.collect())[1:]  # one per file
+    context = spark.sparkContext
+    records = rows.mapInArrow(
+        released(_records(path, end_id, context.broadcast({}), context.broadcast(bounds))),
+        f"file int, doc_id long, text_head string, text_hash long, {KEY[0]} long, {KEY[1]} long, record binary")
+    ordered = records.repartitionById(len(bounds) + 1, "file").sortWithinPartitions(*ORDER)
     # the text writer puts out the bytes of a string as they are, and one line feed after each
     ordered.select(F.col("record").cast("string")).write.option("lineSep", "\n").text(folder)
 
@@ -167,7 +180,7 @@ def write_index(spark: SparkSession, folder: str, index_folder: str) -> DataFram
     """
     content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
     entries = stage(content.select("path", "content").mapInPandas(
-        _index, "file string, offset long, length long, doc_id long, start_in_file long, n_tokens long, "
+        released(_index), "file string, offset long, length long, doc_id long, start_in_file long, n_tokens long, "
                 "ids_crc32 long"), "entries")
     files = entries.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
