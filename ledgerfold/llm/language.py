@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named, slices
+from ..functions.scratch import stage
+from .common import KEY, give_back, named, released, slices, with_row_key
 from .queries import QUERIES, table
 
 UNKNOWN = "und"
@@ -31,7 +32,7 @@ LEAST_SHARE = 0.25
 # Odd multipliers of the two hashes; languages per mask; letters or bytes handled at once.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 MASK_LANGUAGES = 62
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @dataclass
@@ -93,10 +94,10 @@ def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _count_grams(letters):
     def count(batches):
         for batch in batches:
-            for lang, texts in batch.groupby("lang")["text"]:
+            for number, texts in batch.groupby("number")["text"]:
                 for chunk in _chunks([t.lower() for t in texts]):
                     grams, counts = np.unique(_grams(chunk, letters.value)[0], return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int64), "n": counts})
+                    yield pd.DataFrame({"number": number, "gram": grams.view(np.int64), "n": counts})
 
     return count
 
@@ -107,45 +108,46 @@ def learn(
 ) -> Filters:
     """Filters learned from about `sample_rows` rows of each language.
 
-    A language's rows are chosen by a hash of their text, so a rerun learns the
-    same. Rows with a null text or language teach nothing.
+    A language's rows are chosen by a hash of their place in the stored input, so
+    a rerun learns the same, and copies of a text count like any other rows. Rows
+    with a null text or language teach nothing. Texts are read whole. Without
+    labelled rows, as in an empty table, no language is known.
     """
-    rows = labelled.select(named(text_col).alias("text"), named(lang_col).alias("lang")).dropna()
-    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    spark = labelled.sparkSession
+    rows = with_row_key(labelled).select(
+        *KEY, named(text_col).alias("text"), named(lang_col).cast("string").alias("lang")).dropna(subset=["text", "lang"])
+    sizes = stage(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    found = {r["lang"]: r["n"] for r in sizes.collect()}
     languages = sorted(found)
     letters = letter_table()
     if not languages:
         return Filters([], None, np.zeros((1 << SLOT_BITS, 1), np.uint8), np.zeros(0), letters)
     spread = 1 << 30
-    chosen = F.lit(False)
-    for lang, n in found.items():
-        share = min(spread, spread * sample_rows // n + 1)
-        chosen = chosen | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(spread)) < share))
-    counts = (
-        rows.filter(chosen).mapInPandas(_count_grams(labelled.sparkSession.sparkContext.broadcast(letters)), "lang string, gram long, n long")
-        .groupBy("gram").agg(*(
-            F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}")
-            for i, lang in enumerate(languages)))
-    ).persist()
-    totals = counts.agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(languages)))).first()
-    shares = [F.col(f"n{i}") / F.lit(max(1, totals[i] or 0)) for i in range(len(languages))]
-    most = F.greatest(*shares, F.lit(0.0))
-    members = [(F.col(f"n{i}") >= least_count) & (share >= most * least_share) for i, share in enumerate(shares)]
-    words = range(-(-len(languages) // MASK_LANGUAGES))
-    masks = [
-        sum((m.cast("long") * (1 << i) for i, m in enumerate(members[w * MASK_LANGUAGES:(w + 1) * MASK_LANGUAGES])),
-            F.lit(0).cast("long")).alias(f"m{w}") for w in words]
+    numbers = spark.createDataFrame(
+        [(lang, i, min(spread, spread * sample_rows // found[lang] + 1)) for i, lang in enumerate(languages)],
+        "lang string, number int, share long")
+    chosen = rows.join(numbers, "lang").filter(F.pmod(F.xxhash64(*KEY), F.lit(spread)) < F.col("share")).select("number", "text")
+    counts = stage(
+        chosen.mapInPandas(released(_count_grams(spark.sparkContext.broadcast(letters))), "number int, gram long, n long")
+        .groupBy("gram", "number").agg(F.sum("n").alias("n")), "gram-counts")
+    shares = counts.join(counts.groupBy("number").agg(F.sum("n").alias("total")), "number").withColumn(
+        "share", F.col("n") / F.col("total"))
+    # a gram has one row per language at most
+    members = (
+        shares.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("number", "n", "share")).alias("each"))
+        .select("gram", F.explode(F.filter("each", lambda x: (x["n"] >= least_count) & (
+            x["share"] >= F.col("most") * least_share))["number"]).alias("number"))
+    )
     first = F.shiftrightunsigned("gram", 64 - SLOT_BITS)
     second = F.shiftrightunsigned(F.shiftleft("gram", SLOT_BITS), 64 - SLOT_BITS)
     slots = (
-        counts.select(F.explode(F.array(first, second)).alias("slot"), *masks)
-        .groupBy("slot").agg(*(F.bit_or(f"m{w}").alias(f"m{w}") for w in words))
-        .filter(" or ".join(f"m{w} <> 0" for w in words)).toPandas()
+        members.select(F.explode(F.array(first, second)).alias("slot"), F.floor(F.col("number") / MASK_LANGUAGES).alias("word"),
+                       F.expr(f"shiftleft(1L, number % {MASK_LANGUAGES})").alias("bit"))
+        .groupBy("slot", "word").agg(F.bit_or("bit").alias("bits")).toPandas()
     )
-    counts.unpersist()
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    table_ = np.zeros((1 << SLOT_BITS, len(words)), kind)
-    table_[slots["slot"].to_numpy(np.int64)] = slots[[f"m{w}" for w in words]].to_numpy(np.int64).astype(kind)
+    table_ = np.zeros((1 << SLOT_BITS, -(-len(languages) // MASK_LANGUAGES)), kind)
+    table_[slots["slot"].to_numpy(np.int64), slots["word"].to_numpy(np.int64)] = slots["bits"].to_numpy(np.int64).astype(kind)
     fills = [((table_[:, i // MASK_LANGUAGES] >> kind(i % MASK_LANGUAGES)) & kind(1)).mean()
              for i in range(len(languages))]
     return Filters(languages, max(languages, key=lambda x: found[x]), table_, np.array(fills) ** 2, letters)
@@ -188,6 +190,7 @@ def detect(spark: SparkSession, model: Filters, text: Column) -> Column:
                 value = min(1.0, float(row[best]) / n) if best is not None else 0.0
                 langs.append(UNKNOWN if best is None else known.languages[best] if value else known.common)
                 scores.append(value)
+        give_back()
         return pa.StructArray.from_arrays(
             [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 

@@ -1,3 +1,4 @@
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -65,3 +66,60 @@ def test_more_languages_than_a_mask_holds(spark):
     model = learn(spark.createDataFrame(rows, "lang string, text string"), least_count=1)
     frame = spark.createDataFrame(rows, "lang string, text string")
     assert all(r["lang"] == r["p"] for r in frame.withColumn("p", detect(spark, model, F.col("text"))["lang_pred"]).collect())
+
+
+def test_predictions_are_those_of_exact_sets(spark, documents):
+    """With sets of n-grams instead of filters and Python counts: the same language, nearly the same score."""
+    learned = [(t, lang) for i, (_, t, lang) in enumerate(documents) if i % 4 and t and lang]
+    model = learn(spark.createDataFrame(learned, "text string, lang string"))
+    letter = lambda c: unicodedata.category(c)[0] == "L"
+
+    def grams(text):
+        padded = ["", *(c if letter(c) else "" for c in text.lower()), "", ""]
+        return [(padded[i - 1], c, padded[i + 1], padded[i + 2] if padded[i + 1] else "")
+                for i, c in enumerate(padded) if c and i]
+
+    counts = {}
+    for text, lang in learned:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    share = {lang: {g: n / c.total() for g, n in c.items()} for lang, c in counts.items()}
+    most = Counter()
+    for own in share.values():
+        for g, x in own.items():
+            most[g] = max(most[g], x)
+    known = {lang: {g for g, n in c.items() if n >= 3 and share[lang][g] >= most[g] * 0.25} for lang, c in counts.items()}
+    frame = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(documents)], "i int, text string")
+    found = {r["i"]: r["p"] for r in frame.select("i", detect(spark, model, F.col("text")).alias("p")).collect()}
+    for i, (_, text, _) in enumerate(documents):
+        own = grams(text or "")
+        hits = {lang: sum(g in known[lang] for g in own) / len(own) for lang in sorted(known)} if own else {}
+        if not hits:
+            assert found[i]["lang_pred"] == "und"
+            continue
+        best = max(hits, key=hits.get)
+        close = sorted(hits.values())[-2:]
+        assert found[i]["lang_pred"] == best or close[1] - close[0] < 0.02
+        assert abs(found[i]["score"] - hits[found[i]["lang_pred"]]) < 0.03
+
+
+def test_a_language_of_copies_is_learned_from_a_sample(spark, tmp_path):
+    """60,000 rows with one text: about `sample_rows` of them teach."""
+    text = "un texte assez court en une langue que rien d'autre ne montre"
+    rows = spark.range(60_000).select(F.lit(text).alias("text"), F.lit("fr").alias("lang"))
+    other = spark.range(50).select(F.lit("the quick brown fox over a lazy dog").alias("text"), F.lit("en").alias("lang"))
+    rows.unionByName(other).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    for sample in (500, 4000):
+        model = learn(stored, sample_rows=sample)
+        found = stored.limit(1).select(detect(spark, model, F.lit(text)).alias("p")).first()["p"]
+        assert found["lang_pred"] == "fr" and found["score"] > 0.95
+
+
+def test_many_languages_need_no_longer_plan(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(" ".join(letters[i % 26] + letters[i // 26] + letters[j] * 3 for j in range(20)), f"l{i:03}") for i in range(130)] * 3
+    model = learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.masks.shape[1] == 3
+    frame = spark.createDataFrame(rows[:130], "text string, lang string")
+    found = frame.select("lang", detect(spark, model, F.col("text")).alias("p")).collect()
+    assert all(r["p"]["lang_pred"] == r["lang"] for r in found)
