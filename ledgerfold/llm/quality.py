@@ -19,9 +19,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
-# Common words per language. Those of another language are the words in most of its different texts; a
-# language with fewer texts than the least is measured by all words below.
-LEAST_TEXTS = 50
+# Common words per language. Those of another language are the words in most of its different texts.
 MOST_COMMON = 25
 COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als",
@@ -83,21 +81,25 @@ def _counted(words: Column, word: Column) -> Column:
 def derived_words(rows: DataFrame) -> DataFrame:
     """lang and listed: the words in most different texts, of each language in `rows` (lang, text) without fixed ones.
 
-    Copies of a text count once. Ties go by code points. Null is a language of its own.
+    Copies of a text count once. Ties go by code points. Null is a language of
+    its own. Texts are read where they lie: hashes tell which rows are copies,
+    and only these, as keys, are joined with the rows.
     """
-    other = rows.filter(F.coalesce(~F.col("lang").isin(*COMMON_WORDS), F.lit(True))).select(
-        "lang", "text", F.xxhash64("text").alias("text_hash")).dropDuplicates(["lang", "text_hash"])
+    keyed = rows if KEY[0] in rows.columns else with_row_key(rows)
+    other = keyed.filter(F.coalesce(~F.col("lang").isin(*COMMON_WORDS), F.lit(True))).select(
+        *KEY, F.coalesce(F.concat(F.lit("="), "lang"), F.lit("none")).alias("lang_key"), "lang", "text")
+    hashes = stage(other.select(*KEY, "lang_key", F.xxhash64("text").alias("text_hash")), "other-languages")
+    groups = hashes.groupBy("lang_key", "text_hash").agg(
+        F.count("*").alias("n"), F.min(F.struct(*KEY)).alias("first")).filter("n > 1")
+    copies = stage(hashes.join(groups, ["lang_key", "text_hash"]).filter(F.struct(*KEY) != F.col("first")).select(*KEY), "copies")
     met = F.array_distinct(F.filter(
         F.transform(F.split("text", SPACES), lambda w: F.lower(w)), lambda w: w.rlike(r"\p{L}")))
-    # The empty word stands for each text.
-    counts = other.select("lang", F.explode(F.concat(F.array(F.lit("")), met)).alias("word")).groupBy("lang", "word").agg(
+    counts = other.join(copies, KEY, "left_anti").select("lang", F.explode(met).alias("word")).groupBy("lang", "word").agg(
         F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("word") != "", F.col("n").desc(), "word"))
-    first = counts.withColumn("place", place).filter(F.col("place") <= MOST_COMMON + 1)
-    return first.groupBy("lang").agg(
-        F.max(F.when(F.col("word") == "", F.col("n"))).alias("texts"),
-        F.sort_array(F.collect_list(F.when(F.col("word") != "", F.col("word")))).alias("listed")).filter(
-        (F.col("texts") >= LEAST_TEXTS) & (F.size("listed") > 0)).select(F.col("lang").alias("listed_lang"), "listed")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    first = counts.withColumn("place", place).filter(F.col("place") <= MOST_COMMON)
+    return stage(first.groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("listed")).select(
+        F.col("lang").alias("listed_lang"), "listed"), "listed")
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -109,7 +111,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = with_row_key(docs).select(
         *KEY, named(id_col).alias("doc_id"), named(lang_col).cast("string").alias("lang"),
         F.coalesce(named(text_col), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(derived_words(rows)), F.col("lang").eqNullSafe(F.col("listed_lang")), "left").drop("listed_lang")
+    rows = rows.join(derived_words(rows), F.col("lang").eqNullSafe(F.col("listed_lang")), "left").drop("listed_lang")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     split = rows.select(
         *KEY, "doc_id", "lang", "listed", F.xxhash64("text").alias("text_hash"), F.length("text").alias("chars"), lines.alias("lines"),
@@ -186,9 +188,9 @@ def quality(
     """One row per row of `docs`: KEY, doc_id, the counts, both distances, base_failed and kept.
 
     The references are the summed histograms of all rows with the same language,
-    as in the query's SQL, which copies, junk and long texts can move; with
-    `each_text_once`, the mean shares of the different texts that pass the base
-    rules (without any, the distances are 0). Null is a language of its own. A null text has
+    which copies, junk and long texts can move; with `each_text_once`, as in the
+    query, the mean shares of the different texts that pass the base rules
+    (without any, the distances are 0). Null is a language of its own. A null text has
     no words; it and an empty text fail the base rules. Rows with the same id or
     text are judged alike. An empty table gives no rows. Other columns are ignored.
     """
@@ -208,7 +210,7 @@ def quality(
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents")).select(
+    return quality(table(spark, sf_dir, "documents"), each_text_once=True).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -220,7 +222,7 @@ def _oracle() -> str:
     lists = {lang: words.split() for lang, words in COMMON_WORDS.items()}
     everything = sorted({w for words in lists.values() for w in words})
     listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    common = "CASE lang " + " ".join(f"WHEN '{k}' THEN {listed(v)}" for k, v in lists.items()) + f" ELSE {listed(everything)} END"
+    fixed = "CASE lang " + " ".join(f"WHEN '{k}' THEN {listed(v)}" for k, v in lists.items()) + " END"
     return rf"""
 WITH docs AS (
   SELECT doc_id, lang, coalesce(text, '') AS text,
@@ -240,8 +242,18 @@ classes AS (
          len(regexp_replace(text, '[^0-9]+', '', 'g')) AS k3, len(body) - k1 - k2 - k3 AS k4
   FROM docs JOIN lined USING (doc_id)),
 class_parts AS (UNPIVOT classes ON k0, k1, k2, k3, k4 INTO NAME part VALUE n),
+others AS (SELECT DISTINCT lang, text, words FROM docs WHERE lang IS NULL OR lang NOT IN {tuple(lists)}),
+met AS (
+  SELECT lang, word, count(*) AS n FROM (
+    SELECT lang, unnest(list_distinct([lower(w) FOR w IN words IF regexp_matches(w, '\p{{L}}')])) AS word FROM others)
+  GROUP BY lang, word),
+derived AS (
+  SELECT lang, list(word) AS listed FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM met) WHERE place <= {MOST_COMMON} GROUP BY lang),
 plain AS (
-  SELECT doc_id, lang, {common} AS common, len(words) AS n_words, [lower(w) FOR w IN words] AS plain FROM docs),
+  SELECT doc_id, d.lang, coalesce({fixed.replace("CASE lang", "CASE d.lang")}, listed, {listed(everything)}) AS common,
+         len(words) AS n_words, [lower(w) FOR w IN words] AS plain
+  FROM docs d LEFT JOIN derived v ON d.lang IS NOT DISTINCT FROM v.lang),
 found AS (
   SELECT doc_id, word AS part, count(*) AS n FROM (SELECT doc_id, common, unnest(plain) AS word FROM plain)
   WHERE list_contains(common, word) GROUP BY doc_id, word),
@@ -250,23 +262,29 @@ word_parts AS (
   FROM (SELECT doc_id, unnest(common) AS part FROM plain) p LEFT JOIN found f ON p.doc_id = f.doc_id AND p.part = f.part
   UNION ALL
   SELECT doc_id, '', greatest(0, n_words - coalesce((SELECT sum(n) FROM found f WHERE f.doc_id = p.doc_id), 0)) FROM plain p),
-parts AS (
-  SELECT doc_id, lang, kind, part, n, sum(n) OVER (PARTITION BY doc_id, kind) AS own_sum,
-         sum(n) OVER (PARTITION BY lang, kind, part) AS usual, sum(n) OVER (PARTITION BY lang, kind) AS usual_sum
+base AS (
+  SELECT d.doc_id, d.lang, d.text, len(words)::bigint AS n_words, len(body)::bigint AS word_chars,
+         len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         len(words) < {LEAST_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {MOST_REPEATED_PERCENT} * len(words) AS base_failed
+  FROM docs d JOIN lined USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+once AS (SELECT min(doc_id) AS doc_id FROM base WHERE NOT base_failed GROUP BY lang, text),
+own AS (
+  SELECT doc_id, lang, kind, part, n, sum(n) OVER (PARTITION BY doc_id, kind) AS own_sum
   FROM (SELECT doc_id, 'class' AS kind, part, n FROM class_parts
         UNION ALL SELECT doc_id, 'word', part, n FROM word_parts) JOIN docs USING (doc_id)),
+usuals AS (
+  SELECT lang, kind, part, sum(floor(n * {SHARE_UNITS} / own_sum)::bigint) AS usual
+  FROM own SEMI JOIN once USING (doc_id) WHERE own_sum > 0 GROUP BY lang, kind, part),
+parts AS (
+  SELECT o.*, usual, sum(usual) OVER (PARTITION BY doc_id, o.kind) AS usual_sum
+  FROM own o LEFT JOIN usuals u ON o.lang IS NOT DISTINCT FROM u.lang AND o.kind = u.kind AND o.part = u.part),
 shares AS (SELECT *, n / own_sum AS p, usual / usual_sum AS q FROM parts WHERE own_sum > 0 AND usual_sum > 0),
 distances AS (
   SELECT doc_id, kind, sqrt(greatest(0, sum(
     CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS distance
-  FROM shares GROUP BY doc_id, kind),
-base AS (
-  SELECT d.doc_id, len(words)::bigint AS n_words, len(body)::bigint AS word_chars,
-         len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint AS n_symbols,
-         (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
-  FROM docs d JOIN lined USING (doc_id) LEFT JOIN repeated USING (doc_id))
-SELECT b.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed,
-       NOT (base_failed OR (n_words >= {CLASS_WORDS} AND coalesce(c.distance, 0) > {MOST_CLASS_DISTANCE})
+  FROM shares GROUP BY doc_id, kind)
+SELECT b.* EXCLUDE (lang, text), NOT (base_failed OR (n_words >= {CLASS_WORDS} AND coalesce(c.distance, 0) > {MOST_CLASS_DISTANCE})
             OR (n_words >= {COMMON_WORDS_NEEDED} AND coalesce(w.distance, 0) > {MOST_WORD_DISTANCE})) AS kept
 FROM base b LEFT JOIN distances c ON b.doc_id = c.doc_id AND c.kind = 'class'
 LEFT JOIN distances w ON b.doc_id = w.doc_id AND w.kind = 'word'

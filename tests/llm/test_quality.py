@@ -136,9 +136,22 @@ def test_common_words_of_other_languages_come_from_the_table(spark):
         assert found[1000]["kept"] == kept and not found[1000]["base_failed"] and found[1000]["word_distance"] > 0.325
 
 
-def test_derived_words_count_copies_once_and_need_texts(spark):
+def test_derived_words_count_copies_once(spark):
     rows = [("xx", f"Ab ab cd{i % 2} e{i}") for i in range(60)] + [("xx", "zz copy")] * 500 + [("yy", "few texts")] * 500
-    found = derived_words(spark.createDataFrame(rows, "lang string, text string")).collect()
-    assert [r["listed_lang"] for r in found] == ["xx"]
+    found = derived_words(spark.createDataFrame(rows, "lang string, text string")).orderBy("listed_lang").collect()
+    assert [r["listed_lang"] for r in found] == ["xx", "yy"] and found[1]["listed"] == ["few", "texts"]
     assert {"ab", "cd0", "cd1"} < set(found[0]["listed"]) and len(found[0]["listed"]) == 25
     assert "zz" not in found[0]["listed"] and "e58" not in found[0]["listed"]
+
+
+def test_no_verdict_depends_on_how_many_texts_a_language_has(spark):
+    """One text more or less changes no verdict; a third of junk rows neither."""
+    rng = random.Random(19)
+    syllables = ["ка", "ро", "ми", "ле", "ту", "са", "но", "ви", "до", "пе"]
+    usual = "и в не на что с по это как он к но".split()
+    good = [" ".join(x for _ in range(70) for x in (rng.choice(usual), "".join(rng.choices(syllables, k=5)))) for _ in range(60)]
+    junk = " ".join(f"{i * 7919 % 10007}" for i in range(140))
+    for n in (49, 50, 60):
+        rows = [(i, t, "ru") for i, t in enumerate(good[:n])] + [(1000 + i, junk, "ru") for i in range(n // 2)]
+        found = quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), each_text_once=True).collect()
+        assert all(r["kept"] == (r["doc_id"] < 1000) for r in found)
