@@ -7,10 +7,16 @@ segment, at most one in two, two in three, three in four. Equal first segments
 and an equal half of the second (one difference spares one half) are therefore
 keys that every such pair shares; within a key the chains are tested, then the
 whole distance.
+
+A key with many fingerprints is dealt out: the bits in which these differ are
+split into one part more than the distance, so near fingerprints agree in one of
+them, and that part's bits are added to the key; again, until no key has many.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import stage
-from .common import KEY, named, with_row_key
+from .common import KEY, give_back, named, released, with_row_key
 from .graph import components
 from .queries import QUERIES, table
 
@@ -31,6 +37,8 @@ SEGMENTS = 4
 WIDTH = 64 // SEGMENTS
 BLOCK = 2048
 CHUNK = 1 << 16
+# Parameter: fingerprints with one key beyond which they are dealt out.
+LARGEST = 4096
 
 
 def _fingerprint(text: str | None, shingle: int) -> int:
@@ -55,7 +63,9 @@ def fingerprint(shingle: int = SHINGLE):
 
     @F.arrow_udf("long")
     def simhash(texts: pa.Array) -> pa.Array:  # one text at a time is a Python object
-        return pa.array((_fingerprint(t.as_py(), shingle) for t in texts), pa.int64(), size=len(texts))
+        prints = pa.array((_fingerprint(t.as_py(), shingle) for t in texts), pa.int64(), size=len(texts))
+        give_back()
+        return prints
 
     return simhash
 
@@ -76,7 +86,44 @@ def _emit_keys(batches):
         prints = batch["fingerprint"].to_numpy(np.int64).view(np.uint64)
         for start in range(SEGMENTS):
             for keys in _chain_keys(prints, start):
-                yield pd.DataFrame({"key": keys.view(np.int64), "fingerprint": prints.view(np.int64)})
+                yield pd.DataFrame({"start": start, "key": keys.view(np.int64), "fingerprint": prints.view(np.int64)})
+
+
+def parts(bits: int, n: int) -> list[int]:
+    """The set bits of a number dealt to n masks in turn."""
+    places = [i for i in range(64) if bits >> i & 1]
+    return [sum(1 << i for i in places[k::n]) for k in range(n)]
+
+
+def _masks(n: int):
+    def run(batches):
+        for batch in batches:
+            masks = [parts(int(v) & (1 << 64) - 1, n) for v in batch["differ"]]
+            yield pd.DataFrame({"key": batch["key"], "masks": [np.array(m, np.uint64).view(np.int64) for m in masks]})
+
+    return run
+
+
+def dealt(keys: DataFrame, distance: int, largest: int = LARGEST) -> DataFrame:
+    """`keys` (start, key, fingerprint) with keys of at most `largest` fingerprints, which near ones still share.
+
+    Each round only the large keys' rows are keyed anew, once per part of the bits
+    in which they differ. These get fewer each round, so rounds are few.
+    """
+    small, largest = [], max(largest, 2 << distance)  # so that a large key differs in a bit of each part
+    while True:
+        large = stage(
+            keys.groupBy("key").agg(
+                F.count("*").alias("n"), F.expr("bit_or(fingerprint) ^ bit_and(fingerprint)").alias("differ"))
+            .filter(F.col("n") > largest).select("key", "differ")
+            .mapInPandas(_masks(distance + 1), "key long, masks array<long>"), "large-keys")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*small, keys])
+        small.append(keys.join(large, "key", "left_anti"))
+        keys = stage(
+            keys.join(large, "key").select("start", "key", "fingerprint", F.posexplode("masks").alias("part", "mask"))
+            .select("start", F.xxhash64("key", "part", F.col("fingerprint").bitwiseAND(F.col("mask"))).alias("key"), "fingerprint"),
+            "dealt-keys")
 
 
 def _within(a: np.ndarray, b: np.ndarray, start: int, distance: int) -> np.ndarray:
@@ -111,26 +158,27 @@ def _forest(prints: np.ndarray, start: int, distance: int) -> list[tuple[int, in
 
 def _link(distance: int):
     def groups(batches):
-        """(key, fingerprints) of the sorted rows, also where a key runs over batches."""
+        """(start, fingerprints) of the keys in the sorted rows, also where a key runs over batches."""
         last, held = None, []
         for batch in batches:
-            keys = batch["key"].to_numpy()
+            keys, starts = batch["key"].to_numpy(), batch["start"].to_numpy()
             prints = batch["fingerprint"].to_numpy(np.int64)
-            cuts = np.flatnonzero(np.diff(keys)) + 1
+            cuts = np.flatnonzero(np.diff(keys) | np.diff(starts)) + 1
             for i, j in zip([0, *cuts], [*cuts, len(keys)]):
-                if i < j and keys[i] == last:
+                if i < j and (keys[i], starts[i]) == last:
                     held.append(prints[i:j])
                 elif i < j:
-                    yield last, held
-                    last, held = keys[i], [prints[i:j]]
-        yield last, held
+                    if held:
+                        yield last[1], np.concatenate(held)
+                    last, held = (keys[i], starts[i]), [prints[i:j]]
+        if held:
+            yield last[1], np.concatenate(held)
 
     def run(batches):
         links = []
-        for key, held in groups(batches):
-            if sum(map(len, held)) > 1:
-                prints = np.concatenate(held)  # signed, as components() orders them
-                links += _forest(prints, int(key) >> 33, distance)
+        for start, prints in groups(batches):
+            if len(prints) > 1:
+                links += _forest(prints, int(start), distance)  # signed, as components() orders them
             if len(links) > CHUNK:
                 yield _frame(links)
                 links = []
@@ -144,6 +192,14 @@ def _link(distance: int):
     return run
 
 
+def links_between(prints: DataFrame, distance: int = DISTANCE, largest: int = LARGEST) -> DataFrame:
+    """Links (a, b) that connect what near fingerprints connect, of the different ones in `prints` (fingerprint)."""
+    keys = prints.select("fingerprint").mapInPandas(released(_emit_keys), "start int, key long, fingerprint long")
+    return (
+        dealt(keys, distance, largest).repartition("key").sortWithinPartitions("key", "start")
+        .mapInPandas(released(_link(distance)), "a long, b long"))
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text",
     keyed: bool = False,
@@ -166,10 +222,7 @@ def near_duplicates(
         prints.groupBy("fingerprint").agg(
             F.min("doc_id").alias("least_id"),
             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("head")), "distinct-prints")
-    links = stage(
-        distinct.select("fingerprint").mapInPandas(_emit_keys, "key long, fingerprint long")
-        .repartition("key").sortWithinPartitions("key")
-        .mapInPandas(_link(distance), "a long, b long"), "links")
+    links = stage(links_between(distinct, distance), "links")
     roots = components(links).withColumnRenamed("node", "fingerprint")
     rooted = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     named_roots = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("head").alias("head"))
