@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY, named, slices, with_row_key
+from .common import KEY, named, released, slices, with_row_key
 from .queries import QUERIES, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -288,16 +288,16 @@ def encode(
     kind = rows.schema["doc_id"].dataType.simpleString()
     head = f"{KEY[0]} long, {KEY[1]} long, doc_id {kind}"
     out = f"{head}, ids binary" + ", decoded string" * decoded
-    short = rows.filter(F.length("text") <= leaf).mapInArrow(_encode_texts(path, decoded), out)
+    short = rows.filter(F.length("text") <= leaf).mapInArrow(released(_encode_texts(path, decoded)), out)
     leaves = (
-        rows.filter(F.length("text") > leaf).mapInArrow(_cut(leaf), f"{head}, place int, text string")
+        rows.filter(F.length("text") > leaf).mapInArrow(released(_cut(leaf)), f"{head}, place int, text string")
         .repartition(*KEY, "place")
-        .mapInArrow(_encode_texts(path, keep_text=True), f"{head}, place int, text string, ids binary")
+        .mapInArrow(released(_encode_texts(path, keep_text=True)), f"{head}, place int, text string, ids binary")
     )
     long = (
         leaves.groupBy(*KEY, "doc_id")
         .agg(F.sort_array(F.collect_list(F.struct("place", "text", "ids"))).alias("parts"))
-        .mapInArrow(_encode_parts(path, decoded), out)
+        .mapInArrow(released(_encode_parts(path, decoded)), out)
     )
     return short.unionByName(long)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
@@ -75,6 +77,23 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
             yield batch.slice(start, stop - start)
 
 
+def give_back() -> None:
+    """Return the process's free memory to the system: a worker waits with it for its next task, beside the others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the usual library's; others return it themselves
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function over batches that gives its memory back when it is done."""
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidy
+
+
 def filter_table(keys: DataFrame, count: int) -> np.ndarray:
     """A bitmap in which the slots of all `keys` (one long column) are set, and few others.
 

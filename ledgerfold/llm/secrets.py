@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import stage
-from .common import KEY, named, slices, with_row_key
+from .common import KEY, named, released, slices, with_row_key
 from .queries import QUERIES, table
 
 # The base patterns with their least lengths, in order.
@@ -245,7 +245,7 @@ def find_secrets(
         *KEY, named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     scanned = stage(rows.mapInArrow(
-        _scan, f"{KEY[0]} long, {KEY[1]} long, doc_id {kind}, "
+        released(_scan), f"{KEY[0]} long, {KEY[1]} long, doc_id {kind}, "
                "base array<struct<start:int,kind:int,end:int>>, tested array<struct<start:int,end:int,p:double,hash:long>>"),
         "secret-candidates")
     length_class = lambda span: sum(

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scratch import stage
-from .common import KEY, filter_table, in_filter, left_join_few, named, set_in, slices, with_row_key
+from .common import KEY, filter_table, in_filter, left_join_few, named, released, set_in, slices, with_row_key
 from .queries import ORACLES, QUERIES, table
 
 # Parameters: words of a window and of an anchor; windows of the longest stretch; stretches per shard;
@@ -277,13 +277,13 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     share = lambda keys: spark.sparkContext.broadcast(filter_table(keys, keys.count()))
     known = rows.filter("doc_id is not null")
     shared = share(stage(
-        known.select("text").mapInArrow(_anchors(window, gram), "anchor long")
+        known.select("text").mapInArrow(released(_anchors(window, gram)), "anchor long")
         .groupBy("anchor").count().filter("count > 1").select("anchor"), "shared-anchors"))
     schema = f"{KEY[0]} long, {KEY[1]} long, doc_id long, anchor long, stretch long, start int"
 
     def found(hot):
         """All occurrences of stretches, and one row for each different one."""
-        occurrences = stage(known.mapInArrow(_shared_stretches(window, gram, shared, hot), schema), "occurrences")
+        occurrences = stage(known.mapInArrow(released(_shared_stretches(window, gram, shared, hot)), schema), "occurrences")
         return occurrences, stage(occurrences.groupBy("anchor", "stretch").agg(
             F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "stretches")
 
@@ -298,7 +298,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     name = F.col("least").bitwiseXOR(F.col("anchor")).bitwiseXOR(F.shiftleft("stretch", 1))
     wanted = share(different.select(name.alias("name")))
     texts = known.mapInArrow(
-        _shared_stretches(window, gram, shared, hot, wanted), "anchor long, stretch long, words string")
+        released(_shared_stretches(window, gram, shared, hot, wanted)), "anchor long, stretch long, words string")
     shards = max(1, -(-different.count() // SHARD))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
     matches = stage(
@@ -359,7 +359,7 @@ def substring_dedup(
         *KEY, named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     starts = stage(repeated_windows(rows, window, gram), "repeated")
     return left_join_few(rows, starts).mapInArrow(
-        _remove(window),
+        released(_remove(window)),
         f"{KEY[0]} long, {KEY[1]} long, doc_id long, n_words long, n_removed long, kept string")
 
 
