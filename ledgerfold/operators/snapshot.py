@@ -136,7 +136,25 @@ def monthly_snapshot(
     signs meet.
     """
     floating = not is_decimal(df, "mrr")
-    pairs = month_pairs(df, by, exact=floating)
+    return snapshot_of_pairs(month_pairs(df, by, exact=floating), by, form, rounded, floating)
+
+
+def merge_pairs(parts: list[tuple[DataFrame, int]], by: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs of all rows, from those of rows that came (with 1) and went (with -1).
+
+    Exact, as counts and amounts are whole numbers and decimals. Pairs without rows are left out.
+    """
+    sums = ("n", "v", *INFINITE)
+    signed = [pairs.select(*by, "s", "c", *[(F.col(x) * F.lit(sign)).alias(x) for x in sums]) for pairs, sign in parts]
+    merged = reduce(DataFrame.unionByName, signed).groupBy(*by, "s", "c").agg(
+        F.sum("n").alias("n"), F.sum("v").cast(EXACT_AMOUNT).alias("v"), *[F.sum(k).alias(k) for k in INFINITE])
+    return merged.filter("n <> 0")
+
+
+def snapshot_of_pairs(
+    pairs: DataFrame, by: tuple[str, ...] = (), form: str | None = None, rounded: bool = True, floating: bool = True,
+) -> DataFrame:
+    """`monthly_snapshot` of the rows that the pairs were counted from."""
     months = {"running": _running, "interval": _interval}[form or "running"](pairs, by)
     if floating:
         months = months.withColumns({f"{part}_v": _amount(part) for part in ("active", "new", "churn")})
@@ -187,8 +205,12 @@ def single_snapshot(df: DataFrame, month: str | None = None) -> DataFrame:
     )
 
 
+def has_months(df: DataFrame) -> bool:
+    return "start_date" in df.columns and not df.filter("start_date is not null").isEmpty()
+
+
 def snapshots(df: DataFrame, month: str | None = None) -> DataFrame:
     """Monthly snapshots, or the single one if no start date is known."""
-    if "start_date" in df.columns and not df.filter("start_date is not null").isEmpty():
+    if has_months(df):
         return monthly_snapshot(df)
     return single_snapshot(df, month).withColumn("nrr", F.lit(None).cast("double"))

@@ -20,7 +20,7 @@ from ..operators.derive import transform_subscriptions
 from ..operators.enrich import Classifier, enrich, enrich_with_model, label_counts, label_report
 from ..operators.outliers import anomalies, explain_anomalies, row_key
 from ..operators.profile import apply_mapping, canonical_mapping, detect_domain
-from ..operators.snapshot import snapshots
+from ..operators.snapshot import has_months, month_pairs, snapshot_of_pairs, snapshots
 from ..settings import CANONICAL_HINTS, DATE_FORMATS, REJECT_DATE
 from ..sources.readers import ROW_INDEX, Landed, land_source
 from ..sources.store import Store
@@ -81,6 +81,18 @@ def rejected(spark: SparkSession, landed: Landed, cleaned: CleanResult) -> DataF
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
+def write_months(store: Store, dataset_id: str, ready: DataFrame, run_id: str) -> None:
+    """The metrics of the rows, and what they were counted from, to which later rows can be added."""
+    mine = F.lit(dataset_id)
+    if has_months(ready):
+        pairs = stage(month_pairs(ready, exact=True), "pairs")
+        store.replace("month_pairs", pairs.withColumn("dataset_id", mine), one_dataset=True, run_id=run_id)
+        months = snapshot_of_pairs(pairs)
+    else:
+        months = snapshots(ready)
+    store.write_metrics(stage(months.withColumn("dataset_id", mine), "months"), one_dataset=True, run_id=run_id)
+
+
 def run_etl(
     spark: SparkSession, store: Store, dataset_id: str, kind: str, name: str | None = None,
     job_id: str | None = None, detect: bool = True, max_enriched: int | None = None,
@@ -147,8 +159,7 @@ def run_etl(
             step = "storing"
             log("processing", 80, step)
             store.write_subscriptions(ready, one_dataset=True, run_id=run_id)
-            months = stage(snapshots(ready).withColumn("dataset_id", F.lit(dataset_id)), "months")
-            store.write_metrics(months, one_dataset=True, run_id=run_id)
+            write_months(store, dataset_id, ready, run_id)
             lost = rejected(spark, landed, cleaned)
             if lost is not None:
                 store.write_rejects(lost.withColumn("dataset_id", F.lit(dataset_id)), one_dataset=True, run_id=run_id)

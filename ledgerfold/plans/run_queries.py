@@ -9,8 +9,9 @@ from ..sources import Store
 from ..sources.readers import ROW_INDEX, land_source
 from .clean_queries import _fence
 from .enrich_queries import INDUSTRY_SQL, PLAN_SQL, REASON_SQL, RISK_SQL
-from .etl import run_etl
-from .fixtures import LIFETIME, SUBSCRIPTIONS, anomalies_sql, as_doubles, subscriptions, table
+from .etl import run_etl, write_months
+from .fixtures import LIFETIME, SUBSCRIPTIONS, anomalies_sql, as_doubles, metrics_ctes, subscriptions, table
+from .increments import append_subscriptions, remove_subscriptions
 from .registry import query
 from .service import answer
 
@@ -232,3 +233,28 @@ def anomaly_row_index(spark, sf_dir):
     store = Store(spark, new_path(spark, "store"))
     run_etl(spark, store, "orders", "csv", path=path, key=("subscription_id",))
     return store.table("anomalies").select("row_index", "column_name", "value")
+
+
+_KEPT_UP = ("period", "mrr", "new_mrr", "churned_mrr", "net_new_mrr", "active_customers", "new_customers", "churned_customers",
+            "churn_rate", "arpu", "nrr")
+
+
+@query("metrics_kept_up", f"""with {metrics_ctes(where="country <> 'FRANCE' and subscription_id % 2 = 0")}
+  select {', '.join(_KEPT_UP)}, (select count(*) from spans) as stored from metrics""")
+def metrics_kept_up(spark, sf_dir):
+    """Rows that come in three parts, and rows that leave: the metrics of what is stored then."""
+    store, key = Store(spark, new_path(spark, "store")), F.col("subscription_id")
+    subs = subscriptions(spark, sf_dir).withColumns({"dataset_id": F.lit("orders"), "mrr": F.col("mrr").cast("double")})
+    first = subs.filter(key % 6 == 0)
+    store.write_subscriptions(first, one_dataset=True, run_id="first")
+    write_months(store, "orders", first, "first")
+    store.publish("orders", dict.fromkeys(("subscriptions", "metrics", "month_pairs"), "first"))
+    for part in (2, 4):
+        append_subscriptions(store, "orders", subs.filter(key % 6 == part))
+    append_subscriptions(store, "orders", subs.filter((key % 2 == 1) & (F.col("country") == "FRANCE")).withColumn(
+        "customer_id", F.concat(F.lit("odd "), "customer_id")))
+    french = store.table("subscriptions").filter("country = 'FRANCE'").select("customer_id").distinct()
+    remove_subscriptions(store, "orders", french)
+    stored = store.table("subscriptions").agg(F.count(F.lit(1)).alias("stored"))
+    counts = [F.col(c).cast("bigint").alias(c) for c in _KEPT_UP if c.endswith("customers")]
+    return as_doubles(store.table("metrics").select(*[c for c in _KEPT_UP if not c.endswith("customers")], *counts)).join(stored)

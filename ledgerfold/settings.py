@@ -159,6 +159,9 @@ REPORTS_DDL = (
     "id string, dataset_id string, period string, report_type string, "
     "markdown_content string, pdf_path string, tokens_used int, created_at timestamp_ntz"
 )
+MONTH_PAIRS_DDL = (
+    "dataset_id string, s timestamp_ntz, c timestamp_ntz, n bigint, v decimal(38,10), up bigint, down bigint"
+)
 REQUIRED_COLUMNS = {
     "subscriptions": ("customer_id", "plan", "mrr", "status"),
     "metrics": ("period", "mrr"),

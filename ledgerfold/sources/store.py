@@ -19,12 +19,13 @@ from pyspark.sql import types as T
 from ..functions.columns import as_timestamp, is_time, nan_to_null, ref
 from ..operators.outliers import stored_context
 from ..settings import (
-    ANOMALIES_DDL, DATASETS_DDL, JOBS_DDL, METRICS_DDL, QUERY_LOG_DDL, REJECTS_DDL, REPORTS_DDL,
+    ANOMALIES_DDL, DATASETS_DDL, JOBS_DDL, METRICS_DDL, MONTH_PAIRS_DDL, QUERY_LOG_DDL, REJECTS_DDL, REPORTS_DDL,
     REQUIRED_COLUMNS, RUNS_DDL, SUBSCRIPTIONS_DDL,
 )
 
 DATASET_TABLES = {
     "subscriptions": SUBSCRIPTIONS_DDL, "metrics": METRICS_DDL, "anomalies": ANOMALIES_DDL, "rejects": REJECTS_DDL,
+    "month_pairs": MONTH_PAIRS_DDL,
 }
 LOG_TABLES = {
     "datasets": DATASETS_DDL, "jobs": JOBS_DDL, "query_log": QUERY_LOG_DDL, "reports": REPORTS_DDL,
@@ -139,9 +140,19 @@ class Store:
         return whole.unionByName(own)
 
     def current_runs(self, table: str) -> DataFrame:
-        """dataset_id and run_id: the run whose rows of the table readers see."""
+        """dataset_id and run_id: the runs whose rows of the table readers see.
+
+        That is one, and those that have only added rows to it since.
+        """
         return self._published(table).groupBy("dataset_id").agg(
-            F.max_by("run_id", F.struct("published_at", "run_id")).alias("run_id"))
+            F.max_by("run_id", F.struct("published_at", "run_id")).alias("run_id")).select(
+            "dataset_id", F.explode(F.split("run_id", ",")).alias("run_id"))
+
+    def publish(self, dataset_id: str, tables: dict[str, str]) -> None:
+        """Make runs (several with commas between) those that readers see of these tables, by one event."""
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        self.append_rows("runs", *(
+            {"dataset_id": dataset_id, "table_name": t, "run_id": runs, "published_at": now} for t, runs in tables.items()))
 
     def write_run(self, table: str, df: DataFrame, run_id: str, one_dataset: bool = False) -> None:
         """Write rows of a run that isn't published yet; nobody reads them.
@@ -169,10 +180,12 @@ class Store:
             if not files.exists(target):
                 continue
             there = {x.getPath().getName().removeprefix("run_id=") for x in files.listStatus(target)}
-            runs = self._published(table).filter(
-                (F.col("dataset_id") == dataset_id) & F.col("run_id").isin(*there)).groupBy("run_id").agg(
-                F.max("published_at").alias("at")).orderBy(F.desc("at"), F.desc("run_id")).offset(keep)
-            for row in runs.collect():  # few: those since the last call
+            mine = self._published(table).filter(F.col("dataset_id") == dataset_id)
+            kept = mine.groupBy("run_id").agg(F.max("published_at").alias("at")).orderBy(
+                F.desc("at"), F.desc("run_id")).limit(keep).select(F.explode(F.split("run_id", ",")).alias("run_id"))
+            old = mine.select(F.explode(F.split("run_id", ",")).alias("run_id")).filter(
+                F.col("run_id").isin(*there)).distinct().join(kept, "run_id", "left_anti")
+            for row in old.collect():  # few: those since the last call
                 files.delete(self._hadoop_path(f"{self._dataset_path(table, dataset_id)}/run_id={row['run_id']}")[1], True)
 
     # Dataset tables

@@ -229,3 +229,68 @@ def no_hidden_table(spark):
     yield
     spark.sql("drop view if exists hidden_view")
     spark.sql("drop table if exists hidden_table")
+
+
+def _prepared(spark, first, n):
+    return spark.range(first, first + n).selectExpr(
+        "concat('c', id) as customer_id", "'p' as plan", "cast(id % 7 + 0.1 as double) as mrr", "'active' as status",
+        "id % 3 = 0 as churned", "timestamp_ntz '2023-01-15 00:00:00' + make_interval(0, cast(id % 9 as int)) as start_date",
+        "if(id % 3 = 0, timestamp_ntz '2023-05-02 00:00:00' + make_interval(0, cast(id % 5 as int)), null) as churn_date")
+
+
+def _metrics(store):
+    return sorted(map(str, store.table("metrics").drop("id", "created_at").collect()))
+
+
+@pytest.fixture
+def kept_up(spark, tmp_path):
+    from ledgerfold.plans.etl import write_months
+
+    store = Store(spark, str(tmp_path / "store"))
+    first = _prepared(spark, 0, 300).withColumn("dataset_id", F.lit("d"))
+    store.write_subscriptions(first, one_dataset=True, run_id="r0")
+    write_months(store, "d", first, "r0")
+    store.publish("d", dict.fromkeys(("subscriptions", "metrics", "month_pairs"), "r0"))
+    return store
+
+
+def test_appended_rows_alone_are_read(kept_up, spark, tmp_path, monkeypatch):
+    from ledgerfold.operators.snapshot import monthly_snapshot
+    from ledgerfold.plans.increments import append_subscriptions, compact, remove_subscriptions
+
+    store, table = kept_up, Store.table
+    monkeypatch.setattr(Store, "table", lambda self, name: table(self, name) if name != "subscriptions" else _raise())
+    append_subscriptions(store, "d", _prepared(spark, 1000, 200))
+    append_subscriptions(store, "d", _prepared(spark, 5000, 1).limit(0))
+    monkeypatch.undo()
+    assert store.table("subscriptions").count() == 500
+
+    def whole(rows):
+        other = Store(spark, str(tmp_path / f"other{rows.count()}"))
+        other.write_metrics(monthly_snapshot(rows).withColumn("dataset_id", F.lit("d")))
+        return _metrics(other)
+
+    both = _prepared(spark, 0, 300).unionByName(_prepared(spark, 1000, 200))
+    assert _metrics(store) == whole(both)
+    gone = both.filter("mrr > 4").select("customer_id")
+    remove_subscriptions(store, "d", gone)
+    assert _metrics(store) == whole(both.filter("mrr <= 4"))
+    before = sorted(r["customer_id"] for r in store.table("subscriptions").collect())
+    assert before == sorted(r["customer_id"] for r in both.filter("mrr <= 4").collect())
+    append_subscriptions(store, "d", both.filter("mrr > 4"))
+    compact(store, "d")
+    store.drop_old_runs("d", keep=1)
+    assert _metrics(store) == whole(both) and store.table("subscriptions").count() == 500
+    assert len(list((tmp_path / "store" / "subscriptions" / "dataset_id=d").iterdir())) == 1
+
+
+def test_a_failed_append_changes_nothing(kept_up, spark, monkeypatch):
+    from ledgerfold.plans import increments
+
+    before = state(kept_up)
+    for owner, name in ((Store, "write_metrics"), (increments, "merge_pairs"), (Store, "publish")):
+        monkeypatch.setattr(owner, name, _raise)
+        with pytest.raises(Broken):
+            increments.append_subscriptions(kept_up, "d", _prepared(spark, 1000, 50))
+        monkeypatch.undo()
+        assert state(kept_up) == before
