@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paging import page
 from ..functions.scratch import stage
 from ..settings import (
     ANOMALY_LINE, BLOCKED_WORDS, CHURNED_LINE, NO_ANOMALIES, NO_CHURNED, NO_EXPLANATION, NO_TREND,
@@ -22,6 +23,18 @@ REPORT_PERIODS = 6
 
 # --- Anomalies ---------------------------------------------------------------
 
+def anomaly_order(key: str) -> tuple[tuple[str, bool], ...]:
+    return (("score", True), ("column_name", False), (key, False))
+
+
+def anomaly_page(
+    found: DataFrame, key: str, severity: str | None = None, limit: int = 50, cursor: str | None = None,
+) -> DataFrame:
+    """Highest scores first, from the first row on or behind a cursor of `anomaly_order`."""
+    picked = found.filter(F.col("severity") == severity) if severity else found
+    return page(picked, anomaly_order(key), limit, cursor)
+
+
 def anomaly_top(
     found: DataFrame, key: str, severity: str | None = None, limit: int = 50,
 ) -> DataFrame:
@@ -29,7 +42,7 @@ def anomaly_top(
     picked = found.filter(F.col("severity") == severity) if severity else found
     total = picked.count()
     return (
-        picked.orderBy(F.desc("score"), "column_name", key).limit(limit)
+        anomaly_page(picked, key, None, limit)
         .withColumn("score", F.round("score", 4)).withColumn("total", F.lit(total).cast("bigint"))
     )
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.paging import next_cursor
+from ..functions.scratch import stage
 from ..operators import serving
 from ..operators.derive import derive_arr, derive_lifetime
 from ..operators.enrich import churn_reason_category
@@ -60,6 +62,17 @@ def anomaly_top_severity(spark, sf_dir):
         "event_id", "value", "score", "total")
 
 
+@query("anomaly_pages", f"""with cells as ({_CELLS}), top as (select *, row_number() over (
+    order by score desc, column_name, row_key) as place from cells)
+  select row_key as event_id, column_name, value, score from top where place > 40 and place <= 60""")
+def anomaly_pages(spark, sf_dir):
+    """The third page of twenty, each found behind the last row of the one before."""
+    cells, order, cursor = stage(_cells(spark, sf_dir), "cells"), serving.anomaly_order("event_id"), None
+    for _ in range(2):
+        cursor = next_cursor(serving.anomaly_page(cells, "event_id", limit=20, cursor=cursor).collect(), order, 20)
+    return serving.anomaly_page(cells, "event_id", limit=20, cursor=cursor).select("event_id", "column_name", "value", "score")
+
+
 @query("severity_counts", f"""select count(case when severity = 'high' then 1 end) as high,
   count(case when severity = 'medium' then 1 end) as medium,
   count(case when severity = 'low' then 1 end) as low from ({_CELLS})""")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_timestamp, is_time, nan_to_null, ref
+from ..functions.paging import page, sorted_by
 from ..operators.outliers import stored_context
 from ..settings import (
     ANOMALIES_DDL, DATASETS_DDL, JOBS_DDL, METRICS_DDL, MONTH_PAIRS_DDL, QUERY_LOG_DDL, REJECTS_DDL, REPORTS_DDL,
@@ -305,8 +306,15 @@ class Store:
 
 # --- Registry and log queries ------------------------------------------------
 
-def dataset_list(datasets: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:
-    return datasets.orderBy("created_at", "id").offset(skip).limit(limit)
+DATASET_ORDER = (("created_at", False), ("id", False))
+HISTORY_ORDER = (("created_at", True), ("id", True))
+
+
+def dataset_list(datasets: DataFrame, skip: int = 0, limit: int = 50, cursor: str | None = None) -> DataFrame:
+    """A page of the registry, by offset or behind a cursor of DATASET_ORDER."""
+    if cursor is not None:
+        return page(datasets, DATASET_ORDER, limit, cursor)
+    return datasets.orderBy(*sorted_by(DATASET_ORDER)).offset(skip).limit(limit)
 
 
 def taken_names(names: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -320,8 +328,9 @@ def without_datasets(table: DataFrame, deleted: DataFrame) -> DataFrame:
     return table.join(deleted.select("dataset_id"), "dataset_id", "left_anti")
 
 
-def query_history(log: DataFrame, limit: int = 20) -> DataFrame:
-    return log.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+def query_history(log: DataFrame, limit: int = 20, cursor: str | None = None) -> DataFrame:
+    """The newest queries, or the newest behind a cursor of HISTORY_ORDER."""
+    return page(log, HISTORY_ORDER, limit, cursor)
 
 
 def active_dataset_count(datasets: DataFrame) -> DataFrame:
