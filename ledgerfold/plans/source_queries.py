@@ -13,7 +13,7 @@ from ..sources import (
     Store, content_fingerprint, normalize_headers, read_csv, read_json_records, read_source,
     read_sql, read_tsv, source_metadata,
 )
-from ..sources.readers import file_fingerprints
+from ..sources.readers import file_fingerprints, read_json_mixed
 from ..sources.store import (
     DATASET_ORDER, HISTORY_ORDER, active_dataset_count, dataset_list, newest, query_history, taken_names, without_datasets,
 )
@@ -143,6 +143,29 @@ def json_records(spark, sf_dir):
     return read_json_records(spark, path, data_key="data.items", schema=schema)
 
 
+@query("read_json_mixed", """select event_id, user_id as user_ref_id, case when event_id % 10 = 0
+  then cast(user_id as varchar) else event_type end as kind, case when event_id % 3 = 0 then value end as value,
+  null::varchar as reason from events where event_id % 50 not in (7, 11)
+  union all select null, null, null, null, case when event_id % 50 = 7 then 'a record that is no object' else 'no JSON' end
+  from events where event_id % 50 in (7, 11)""")
+def json_mixed(spark, sf_dir):
+    """Payloads with a list, with one object, with a number and of broken text; a field that is text or number."""
+    path, key = new_path(spark, "mixed"), F.col("event_id")
+    record = lambda kind, **more: F.struct(
+        "event_id", F.struct(F.struct(F.col("user_id").alias("ID")).alias("ref")).alias("user"), kind.alias("kind"),
+        *[v.alias(n) for n, v in more.items()])
+    items = lambda value: F.to_json(F.struct(F.struct(value.alias("items")).alias("data")))
+    line = (
+        F.when(key % 50 == 7, items(key)).when(key % 50 == 11, F.lit('{"data": {"items": [{'))
+        .when(key % 10 == 0, items(F.array(record(F.col("user_id"), value=F.when(key % 3 == 0, F.col("value"))))))
+        .when(key % 3 == 0, items(record(F.col("event_type"), value=F.col("value"))))
+        .otherwise(items(F.array(record(F.col("event_type"))))))
+    table(spark, sf_dir, "events").select(line).write.text(path)
+    rows, rejects = read_json_mixed(spark, path, "data.items")
+    return rows.withColumn("value", F.col("value").cast("double")).unionByName(
+        rejects.select("reason"), allowMissingColumns=True)
+
+
 @query("normalize_headers", """select s_suppkey as supplier_key, s_name as name,
   s_acctbal as account_balance from supplier""")
 def headers(spark, sf_dir):

@@ -101,6 +101,9 @@ DETAIL_NO_COLUMN = "Column '%s' not present — skipped"
 EXPECTED_RANGE = "%.2f – %.2f"
 
 REJECT_LINE = "more than %s fields"
+REJECT_JSON = "no JSON"
+REJECT_NO_RECORDS = "no records at the key"
+REJECT_NO_OBJECT = "a record that is no object"
 REJECT_DATE = "no date in the column's form"
 
 # --- Report texts ------------------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions.columns import ref
 from ..functions.scratch import stage, stage_counted
 from ..operators.profile import infer_text_types
-from ..settings import FILE_SUFFIXES, NO_VALUE_TEXTS, REJECT_LINE
+from ..settings import FILE_SUFFIXES, NO_VALUE_TEXTS, REJECT_JSON, REJECT_LINE, REJECT_NO_OBJECT, REJECT_NO_RECORDS
 
 DELIMITERS = (",", ";", "\t", "|")
 _BAD = "_unparsed_line"
@@ -169,6 +169,85 @@ def read_json_records(
     return flatten_records(rows)
 
 
+# --- JSON records of drifting types --------------------------------------------
+
+_RECORD = "_record"
+
+
+def _variant_path(parts: tuple[str, ...]) -> str:
+    """The path of nested keys; a key with both kinds of quotes has none."""
+    return "$" + "".join(f'["{p}"]' if "'" in p else f"['{p}']" for p in parts)
+
+
+def _json_payloads(spark: SparkSession, path: str, data_key: str | None, multiline: bool) -> DataFrame:
+    """One row per record, as VARIANT, or per payload without records, with REJECTED: why; and the payload's text."""
+    lines = spark.read.text(path, wholetext=multiline).filter(F.trim("value") != "")
+    payload = F.try_parse_json("value")
+    at = F.try_variant_get(payload, _variant_path(tuple(data_key.split(".")) if data_key else ()), "variant")
+    found = lines.select("value", payload.isNotNull().alias("parsed"), at.alias("at"), F.schema_of_variant(at).alias("kind"))
+    listed = F.col("kind").startswith("ARRAY")
+    each = F.when(listed, F.try_variant_get("at", "$", "array<variant>")).otherwise(F.array("at"))
+    records = found.select("value", "parsed", F.explode_outer(each).alias(_RECORD), (listed & (F.size(each) == 0)).alias("none"))
+    reason = (
+        F.when(~F.col("parsed"), F.lit(REJECT_JSON))
+        .when(F.col(_RECORD).isNull(), F.lit(REJECT_NO_RECORDS))
+        .when(~F.schema_of_variant(_RECORD).startswith("OBJECT"), F.lit(REJECT_NO_OBJECT)))
+    return records.filter(~F.coalesce("none", F.lit(False))).select(
+        _RECORD, reason.alias(REJECTED), F.when(reason.isNotNull(), F.col("value")).alias("line"))
+
+
+def _variant_leaves(dtype: T.StructType, prefix: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of nested objects by their dotted paths; what has several types is text, as JSON if it isn't plain."""
+    leaves = []
+    for f in dtype.fields:
+        parts = (*prefix, f.name)
+        if isinstance(f.dataType, T.StructType) and f.dataType.fields:
+            leaves += _variant_leaves(f.dataType, parts)
+            continue
+        path, text = _variant_path(parts), f.dataType.simpleString()
+        if isinstance(f.dataType, T.DecimalType):
+            value = F.try_variant_get(_RECORD, path, "double" if f.dataType.precision <= 15 else text)
+        elif "variant" in text or isinstance(f.dataType, (T.NullType, T.StructType)):
+            inner = F.try_variant_get(_RECORD, path, "variant")
+            plain = ~F.schema_of_variant(inner).rlike("^(OBJECT|ARRAY)")
+            value = F.when(plain, F.try_variant_get(_RECORD, path, "string")).otherwise(F.to_json(inner))
+        else:
+            value = F.try_variant_get(_RECORD, path, text)
+        leaves.append(value.alias(".".join(parts)))
+    return leaves
+
+
+def _variant_columns(stored: DataFrame) -> list[Column]:
+    """What the records' merged schema makes of them; one aggregate over parsed values, no text is read again."""
+    merged = stored.filter(F.col(REJECTED).isNull()).agg(F.schema_of_variant_agg(_RECORD)).first()[0]
+    if merged is None or not merged.startswith("OBJECT<"):
+        return []
+    dtype = T.DataType.fromDDL(re.sub(r"\bOBJECT<", "STRUCT<", merged))
+    leaves = _variant_leaves(dtype)
+    names = [".".join(p) for p in _leaf_paths(dtype)]
+    return [c.alias(n) for c, n in zip(leaves, distinct_headers([normalize_header(n, dots=True) for n in names]))]
+
+
+def _leaf_paths(dtype: T.StructType, prefix: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
+    return [p for f in dtype.fields for p in (
+        _leaf_paths(f.dataType, (*prefix, f.name)) if isinstance(f.dataType, T.StructType) and f.dataType.fields
+        else [(*prefix, f.name)])]
+
+
+def read_json_mixed(
+    spark: SparkSession, path: str, data_key: str | None = None, multiline: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Landed JSON payloads whose shapes differ, read once: rows, and rejects (line, reason).
+
+    At `data_key` a payload may have a list of records, or one; what is neither,
+    or no JSON, is rejected. A value that is a number here and a text there is a
+    text column. An empty list has no records.
+    """
+    stored = stage(_json_payloads(spark, path, data_key, multiline), "payloads")
+    rows = stored.filter(F.col(REJECTED).isNull()).select(*_variant_columns(stored))
+    return rows, stored.filter(F.col(REJECTED).isNotNull()).select("line", F.col(REJECTED).alias("reason"))
+
+
 # --- SQL ---------------------------------------------------------------------
 
 def jdbc_options(
@@ -237,6 +316,7 @@ def read_source(spark: SparkSession, kind: str, **options) -> DataFrame:
 
 
 TEXT_KINDS = ("csv", "tsv")
+JSON_KINDS = ("json", "api")
 
 
 @dataclass
@@ -296,6 +376,15 @@ def land_source(spark: SparkSession, kind: str, **options) -> Landed:
     if kind == "parquet":
         frame, records = _numbered_parquet(read_source(spark, kind, **options))
         return Landed(frame, records)
+    if kind in JSON_KINDS and options.pop("mixed", False):
+        payloads = _json_payloads(
+            spark, options["path"], options.get("data_key"), options.get("multiline", False))
+        stored, seen = stage_counted(
+            _placed(payloads), "landed", F.count(F.lit(1)).alias("n"), F.count(REJECTED).alias("rejected"))
+        numbered = number_records(stored, stored)
+        frame = numbered.filter(F.col(REJECTED).isNull()).select(*_variant_columns(stored), ROW_INDEX)
+        rejects = numbered.filter(F.col(REJECTED).isNotNull()).select(ROW_INDEX, "line", F.col(REJECTED).alias("reason"))
+        return Landed(frame, seen["n"] - seen["rejected"], rejects if seen["rejected"] else None, seen["rejected"])
     if kind not in TEXT_KINDS:
         stored, seen = stage_counted(_placed(read_source(spark, kind, **options)), "landed", F.count(F.lit(1)).alias("n"))
         return Landed(number_records(stored, stored), seen["n"])
