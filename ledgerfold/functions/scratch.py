@@ -61,18 +61,20 @@ def staging(spark: SparkSession, run: str) -> Iterator[None]:
         remove(spark, folder)
 
 
-def is_plain_scan(df: DataFrame) -> bool:
-    """Whether `df` is a read of files under projections and filters: passes over it cost no more than reading."""
+def is_columnar_scan(df: DataFrame) -> bool:
+    """Whether `df` is a read of Parquet files under projections and filters: a pass over it reads what it needs."""
     plan = df._jdf.queryExecution().optimizedPlan()
     while plan.nodeName() in ("Project", "Filter") and plan.deterministic():
         plan = plan.children().head()
-    return plan.nodeName() == "LogicalRelation"
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    relation = plan.relation()
+    return relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().toString() == "Parquet"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """`df` itself if it is a plain read of Parquet files, else staged."""
-    columnar = all(path.endswith(".parquet") for path in df.inputFiles()[:1])
-    return df if columnar and is_plain_scan(df) else stage(df, label)
+    return df if is_columnar_scan(df) else stage(df, label)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

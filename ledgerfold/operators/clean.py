@@ -19,7 +19,7 @@ from ..functions.columns import (
     is_number, is_text, nan_to_null, numeric_columns, ref, text_columns,
 )
 from ..functions.ranks import interpolate, order_statistics, quantile_ranks, sketch
-from ..functions.scratch import stage
+from ..functions.scratch import stage, stored
 from ..settings import (
     CAP_EXEMPT, CAP_IQR_MULTIPLIER, DATE_FORMATS, DATE_NAMES, DATE_SUFFIXES, FILL_TEXT, FLAG_NAMES,
     NULL_RATIO_LIMIT, NUMBER_NAMES, NUMBER_PREFIXES, NUMERIC_TEXT_RATIO, TRUE_TEXTS,
@@ -181,9 +181,14 @@ def fill_text_unknown(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(ref(c), F.lit(FILL_TEXT)) for c in names}) if names else df
 
 
-def fill_numeric_median(df: DataFrame) -> DataFrame:
-    numbers = numeric_statistics(nan_to_null(df), numeric_columns(df))
-    return _apply_numbers(nan_to_null(df), numbers, fill=True, cap=False)
+def fill_numeric_median(df: DataFrame, known: dict[str, NumberStats] | None = None) -> DataFrame:
+    """Nulls of numeric columns become the column's median: the exact one, or that of `known` statistics.
+
+    What isn't a plain read of columns is stored once, for the passes over it.
+    """
+    rows = nan_to_null(df) if known else stored(nan_to_null(df), "filled")
+    numbers = known or numeric_statistics(rows, numeric_columns(rows), staged=True)
+    return _apply_numbers(rows, numbers, fill=True, cap=False)
 
 
 def keep_null_dates(df: DataFrame) -> DataFrame:
@@ -193,14 +198,17 @@ def keep_null_dates(df: DataFrame) -> DataFrame:
 
 def cap_outliers_iqr(
     df: DataFrame, multiplier: float = CAP_IQR_MULTIPLIER, exempt: tuple[str, ...] = CAP_EXEMPT,
+    known: dict[str, NumberStats] | None = None,
 ) -> DataFrame:
     """Clip numeric columns to the fences; a column without outliers is unchanged.
 
     The quartiles are those of the values present: nulls neither count nor move.
+    With `known` statistics the fences are theirs, and no pass is made.
     """
-    numbers = numeric_statistics(
-        nan_to_null(df), numeric_columns(df), multiplier=multiplier, exempt=exempt, filled=False)
-    return _apply_numbers(nan_to_null(df), numbers, fill=False, cap=True)
+    rows = nan_to_null(df) if known else stored(nan_to_null(df), "capped")
+    numbers = known or numeric_statistics(
+        rows, numeric_columns(rows), multiplier=multiplier, exempt=exempt, filled=False, staged=True)
+    return _apply_numbers(rows, numbers, fill=False, cap=True)
 
 
 # --- Statistics of numeric columns -------------------------------------------
@@ -239,16 +247,18 @@ def _number_aggregates(value: Column, i: int) -> list[Column]:
 
 def numeric_statistics(
     df: DataFrame, columns: list[str], multiplier: float = CAP_IQR_MULTIPLIER,
-    exempt: tuple[str, ...] = CAP_EXEMPT, filled: bool = True,
+    exempt: tuple[str, ...] = CAP_EXEMPT, filled: bool = True, staged: bool = False,
 ) -> dict[str, NumberStats]:
     """Exact medians and fences of the columns, a few passes for all of them.
 
-    The numbers are stored first, so that the input is evaluated once.
+    The numbers are stored first, so that the input is evaluated once, unless it
+    is `staged` already.
     """
     if not columns:
         return {}
-    doubles = stage(
-        df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]), "numbers")
+    doubles = df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    if not staged:
+        doubles = stage(doubles, "numbers")
     seen = doubles.agg(
         F.count(F.lit(1)).alias("rows"),
         *[a for i in range(len(columns)) for a in _number_aggregates(F.col(f"c{i}"), i)],

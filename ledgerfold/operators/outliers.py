@@ -116,16 +116,19 @@ def _find(
 def anomalies(
     df: DataFrame, keep: tuple[str, ...] = (), columns: list[str] | None = None,
     z_limit: float = ANOMALY_Z_LIMIT, multiplier: float = ANOMALY_IQR_MULTIPLIER,
-    context: list[str] | None = None,
+    context: list[str] | None = None, known: dict[str, Baseline] | None = None,
 ) -> DataFrame:
     """Anomalous cells with method, score, severity, expected range and row context.
 
+    `known` tells what is usual, such as merged statistics do; then one scan finds
+    the cells, and no pass is made before.
+
     `keep` names the columns that identify a row. A row number would need a
     total order over the table; a key of the data says the same.
     """
     df = nan_to_null(df)
     names = anomaly_columns(df.drop(*keep)) if columns is None else columns
-    usual = baselines(df, names, multiplier)
+    usual = baselines(df, names, multiplier) if known is None else {c: known[c] for c in names if c in known}
     context = context or [c for c in df.columns if c not in keep] or df.columns
     if not usual:
         empty = df.limit(0).select(*keep)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scratch import stage
 from ..operators.outliers import (
     anomalies, anomaly_columns, anomaly_prompt, baselines, iqr_anomalies, zscore_anomalies,
 )
+from ..operators.statistics import RANK_ERROR, column_statistics, merged_statistics, rank_errors, union_parts
 from .fixtures import anomalies_sql, table
 from .registry import query
 
@@ -112,3 +114,21 @@ def prompt(spark, sf_dir):
     found = _found(spark, sf_dir)
     return found.select(
         "event_id", anomaly_prompt(found, "events", ["event_id", "column_name"]).alias("prompt"))
+
+
+_PARTED = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+@query("merged_statistics", " union all ".join(f"""select '{c}' as column_name, count(*) as rows, count({c}) as n,
+  min({c})::double as minimum, max({c})::double as maximum, round(avg({c}::double), 4) as mean,
+  round(stddev_samp({c}::double), 4) as deviation, true as within from lineitem""" for c in _PARTED))
+def merged_parts(spark, sf_dir):
+    """Statistics of four parts, merged; the quartiles' ranks are within the stated error of the exact ones."""
+    lines = table(spark, sf_dir, "lineitem").select(*_PARTED, "l_orderkey")
+    parts = stage(union_parts([
+        column_statistics(lines.filter(F.col("l_orderkey") % 4 == i), list(_PARTED)) for i in range(4)]), "statistics")
+    whole = stage(merged_statistics(parts), "statistics")
+    within = rank_errors(lines, whole).groupBy("column_name").agg((F.max("rank_error") <= RANK_ERROR).alias("within"))
+    return whole.join(within, "column_name").select(
+        "column_name", "rows", "n", "minimum", "maximum", F.round("mean", 4).alias("mean"),
+        F.round(F.sqrt(F.col("m2") / (F.col("n") - 1)), 4).alias("deviation"), "within")
