@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,51 @@ def profile(df: DataFrame) -> DataFrame:
     ])
 
 
+# --- Profile of stored files ---------------------------------------------------
+
+# Types whose extremes the footers of Parquet files give as they are; a float's may leave out NaN, a text's may be cut.
+FOOTER_TYPES = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType)
+FLOATS = (T.FloatType, T.DoubleType)
+FILE_PROFILE = "column string, dtype string, rows bigint, nulls bigint, null_ratio double, minimum string, maximum string"
+
+
+def footer_counts(spark: SparkSession, path: str) -> DataFrame:
+    """One row from the footers of Parquet files alone: `rows`, and per column its values and, of some types, extremes.
+
+    The aggregate is pushed to the files, in a session of its own that reads them so.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    stored = own.read.parquet(path)
+    return stored.agg(F.count(F.lit(1)).alias("rows"), *[a for i, f in enumerate(stored.schema.fields) for a in (
+        F.count(ref(f.name)).alias(f"n{i}"),
+        *([F.min(ref(f.name)).alias(f"lo{i}"), F.max(ref(f.name)).alias(f"hi{i}")] if isinstance(f.dataType, FOOTER_TYPES) else []))])
+
+
+def profile_files(spark: SparkSession, path: str) -> DataFrame:
+    """`profile` of Parquet files, with extremes as text, from their footers.
+
+    Only what these lack is scanned: floating columns, for NaN, which counts as
+    null. Texts and nested columns have no extremes here.
+    """
+    stored = spark.read.parquet(path)
+    seen = footer_counts(spark, path).first()
+    floats = [(i, f.name) for i, f in enumerate(stored.schema.fields) if isinstance(f.dataType, FLOATS)]
+    number = lambda c: F.nanvl(ref(c), F.lit(None).cast("double"))
+    scanned = stored.agg(*[a for i, c in floats for a in (
+        F.count(number(c)).alias(f"n{i}"), F.min(number(c)).alias(f"lo{i}"), F.max(number(c)).alias(f"hi{i}"))]).first() if floats else {}
+    rows, total = [], seen["rows"] or 0  # without files there is no footer to sum
+    for i, f in enumerate(stored.schema.fields):
+        source = scanned if isinstance(f.dataType, FLOATS) else seen
+        nulls = total - (source[f"n{i}"] or 0)
+        ends = [None if f"{end}{i}" not in source or source[f"{end}{i}"] is None else str(source[f"{end}{i}"]) for end in ("lo", "hi")]
+        rows.append((f.name, f.dataType.simpleString(), total, nulls, nulls / total if total else None, *ends))
+    return spark.createDataFrame(rows, FILE_PROFILE)
+
+
+# --- Findings ------------------------------------------------------------------
+
 def nullable_columns(df: DataFrame) -> DataFrame:
     """Columns that hold at least one null."""
     return profile(df).filter("nulls > 0").select("column", "nulls")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scratch import new_path
 from ..operators.profile import (
     apply_mapping, canonical_mapping, detect_domain, domain_score, high_null_warnings,
-    id_like_columns, infer_text_types, nullable_columns, profile, sample_rows,
+    id_like_columns, infer_text_types, nullable_columns, profile, profile_files, sample_rows,
 )
 from .clean_queries import COUNT_NULLS
 from .fixtures import MESSY_SQL, SUBSCRIPTIONS, messy, subscriptions, table
@@ -91,3 +92,22 @@ def inferred(spark, sf_dir):
         F.initcap((F.col("l_linenumber") % 2 == 0).cast("string")).alias("even"),
         F.col("l_returnflag").alias("flag"))
     return infer_text_types(texts)
+
+
+_STORED = {"l_orderkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_discount": "double", "l_returnflag": "string"}
+
+
+@query("profile_files", " union all ".join(f"""select '{c}' as "column", '{t}' as dtype, count(*) as rows,
+  count(*) - count({c}) as nulls, {f'min({c})::double' if t != 'string' else 'null::double'} as minimum,
+  {f'max({c})::double' if t != 'string' else 'null::double'} as maximum
+  from (select case when l_orderkey % 9 = 0 then null else {c} end as {c} from lineitem)""" for c, t in _STORED.items()))
+def stored_profile(spark, sf_dir):
+    """The profile of stored files from their footers, and a scan of the floating columns; NaN stands for null there."""
+    path = new_path(spark, "profiled")
+    lines = table(spark, sf_dir, "lineitem")
+    none = lambda t: F.lit(float("nan") if t == "double" else None)
+    lines.select(*[F.when(F.col("l_orderkey") % 9 == 0, none(t)).otherwise(F.col(c)).cast(t).alias(c) for c, t in _STORED.items()]) \
+        .repartition(3).write.parquet(path)
+    found = profile_files(spark, path)
+    return found.select("column", "dtype", "rows", "nulls", F.col("minimum").try_cast("double").alias("minimum"),
+                        F.col("maximum").try_cast("double").alias("maximum"))
