@@ -10,7 +10,7 @@ NaN above all numbers, as Spark sorts them.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -75,3 +75,13 @@ def page(df: DataFrame, order: Order, limit: int, cursor: str | None = None) ->
 def next_cursor(rows: Sequence[Row], order: Order, limit: int) -> str | None:
     """The cursor behind a collected page; None if it was the last."""
     return cursor_of(rows[-1], order) if len(rows) == limit else None
+
+
+def nth_page(read: Callable[[str | None], DataFrame], order: Order, limit: int, n: int) -> DataFrame:
+    """The n-th page (from 0 on) by following cursors; behind the last one there are no rows."""
+    cursor = None
+    for _ in range(n):
+        cursor = next_cursor(read(cursor).collect(), order, limit)
+        if cursor is None:
+            return read(None).limit(0)
+    return read(cursor)

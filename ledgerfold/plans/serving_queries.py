@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.paging import next_cursor
+from ..functions.paging import nth_page
 from ..functions.scratch import stage
 from ..operators import serving
 from ..operators.derive import derive_arr, derive_lifetime
@@ -67,10 +67,9 @@ def anomaly_top_severity(spark, sf_dir):
   select row_key as event_id, column_name, value, score from top where place > 40 and place <= 60""")
 def anomaly_pages(spark, sf_dir):
     """The third page of twenty, each found behind the last row of the one before."""
-    cells, order, cursor = stage(_cells(spark, sf_dir), "cells"), serving.anomaly_order("event_id"), None
-    for _ in range(2):
-        cursor = next_cursor(serving.anomaly_page(cells, "event_id", limit=20, cursor=cursor).collect(), order, 20)
-    return serving.anomaly_page(cells, "event_id", limit=20, cursor=cursor).select("event_id", "column_name", "value", "score")
+    cells = stage(_cells(spark, sf_dir), "cells")
+    read = lambda cursor: serving.anomaly_page(cells, "event_id", limit=20, cursor=cursor)
+    return nth_page(read, serving.anomaly_order("event_id"), 20, 2).select("event_id", "column_name", "value", "score")
 
 
 @query("severity_counts", f"""select count(case when severity = 'high' then 1 end) as high,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.paging import next_cursor
+from ..functions.paging import nth_page
 from ..functions.scratch import new_path, stage
 from ..operators.snapshot import monthly_snapshot
 from ..operators.clean import cast_dates, clean
@@ -323,22 +323,20 @@ def listing(spark, sf_dir):
         "id", "name", "status", F.lit(total).cast("bigint").alias("total"))
 
 
-@query("dataset_pages", f"""select id, name, status from ({newest_sql(DATASET_LOG)}) order by created_at, id limit 40 offset 30""")
+@query("dataset_pages", f"""select id, name, status from ({newest_sql(DATASET_LOG)}) order by created_at, id limit 30 offset 30""")
 def dataset_pages(spark, sf_dir):
-    """The page behind the thirtieth dataset, by its key; all were created at the same time."""
+    """The second page of thirty, behind the thirtieth dataset; all were created at the same time."""
     datasets = stage(newest(from_events(spark, sf_dir, DATASET_LOG)), "registry")
-    cursor = next_cursor(dataset_list(datasets, limit=30).collect(), DATASET_ORDER, 30)
-    return dataset_list(datasets, limit=40, cursor=cursor).select("id", "name", "status")
+    read = lambda cursor: dataset_list(datasets, limit=30, cursor=cursor)
+    return nth_page(read, DATASET_ORDER, 30, 1).select("id", "name", "status")
 
 
 @query("history_pages", f"""select id, question, latency_ms from ({QUERY_LOG.format(events='events')})
   order by created_at desc, id desc limit 25 offset 50""")
 def history_pages(spark, sf_dir):
     """The third page of the query log, behind the second one's last row."""
-    log, cursor = stage(from_events(spark, sf_dir, QUERY_LOG), "log"), None
-    for _ in range(2):
-        cursor = next_cursor(query_history(log, 25, cursor).collect(), HISTORY_ORDER, 25)
-    return query_history(log, 25, cursor).select("id", "question", "latency_ms")
+    log = stage(from_events(spark, sf_dir, QUERY_LOG), "log")
+    return nth_page(lambda cursor: query_history(log, 25, cursor), HISTORY_ORDER, 25, 2).select("id", "question", "latency_ms")
 
 
 @query("dataset_name_guard", f"""select distinct concat('set_', c_custkey) as name from customer
