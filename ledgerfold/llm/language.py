@@ -126,7 +126,8 @@ def learn(
     numbers = spark.createDataFrame(
         [(lang, i, min(spread, spread * sample_rows // found[lang] + 1)) for i, lang in enumerate(languages)],
         "lang string, number int, share long")
-    chosen = rows.join(numbers, "lang").filter(F.pmod(F.xxhash64(*KEY), F.lit(spread)) < F.col("share")).select("number", "text")
+    # one row per language: far smaller than the filters, which hold 256 KB for each
+    chosen = rows.join(F.broadcast(numbers), "lang").filter(F.pmod(F.xxhash64(*KEY), F.lit(spread)) < F.col("share")).select("number", "text")
     counts = stage(
         chosen.mapInPandas(released(_count_grams(spark.sparkContext.broadcast(letters))), "number int, gram long, n long")
         .groupBy("gram", "number").agg(F.sum("n").alias("n")), "gram-counts")
