@@ -150,7 +150,8 @@ def score_quantile(raw: np.ndarray, weight: np.ndarray, share: float) -> float:
     """The least raw score with more than `share` of the rows' weight at or below it."""
     order = np.argsort(raw, kind="stable")
     below = np.cumsum(weight[order])
-    return float(raw[order][min(len(raw) - 1, int(np.searchsorted(below, share * below[-1], "right")))])
+    target = share * below[-1] * (1 + 1e-9)  # sums of weights are rounded
+    return float(raw[order][min(len(raw) - 1, int(np.searchsorted(below, target, "right")))])
 
 
 def _standard(values: np.ndarray, model: Ranker) -> np.ndarray:
