@@ -122,13 +122,17 @@ class Store:
         return self.spark.read.schema(schema).parquet(self.path(name)) if files.exists(target) else None
 
     def table(self, name: str) -> DataFrame:
-        """The stored rows; an unwritten table is empty. Of a dataset table, those of each dataset's published run."""
+        """The stored rows; an unwritten table is empty. Of a dataset table, those of each dataset's published run.
+
+        The runs are broadcast: each is a folder that the driver lists anyway,
+        while a join by their ids would bring a dataset's rows into one task.
+        """
         stored = self._stored(name)
         if stored is None:
             return self.spark.createDataFrame([], table_schema(name))
         if name not in DATASET_TABLES:
             return stored
-        return stored.join(self.current_runs(name), ["dataset_id", "run_id"], "left_semi").select(
+        return stored.join(F.broadcast(self.current_runs(name)), ["dataset_id", "run_id"], "left_semi").select(
             *table_schema(name).fieldNames())
 
     # Runs
