@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,14 +67,19 @@ def as_number(c: Column, dtype: T.DataType) -> Column:
     literals ("1d", "0x1p3"), and pays for an exception on any other text.
     """
     if is_text(dtype):
-        value = F.when(c.rlike(NUMBER_TEXT), c.try_cast("double"))
-    elif isinstance(dtype, T.BooleanType) or is_number(dtype):
+        return F.when(c.rlike(NUMBER_TEXT), number_of(c))
+    if isinstance(dtype, T.BooleanType) or is_number(dtype):
         value = c.cast("double")
     else:
         return F.lit(None).cast("double")
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
+def number_of(c: Column) -> Column:
+    """Double of a text that looks like a number, or null where it isn't one."""
+    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
+
+
 def as_whole(c: Column, dtype: str) -> Column:
     """A whole number written as text, exactly, or null where it isn't one or doesn't fit."""
     return F.when(c.rlike(WHOLE_TEXT), F.trim(c).try_cast(dtype))
@@ -80,7 +87,12 @@ def as_whole(c: Column, dtype: str) -> Column:
 
 def fits_whole(c: Column, dtype: str, digits: int) -> Column:
     """Whether a text is a whole number that fits; up to `digits` characters it does, so few are cast."""
-    return c.rlike(WHOLE_TEXT) & ((F.length(c) <= digits) | F.trim(c).try_cast(dtype).isNotNull())
+    return c.rlike(WHOLE_TEXT) & whole_fits(c, dtype, digits)
+
+
+def whole_fits(c: Column, dtype: str, digits: int) -> Column:
+    """`fits_whole` of a text that is a whole number."""
+    return (F.length(c) <= digits) | F.trim(c).try_cast(dtype).isNotNull()
 
 
 def as_flag(c: Column, dtype: T.DataType, true_texts: tuple[str, ...]) -> Column:
@@ -96,6 +108,34 @@ def as_flag(c: Column, dtype: T.DataType, true_texts: tuple[str, ...]) -> Column
     return F.coalesce(hit, F.lit(False))
 
 
+# What a date format's letters can match, in any width Java takes; wider than that, never narrower.
+_YEAR, _MONTH, _DAY = "[+-]?[0-9]{4,19}", "0*([1-9]|1[0-2])", "0*([1-9]|[12][0-9]|3[01])"
+_FORMAT_PARTS = {
+    "yyyy": _YEAR, "M": _MONTH, "MM": _MONTH, "MMM": "[^0-9]+", "d": _DAY, "dd": _DAY,
+    "H": "0*(1?[0-9]|2[0-3])", "HH": "0*(1?[0-9]|2[0-3])", "mm": "[0-5][0-9]", "ss": "[0-5][0-9]",
+}
+
+
+def format_shape(form: str) -> str | None:
+    """A pattern that every text in a date format matches; None for formats with other letters or quotes."""
+    parts = re.findall(r"([A-Za-z])(\1*)|([^A-Za-z])", form)
+    shape = []
+    for first, more, other in parts:
+        if other in ("'", "[", "]") or (first and first + more not in _FORMAT_PARTS):
+            return None
+        shape.append(re.escape(other) if other else _FORMAT_PARTS[first + more])
+    return f"^{''.join(shape)}$"
+
+
+def in_format(c: Column, form: str) -> Column:
+    """Timestamp without zone of a text in a format, or null.
+
+    A text that can't be in it isn't parsed: the parser pays for an exception on each.
+    """
+    shape, value = format_shape(form), F.try_to_timestamp(c, F.lit(form)).cast("timestamp_ntz")
+    return value if shape is None else F.when(c.rlike(shape), value)
+
+
 def as_timestamp(c: Column, dtype: T.DataType, formats: tuple[str, ...] = ()) -> Column:
     """Timestamp without zone, or null where the value does not parse.
 
@@ -104,7 +144,7 @@ def as_timestamp(c: Column, dtype: T.DataType, formats: tuple[str, ...] = ()) ->
     """
     if is_text(dtype):
         tries = [c.try_cast("timestamp_ntz")]
-        tries += [F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats]
+        tries += [in_format(c, f) for f in formats]
         return F.coalesce(*tries)
     if is_time(dtype):
         return c.cast("timestamp_ntz")

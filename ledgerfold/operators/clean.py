@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (
-    EXACT_DOUBLE, WHOLE_TEXT, as_flag, as_number, as_timestamp, as_whole, fits_whole, is_missing,
+    EXACT_DOUBLE, WHOLE_TEXT, as_flag, as_number, as_timestamp, as_whole, fits_whole, in_format, is_missing,
     is_number, is_text, nan_to_null, numeric_columns, ref, text_columns,
 )
 from ..functions.ranks import interpolate, order_statistics, quantile_ranks, sketch
@@ -96,11 +96,12 @@ def date_forms(df: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> dict[s
     if not names:
         return {}
     counts = []
-    for i, c in enumerate(names):
-        other = F.when(as_timestamp(ref(c), T.StringType()).isNull(), ref(c))
+    for i in range(len(names)):
+        other = F.col(f"o{i}")
         counts += [F.count(other).alias(f"o{i}"), *(
-            F.count(as_timestamp(other, T.StringType(), (form,))).alias(f"o{i}_{j}") for j, form in enumerate(formats))]
-    seen = df.agg(*counts).first()
+            F.count(in_format(other, form)).alias(f"o{i}_{j}") for j, form in enumerate(formats))]
+    seen = df.select(*[
+        F.when(as_timestamp(ref(c), T.StringType()).isNull(), ref(c)).alias(f"o{i}") for i, c in enumerate(names)]).agg(*counts).first()
     forms = {}
     for i, c in enumerate(names):
         hits = [seen[f"o{i}_{j}"] for j in range(len(formats))]

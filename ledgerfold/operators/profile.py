@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (
-    WHOLE_TEXT, as_number, as_whole, fits_whole, is_missing, ref, text_columns,
+    NUMBER_TEXT, WHOLE_TEXT, as_number, as_whole, is_missing, number_of, ref, text_columns, whole_fits,
 )
 from ..settings import (
     CANONICAL_HINTS, DOMAIN_MIN_FIELDS, HIGH_NULL_WARNING, ID_LIKE_WARNING, NULL_RATIO_LIMIT,
@@ -173,18 +173,24 @@ def infer_text_types(df: DataFrame) -> DataFrame:
     names = text_columns(df)
     if not names:
         return df
+    # Each pattern is tried once on a text: whole numbers are sought among numbers, flags among other texts.
+    texts = df.select(*[a for i, c in enumerate(names) for a in (
+        ref(c).alias(f"v{i}"), ref(c).rlike(NUMBER_TEXT).alias(f"is{i}"))])
+    kinds = texts.select(*texts.columns, *[
+        (F.col(f"is{i}") & F.col(f"v{i}").rlike(WHOLE_TEXT)).alias(f"whole{i}") for i in range(len(names))])
     checks = []
-    for i, c in enumerate(names):
-        value = ref(c)
+    for i in range(len(names)):
+        value, number, whole = F.col(f"v{i}"), F.col(f"is{i}"), F.col(f"whole{i}")
+        flag = F.when(~number, value.rlike("^(True|TRUE|true|False|FALSE|false)$"))
         checks += [
             F.count(value).alias(f"n{i}"),
-            F.count_if(value.rlike("^(True|TRUE|true|False|FALSE|false)$")).alias(f"b{i}"),
-            F.count_if(value.rlike(WHOLE_TEXT)).alias(f"w{i}"),
-            F.count_if(fits_whole(value, "bigint", 18)).alias(f"l{i}"),
-            F.count_if(fits_whole(value, "decimal(38,0)", 38)).alias(f"e{i}"),
-            F.count(as_number(value, T.StringType())).alias(f"d{i}"),
+            F.count_if(flag).alias(f"b{i}"),
+            F.count_if(whole).alias(f"w{i}"),
+            F.count_if(whole & whole_fits(value, "bigint", 18)).alias(f"l{i}"),
+            F.count_if(whole & whole_fits(value, "decimal(38,0)", 38)).alias(f"e{i}"),
+            F.count(F.when(number, number_of(value))).alias(f"d{i}"),
         ]
-    seen = df.agg(*checks).first()
+    seen = kinds.agg(*checks).first()
     typed = {}
     for i, c in enumerate(names):
         n = seen[f"n{i}"]
