@@ -29,6 +29,12 @@ _CELLS = anomalies_sql("ready", "subscription_id",
                        ("mrr", "seats", "arr", "lifetime_months", "churn_risk_score"))
 
 
+def _in_files(df, files, *order):
+    """The rows in order, over that many files, or as many as the session has partitions if these are more."""
+    files = max(files, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartitionByRange(files, *order).sortWithinPartitions(*order)
+
+
 def _run(spark, sf_dir, **options):
     path = new_path(spark, "export")
     subs = subscriptions(spark, sf_dir).withColumn(
@@ -174,7 +180,7 @@ def _flawed_export(spark, sf_dir):
         ",", F.col("subscription_id").cast("string"), "customer_id", F.lit("p"), F.lit("10"), F.lit("active"),
         F.when(F.col("subscription_id") % 10 == 0, F.concat(F.lit("about "), day)).otherwise(day),
         F.when(F.col("subscription_id") % 7 == 0, F.lit("extra")))
-    ordered = subscriptions(spark, sf_dir, lines=False).repartitionByRange(3, "subscription_id").sortWithinPartitions("subscription_id")
+    ordered = _in_files(subscriptions(spark, sf_dir, lines=False), 3, "subscription_id")
     ordered.select(line.alias("subscription_id,customer_id,plan,mrr,status,start_date")).write.options(
         header=True, quote="", sep="\x01").csv(path)
     return path
@@ -213,9 +219,8 @@ def run_report(spark, sf_dir):
 def record_numbers(spark, sf_dir):
     """The numbers of the records of a source in several files, which are read in several splits."""
     path = new_path(spark, "numbered")
-    table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_ref"), F.col("l_linenumber").alias("line_ref")) \
-        .repartitionByRange(5, "order_ref", "line_ref").sortWithinPartitions("order_ref", "line_ref") \
-        .write.option("header", True).csv(path)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_ref"), F.col("l_linenumber").alias("line_ref"))
+    _in_files(lines, 5, "order_ref", "line_ref").write.option("header", True).csv(path)
     return land_source(spark, "csv", path=path).frame.select(
         F.col(ROW_INDEX).alias("row_index"), "order_ref", F.col("line_ref").cast("int").alias("line_ref"))
 
@@ -228,8 +233,7 @@ def anomaly_row_index(spark, sf_dir):
     path = new_path(spark, "export")
     subs = subscriptions(spark, sf_dir).withColumn("copy", F.lit(0))
     both = subs.unionByName(subs.filter("subscription_id % 5 = 0").withColumn("copy", F.lit(1)))
-    order = ("copy", "subscription_id")
-    both.repartitionByRange(5, *order).sortWithinPartitions(*order).drop("copy").write.option("header", True).csv(path)
+    _in_files(both, 5, "copy", "subscription_id").drop("copy").write.option("header", True).csv(path)
     store = Store(spark, new_path(spark, "store"))
     run_etl(spark, store, "orders", "csv", path=path, key=("subscription_id",))
     return store.table("anomalies").select("row_index", "column_name", "value")
