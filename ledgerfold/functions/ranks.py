@@ -2,9 +2,9 @@
 
 Spark's exact percentile holds every distinct value of a column in one buffer.
 Here a sketch, which the caller's own statistics pass takes along, proposes a
-narrow interval around each wanted rank. Then the rows below each interval are counted
-in one aggregate for all columns, and the copies of each value inside it,
-combined before the shuffle. Intervals that would still hold too many values
+narrow interval around each wanted rank. Then the rows below each interval and at its
+ends are counted in one aggregate for all columns, and the copies of each value inside
+it, combined before the shuffle. Intervals that would still hold too many values
 are narrowed first, by passes of the same kind. The sketch only proposes: the
 counts decide, and an interval that misses its rank is widened.
 """
@@ -127,43 +127,54 @@ def _merged(intervals: list[tuple[float, float]]) -> list[tuple[float, float]]:
 def _gather(df: DataFrame, targets: list[_Target]) -> None:
     """Read the ranks off a running sum over the copies of each value in the intervals.
 
-    The rows below each interval are counted in one plain aggregate; only values
-    inside an interval are taken apart and counted. An interval is a group of
-    its own, so no task holds more than one.
+    The rows below each interval and at its ends are counted in one plain
+    aggregate, which settles ranks at an end; only values inside an interval that
+    has other ranks are taken apart and counted. An interval is a group of its
+    own, so no task holds more than one.
     """
     spans = [
         (c, low, high) for c in dict.fromkeys(t.column for t in targets)
         for low, high in _merged([t.interval[1:] for t in targets if t.column == c])
     ]
-    below = df.agg(*[
-        F.count_if(F.col(c) < F.lit(low)).alias(f"b{i}") for i, (c, low, _) in enumerate(spans)]).first()
-    names = list(dict.fromkeys(c for c, _, _ in spans))
-    inside = {c: None for c in names}
-    for i, (c, low, high) in enumerate(spans):
-        hit = F.col(c).between(F.lit(low), F.lit(high))
-        inside[c] = F.when(hit, F.lit(i)) if inside[c] is None else inside[c].when(hit, F.lit(i))
+    ends = list(dict.fromkeys((t.column, end) for t in targets for end in t.interval[1:]))
+    seen = df.agg(*[a for i, (c, end) in enumerate(ends) for a in (
+        F.count_if(F.col(c) < F.lit(end)).alias(f"lt{i}"), F.count_if(F.col(c) <= F.lit(end)).alias(f"le{i}"))]).first()
+    at = {x: (seen[f"lt{i}"], seen[f"le{i}"]) for i, x in enumerate(ends)}  # rows below an end, and up to it
+    span_of, inner = {}, []
+    for t in targets:
+        i = span_of[t] = next(i for i, (c, low, high) in enumerate(spans)
+                              if c == t.column and low <= t.interval[1] and t.interval[2] <= high)
+        t.value = next((end + 0.0 for (c, end), (lt, le) in at.items()  # no negative zero, as in groups
+                        if c == t.column and lt <= t.rank < le), None)
+        if t.value is None and at[spans[i][:2]][1] <= t.rank < at[t.column, spans[i][2]][0]:
+            inner.append(t)
+        elif t.value is None:
+            t.widen()
+    if not inner:
+        return
+    wide = sorted({span_of[t] for t in inner})
+    inside = {}
+    for i in wide:
+        c, low, high = spans[i]
+        hit = (F.col(c) > F.lit(low)) & (F.col(c) < F.lit(high))
+        inside[c] = inside[c].when(hit, F.lit(i)) if c in inside else F.when(hit, F.lit(i))
     entries = F.filter(
-        F.array(*[F.struct(inside[c].alias("span"), F.col(c).alias("v")) for c in names]),
+        F.array(*[F.struct(span.alias("span"), F.col(c).alias("v")) for c, span in inside.items()]),
         lambda x: x["span"].isNotNull())
+    hits = df.filter(reduce(lambda a, b: a | b, [span.isNotNull() for span in inside.values()]))
     values = (
-        df.select(F.inline(entries)).groupBy("span", "v").agg(F.count(F.lit(1)).alias("n"))
+        hits.select(F.inline(entries)).groupBy("span", "v").agg(F.count(F.lit(1)).alias("n"))
     )
     running = (Window.partitionBy("span").orderBy("v")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    span_of = {t: next(i for i, (c, low, high) in enumerate(spans)
-                       if c == t.column and low <= t.interval[1] and t.interval[2] <= high) for t in targets}
+    place = {t: t.rank - at[spans[span_of[t]][:2]][1] for t in inner}
     wanted = reduce(lambda a, b: a | b, [
-        (F.col("span") == span_of[t]) & (F.col("upto") > t.rank - below[f"b{span_of[t]}"])
-        & (F.col("upto") - F.col("n") <= t.rank - below[f"b{span_of[t]}"])
-        for t in targets
+        (F.col("span") == span_of[t]) & (F.col("upto") > place[t]) & (F.col("upto") - F.col("n") <= place[t])
+        for t in inner
     ])
     found = values.withColumn("upto", F.sum("n").over(running)).filter(wanted).collect()
-    for t in targets:
-        place = t.rank - below[f"b{span_of[t]}"]
-        t.value = next((r["v"] for r in found if r["span"] == span_of[t]
-                        and r["upto"] - r["n"] <= place < r["upto"]), None)
-        if t.value is None:
-            t.widen()
+    for t in inner:
+        t.value = next(r["v"] for r in found if r["span"] == span_of[t] and r["upto"] - r["n"] <= place[t] < r["upto"])
 
 
 def quantile_ranks(n: int, q: float) -> list[int]:

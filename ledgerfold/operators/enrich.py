@@ -11,7 +11,9 @@ The label rules of the built-in classifier are this package's own.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,11 +52,26 @@ INDUSTRY_WORDS = {
 }
 
 
-def by_words(text: Column, words: dict[str, str], fallback: Column | str) -> Column:
-    """First label with a word in the text, in any case."""
+def ascii_lower(text: Column) -> Column:
+    """The text with A-Z in lower case and all else unchanged."""
+    text = text.cast("string")
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
+        F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
+def by_words(text: Column, words: dict[str, str], fallback: Column | str, low: Column | None = None) -> Column:
+    """First label with a word in the text, in any case.
+
+    With `low`, the text's `ascii_lower` as a column of its own, plain words are
+    sought in that, without a regular expression per label.
+    """
     rules = None
     for label, pattern in words.items():
-        rules = (F if rules is None else rules).when(text.rlike(f"(?i){pattern}"), F.lit(label))
+        if low is not None and re.fullmatch("[a-z |]+", pattern):
+            hit = reduce(lambda a, b: a | b, [low.contains(word) for word in pattern.split("|")])
+        else:
+            hit = text.rlike(f"(?i){pattern}")
+        rules = (F if rules is None else rules).when(hit, F.lit(label))
     return rules.otherwise(F.lit(fallback) if isinstance(fallback, str) else fallback)
 
 
@@ -65,26 +82,26 @@ def column_or(df: DataFrame, name: str, default: object) -> Column:
 
 # --- Built-in classifier -----------------------------------------------------
 
-def plan_category(plan: Column, mrr: Column | None = None) -> Column:
+def plan_category(plan: Column, mrr: Column | None = None, low: Column | None = None) -> Column:
     by_revenue: Column = F.lit(PLAN_FALLBACK)
     if mrr is not None:
         by_revenue = F.when(mrr.isNull(), F.lit(PLAN_FALLBACK))
         for label, bound in PLAN_REVENUE:
             by_revenue = by_revenue.when(mrr < F.lit(bound), F.lit(label))
         by_revenue = by_revenue.otherwise(F.lit("custom"))
-    return F.when(plan.isNotNull(), by_words(plan, PLAN_WORDS, by_revenue))
+    return F.when(plan.isNotNull(), by_words(plan, PLAN_WORDS, by_revenue, low))
 
 
 def has_reason(reason: Column) -> Column:
     return reason.isNotNull() & (reason != FILL_TEXT) & (F.length(reason) > 3)
 
 
-def churn_reason_category(reason: Column) -> Column:
-    return F.when(has_reason(reason), by_words(reason, REASON_WORDS, REASON_FALLBACK))
+def churn_reason_category(reason: Column, low: Column | None = None) -> Column:
+    return F.when(has_reason(reason), by_words(reason, REASON_WORDS, REASON_FALLBACK, low))
 
 
-def industry_category(name: Column) -> Column:
-    return F.when(name.isNotNull(), by_words(name, INDUSTRY_WORDS, INDUSTRY_FALLBACK))
+def industry_category(name: Column, low: Column | None = None) -> Column:
+    return F.when(name.isNotNull(), by_words(name, INDUSTRY_WORDS, INDUSTRY_FALLBACK, low))
 
 
 def churn_risk_score(df: DataFrame) -> Column:
@@ -119,17 +136,19 @@ def enrich(df: DataFrame, max_rows: int | None = None, order_by: tuple[str, ...]
     """
     if max_rows is not None:
         return enrich_head(df, max_rows, order_by)
+    low = {c: f"lower case of {c}" for c in ("plan", "churn_reason", "customer_name") if c in df.columns}
+    texts = df.withColumns({name: ascii_lower(F.col(c)) for c, name in low.items()}) if low else df
     added = {}
     if "plan" in df.columns:
         added["plan_category"] = plan_category(
-            F.col("plan"), F.col("mrr") if "mrr" in df.columns else None)
+            F.col("plan"), F.col("mrr") if "mrr" in df.columns else None, ref(low["plan"]))
     if "churn_reason" in df.columns:
-        added["churn_reason_category"] = churn_reason_category(F.col("churn_reason"))
+        added["churn_reason_category"] = churn_reason_category(F.col("churn_reason"), ref(low["churn_reason"]))
     if "mrr" in df.columns:
         added["churn_risk_score"] = churn_risk_score(df)
     if "customer_name" in df.columns:
-        added["industry_category"] = industry_category(F.col("customer_name"))
-    return df.withColumns(added) if added else df
+        added["industry_category"] = industry_category(F.col("customer_name"), ref(low["customer_name"]))
+    return texts.withColumns(added).drop(*low.values()) if added else df
 
 
 LABELS = ("plan_category", "churn_reason_category", "churn_risk_score", "industry_category")
