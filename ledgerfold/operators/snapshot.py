@@ -209,8 +209,10 @@ def has_months(df: DataFrame) -> bool:
     return "start_date" in df.columns and not df.filter("start_date is not null").isEmpty()
 
 
-def snapshots(df: DataFrame, month: str | None = None) -> DataFrame:
-    """Monthly snapshots, or the single one if no start date is known."""
+def snapshots(df: DataFrame, month: str | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Monthly snapshots, from the rows' `pairs` if these are counted, or the single one if no start date is known."""
+    if pairs is not None:
+        return snapshot_of_pairs(pairs)
     if has_months(df):
         return monthly_snapshot(df)
     return single_snapshot(df, month).withColumn("nrr", F.lit(None).cast("double"))

@@ -20,7 +20,7 @@ from ..operators.derive import transform_subscriptions
 from ..operators.enrich import Classifier, enrich, enrich_with_model, label_counts, label_report
 from ..operators.outliers import anomalies, explain_anomalies, row_key
 from ..operators.profile import apply_mapping, canonical_mapping, detect_domain
-from ..operators.snapshot import has_months, month_pairs, snapshot_of_pairs, snapshots
+from ..operators.snapshot import has_months, month_pairs, snapshots
 from ..settings import CANONICAL_HINTS, DATE_FORMATS, REJECT_DATE
 from ..sources.readers import ROW_INDEX, Landed, land_source
 from ..sources.store import Store
@@ -87,7 +87,7 @@ def write_months(store: Store, dataset_id: str, ready: DataFrame, run_id: str) -
     if has_months(ready):
         pairs = stage(month_pairs(ready, exact=True), "pairs")
         store.replace("month_pairs", pairs.withColumn("dataset_id", mine), one_dataset=True, run_id=run_id)
-        months = snapshot_of_pairs(pairs)
+        months = snapshots(ready, pairs=pairs)
     else:
         months = snapshots(ready)
     store.write_metrics(stage(months.withColumn("dataset_id", mine), "months"), one_dataset=True, run_id=run_id)
