@@ -17,6 +17,12 @@ def _runs(store: Store, table: str, dataset_id: str) -> list[str]:
     return [r["run_id"] for r in store.current_runs(table).filter(F.col("dataset_id") == dataset_id).orderBy("run_id").collect()]
 
 
+def _stored(store: Store, dataset_id: str) -> DataFrame:
+    """A dataset's rows, its id a constant: by a column Spark would sort all rows of a task before it writes partitions."""
+    mine = store.table("subscriptions").filter(F.col("dataset_id") == dataset_id)
+    return mine.withColumn("dataset_id", F.lit(dataset_id))
+
+
 def _bring_up(store: Store, dataset_id: str, changes: list[tuple[DataFrame, int]], subscriptions: str, run_id: str) -> None:
     """Metrics and pairs of the dataset after the changes, published together with its rows."""
     known = store.table("month_pairs").filter(F.col("dataset_id") == dataset_id).withColumns(
@@ -53,7 +59,7 @@ def remove_subscriptions(store: Store, dataset_id: str, ids: DataFrame, key: str
     from the differences that the others make.
     """
     run_id = str(uuid.uuid4())
-    mine = store.table("subscriptions").filter(F.col("dataset_id") == dataset_id)
+    mine = _stored(store, dataset_id)
     gone = ids.select(key).distinct()
     try:
         store.write_subscriptions(mine.join(gone, key, "left_anti"), one_dataset=True, run_id=run_id)
@@ -66,6 +72,6 @@ def remove_subscriptions(store: Store, dataset_id: str, ids: DataFrame, key: str
 def compact(store: Store, dataset_id: str) -> None:
     """Write the rows of a dataset that are in many runs to one."""
     run_id = str(uuid.uuid4())
-    mine = store.table("subscriptions").filter(F.col("dataset_id") == dataset_id)
+    mine = _stored(store, dataset_id)
     store.write_subscriptions(mine, one_dataset=True, run_id=run_id)
     store.publish(dataset_id, {"subscriptions": run_id})

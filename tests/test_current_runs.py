@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerfold.plans.increments import append_subscriptions, remove_subscriptions
+from ledgerfold.plans.increments import append_subscriptions, compact, remove_subscriptions
 from ledgerfold.sources import Store
 
 
@@ -43,3 +43,19 @@ def test_pairs_of_a_dataset_with_many_runs_are_not_dealt_by_their_run(spark, tmp
     for table, n in (("subscriptions", 75), ("month_pairs", 1)):
         assert "SortMergeJoin" not in _plan(store.table(table))
         assert store.table(table).count() == n
+
+
+def test_rows_written_anew_are_not_sorted_by_their_dataset(spark, tmp_path, monkeypatch):
+    """Spark sorts what it writes by partition columns, all rows of a task at once, unless they are constants."""
+    store, sorts, write = Store(spark, str(tmp_path)), [], Store.write_subscriptions
+
+    def seen(self, df, *args, **kwargs):
+        sorts.append([_plan(x).count("Sort [") for x in (df, df.sortWithinPartitions("dataset_id"))])
+        write(self, df, *args, **kwargs)
+
+    store.write_subscriptions(_subs(spark, "d", 40).unionByName(_subs(spark, "e", 5)))
+    monkeypatch.setattr(Store, "write_subscriptions", seen)
+    remove_subscriptions(store, "d", spark.sql("select * from values ('c0'), ('c7') as gone(customer_id)"))
+    compact(store, "d")
+    assert len(sorts) == 2 and all(plain == ordered for plain, ordered in sorts)
+    assert store.table("subscriptions").groupBy("dataset_id").count().orderBy("dataset_id").collect() == [("d", 38), ("e", 5)]
